@@ -1,4 +1,147 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL. Every query reads whole tables; the SQL is written on its own, for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from propagon.operators import graph, labels, metrics, org, temporal, windows
+from propagon.sources import cascades as src
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def _add(name: str, query, sql: str) -> None:
+    QUERIES[name] = query
+    SQL[name] = f"WITH {src.SQL}{sql}"
+
+
+def _posts(s, d):
+    return org.posts(src.raw_posts(s, d))
+
+
+def _edges(s, d):
+    return org.star_edges(_posts(s, d))
+
+
+GRID = """,
+win AS (SELECT i AS window_idx, i * 300 AS end_time FROM range(1, 7) t(i)),
+grid AS (SELECT cascade_idx, window_idx, end_time FROM (SELECT DISTINCT cascade_idx FROM posts), win)"""
+MULTI = GRID + """,
+multi AS (
+  SELECT g.cascade_idx, g.window_idx, g.end_time,
+    count(CASE WHEN p.relative_time >= g.end_time - 300 THEN 1 END) AS num_retweets_cur,
+    count(CASE WHEN p.relative_time >= greatest(0, g.end_time - 600) THEN 1 END) AS num_retweets_ctx, count(p.tweet_idx) AS num_retweets_cum,
+    count(DISTINCT CASE WHEN p.relative_time >= g.end_time - 300 THEN p.user_idx END) AS num_active_users_cur,
+    count(DISTINCT CASE WHEN p.relative_time >= greatest(0, g.end_time - 600) THEN p.user_idx END) AS num_active_users_ctx,
+    count(DISTINCT p.user_idx) AS num_active_users_cum
+  FROM grid g LEFT JOIN reposts p ON p.cascade_idx = g.cascade_idx AND p.relative_time < g.end_time GROUP BY ALL),
+multi_edges AS (
+  SELECT g.cascade_idx, g.window_idx, count(CASE WHEN e.relative_time >= g.end_time - 300 THEN 1 END) AS num_edges_cur,
+    count(CASE WHEN e.relative_time >= greatest(0, g.end_time - 600) THEN 1 END) AS num_edges_ctx, count(e.dst) AS num_edges_cum
+  FROM grid g LEFT JOIN edges e ON e.cascade_idx = g.cascade_idx AND e.relative_time < g.end_time GROUP BY ALL),
+mw AS (SELECT m.*, e.* EXCLUDE (cascade_idx, window_idx), num_retweets_cur - lag(num_retweets_cur, 1, 0) OVER (PARTITION BY m.cascade_idx ORDER BY m.window_idx) AS delta_heat
+  FROM multi m JOIN multi_edges e USING (cascade_idx, window_idx))"""
+NODES = GRID + """,
+act AS (
+  SELECT cascade_idx, user_idx, relative_time, 1 AS p, 0 AS i, 0 AS o FROM posts UNION ALL
+  SELECT cascade_idx, src, relative_time, 0, 0, 1 FROM edges UNION ALL SELECT cascade_idx, dst, relative_time, 0, 1, 0 FROM edges),
+firsts AS (SELECT cascade_idx, user_idx, min(relative_time) AS first_seen_time FROM act GROUP BY ALL),
+nw0 AS (
+  SELECT g.cascade_idx, g.window_idx, f.user_idx, f.first_seen_time, g.end_time - f.first_seen_time AS time_since_first_seen,
+    """ + ", ".join(
+    f"CAST(coalesce(sum(CASE WHEN a.relative_time >= {low} THEN a.{k} ELSE 0 END), 0) AS BIGINT) AS {n}_{s}" for k, n in (("p", "num_posts"), ("i", "in_degree"), ("o", "out_degree")) for s, low in (("cur", "g.end_time - 300"), ("ctx", "greatest(0, g.end_time - 600)"), ("cum", "-1000000"))
+) + """
+  FROM grid g JOIN firsts f ON f.cascade_idx = g.cascade_idx AND f.first_seen_time < g.end_time
+  LEFT JOIN act a ON a.cascade_idx = g.cascade_idx AND a.user_idx = f.user_idx AND a.relative_time < g.end_time GROUP BY ALL),
+nw AS (SELECT *, CAST(sum(CAST(num_posts_cur > 0 AS INT)) OVER (PARTITION BY cascade_idx, user_idx ORDER BY window_idx) AS BIGINT) AS active_window_count FROM nw0)"""
+TEXTS = GRID + """,
+tw AS (SELECT g.cascade_idx, g.window_idx, p.tweet_idx, p.user_idx, p.relative_time,
+    CASE WHEN p.is_root = 1 THEN 'root_always_visible' WHEN p.relative_time >= g.end_time - 300 THEN 'current_window' ELSE 'history_visible' END AS text_visible_type,
+    length(p.text) AS text_length
+  FROM grid g JOIN posts p ON p.cascade_idx = g.cascade_idx AND (p.is_root = 1 OR p.relative_time < g.end_time))"""
+BIN = "CASE " + " ".join(f"WHEN relative_time <= {b} THEN {i}" for i, b in enumerate(temporal.BINS, 1)) + " ELSE 13 END"
+SIZE = "CASE " + " ".join(f"WHEN total <= {b} THEN '{n}'" for b, n in temporal.SIZES) + " ELSE '5001+' END"
+TIMES = f""",
+rt AS (SELECT *, {BIN} AS bin FROM raw_posts WHERE is_root = 0 AND relative_time >= 0),
+ct0 AS (SELECT r.cascade_idx, count(t.cascade_idx) AS total, {", ".join(f"count(CASE WHEN t.relative_time <= {s} THEN 1 END) AS cum_{k}" for k, s in temporal.CUMULATIVE.items())},
+  {", ".join(f"count(CASE WHEN t.bin = {i} THEN 1 END) AS bin_{i}" for i in range(1, 8))} FROM roots r LEFT JOIN rt t USING (cascade_idx) GROUP BY ALL),
+ct AS (SELECT *, {", ".join(f"round(CASE WHEN total > 0 THEN cum_{k} / total ELSE 0 END, 6) AS ratio_{k}" for k in temporal.CUMULATIVE)},
+  CAST(cum_30m >= 8 AS INT) AS pass_30m_8, CAST(cum_2h >= 10 AS INT) AS pass_2h_10, {SIZE} AS size_bucket FROM ct0),
+lists AS (SELECT 'A' AS list, cascade_idx, total FROM ct WHERE cum_30m >= 8 UNION ALL SELECT 'B', cascade_idx, total FROM ct WHERE cum_1h >= 8 UNION ALL SELECT 'C', cascade_idx, total FROM ct WHERE cum_2h >= 10)"""
+TREE = """,
+tree AS (SELECT c.cascade_idx, c.tweet_idx AS child_tweet_idx, c.user_idx AS child_user_idx, max({'a': p.relative_time, 'b': p.tweet_idx, 'c': p.user_idx}) AS m, c.relative_time,
+    count(CASE WHEN p.relative_time >= c.relative_time - 1800 THEN 1 END) AS near, count(*) AS every
+  FROM posts c JOIN posts p ON p.cascade_idx = c.cascade_idx AND p.relative_time < c.relative_time WHERE c.is_root = 0 GROUP BY ALL),
+tr AS (SELECT cascade_idx, child_tweet_idx, child_user_idx, m.b AS parent_tweet_idx, m.c AS parent_user_idx, relative_time - m.a AS time_gap, CASE WHEN near > 0 THEN near ELSE every END AS candidate_count FROM tree)"""
+USERS = """,
+users AS (SELECT DISTINCT user_idx FROM posts),
+sub AS (SELECT src, dst FROM follows WHERE src IN (SELECT user_idx FROM users) AND dst IN (SELECT user_idx FROM users))"""
+
+# windows
+_add("multiscale_window", lambda s, d: windows.multiscale_windows(_posts(s, d), _edges(s, d)), MULTI + " SELECT * FROM mw")
+_add("fixed_window", lambda s, d: windows.fixed_windows(_posts(s, d), _edges(s, d)), MULTI + " SELECT cascade_idx, window_idx, end_time - 300 AS start_time, end_time, num_retweets_cur AS num_retweets, num_retweets_cum AS cum_retweets, num_active_users_cur AS num_active_users, num_edges_cur AS num_edges, delta_heat FROM mw")
+_add("node_window", lambda s, d: windows.node_windows(_posts(s, d), _edges(s, d)), NODES + " SELECT * FROM nw")
+_add("edge_window", lambda s, d: windows.edge_windows(_edges(s, d)), GRID + " SELECT e.cascade_idx, src, dst, dst_tweet, window_idx, 'current' AS window_scope FROM edges e JOIN win ON relative_time >= end_time - 300 AND relative_time < end_time UNION ALL SELECT e.cascade_idx, src, dst, dst_tweet, window_idx, 'context' FROM edges e JOIN win ON relative_time >= greatest(0, end_time - 600) AND relative_time < end_time WHERE relative_time >= 0")
+_add("text_window", lambda s, d: windows.text_windows(_posts(s, d)), TEXTS + " SELECT * FROM tw")
+_add("text_stats", lambda s, d: windows.text_stats(windows.text_windows(_posts(s, d))), TEXTS + " SELECT cascade_idx, window_idx, user_idx, count(*) AS num_texts_visible, count(CASE WHEN text_visible_type <> 'root_always_visible' THEN 1 END) AS num_texts_cur, round(avg(text_length), 6) AS avg_text_length FROM tw GROUP BY ALL")
+_add("window_diagnostics", lambda s, d: windows.window_diagnostics(windows.multiscale_windows(_posts(s, d), _edges(s, d)), windows.node_windows(_posts(s, d), _edges(s, d)), windows.text_windows(_posts(s, d))), MULTI + NODES.replace(GRID, "") + TEXTS.replace(GRID, "") + " SELECT count(*) AS windows, count(CASE WHEN num_retweets_cur = 0 THEN 1 END) AS empty_windows, (SELECT count(*) FROM nw) AS node_rows, (SELECT count(CASE WHEN relative_time >= window_idx * 300 THEN 1 END) FROM tw WHERE text_visible_type <> 'root_always_visible') AS early_texts, (SELECT count(*) FROM tw WHERE text_visible_type <> 'root_always_visible') AS repost_texts FROM mw")
+# base relations
+_add("post_table", _posts, " SELECT *, 1704067200 + (cascade_idx - 1) * 86400 + relative_time AS time_epoch FROM posts")
+_add("star_edges", _edges, " SELECT cascade_idx, src, dst, src_tweet, dst_tweet, relative_time FROM edges")
+_add("quality_counters", lambda s, d: org.quality_counters(src.raw_posts(s, d)), " SELECT count(*) AS rows, count(CASE WHEN relative_time < 0 THEN 1 END) AS negative, count(CASE WHEN relative_time > 1800 THEN 1 END) AS late, count(CASE WHEN is_root = 1 THEN 1 END) AS roots, count(*) - (SELECT count(*) FROM posts) AS duplicates FROM raw_posts")
+CASCADES = """,
+seen AS (SELECT cascade_idx, count(*) AS n, count(CASE WHEN relative_time BETWEEN 0 AND 1800 THEN 1 END) AS o, max(CASE WHEN relative_time BETWEEN 0 AND 1800 THEN relative_time END) AS d FROM raw_posts WHERE is_root = 0 GROUP BY ALL),
+casc AS (SELECT cascade_idx, user_idx AS root_user_idx, coalesce(n, 0) AS final_retweet_count, coalesce(o, 0) AS observed_retweet_count, coalesce(d, 0) AS obs_duration FROM roots LEFT JOIN seen USING (cascade_idx)),
+cascade_t AS (SELECT *, concat_ws(';', CASE WHEN observed_retweet_count < 8 THEN 'few_retweets' END, CASE WHEN obs_duration < 300 THEN 'short_duration' END) AS drop_reason FROM casc)"""
+_add("cascade_table", lambda s, d: org.cascade_table(src.raw_posts(s, d)), CASCADES + " SELECT *, CAST(drop_reason = '' AS INT) AS valid_for_training FROM cascade_t")
+_add("drop_reasons", lambda s, d: org.cascade_table(src.raw_posts(s, d)).groupBy("drop_reason").agg(F.count("*").alias("cascades")), CASCADES + " SELECT drop_reason, count(*) AS cascades FROM cascade_t GROUP BY ALL")
+_add("size_distribution", lambda s, d: org.distribution(org.cascade_table(src.raw_posts(s, d)), "final_retweet_count"), CASCADES + " SELECT count(*) AS n, CAST(min(final_retweet_count) AS DOUBLE) AS min, CAST(max(final_retweet_count) AS DOUBLE) AS max, round(avg(final_retweet_count), 6) AS mean, " + ", ".join(f"round(quantile_cont(final_retweet_count, {q}), 6) AS {n}" for n, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + " FROM casc")
+_add("user_table", lambda s, d: org.user_table(src.raw_posts(s, d)), " SELECT user_idx, count(CASE WHEN is_root = 1 THEN 1 END) AS num_roots, count(CASE WHEN is_root = 0 THEN 1 END) AS num_retweets, count(DISTINCT cascade_idx) AS num_cascades FROM raw_posts WHERE user_idx > 0 GROUP BY ALL")
+_add("org_node_window", lambda s, d: org.org_node_windows(_posts(s, d)), """,
+we AS (SELECT *, CASE WHEN relative_time = 1800 THEN 6 ELSE relative_time // 300 + 1 END AS window_id FROM edges WHERE relative_time BETWEEN 0 AND 1800),
+acts AS (SELECT cascade_idx, window_id, dst AS user_idx, 1 AS p, 1 AS i, 0 AS o FROM we UNION ALL SELECT cascade_idx, window_id, src, 0, 0, 1 FROM we UNION ALL SELECT cascade_idx, 1, user_idx, 1, 0, 0 FROM roots),
+nn AS (SELECT cascade_idx, window_id, user_idx, CAST(sum(p) AS BIGINT) AS num_posts, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM acts GROUP BY ALL)
+SELECT *, CAST(sum(in_degree) OVER w AS BIGINT) AS in_degree_cum, CAST(sum(out_degree) OVER w AS BIGINT) AS out_degree_cum FROM nn WINDOW w AS (PARTITION BY cascade_idx, user_idx ORDER BY window_id)""")
+_add("follow_table", lambda s, d: org.follow_table(src.follows(s, d), _posts(s, d)), USERS + " SELECT * FROM (SELECT src, dst, CAST(src IN (SELECT user_idx FROM users) AS INT) AS src_active, CAST(dst IN (SELECT user_idx FROM users) AS INT) AS dst_active FROM follows) WHERE src_active + dst_active > 0")
+_add("dedup_lines", lambda s, d: org.dedup_lines(src.table(s, d, "events").select((F.expr("event_id div 64")).alias("file"), F.col("event_type").alias("event"), "event_id"), ["event"], "event_id", "file"), " SELECT event_id // 64 AS file, event_type AS event, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 64, event_type ORDER BY event_id) = 1 OR trim(event_type) = ''")
+# time
+_add("cascade_times", lambda s, d: temporal.cascade_times(src.raw_posts(s, d)), TIMES + " SELECT * FROM ct")
+_add("bin_summary", lambda s, d: temporal.bin_summary(src.raw_posts(s, d)), TIMES + " SELECT i AS bin, count(bin) AS retweets, count(DISTINCT cascade_idx) AS cascades, round(count(bin) / (SELECT count(*) FROM rt), 6) AS ratio FROM range(1, 14) t(i) LEFT JOIN rt ON bin = i GROUP BY ALL")
+_add("size_by_bin", lambda s, d: temporal.size_by_bin(src.raw_posts(s, d)), TIMES + f" SELECT z AS size_bucket, i AS bin, count(rt.cascade_idx) AS retweets FROM (SELECT unnest([{', '.join(repr(n) for _, n in temporal.SIZES)}, '5001+']) AS z) CROSS JOIN range(1, 14) t(i) LEFT JOIN (SELECT rt.*, size_bucket FROM rt JOIN ct USING (cascade_idx)) rt ON rt.bin = i AND rt.size_bucket = z GROUP BY ALL")
+_add("observation_sweep", lambda s, d: temporal.observation_sweep(src.raw_posts(s, d)), TIMES + f", combo AS (SELECT * FROM (VALUES {', '.join(f'({o}, {m})' for o, m in temporal.SWEEP)}) v(obs, min_retweets)), per AS (SELECT obs, min_retweets, r.cascade_idx, count(CASE WHEN rt.relative_time <= obs THEN 1 END) AS n FROM combo CROSS JOIN roots r LEFT JOIN rt USING (cascade_idx) GROUP BY ALL) SELECT CAST(obs AS BIGINT) AS obs, CAST(min_retweets AS BIGINT) AS min_retweets, count(CASE WHEN n >= min_retweets THEN 1 END) AS passed, round(count(CASE WHEN n >= min_retweets THEN 1 END) / count(*), 6) AS ratio, round(coalesce(avg(CASE WHEN n >= min_retweets THEN n END), 0), 6) AS mean_n, round(coalesce(quantile_cont(CASE WHEN n >= min_retweets THEN n END, 0.5), 0), 6) AS median_n FROM per GROUP BY ALL")
+_add("largest_cascade", lambda s, d: temporal.largest_cascade(src.raw_posts(s, d)), TIMES + " SELECT cascade_idx, total FROM ct ORDER BY total DESC, cascade_idx LIMIT 1")
+_add("dev_lists", lambda s, d: temporal.dev_lists(src.raw_posts(s, d)), TIMES + " SELECT * FROM lists")
+_add("dev_summary", lambda s, d: temporal.dev_summary(src.raw_posts(s, d)), TIMES + " SELECT list, count(*) AS cascades, round(avg(total), 6) AS mean_total, round(quantile_cont(total, 0.5), 6) AS median_total FROM lists GROUP BY ALL")
+# graphs
+_add("time_only_tree", lambda s, d: graph.time_only_tree(_posts(s, d)), TREE + " SELECT * FROM tr")
+_add("tree_parents", lambda s, d: graph.tree_parents(graph.time_only_tree(_posts(s, d))), TREE + ", n AS (SELECT cascade_idx, parent_tweet_idx, count(*) AS c FROM tr GROUP BY ALL), x AS (SELECT *, c / sum(c) OVER (PARTITION BY cascade_idx) AS p FROM n) SELECT cascade_idx, CAST(sum(c) AS BIGINT) AS edges, count(*) AS parents, count(CASE WHEN c > 1 THEN 1 END) AS branching, round(max(p), 6) AS top_share, round(-sum(p * ln(p + 1e-12)), 6) AS entropy FROM x GROUP BY ALL")
+_add("parent_similarity", lambda s, d: graph.parent_similarity(graph.time_only_tree(_posts(s, d)), _posts(s, d)), TREE + """, g AS (SELECT tweet_idx, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM posts),
+gg AS (SELECT tweet_idx, CASE WHEN length(t) <= 2 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) END AS b FROM g)
+SELECT cascade_idx, child_tweet_idx, parent_tweet_idx, round(len(list_intersect(c.b, p.b)) / len(list_distinct(list_concat(c.b, p.b))), 6) AS text_similarity FROM tr JOIN gg c ON c.tweet_idx = child_tweet_idx JOIN gg p ON p.tweet_idx = parent_tweet_idx""")
+_add("follow_subgraph", lambda s, d: graph.follow_subgraph(src.follows(s, d), _posts(s, d)), USERS + " SELECT * FROM sub")
+_add("symmetric_pairs", lambda s, d: graph.symmetric_pairs(src.follows(s, d), _posts(s, d)), USERS + " SELECT src, dst FROM sub UNION SELECT dst, src FROM sub")
+_add("candidate_edges", lambda s, d: graph.candidate_edges(src.follows(s, d), _posts(s, d)), ", v AS (SELECT *, row_number() OVER (PARTITION BY cascade_idx ORDER BY user_idx) - 1 AS i FROM (SELECT DISTINCT cascade_idx, user_idx FROM posts)) SELECT a.cascade_idx, src, dst, a.i AS src_local, b.i AS dst_local FROM follows JOIN v a ON a.user_idx = src JOIN v b ON b.user_idx = dst AND a.cascade_idx = b.cascade_idx")
+_add("clustering", lambda s, d: graph.clustering(src.follows(s, d)), ", e AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM follows WHERE src <> dst), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), k AS (SELECT u, count(*) AS degree FROM b GROUP BY ALL), t AS (SELECT x.u, count(*) AS n FROM b x JOIN b y ON x.u = y.u AND x.v < y.v JOIN e ON e.u = x.v AND e.v = y.v GROUP BY ALL) SELECT k.u AS user_idx, degree, round(CASE WHEN degree > 1 THEN 2 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM k LEFT JOIN t ON t.u = k.u")
+# labels
+_add("hash_split", lambda s, d: _posts(s, d).where("is_root = 1").select("cascade_idx", labels.split_of(F.col("cascade_idx")).alias("split")), ", h AS (SELECT cascade_idx, CAST('0x' || substr(md5(CAST(cascade_idx AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS x FROM roots) SELECT cascade_idx, CASE WHEN x < 70 THEN 'train' WHEN x < 85 THEN 'valid' ELSE 'test' END AS split FROM h")
+_add("score_rank_labels", lambda s, d: labels.score_rank_labels(labels.components(windows.multiscale_windows(_posts(s, d), _edges(s, d)), windows.node_windows(_posts(s, d), _edges(s, d)))), MULTI + NODES.replace(GRID, "") + """,
+w AS (SELECT cascade_idx, max(greatest(delta_heat, 0)) AS md, max(num_retweets_cur) AS mh, sum(num_retweets_cur) AS rt, count(CASE WHEN num_retweets_cur > 0 THEN 1 END) AS aw, count(*) AS ww FROM mw GROUP BY ALL),
+n AS (SELECT cascade_idx, max(num_posts_cum) AS tp, max(in_degree_cum + out_degree_cum) AS td, sum(in_degree_cum + out_degree_cum) AS sd FROM nw GROUP BY ALL),
+c AS (SELECT cascade_idx, CAST(md + mh AS DOUBLE) AS a, tp / greatest(rt, 1) AS b, td / greatest(sd, 1) AS s, aw / greatest(ww, 1) AS p FROM w JOIN n USING (cascade_idx)),
+z AS (SELECT cascade_idx, round(""" + " + ".join(f"{k} * coalesce((x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0), 0)".replace("x", c) .replace(f"ma{c}", "max") for c, k in (("a", 0.3125), ("b", 0.25), ("s", 0.25), ("p", 0.1875))) + """, 8) AS score FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY score, cascade_idx) - 1 AS rank, count(*) OVER () AS total FROM z),
+h AS (SELECT *, CAST('0x' || substr(md5(CAST(cascade_idx AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS x FROM r)
+SELECT cascade_idx, round(score, 6) AS score, rank, CASE WHEN rank < floor(0.5 * total) THEN 0 WHEN rank >= floor(0.8 * total) THEN 1 ELSE -1 END AS label, CASE WHEN x < 70 THEN 'train' WHEN x < 85 THEN 'valid' ELSE 'test' END AS split FROM h""")
+_add("bucket_percentiles", lambda s, d: labels.bucket_percentiles(org.cascade_table(src.raw_posts(s, d)).select("cascade_idx", F.col("obs_duration"), labels.event_size_bucket(F.col("observed_retweet_count")).alias("bucket")), "obs_duration", "bucket"), CASCADES + ", b AS (SELECT cascade_idx, obs_duration, CASE WHEN observed_retweet_count < 8 THEN '<8' WHEN observed_retweet_count < 20 THEN '8-20' WHEN observed_retweet_count < 50 THEN '20-50' WHEN observed_retweet_count < 100 THEN '50-100' WHEN observed_retweet_count < 300 THEN '100-300' ELSE '300+' END AS bucket FROM casc) SELECT cascade_idx, bucket, obs_duration, round(CASE WHEN count(*) OVER (PARTITION BY bucket) > 1 THEN (row_number() OVER (PARTITION BY bucket ORDER BY obs_duration, cascade_idx) - 1) / (count(*) OVER (PARTITION BY bucket) - 1) ELSE 1 END, 6) AS percentile FROM b")
+# predictions
+CONF = ", c AS (SELECT count(CASE WHEN y_prob >= 0.5 AND y_true = 1 THEN 1 END) AS tp, count(CASE WHEN y_prob >= 0.5 AND y_true = 0 THEN 1 END) AS fp, count(CASE WHEN y_prob < 0.5 AND y_true = 1 THEN 1 END) AS fn, count(CASE WHEN y_prob < 0.5 AND y_true = 0 THEN 1 END) AS tn FROM preds), d AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r, tn / greatest(tn + fp, 1) AS s, tn / greatest(tn + fn, 1) AS v FROM c)"
+_add("confusion", lambda s, d: metrics.confusion(src.predictions(s, d)), CONF + " SELECT tp, fp, fn, tn, round((tp + tn) / greatest(tp + tn + fp + fn, 1), 6) AS accuracy, round((r + s) / 2, 6) AS balanced_accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(s, 6) AS specificity, round(2 * p * r / greatest(p + r, 1e-12), 6) AS f1, round((2 * p * r / greatest(p + r, 1e-12) + 2 * v * s / greatest(v + s, 1e-12)) / 2, 6) AS macro_f1, round((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / sqrt(greatest(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn), 1)), 6) AS mcc FROM d")
+_add("roc_auc", lambda s, d: metrics.roc_auc(src.predictions(s, d)), ", r AS (SELECT y_true, rank() OVER (ORDER BY y_prob) + (count(*) OVER (PARTITION BY y_prob) - 1) / 2 AS k FROM preds), t AS (SELECT sum(CASE WHEN y_true = 1 THEN k END) AS s, count(CASE WHEN y_true = 1 THEN 1 END) AS p, count(CASE WHEN y_true = 0 THEN 1 END) AS n FROM r) SELECT round(CASE WHEN p > 0 AND n > 0 THEN (s - p * (p + 1) / 2) / p / n ELSE 0.5 END, 6) AS auc FROM t")
+RANKED = ", rk AS (SELECT *, row_number() OVER w AS k, sum(y_true) OVER w AS h FROM preds WINDOW w AS (ORDER BY y_prob DESC, row_seq))"
+_add("average_precision", lambda s, d: metrics.average_precision(src.predictions(s, d)), RANKED + " SELECT round(sum(CASE WHEN y_true = 1 THEN h / k END) / sum(y_true), 6) AS average_precision FROM rk")
+_add("brier_nll", lambda s, d: metrics.brier_nll(src.predictions(s, d)), " SELECT round(avg((y_prob - y_true) * (y_prob - y_true)), 6) AS brier, round(avg(-(y_true * ln(greatest(least(y_prob, 1 - 1e-12), 1e-12)) + (1 - y_true) * ln(1 - greatest(least(y_prob, 1 - 1e-12), 1e-12)))), 6) AS nll FROM preds")
+_add("calibration_bins", lambda s, d: metrics.calibration_bins(src.predictions(s, d)), " SELECT CAST(least(floor(y_prob * 10 + 1e-9), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(y_prob), 6) AS confidence, round(avg(y_true), 6) AS accuracy FROM preds GROUP BY 1")
+_add("calibration_error", lambda s, d: metrics.calibration_error(src.predictions(s, d)), ", b AS (SELECT least(floor(y_prob * 10 + 1e-9), 9) AS bin, count(*) AS n, abs(avg(y_prob) - avg(y_true)) AS gap FROM preds GROUP BY 1) SELECT round(sum(n * gap) / sum(n), 6) AS ece FROM b")
+_add("precision_at_k", lambda s, d: metrics.at_k(src.predictions(s, d)), RANKED + " SELECT CAST(kk AS BIGINT) AS k, round(sum(y_true) / count(*), 6) AS precision, round(sum(y_true) / (SELECT greatest(sum(y_true), 1) FROM preds), 6) AS recall FROM rk JOIN (VALUES (10), (100), (500)) v(kk) ON k <= kk GROUP BY kk")
+_add("best_threshold", lambda s, d: metrics.best_threshold(src.predictions(s, d)), ", t AS (SELECT y_prob, sum(sum(y_true)) OVER w AS tp, sum(count(*)) OVER w AS n, (SELECT sum(y_true) FROM preds) AS p FROM preds GROUP BY y_prob WINDOW w AS (ORDER BY y_prob DESC)), f AS (SELECT y_prob, round(tp / greatest(n, 1), 9) AS pr, round(2 * (tp / greatest(n, 1)) * (tp / greatest(p, 1)) / greatest(tp / greatest(n, 1) + tp / greatest(p, 1), 1e-12), 9) AS f1 FROM t) SELECT round(y_prob, 6) AS threshold, round(f1, 6) AS f1, round(pr, 6) AS precision FROM f ORDER BY f.f1 DESC, pr DESC, y_prob LIMIT 1")
