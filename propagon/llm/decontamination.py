@@ -3,8 +3,8 @@
 Passages are windows of words weighted by sqrt(tf) * idf over hashed words; idf comes from counts over all documents. A
 distributed randomised SVD of the benchmark's passages gives the latent space: it holds all of the benchmark up to its
 rank, or its strongest RANK directions. Document passages are projected and compared with the benchmark by cosine, in
-blocks; a bound on the cosine, the share of a passage's weight that lies on words of the benchmark, spares most of them
-the projection and loses none. For each pair found, the longest common subsequence of the words decides, with a closer
+blocks; a bound on the cosine, the sum of the largest part that any item gives each word of a passage, spares most of
+them the projection and loses none. For each pair found, the longest common subsequence of the words decides, with a closer
 look at the answer: the last sentence of an item.
 """
 
@@ -162,12 +162,17 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, feats: np.ndar
             latent[k] = x.astype(np.float32) @ basis[np.searchsorted(feats, f)]
     place = np.full(FEATURES, -1, np.int32)
     place[feats] = np.arange(len(feats))
-    shared = spark.sparkContext.broadcast((idf.astype(np.float32), place, basis, latent, made))
+    # the most that one occurrence of a word adds to any item's product; sqrt(tf) counts occurrences no higher than tf
+    most = np.zeros(FEATURES)
+    for at in range(0, len(feats), 4096):
+        f = feats[at : at + 4096]
+        most[f] = idf[f] * (basis[at : at + 4096] @ latent.T).max(axis=1, initial=0.0)
+    shared = spark.sparkContext.broadcast((idf.astype(np.float32), place, basis, latent, most, made))
     source = docs.select(*keep, text_bytes(text).alias("__raw"))
     schema = source.drop("__raw").schema.add("item_id", "long").add("cosine", "double").add("overlap", "double").add("answer", "double")
 
     def run(batches):
-        idf, place, basis, latent, made = shared.value
+        idf, place, basis, latent, most, made = shared.value
         square = idf.astype(np.float64) ** 2
         for b in batches:
             found = []
@@ -179,7 +184,7 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, feats: np.ndar
                 f = (h % np.uint64(FEATURES)).astype(np.int64)
                 at = place[f]
                 mass = np.concatenate([[0.0], np.cumsum(square[f])])
-                shared_mass = np.concatenate([[0.0], np.cumsum(np.where(at >= 0, square[f], 0.0))])
+                reach = np.concatenate([[0.0], np.cumsum(most[f])])
                 cut = np.searchsorted(row, np.arange(end - begin + 1))
                 # windows from each text's start, the last one up to its end
                 n = np.diff(cut)
@@ -187,8 +192,8 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, feats: np.ndar
                 doc = np.repeat(np.arange(end - begin), many)
                 s = cut[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
                 e = np.minimum(s + WINDOW, cut[doc + 1])
-                norm, part = mass[e] - mass[s], shared_mass[e] - shared_mass[s]
-                live = np.flatnonzero(part >= COSINE * COSINE * norm)
+                norm = mass[e] - mass[s]
+                live = np.flatnonzero(reach[e] - reach[s] >= 0.999 * COSINE * np.sqrt(norm))
                 for base in range(0, len(live), 2048):
                     ids = live[base : base + 2048]
                     size = e[ids] - s[ids]
