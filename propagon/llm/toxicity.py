@@ -182,30 +182,33 @@ class Model:
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, self.base + self.slope * self.evidence(n, sums)))))
 
 
-MAX_CALIBRATION = 50_000
+#: Labelled texts that train the model at most.
+MAX_TEXTS = 12_000
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", id_col: str = "doc_id", max_words: int = MAX_WORDS, max_calibration: int = MAX_CALIBRATION) -> Model:
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic", id_col: str = "doc_id", max_words: int = MAX_WORDS, max_texts: int = MAX_TEXTS) -> Model:
     """A model from rows with a label of 0 or 1; others are left out.
 
-    A quarter by hash of the texts is held back for the extreme-value law and the curve, of it the ``max_calibration``
-    rows of the least hashes at most; all others give the counts.
+    Of them the ``max_texts`` of the least hashes serve (ties at the bound go together, so that copies count as one). A
+    quarter by hash of the texts is held back for the extreme-value law and the curve; the others give the counts.
     """
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
+    h = F.xxhash64(F.lit("sample"), "t")
+    cut = rows.select(h.alias("h")).orderBy("h").limit(max_texts).agg(F.max("h")).first()[0]
+    rows = saved(rows.where(h <= F.lit(cut if cut is not None else 0)), "labelled")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "t"), F.lit(4)))
     lower = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit(WORD), 0))).alias("word")
-    # a text tells of a feature once: repeats within a text are not independent
-    each = rows.where("fold <> 0").dropDuplicates(["t", "y"]).select(F.xxhash64("t").alias("t"), "y", words).withColumn("word", F.col("word").cast("binary"))
-    starts = [F.struct(F.when(F.length("word") >= k, F.substring("word", 1, k)).alias("word"), F.lit(True).alias("prefix")) for k in PREFIXES]
-    features = each.select("t", "y", F.explode(F.array(F.struct("word", F.lit(False).alias("prefix")), *starts)).alias("f")).select("t", "y", "f.*").where("word is not null")
-    whole = features.where("not prefix")
-    begun = features.where("prefix").distinct()
-    counts = saved(whole.union(begun).groupBy("word", "prefix").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other")), "words")
+    words = F.array_distinct(F.regexp_extract_all(lower, F.lit(WORD), 0))
+    # a text tells of a feature once, and equal texts count once: repeats are not independent
+    each = rows.where("fold <> 0").dropDuplicates(["t", "y"]).select("y", F.transform(words, lambda w: w.cast("binary")).alias("w"))
+    whole = each.select("y", F.explode("w").alias("word"), F.lit(False).alias("prefix"))
+    begun = [F.transform(F.filter("w", lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.substring(w, 1, k)) for k in PREFIXES]
+    starts = each.select("y", F.explode(F.array_distinct(F.concat(*begun))).alias("word"), F.lit(True).alias("prefix"))
+    counts = saved(whole.union(starts).groupBy("word", "prefix").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other")), "words")
     best = log_odds(counts, max_words)
     model = Model(best, cost=0.15)
     small_batches(labelled.sparkSession)
-    back = rows.where("fold = 0").orderBy(F.xxhash64("t"), "y").limit(max_calibration).select(text_bytes("t").alias("raw"), "y")
+    back = rows.where("fold = 0").select(text_bytes("t").alias("raw"), "y")
 
     def run(batches):
         for b in batches:
