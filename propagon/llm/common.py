@@ -129,7 +129,7 @@ def tokens(buf: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, n
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected graph of longs: (node, root) with the smallest node as root.
+    """Connected components of an undirected graph of longs: (node, root) for every node but the roots, the smallest nodes.
 
     Large-star and small-star steps alternate until the edges stop changing; each step is a shuffle and a written
     table, and no node or component is ever brought to the driver. Rows with a null end and self loops are left out.
