@@ -242,7 +242,9 @@ def toxicity(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     return source.mapInArrow(run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with a label, apart from the fifth that is held out (crc32 of the id modulo 5 is 0)."""
-    own = labels.select(F.col("doc_id").alias("__id"), "toxic").where("__id is not null and toxic is not null").dropDuplicates(["__id"])
-    return docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("__id")).where(crc_mod("doc_id", 5) != 0).drop("__id")
+def labelled(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
+    """Documents with a label, apart from the fifth that is held out (crc32 of the id modulo 5 is 0): the ``max_texts`` ids
+    of the least hashes at most. The sample is drawn from the labels, so that only its texts are looked at."""
+    own = labels.select(F.col("doc_id").alias("__id"), "toxic").where("__id is not null and toxic is not null").where(crc_mod("__id", 5) != 0).dropDuplicates(["__id"])
+    own = own.orderBy(F.xxhash64("__id"), "__id").limit(max_texts)
+    return docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).drop("__id")
