@@ -15,7 +15,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propagon.llm.common import _BYTE, LOWER, WORD, blocks, crc_mod, mix, powers, saved, small_batches, text_bytes, tokens
@@ -47,6 +47,11 @@ def prefix_hash(buf: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
     return mix(mix(value ^ np.uint64(k * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)) ^ _BEGINS)
 
 
+def _beginnings(words: str, k: int) -> Column:
+    """First ``k`` bytes of the words that have as many."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.substring(w, 1, k))
+
+
 def log_odds(counts: DataFrame, max_words: int = MAX_WORDS) -> pd.DataFrame:
     """(word, prefix, weight) from (word, prefix, toxic, other): the features of the largest z-scores, at most ``max_words``."""
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).first()
@@ -202,7 +207,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", id_col:
     # a text tells of a feature once, and equal texts count once: repeats are not independent
     each = rows.where("fold <> 0").dropDuplicates(["t", "y"]).select("y", F.transform(words, lambda w: w.cast("binary")).alias("w"))
     whole = each.select("y", F.explode("w").alias("word"), F.lit(False).alias("prefix"))
-    begun = [F.transform(F.filter("w", lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.substring(w, 1, k)) for k in PREFIXES]
+    begun = [_beginnings("w", k) for k in PREFIXES]
     starts = each.select("y", F.explode(F.array_distinct(F.concat(*begun))).alias("word"), F.lit(True).alias("prefix"))
     counts = saved(whole.union(starts).groupBy("word", "prefix").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other")), "words")
     best = log_odds(counts, max_words)
