@@ -37,6 +37,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return f"/opt/tokenizers/{name}"
 
 
+@cache
+def id_bytes(path: str) -> int:
+    """Bytes of one id. The driver needs no more of the vocabulary, so it never builds an encoder."""
+    with open(path, "rb") as lines:
+        return 2 if max(int(x.split()[1]) for x in lines) + 1 < 1 << 16 else 4
+
+
 class Encoder:
     """Byte-level BPE ids of texts as little-endian bytes, with the ids of frequent pieces kept.
 
@@ -49,7 +56,7 @@ class Encoder:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.bpe = tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.dtype = np.dtype("<u2" if max(ranks.values()) + 1 < 1 << 16 else "<u4")
+        self.dtype = np.dtype(f"<u{id_bytes(path)}")
         self.known: dict[str, bytes] = {}
         self.odd = re.compile(r"\s (?:\s|\Z)")
 
@@ -116,7 +123,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, length: int = LEN
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(text).alias("text"))
-    width = encoder(tokenizer).dtype.itemsize
+    width = id_bytes(tokenizer)
 
     def count(batches):
         n, texts_seen, check = 0, 0, 0
