@@ -137,7 +137,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def runs_of(batches, keys: list[str], limit: int):
-    """Consecutive rows of equal keys as one table; longer runs come in pieces of over ``limit`` rows. (table, long)"""
+    """Consecutive rows of equal keys as one table; longer runs come in pieces of ``limit`` rows, wherever batches end.
+    (table, long)"""
     held: list[pa.Table] = []
     held_key, size, long = None, 0, False
     for b in batches:
@@ -155,12 +156,14 @@ def runs_of(batches, keys: list[str], limit: int):
                 if held:
                     yield pa.concat_tables(held), long
                 held, held_key, size, long = [], key, 0, False
-            held.append(t.slice(s, e - s))
-            size += e - s
-            if size > limit:
+            while size + e - s > limit:
+                held.append(t.slice(s, limit - size))
+                s += limit - size
                 long = True
                 yield pa.concat_tables(held), True
                 held, size = [], 0
+            held.append(t.slice(s, e - s))
+            size += e - s
     if held:
         yield pa.concat_tables(held), long
 
@@ -290,11 +293,12 @@ def plan(n: int, similarity: float, recall: float = 0.99) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
-def near_pairs(fps: DataFrame, similarity: float, window: int = 1024) -> DataFrame:
+def near_pairs(fps: DataFrame, similarity: float, window: int = 4096) -> DataFrame:
     """(a, b, far): likely pairs of ids of ``fps`` (id, f0 .. f3), as a least spanning forest of every key.
 
     Texts that share a key of randomly chosen bits are compared on all 256 bits. A key of over ``window`` texts is
-    taken in Gray order of the bits beside the key, in windows that overlap by half.
+    taken in Gray order of one of the words, turned by its own amount in every table, in windows that overlap by half: two
+    texts that one order sets apart meet in another. Rows are ordered in full, so that reruns agree.
     """
     fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     n = fps.count()
@@ -313,7 +317,13 @@ def near_pairs(fps: DataFrame, similarity: float, window: int = 1024) -> DataFra
             value = bit if value is None else value.bitwiseOR(bit)
         return F.struct(F.lit(t).alias("t"), value.alias("k"))
 
-    rows = fps.select("id", *names, F.explode(F.array(*(key(t, c) for t, c in enumerate(chosen)))).alias("x")).select(F.xxhash64("x.t", "x.k").alias("k"), F.xxhash64("x.t", "f0").alias("r"), "id", *names)
+    rows = fps.select("id", *names, F.explode(F.array(*(key(t, c) for t, c in enumerate(chosen)))).alias("x"))
+    word, turn = F.element_at(F.array(*names), F.col("x.t") % WORDS64 + 1), F.floor(F.col("x.t") / WORDS64).cast("int") % 4 * 16
+    turned = F.call_function("shiftleft", word, turn).bitwiseOR(F.call_function("shiftrightunsigned", word, 64 - turn))
+    rows = rows.withColumn("r", turned)
+    for b in (1, 2, 4, 8, 16, 32):
+        rows = rows.withColumn("r", F.col("r").bitwiseXOR(F.shiftrightunsigned("r", b)))
+    rows = rows.select(F.xxhash64("x.t", "x.k").alias("k"), "r", "id", *names)
 
     def run(batches):
         held = None
@@ -346,7 +356,7 @@ def near_pairs(fps: DataFrame, similarity: float, window: int = 1024) -> DataFra
                 a, b = ids[e[:, 0]], ids[e[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far.astype(np.int64))], names=["a", "b", "far"])
 
-    return rows.repartition("k").sortWithinPartitions("k", "f0").mapInArrow(run, "a long, b long, far long").distinct()
+    return rows.repartition("k").sortWithinPartitions("k", "r", *names, "id").mapInArrow(run, "a long, b long, far long").distinct()
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
