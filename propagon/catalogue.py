@@ -134,6 +134,88 @@ r AS (SELECT *, row_number() OVER (ORDER BY score, cascade_idx) - 1 AS rank, cou
 h AS (SELECT *, CAST('0x' || substr(md5(CAST(cascade_idx AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS x FROM r)
 SELECT cascade_idx, round(score, 6) AS score, rank, CASE WHEN rank < floor(0.5 * total) THEN 0 WHEN rank >= floor(0.8 * total) THEN 1 ELSE -1 END AS label, CASE WHEN x < 70 THEN 'train' WHEN x < 85 THEN 'valid' ELSE 'test' END AS split FROM h""")
 _add("bucket_percentiles", lambda s, d: labels.bucket_percentiles(org.cascade_table(src.raw_posts(s, d)).select("cascade_idx", F.col("obs_duration"), labels.event_size_bucket(F.col("observed_retweet_count")).alias("bucket")), "obs_duration", "bucket"), CASCADES + ", b AS (SELECT cascade_idx, obs_duration, CASE WHEN observed_retweet_count < 8 THEN '<8' WHEN observed_retweet_count < 20 THEN '8-20' WHEN observed_retweet_count < 50 THEN '20-50' WHEN observed_retweet_count < 100 THEN '50-100' WHEN observed_retweet_count < 300 THEN '100-300' ELSE '300+' END AS bucket FROM casc) SELECT cascade_idx, bucket, obs_duration, round(CASE WHEN count(*) OVER (PARTITION BY bucket) > 1 THEN (row_number() OVER (PARTITION BY bucket ORDER BY obs_duration, cascade_idx) - 1) / (count(*) OVER (PARTITION BY bucket) - 1) ELSE 1 END, 6) AS percentile FROM b")
+
+
+def _scored(s, d):
+    posts, edges = _posts(s, d), _edges(s, d)
+    tree = graph.time_only_tree(posts)
+    alike = graph.parent_similarity(tree, posts).join(tree, ["cascade_idx", "child_tweet_idx", "parent_tweet_idx"]).groupBy("cascade_idx", F.col("child_user_idx").alias("user_idx")).agg(F.round(F.avg("text_similarity"), 8).alias("text_score"))
+    raw = labels.event_features(org.cascade_table(src.raw_posts(s, d)), windows.multiscale_windows(posts, edges), windows.node_windows(posts, edges), windows.text_stats(windows.text_windows(posts)), alike, graph.candidate_edges(src.follows(s, d), posts))
+    return labels.percentile_scores(raw, labels.RAW)
+
+
+def _consensus(s, d):
+    x = _scored(s, d)
+    first = labels.stratified_labels(x)
+    return labels.consensus_labels(first, labels.vote_labels(labels.votes(x), first), labels.network_labels(x))
+
+
+def _voted(s, d):
+    x = _scored(s, d)
+    return labels.vote_labels(labels.votes(x), labels.stratified_labels(x))
+
+
+def _place(k: str) -> str:
+    return f"round(CASE WHEN count(*) OVER (PARTITION BY bucket) > 1 THEN (row_number() OVER (PARTITION BY bucket ORDER BY {k}, cascade_idx) - 1) / (count(*) OVER (PARTITION BY bucket) - 1) ELSE 1 END, 8)"
+
+
+def _quantile(k: str, q: float) -> str:
+    return f"round(quantile_cont({k}, {q}) OVER (PARTITION BY bucket), 8)"
+
+
+RAWS = MULTI + NODES.replace(GRID, "") + TEXTS.replace(GRID, "") + CASCADES + TREE + """,
+g AS (SELECT tweet_idx, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM posts),
+gg AS (SELECT tweet_idx, CASE WHEN length(t) <= 2 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) END AS b FROM g),
+alike AS (SELECT cascade_idx, child_user_idx AS user_idx, round(avg(round(len(list_intersect(c.b, p.b)) / len(list_distinct(list_concat(c.b, p.b))), 6)), 8) AS text_score
+  FROM tr JOIN gg c ON c.tweet_idx = child_tweet_idx JOIN gg p ON p.tweet_idx = parent_tweet_idx GROUP BY ALL),
+seen_texts AS (SELECT cascade_idx, window_idx, user_idx, count(*) AS texts FROM tw GROUP BY ALL),
+vis AS (SELECT DISTINCT cascade_idx, user_idx FROM posts),
+cand AS (SELECT a.cascade_idx, count(*) AS candidates FROM follows JOIN vis a ON a.user_idx = src JOIN vis b ON b.user_idx = dst AND a.cascade_idx = b.cascade_idx GROUP BY ALL),
+ew AS (SELECT cascade_idx, sum(num_active_users_cur) AS au, max(num_retweets_cur) AS mh, max(greatest(delta_heat, 0)) AS md, count(CASE WHEN num_retweets_cur > 0 THEN 1 END) AS aw FROM mw GROUP BY ALL),
+en AS (SELECT cascade_idx, count(*) AS nr, count(DISTINCT user_idx) AS us, max(num_posts_cum) AS tp, sum(coalesce(texts, 0)) AS tx, round(sum(coalesce(text_score, 0)), 6) AS ts, max(in_degree_cum + out_degree_cum) AS td,
+    sum(in_degree_cum + out_degree_cum) AS sd, sum(in_degree_ctx + out_degree_ctx) AS sx,
+    stddev_pop(CASE WHEN num_posts_cum > 0 OR texts > 0 THEN first_seen_time END) AS fs, max(CASE WHEN num_posts_cum > 0 OR texts > 0 THEN first_seen_time END) - min(CASE WHEN num_posts_cum > 0 OR texts > 0 THEN first_seen_time END) AS sp
+  FROM nw LEFT JOIN seen_texts USING (cascade_idx, window_idx, user_idx) LEFT JOIN alike USING (cascade_idx, user_idx) GROUP BY ALL),
+ea AS (SELECT cascade_idx, observed_retweet_count AS o, greatest(obs_duration, 1) AS du, coalesce(au, 0) AS au, coalesce(mh, 0) AS mh, coalesce(md, 0) AS md, coalesce(aw, 0) AS aw, greatest(coalesce(nr, 0), 1) AS nr, coalesce(us, 0) AS us, greatest(coalesce(us, 0), 1) AS u,
+    coalesce(tp, 0) AS tp, coalesce(tx, 0) AS tx, coalesce(ts, 0) AS ts, coalesce(td, 0) AS td, greatest(coalesce(sd, 0), 1) AS sd, coalesce(sx, 0) AS sx, coalesce(fs, 0) AS fs, coalesce(sp, 0) AS sp, coalesce(candidates, 0) AS ca
+  FROM cascade_t LEFT JOIN ew USING (cascade_idx) LEFT JOIN en USING (cascade_idx) LEFT JOIN cand USING (cascade_idx)),
+eb AS (SELECT *, au / (aw + 1) + u / ln(1 + du) AS co, td / sd + sx / nr + ca / (u * u) AS st FROM ea),
+er AS (SELECT cascade_idx, CASE WHEN o < 8 THEN '<8' WHEN o < 20 THEN '8-20' WHEN o < 50 THEN '20-50' WHEN o < 100 THEN '50-100' WHEN o < 300 THEN '100-300' ELSE '300+' END AS bucket,
+    round(md + mh + mh / (o + 1), 8) AS burst, round(co, 8) AS coordination, round(st, 8) AS structure, round(ts / nr + tx / nr + tp / (o + 1), 8) AS text, round(1 / (fs + 1) + mh / (o + 1), 8) AS temporal_sync,
+    round(ca / (u * greatest(u - 1, 1)), 8) AS follow_density, round(ln(1 + o) + sp / 1800 - co - st, 8) AS natural_spread, us, ca, mh, ts, sx FROM eb),
+es AS (SELECT *, """ + ", ".join(f"{_place(k)} AS {k}_score" for k in labels.RAW) + """ FROM er)"""
+V2 = """,
+s2 AS (SELECT *, round(burst_score * 0.25 + coordination_score * 0.3 + structure_score * 0.25 + text_score * 0.2, 8) AS weak_score,
+    CAST(burst_score >= 0.8 AS INT) + CAST(coordination_score >= 0.8 AS INT) + CAST(structure_score >= 0.8 AS INT) + CAST(text_score >= 0.8 AS INT) AS hits FROM es),
+q2 AS (SELECT *, """ + f"{_quantile('weak_score', 0.5)} AS w50, {_quantile('weak_score', 0.8)} AS w80" + """ FROM s2),
+v2 AS (SELECT cascade_idx, bucket, weak_score, hits, CASE WHEN bucket = '<8' THEN -1 WHEN weak_score >= w80 AND hits >= 2 THEN 1 WHEN weak_score <= w50 AND hits <= 1 THEN 0 ELSE -1 END AS label,
+    round(least(abs(weak_score - 0.5) * (1 + hits / 4), 1), 6) AS confidence FROM q2)"""
+V3 = """,
+f3 AS (SELECT *, """ + ", ".join(f"CASE WHEN {k}_score >= 0.8 THEN 1 ELSE -1 END AS lf_{k}" for k in ("burst", "temporal_sync", "structure", "text", "follow_density")) + """,
+    CASE WHEN natural_spread_score >= 0.7 AND coordination_score <= 0.5 THEN 0 ELSE -1 END AS lf_natural, CASE WHEN coordination_score <= 0.3 AND burst_score <= 0.7 THEN 0 ELSE -1 END AS lf_low_coordination,
+    CASE WHEN structure_score <= 0.3 AND follow_density_score <= 0.4 THEN 0 ELSE -1 END AS lf_low_structure FROM q2),
+p3 AS (SELECT *, greatest(lf_burst, 0) + greatest(lf_temporal_sync, 0) + greatest(lf_structure, 0) + greatest(lf_text, 0) + greatest(lf_follow_density, 0) AS pos, lf_natural + lf_low_coordination + lf_low_structure + 3 AS neg FROM f3),
+c3 AS (SELECT *, CASE WHEN pos + neg > 0 THEN greatest(pos, neg) / (pos + neg) ELSE 0 END AS conf FROM p3),
+v3 AS (SELECT cascade_idx, pos, neg, CASE WHEN bucket <> '<8' AND pos >= 2 AND conf >= 0.6 AND weak_score >= w80 THEN 1 WHEN bucket <> '<8' AND neg >= 2 AND pos = 0 AND weak_score <= w50 THEN 0 ELSE -1 END AS label, round(conf, 6) AS confidence FROM c3)"""
+V4 = """,
+a4 AS (SELECT *, CAST(ca + greatest(mh - 1, 0) + floor(ts) + sx AS DOUBLE) AS ed FROM es),
+b4 AS (SELECT cascade_idx, bucket, CAST(ed AS BIGINT) AS edges, round(ed / greatest(us * greatest(us - 1, 1), 1), 8) AS density, round(CASE WHEN us > 0 THEN least(1, (sqrt(ed) + 1) / us) ELSE 0 END, 8) AS largest,
+    round(least(1, (sx + floor(ts)) / (ed + 1)), 8) AS clustering, round(ca / (ed + 1), 8) AS follow_ratio, 0 AS none FROM a4),
+c4 AS (SELECT *, """ + ", ".join(f"{_place(k)} AS {k}_score" for k in ("density", "largest", "clustering", "follow_ratio", "none")) + """ FROM b4),
+d4 AS (SELECT *, round(density_score * 0.25 + largest_score * 0.25 + clustering_score * 0.15 + none_score * 0.15 + none_score * 0.1 + follow_ratio_score * 0.1, 8) AS network FROM c4),
+e4 AS (SELECT *, """ + ", ".join(f"{_quantile(k, q)} AS {n}" for k, q, n in (("network", 0.4, "n40"), ("network", 0.8, "n80"), ("largest_score", 0.4, "l40"), ("largest_score", 0.7, "l70"), ("density_score", 0.4, "d40"), ("density_score", 0.7, "d70"))) + """ FROM d4),
+v4 AS (SELECT cascade_idx, edges, network, CASE WHEN bucket <> '<8' AND network >= n80 AND largest_score >= l70 AND density_score >= d70 THEN 1 WHEN bucket <> '<8' AND network <= n40 AND largest_score <= l40 AND density_score <= d40 THEN 0 ELSE -1 END AS label,
+    round(least(1, 2 * abs(network - 0.5)), 6) AS confidence FROM e4)"""
+V5 = V2 + V3 + V4 + """,
+x5 AS (SELECT cascade_idx, CAST(v2.label = 1 AS INT) + CAST(v3.label = 1 AS INT) + CAST(v4.label = 1 AS INT) AS pos, CAST(v2.label = 0 AS INT) + CAST(v3.label = 0 AS INT) + CAST(v4.label = 0 AS INT) AS neg FROM v2 JOIN v3 USING (cascade_idx) JOIN v4 USING (cascade_idx))"""
+_add("event_scores", lambda s, d: _scored(s, d).select("cascade_idx", "bucket", *labels.RAW, *(f"{k}_score" for k in labels.RAW)), RAWS + " SELECT cascade_idx, bucket, " + ", ".join(f"{k}, {k}_score" for k in labels.RAW) + " FROM es")
+_add("stratified_labels", lambda s, d: labels.stratified_labels(_scored(s, d)), RAWS + V2 + " SELECT * FROM v2")
+RULES = ("lf_burst", "lf_temporal_sync", "lf_structure", "lf_text", "lf_follow_density", "lf_natural", "lf_low_coordination", "lf_low_structure")
+_add("rule_votes", lambda s, d: labels.votes(_scored(s, d)).select("cascade_idx", *RULES, "pos", "neg"), RAWS + V2 + V3 + f" SELECT cascade_idx, {', '.join(RULES)}, pos, neg FROM p3")
+_add("vote_labels", _voted, RAWS + V2 + V3 + " SELECT * FROM v3")
+_add("network_labels", lambda s, d: labels.network_labels(_scored(s, d)), RAWS + V4 + " SELECT * FROM v4")
+_add("consensus_labels", _consensus, RAWS + V5 + " SELECT cascade_idx, pos, neg, CASE WHEN pos >= 2 AND neg = 0 THEN 1 WHEN neg >= 2 AND pos = 0 THEN 0 ELSE -1 END AS label, round(greatest(pos, neg) / 3, 6) AS confidence, CAST(pos > 0 AND neg > 0 AS INT) AS conflict FROM x5")
+
 # predictions
 CONF = ", c AS (SELECT count(CASE WHEN y_prob >= 0.5 AND y_true = 1 THEN 1 END) AS tp, count(CASE WHEN y_prob >= 0.5 AND y_true = 0 THEN 1 END) AS fp, count(CASE WHEN y_prob < 0.5 AND y_true = 1 THEN 1 END) AS fn, count(CASE WHEN y_prob < 0.5 AND y_true = 0 THEN 1 END) AS tn FROM preds), d AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r, tn / greatest(tn + fp, 1) AS s, tn / greatest(tn + fn, 1) AS v FROM c)"
 _add("confusion", lambda s, d: metrics.confusion(src.predictions(s, d)), CONF + " SELECT tp, fp, fn, tn, round((tp + tn) / greatest(tp + tn + fp + fn, 1), 6) AS accuracy, round((r + s) / 2, 6) AS balanced_accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(s, 6) AS specificity, round(2 * p * r / greatest(p + r, 1e-12), 6) AS f1, round((2 * p * r / greatest(p + r, 1e-12) + 2 * v * s / greatest(v + s, 1e-12)) / 2, 6) AS macro_f1, round((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / sqrt(greatest(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn), 1)), 6) AS mcc FROM d")

@@ -49,3 +49,158 @@ def bucket_percentiles(rows: DataFrame, value: str, bucket: str, id_col: str = "
     w = Window.partitionBy(bucket)
     r = rows.withColumn("rn", F.row_number().over(w.orderBy(value, id_col))).withColumn("n", F.count("*").over(w))
     return r.select(id_col, bucket, value, F.round(F.when(F.col("n") > 1, (F.col("rn") - 1) / (F.col("n") - 1)).otherwise(1.0), 6).alias("percentile"))
+
+
+#: The raw scores of a cascade that are ranked within size buckets, and the cut points of a ranking.
+RAW = ("burst", "coordination", "structure", "text", "temporal_sync", "follow_density", "natural_spread")
+PIECES = 200
+
+
+def event_features(cascades: DataFrame, windows: DataFrame, nodes: DataFrame, stats: DataFrame, similarity: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Seven raw scores per cascade with its size bucket and the counts that the network label takes.
+
+    ``stats`` are visible texts by cascade, window and user; ``similarity`` has text_score by cascade and user. A cascade
+    without windows, users or follow candidates counts 0 for them.
+    """
+    heat = F.col("num_retweets_cur")
+    w = windows.groupBy("cascade_idx").agg(F.sum("num_active_users_cur").alias("active_users"), F.max(heat).alias("max_heat"), F.max(F.greatest("delta_heat", F.lit(0))).alias("max_delta"), F.count_if(heat > 0).alias("active_windows"))
+    x = nodes.join(stats.select("cascade_idx", "window_idx", "user_idx", "num_texts_visible"), ["cascade_idx", "window_idx", "user_idx"], "left").join(similarity, ["cascade_idx", "user_idx"], "left").na.fill(0)
+    seen = F.when((F.col("num_posts_cum") > 0) | (F.col("num_texts_visible") > 0), F.col("first_seen_time"))
+    cum, ctx = (F.col(f"in_degree_{s}") + F.col(f"out_degree_{s}") for s in ("cum", "ctx"))
+    n = x.groupBy("cascade_idx").agg(
+        F.count("*").alias("node_rows"), F.count_distinct("user_idx").alias("users"), F.max("num_posts_cum").alias("top_posts"), F.sum("num_texts_visible").alias("texts"), F.round(F.sum("text_score"), 6).alias("text_sum"),
+        F.max(cum).alias("top_degree"), F.sum(cum).alias("degrees"), F.sum(ctx).alias("degrees_ctx"), F.stddev_pop(seen).alias("seen_std"), (F.max(seen) - F.min(seen)).alias("seen_span"),
+    )
+    f = candidates.groupBy("cascade_idx").agg(F.count("*").alias("candidates"))
+    c = cascades.select("cascade_idx", F.col("observed_retweet_count").alias("observed"), F.col("obs_duration"))
+    r = c.join(w, "cascade_idx", "left").join(n, "cascade_idx", "left").join(f, "cascade_idx", "left").na.fill(0)
+    one = lambda k: F.greatest(F.col(k), F.lit(1))
+    share = F.col("max_heat") / (F.col("observed") + 1)
+    coordination = F.col("active_users") / (F.col("active_windows") + 1) + one("users") / F.log(1 + one("obs_duration"))
+    structure = F.col("top_degree") / one("degrees") + F.col("degrees_ctx") / one("node_rows") + F.col("candidates") / (one("users") * one("users"))
+    raw = {
+        "burst": F.col("max_delta") + F.col("max_heat") + share,
+        "coordination": coordination,
+        "structure": structure,
+        "text": F.col("text_sum") / one("node_rows") + F.col("texts") / one("node_rows") + F.col("top_posts") / (F.col("observed") + 1),
+        "temporal_sync": 1 / (F.col("seen_std") + 1) + share,
+        "follow_density": F.col("candidates") / (one("users") * F.greatest(one("users") - 1, F.lit(1))),
+        "natural_spread": F.log(1 + F.col("observed")) + F.col("seen_span") / 1800 - coordination - structure,
+    }
+    return r.select("cascade_idx", event_size_bucket(F.col("observed")).alias("bucket"), *(F.round(v.cast("double"), 8).alias(k) for k, v in raw.items()), "users", "candidates", F.col("max_heat").alias("top_window"), "text_sum", "degrees_ctx")
+
+
+def bucket_ranks(rows: DataFrame, names: tuple[str, ...], id_col: str = "cascade_idx") -> DataFrame:
+    """``rows``, of unique ids, with n, the rows of the bucket, and the 0-based rank of each named value in it, ties by id.
+
+    A bucket may hold most rows, so each is cut at approximate percentiles, ranks are counted inside the pieces and the
+    pieces before are added. The cuts, at most PIECES a bucket and value, pass through the driver; ranks are exact whatever
+    the cuts are. The rows are read several times and therefore cached.
+    """
+    kept = rows.persist()
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).cast("double").alias("value")) for k in names))).alias("x")
+    flat = kept.select(id_col, "bucket", each).select(id_col, "bucket", "x.*")
+    at = F.array(*(F.lit(i / PIECES) for i in range(1, PIECES)))
+    cuts = flat.groupBy("bucket", "name").agg(F.percentile_approx("value", at, 1000).alias("cuts"))
+    cuts = rows.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+    placed = flat.join(F.broadcast(cuts), ["bucket", "name"]).withColumn("piece", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    counts = placed.groupBy("bucket", "name", "piece").agg(F.count("*").alias("m"))
+    one = Window.partitionBy("bucket", "name")
+    before = F.coalesce(F.sum("m").over(one.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before", before).withColumn("n", F.sum("m").over(one)).drop("m")
+    inside = Window.partitionBy("bucket", "name", "piece").orderBy("value", id_col)
+    ranked = placed.withColumn("i", F.row_number().over(inside)).join(F.broadcast(counts), ["bucket", "name", "piece"]).withColumn("rank", F.col("before") + F.col("i") - 1)
+    wide = ranked.groupBy(id_col).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == k, F.col("rank"))).alias(f"{k}_rank") for k in names))
+    return kept.join(wide, id_col)
+
+
+def percentile_scores(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``rows`` with {name}_score: the place within the size bucket, 0 to 1; 1 in a bucket of one."""
+    r = bucket_ranks(rows, names)
+    return r.withColumns({f"{k}_score": F.round(F.when(F.col("n") > 1, F.col(f"{k}_rank") / (F.col("n") - 1)).otherwise(1.0), 8) for k in names}).drop("n", *(f"{k}_rank" for k in names))
+
+
+def with_quantiles(rows: DataFrame, wanted: dict[str, tuple[float, ...]]) -> DataFrame:
+    """``rows`` with {name}_q{percent}: linear quantiles of the named values within the size bucket."""
+    r = bucket_ranks(rows, tuple(wanted))
+    found = []
+    for k, qs in wanted.items():
+        for q in qs:
+            pos = F.lit(q) * (F.col("n") - 1)
+            low = F.max(F.when(F.col(f"{k}_rank") == F.floor(pos), F.col(k)))
+            high = F.max(F.when(F.col(f"{k}_rank") == F.ceil(pos), F.col(k)))
+            found.append(F.round(low + (high - low) * F.max(pos - F.floor(pos)), 8).alias(f"{k}_q{round(q * 100)}"))
+    return rows.join(F.broadcast(r.groupBy("bucket").agg(*found)), "bucket")
+
+
+def _weighted(weights: dict[str, float]) -> Column:
+    total = None
+    for k, w in weights.items():
+        total = F.col(k) * w if total is None else total + F.col(k) * w
+    return F.round(total, 8)
+
+
+def stratified_labels(scored: DataFrame) -> DataFrame:
+    """Label by a weighted score within the size bucket and the number of scores of 0.8 or more."""
+    hits = sum((F.col(f"{k}_score") >= 0.8).cast("int") for k in RAW[:4])
+    x = scored.withColumn("weak_score", _weighted({"burst_score": 0.25, "coordination_score": 0.3, "structure_score": 0.25, "text_score": 0.2})).withColumn("hits", hits)
+    x = with_quantiles(x, {"weak_score": (0.5, 0.8)})
+    s = F.col("weak_score")
+    label = F.when(F.col("bucket") == "<8", -1).when((s >= F.col("weak_score_q80")) & (F.col("hits") >= 2), 1).when((s <= F.col("weak_score_q50")) & (F.col("hits") <= 1), 0).otherwise(-1)
+    return x.select("cascade_idx", "bucket", "weak_score", "hits", label.alias("label"), F.round(F.least(F.abs(s - 0.5) * (1 + F.col("hits") / 4), F.lit(1.0)), 6).alias("confidence"))
+
+
+def votes(scored: DataFrame) -> DataFrame:
+    """Eight rules on the scores: 1 for coordinated, 0 for natural, -1 where a rule abstains."""
+    s = {k: F.col(f"{k}_score") for k in RAW}
+    yes = {f"lf_{k}": s[k] >= 0.8 for k in ("burst", "temporal_sync", "structure", "text", "follow_density")}
+    no = {"lf_natural": (s["natural_spread"] >= 0.7) & (s["coordination"] <= 0.5), "lf_low_coordination": (s["coordination"] <= 0.3) & (s["burst"] <= 0.7), "lf_low_structure": (s["structure"] <= 0.3) & (s["follow_density"] <= 0.4)}
+    rules = {k: F.when(v, 1).otherwise(-1) for k, v in yes.items()} | {k: F.when(v, 0).otherwise(-1) for k, v in no.items()}
+    x = scored.withColumns(rules)
+    pos, neg = (sum((F.col(k) == v).cast("int") for k in rules) for v in (1, 0))
+    return x.withColumn("pos", pos).withColumn("neg", neg)
+
+
+def vote_labels(voted: DataFrame, score: DataFrame) -> DataFrame:
+    """Label by votes; ``score`` has weak_score of the stratified label, whose quantiles bound it."""
+    x = with_quantiles(voted.join(score.select("cascade_idx", "weak_score"), "cascade_idx"), {"weak_score": (0.5, 0.8)})
+    pos, neg = F.col("pos"), F.col("neg")
+    conf = F.when(pos + neg > 0, F.greatest(pos, neg) / (pos + neg)).otherwise(0.0)
+    big = F.col("bucket") != "<8"
+    label = F.when(big & (pos >= 2) & (conf >= 0.6) & (F.col("weak_score") >= F.col("weak_score_q80")), 1).when(big & (neg >= 2) & (pos == 0) & (F.col("weak_score") <= F.col("weak_score_q50")), 0).otherwise(-1)
+    return x.select("cascade_idx", "pos", "neg", label.alias("label"), F.round(conf, 6).alias("confidence"))
+
+
+def network_labels(scored: DataFrame) -> DataFrame:
+    """Label by the density, largest component and clustering of a network that is estimated from counts.
+
+    The scores of timing and text are not known where this label is made; both count 0, so their places follow the id.
+    """
+    n, one = F.col("users"), F.lit(1)
+    temporal, text, structure = F.greatest(F.col("top_window") - 1, F.lit(0)), F.floor("text_sum"), F.col("degrees_ctx")
+    total = F.col("candidates") + temporal + text + structure
+    x = scored.withColumn("edges", total)
+    e = F.col("edges")
+    raw = {"density": e / F.greatest(n * F.greatest(n - 1, one), one), "largest": F.when(n > 0, F.least(F.lit(1.0), (F.sqrt(e) + 1) / n)).otherwise(0.0), "clustering": F.least(F.lit(1.0), (structure + text) / (e + 1)), "follow_ratio": F.col("candidates") / (e + 1)}
+    x = x.withColumns({k: F.round(v, 8) for k, v in raw.items()})
+    x = x.withColumn("sync", F.lit(0.0)).withColumn("alike", F.lit(0.0))
+    x = percentile_scores(x, ("density", "largest", "clustering", "sync", "alike", "follow_ratio"))
+    x = x.withColumn("network", _weighted({"density_score": 0.25, "largest_score": 0.25, "clustering_score": 0.15, "sync_score": 0.15, "alike_score": 0.1, "follow_ratio_score": 0.1}))
+    x = with_quantiles(x, {"network": (0.4, 0.8), "largest_score": (0.4, 0.7), "density_score": (0.4, 0.7)})
+    high = (F.col("network") >= F.col("network_q80")) & (F.col("largest_score") >= F.col("largest_score_q70")) & (F.col("density_score") >= F.col("density_score_q70"))
+    low = (F.col("network") <= F.col("network_q40")) & (F.col("largest_score") <= F.col("largest_score_q40")) & (F.col("density_score") <= F.col("density_score_q40"))
+    big = F.col("bucket") != "<8"
+    return x.select("cascade_idx", F.col("edges").cast("long").alias("edges"), "network", F.when(big & high, 1).when(big & low, 0).otherwise(-1).alias("label"), F.round(F.least(F.lit(1.0), 2 * F.abs(F.col("network") - 0.5)), 6).alias("confidence"))
+
+
+def consensus_labels(*versions: DataFrame) -> DataFrame:
+    """Cascades of all versions: 1 or 0 where two or more say so and none says the other, else -1."""
+    x = versions[0].select("cascade_idx", F.col("label").alias("l0"))
+    for i, v in enumerate(versions[1:], 1):
+        x = x.join(v.select("cascade_idx", F.col("label").alias(f"l{i}")), "cascade_idx")
+    names = [f"l{i}" for i in range(len(versions))]
+    x = x.withColumns({k: sum((F.col(c) == v).cast("int") for c in names) for k, v in (("pos", 1), ("neg", 0))})
+    yes, no = (F.col("pos") >= 2) & (F.col("neg") == 0), (F.col("neg") >= 2) & (F.col("pos") == 0)
+    conf = F.when(yes, F.col("pos")).when(no, F.col("neg")).otherwise(F.greatest("pos", "neg")) / len(versions)
+    clash = ~(yes | no) & (F.col("pos") > 0) & (F.col("neg") > 0)
+    return x.select("cascade_idx", "pos", "neg", F.when(yes, 1).when(no, 0).otherwise(-1).alias("label"), F.round(conf, 6).alias("confidence"), clash.cast("int").alias("conflict"))
