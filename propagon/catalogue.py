@@ -209,11 +209,11 @@ v4 AS (SELECT cascade_idx, edges, network, CASE WHEN bucket <> '<8' AND network
 V5 = V2 + V3 + V4 + """,
 x5 AS (SELECT cascade_idx, CAST(v2.label = 1 AS INT) + CAST(v3.label = 1 AS INT) + CAST(v4.label = 1 AS INT) AS pos, CAST(v2.label = 0 AS INT) + CAST(v3.label = 0 AS INT) + CAST(v4.label = 0 AS INT) AS neg FROM v2 JOIN v3 USING (cascade_idx) JOIN v4 USING (cascade_idx))"""
 _add("event_scores", lambda s, d: _scored(s, d).select("cascade_idx", "bucket", *labels.RAW, *(f"{k}_score" for k in labels.RAW)), RAWS + " SELECT cascade_idx, bucket, " + ", ".join(f"{k}, {k}_score" for k in labels.RAW) + " FROM es")
-_add("stratified_labels", lambda s, d: labels.stratified_labels(_scored(s, d)), RAWS + V2 + " SELECT * FROM v2")
+_add("stratified_labels", lambda s, d: labels.stratified_labels(_scored(s, d)).withColumn("weak_score", F.round("weak_score", 6)), RAWS + V2 + " SELECT * REPLACE (round(weak_score, 6) AS weak_score) FROM v2")
 RULES = ("lf_burst", "lf_temporal_sync", "lf_structure", "lf_text", "lf_follow_density", "lf_natural", "lf_low_coordination", "lf_low_structure")
 _add("rule_votes", lambda s, d: labels.votes(_scored(s, d)).select("cascade_idx", *RULES, "pos", "neg"), RAWS + V2 + V3 + f" SELECT cascade_idx, {', '.join(RULES)}, pos, neg FROM p3")
 _add("vote_labels", _voted, RAWS + V2 + V3 + " SELECT * FROM v3")
-_add("network_labels", lambda s, d: labels.network_labels(_scored(s, d)), RAWS + V4 + " SELECT * FROM v4")
+_add("network_labels", lambda s, d: labels.network_labels(_scored(s, d)).withColumn("network", F.round("network", 6)), RAWS + V4 + " SELECT * REPLACE (round(network, 6) AS network) FROM v4")
 _add("consensus_labels", _consensus, RAWS + V5 + " SELECT cascade_idx, pos, neg, CASE WHEN pos >= 2 AND neg = 0 THEN 1 WHEN neg >= 2 AND pos = 0 THEN 0 ELSE -1 END AS label, round(greatest(pos, neg) / 3, 6) AS confidence, CAST(pos > 0 AND neg > 0 AS INT) AS conflict FROM x5")
 
 # predictions

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,14 +92,22 @@ def event_features(cascades: DataFrame, windows: DataFrame, nodes: DataFrame, st
     return r.select("cascade_idx", event_size_bucket(F.col("observed")).alias("bucket"), *(F.round(v.cast("double"), 8).alias(k) for k, v in raw.items()), "users", "candidates", F.col("max_heat").alias("top_window"), "text_sum", "degrees_ctx")
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows behind a checkpoint in the folder that the session names; a temporary one where it names none."""
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="propagon-"))
+    return rows.checkpoint()
+
+
 def bucket_ranks(rows: DataFrame, names: tuple[str, ...], id_col: str = "cascade_idx") -> DataFrame:
     """``rows``, of unique ids, with n, the rows of the bucket, and the 0-based rank of each named value in it, ties by id.
 
     A bucket may hold most rows, so each is cut at approximate percentiles, ranks are counted inside the pieces and the
     pieces before are added. The cuts, at most PIECES a bucket and value, pass through the driver; ranks are exact whatever
-    the cuts are. The rows are read several times and therefore cached.
+    the cuts are. The rows are read several times and therefore checkpointed.
     """
-    kept = rows.persist()
+    kept = settled(rows)
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).cast("double").alias("value")) for k in names))).alias("x")
     flat = kept.select(id_col, "bucket", each).select(id_col, "bucket", "x.*")
     at = F.array(*(F.lit(i / PIECES) for i in range(1, PIECES)))
