@@ -6,6 +6,10 @@ rank, or its strongest RANK directions. Document passages are projected and comp
 blocks; a bound on the cosine, the sum of the largest part that any item gives each word of a passage, spares most of
 them the projection and loses none. For each pair found, the longest common subsequence of the words decides, with a closer
 look at the answer: the last sentence of an item.
+
+The latent space holds little of an item once the benchmark outgrows the rank, and a window is wider or narrower than an
+item. So every item is searched on shared words too: a passage that the decision accepts lacks at most a known number of
+the item's words, hence holds some of its rarest ones close together. No passage that is accepted escapes this search.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propagon.llm.common import blocks, saved, small_batches, text_bytes, tokens
+from propagon.llm.common import SPACE, blocks, saved, small_batches, text_bytes, tokens
 
 FEATURES = 1 << 18
 SLICES = 16
@@ -26,6 +30,9 @@ OVERSAMPLE = 16
 WINDOW, STRIDE = 64, 16
 COSINE = 0.4
 OVERLAP, PARTIAL, ANSWER = 0.75, 0.55, 0.8
+#: Share of an item's length that the latent space must hold for a latent cosine to mean anything.
+KEPT = 0.5
+MARKS = b".,;:!?\"'()[]"
 #: Items that one pass holds in every task; more items take more passes.
 BLOCK_ITEMS = 20_000
 
@@ -142,15 +149,118 @@ class Item:
 
 def plain_words(raw: bytes) -> list[bytes]:
     """Lower-case words without the punctuation around them."""
-    out = (w.strip(b".,;:!?\"'()[]") for w in raw.lower().split())
+    out = (w.strip(MARKS) for w in raw.lower().split())
     return [w for w in out if w]
 
 
+_MARK = np.isin(np.arange(256), list(MARKS))
+
+
+def plain_tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens`` of the words of ``plain_words``: punctuation around words is blanked."""
+    buf = buf.copy()
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[off] = True
+    at = np.flatnonzero(_MARK[buf])
+    while len(at):
+        outer = edge[at] | SPACE[buf[at - 1]] | edge[at + 1] | SPACE[buf[np.minimum(at + 1, len(buf) - 1)]]
+        if not outer.any():
+            break
+        buf[at[outer]] = 32
+        at = at[~outer]
+    return tokens(buf, off, True)
+
+
+def span(n: int) -> int:
+    """Words that a passage of an item of ``n`` words spans at most, replaced and inserted ones included."""
+    return n + min(n, 2 * STRIDE)
+
+
+class Seeds:
+    """For each word, the items that have it among their rarest.
+
+    An accepted passage holds at least m of an item's n words. So of the item's n - m + j rarest words j at least are in
+    it, whichever are lacking.
+    """
+
+    def __init__(self, items: list[Item], counts: np.ndarray):
+        self.least, self.reach = np.ones(len(items), np.int64), np.ones(len(items), np.int64)
+        self.bits: list[dict] = [{} for _ in items]
+        self.need = np.ones(len(items), np.int64)
+        words, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, item in enumerate(items):
+            n = len(item.words)
+            if not n:
+                continue
+            m = next(x for x in range(1, n + 1) if x / n >= min(OVERLAP, PARTIAL))
+            j = max(1, m // 4)
+            raw = np.frombuffer(b" ".join(item.words), np.uint8)
+            h = tokens(raw, np.array([0, len(raw)]), True)[2]
+            for i, x in enumerate(h.tolist()):
+                self.bits[k][x] = self.bits[k].get(x, 0) | 1 << i
+            self.need[k] = m
+            h = np.unique(h[np.lexsort((h, counts[(h % FEATURES).astype(np.int64)]))][: n - m + j])
+            self.least[k], self.reach[k] = j, span(n)
+            words.append(h)
+            owners.append(np.full(len(h), k))
+        word, owner = np.concatenate(words), np.concatenate(owners)
+        o = np.lexsort((owner, word))
+        self.owner = owner[o]
+        self.word, self.first, self.size = np.unique(word[o], return_index=True, return_counts=True)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.word & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def possible(self, k: int, hashes: list[int]) -> bool:
+        """Whether the words with these hashes hold enough of an item's, in order."""
+        bits, need = self.bits[k], int(self.need[k])
+        got = [bits[x] for x in hashes if x in bits]
+        if len(got) < need:
+            return False
+        row, full = 0, (1 << sum(b.bit_count() for b in bits.values())) - 1
+        for x in got:
+            m = row | x
+            row = m & ~(m - (row << 1 | 1)) & full
+        return row.bit_count() >= need
+
+    def regions(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, item, begin, end) of runs of words that hold every passage with enough of an item's rarest words."""
+        t = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.word, h[t]), max(0, len(self.word) - 1))
+        same = self.word[at] == h[t] if len(self.word) else np.zeros(len(t), bool)
+        t, at = t[same], at[same]
+        many = self.size[at]
+        k = self.owner[np.repeat(self.first[at], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
+        t = np.repeat(t, many)
+        o = np.lexsort((t, k, row[t]))
+        t, k = t[o], k[o]
+        last = np.arange(len(t)) + self.least[k] - 1
+        ok = last < len(t)
+        i, last = np.flatnonzero(ok), last[ok]
+        ok = (k[i] == k[last]) & (row[t[i]] == row[t[last]]) & (t[last] - t[i] < self.reach[k[i]])
+        i, last = i[ok], last[ok]
+        lo, hi = np.searchsorted(row, row[t[i]], "left"), np.searchsorted(row, row[t[i]], "right")
+        wide = self.reach[k[i]]
+        return row[t[i]], k[i], np.maximum(lo, t[last] - wide + 1), np.minimum(hi, t[i] + wide)
+
+
+def closest(item: Item, words: list[bytes]) -> tuple[float, float, int] | None:
+    """(share of the words, of the answer's, place) of the best accepted passage of ``words``, if there is one."""
+    if not leaked(*item.judge(words)):  # a longer passage holds no less
+        return None
+    wide = span(len(item.words))
+    best = None
+    for s in range(max(1, len(words) - wide + 1)):
+        x = (*item.judge(words[s : s + wide]), s)
+        if leaked(*x[:2]) and (best is None or x[:2] > best[:2]):
+            best = x
+    return best
+
+
 def leaked(whole: float, answer: float) -> bool:
     return whole >= OVERLAP or (whole >= PARTIAL and answer >= ANSWER)
 
 
-def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, feats: np.ndarray, basis: np.ndarray, keep: list[str], text: str) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, counts: np.ndarray, feats: np.ndarray, basis: np.ndarray, keep: list[str], text: str) -> DataFrame:
     spark = docs.sparkSession
     latent = np.zeros((len(items), basis.shape[1]), np.float32)
     made = [Item(i, raw) for i, raw in items]
@@ -160,6 +270,8 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, feats: np.ndar
         if len(h):
             f, x = passage(h, idf)
             latent[k] = x.astype(np.float32) @ basis[np.searchsorted(feats, f)]
+    held = np.linalg.norm(latent, axis=1, keepdims=True)
+    latent = np.where(held >= KEPT, latent / np.maximum(held, 1e-12), 0).astype(np.float32)
     place = np.full(FEATURES, -1, np.int32)
     place[feats] = np.arange(len(feats))
     # the most that one occurrence of a word adds to any item's product; sqrt(tf) counts occurrences no higher than tf
@@ -167,12 +279,12 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, feats: np.ndar
     for at in range(0, len(feats), 4096):
         f = feats[at : at + 4096]
         most[f] = idf[f] * (basis[at : at + 4096] @ latent.T).max(axis=1, initial=0.0)
-    shared = spark.sparkContext.broadcast((idf.astype(np.float32), place, basis, latent, most, made))
+    shared = spark.sparkContext.broadcast((idf.astype(np.float32), place, basis, latent, most, made, Seeds(made, counts)))
     source = docs.select(*keep, text_bytes(text).alias("__raw"))
     schema = source.drop("__raw").schema.add("item_id", "long").add("cosine", "double").add("overlap", "double").add("answer", "double")
 
     def run(batches):
-        idf, place, basis, latent, most, made = shared.value
+        idf, place, basis, latent, most, made, seeds = shared.value
         square = idf.astype(np.float64) ** 2
         for b in batches:
             found = []
@@ -219,6 +331,20 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, feats: np.ndar
                     whole, answer = made[k].judge(plain_words(buf[first[lo] : last[hi - 1]].tobytes()))
                     if (leaked(whole, answer), whole) > (leaked(o[1], o[2]), o[1]):
                         o[1:] = [whole, answer]
+                first, last, h, row = plain_tokens(buf, off)
+                for i, k, lo, hi in zip(*(x.tolist() for x in seeds.regions(h, row)), strict=True):
+                    o = best.get((begin + i, k), [0.0, 0.0, 0.0])
+                    if leaked(o[1], o[2]) or not seeds.possible(k, h[lo:hi].tolist()):
+                        continue
+                    words = [buf[s:e].tobytes().lower() for s, e in zip(first[lo:hi].tolist(), last[lo:hi].tolist(), strict=True)]
+                    hit = closest(made[k], words)
+                    if hit is not None:
+                        best[begin + i, k] = o
+                        o[1:] = hit[:2]
+                        a, z = first[lo + hit[2]], last[min(hi, lo + hit[2] + span(len(made[k].words))) - 1]
+                        g, x = passage(tokens(buf[a:z], np.array([0, z - a]), True)[2], idf)
+                        x, g = x[place[g] >= 0], g[place[g] >= 0]
+                        o[0] = max(o[0], float((x.astype(np.float32) @ basis[place[g]]) @ latent[k]))
                 found += [(r, k, *o) for (r, k), o in best.items() if leaked(o[1], o[2])]
             if found:
                 take = pa.array([x[0] for x in found], pa.int64())
@@ -248,7 +374,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
     for part in range(-(-n // BLOCK_ITEMS)):
         rows = items.where(F.pmod(F.xxhash64("id", "raw"), F.lit(-(-n // BLOCK_ITEMS))) == part)
         block = [(r["id"], bytes(r["raw"])) for r in rows.collect()]  # about BLOCK_ITEMS items
-        found = _search(docs, block, idf, feats, basis, keep, "text")
+        found = _search(docs, block, idf, counts, feats, basis, keep, "text")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -215,6 +215,35 @@ def test_leaks(spark):
     assert decontamination.leaks(docs, bench.where("false")).count() == 0
 
 
+def hidden(rng, items, replaced):
+    """Documents that hold one item each, the first of a hundred foreign words, a share of the item's words replaced."""
+    out = []
+    for t in items:
+        w = t.split()
+        for at in rng.choice(len(w), int(replaced * len(w)), replace=False):
+            w[at] = f"z{rng.integers(0, 3000)}"
+        noise = [f"q{x}" for x in rng.integers(0, 3000, 200)]
+        out.append(" ".join(noise[:100] + w + noise[100:]))
+    return out
+
+
+def accepted(docs, items):
+    """(document, item) where some passage of an item's span is accepted, by brute force."""
+    made = [decontamination.Item(i, t.encode()) for i, t in enumerate(items)]
+    words = [decontamination.plain_words(t.encode()) for t in docs]
+    return sorted((d, m.id) for d, w in enumerate(words) for m in made if decontamination.closest(m, w))
+
+
+def test_leaks_of_more_items_than_the_rank(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "RANK", 16)
+    rng = np.random.default_rng(12)
+    items = [" ".join(f"q{x}" for x in rng.integers(0, 3000, rng.integers(15, 60))) + "." for _ in range(200)]
+    docs = hidden(rng, items[:100], 0.0)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect())
+    assert got == accepted(docs, items) and set(got) >= {(i, i) for i in range(100)}
+
+
 def test_licences(spark):
     lines = ["some text\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.\nmore", "he lost his driving license", None, "", "plain"]
     got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in licences.licences(frame(spark, lines)).collect()}
