@@ -244,6 +244,15 @@ def test_leaks_of_more_items_than_the_rank(spark, monkeypatch):
     assert got == accepted(docs, items) and set(got) >= {(i, i) for i in range(100)}
 
 
+def test_leaks_of_short_and_long_items(spark):
+    rng = np.random.default_rng(13)
+    items = [" ".join(f"q{x}" for x in rng.integers(0, 3000, n)) + "!" for n in [5, 8, 10, 15, 20, 30, 60, 300, 500, 800] for _ in range(4)]
+    docs = hidden(rng, items, 0.2) + hidden(rng, items, 0.0)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect())
+    assert got == accepted(docs, items) and set(got) >= {(i, i % len(items)) for i in range(len(docs))}
+
+
 def test_licences(spark):
     lines = ["some text\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.\nmore", "he lost his driving license", None, "", "plain"]
     got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in licences.licences(frame(spark, lines)).collect()}
