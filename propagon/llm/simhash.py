@@ -51,8 +51,8 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], width: int, count: int = 1, text: str = "text") -> DataFrame:
-    """``keep`` columns and f0, f1 ..: independent 64-bit fingerprints of each text."""
+def fingerprints(docs: DataFrame, keep: list[str], width: int, count: int = 1, text: str = "text", distinct: bool = False) -> DataFrame:
+    """``keep`` columns and f0, f1 ..: independent 64-bit fingerprints of each text, of its shingles or of their set."""
     small_batches(docs.sparkSession)
     source = docs.select(*keep, text_bytes(text).alias("__raw"))
     schema = source.drop("__raw").schema
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, keep: list[str], width: int, count: int = 1, t
             out = np.zeros((count, b.num_rows), np.uint64)
             for i, raw in enumerate(b.column("__raw")):
                 h = shingle_hashes(raw.as_py(), width)
+                h = np.unique(h) if distinct else h
                 for j in range(count):
                     out[j, i] = fingerprint(mix(h ^ seeds[j]) if j else h)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x.view(np.int64)) for x in out)], names=[*keep, *(f"f{i}" for i in range(count))])
@@ -379,7 +380,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     """
     spark = docs.sparkSession
     hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    fps = saved(fingerprints(hashed, [id_col, "__h"], width, WORDS64, text).withColumnsRenamed({id_col: "doc", "__h": "id"}), "fingerprints")
+    fps = saved(fingerprints(hashed, [id_col, "__h"], width, WORDS64, text, distinct=True).withColumnsRenamed({id_col: "doc", "__h": "id"}), "fingerprints")
     each = saved(fps.groupBy("id").agg(*(F.min(f"f{i}").alias(f"f{i}") for i in range(WORDS64))), "texts")
     pairs = saved(near_pairs(each, similarity), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

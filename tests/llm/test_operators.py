@@ -74,6 +74,13 @@ def test_one_of_each_group(spark):
     assert left.columns == frame(spark, base).columns
 
 
+def test_a_repeated_line_hides_no_near_copy(spark):
+    rng = np.random.default_rng(14)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) for _ in range(20)]
+    near = [b + (" " + " ".join(b.split()[50:60])) * 20 for b in base]
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, base + near)).collect()) == [*range(20)]
+
+
 def test_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10] + [(5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components(df).collect()}
