@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propagon.llm.common import SPACE, blocks, saved, small_batches, text_bytes, tokens
+from propagon.llm.common import SPACE, blocks, fresh, saved, small_batches, text_bytes, tokens
 
 FEATURES = 1 << 18
 SLICES = 16
@@ -44,7 +44,7 @@ def word_counts(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         total = np.zeros(FEATURES, np.int64)
         for b in batches:
             for _, _, buf, off in blocks(b.column("raw")):
-                total += np.bincount((tokens(buf, off, True)[2] % FEATURES).astype(np.int64), minlength=FEATURES)
+                total += np.bincount((plain_tokens(buf, off)[2] % FEATURES).astype(np.int64), minlength=FEATURES)
         if total.any():
             parts = total.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([x.astype(np.uint32 if x.max() < 1 << 32 else np.uint64).tobytes() for x in parts], pa.binary())], names=["slice", "n"])
@@ -87,7 +87,7 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, steps: int = 2)
         seen = [np.zeros(0, np.int64)]
         for b in batches:
             for _, _, buf, off in blocks(b.column("raw")):
-                seen.append(np.unique((tokens(buf, off, True)[2] % FEATURES).astype(np.int64)))
+                seen.append(np.unique((plain_tokens(buf, off)[2] % FEATURES).astype(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)))], names=["f"])
 
     feats = np.array(sorted(r[0] for r in items.mapInArrow(used, "f long").distinct().collect()), np.int64)  # FEATURES at most
@@ -101,23 +101,27 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, steps: int = 2)
             y = np.zeros((len(feats), width), np.float32)
             for b in batches:
                 for _, _, buf, off in blocks(b.column("raw")):
-                    _, _, h, row = tokens(buf, off, True)
+                    _, _, h, row = plain_tokens(buf, off)
                     for part in np.split(h, np.flatnonzero(np.diff(row)) + 1):
                         if len(part):
                             f, x = passage(part, shared.value)
                             i = np.searchsorted(feats, f)
                             y[i] += x[:, None] * (x @ block.value[i])[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary())], names=["y"])
+            cut = np.linspace(0, len(feats), SLICES + 1).astype(int)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([y[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["slice", "y"])
 
         def add(batches):
-            y = np.zeros(len(feats) * width, np.float32)
+            total: dict[int, np.ndarray] = {}
             for b in batches:
-                for raw in b.column("y").to_pylist():
-                    y += np.frombuffer(raw, np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary())], names=["y"])
-
-        parts = items.mapInArrow(multiply, "y binary").repartition(8).mapInArrow(add, "y binary").collect()
-        q = sum((np.frombuffer(r[0], np.float32).reshape(len(feats), width) for r in parts), np.zeros((len(feats), width), np.float32))
+                for s, raw in zip(b.column("slice").to_pylist(), b.column("y").to_pylist(), strict=True):
+                    x = np.frombuffer(raw, np.float32)
+                    total[s] = total[s] + x if s in total else x
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "y"])
+
+        parts = items.mapInArrow(multiply, "slice long, y binary").repartition(SLICES, "slice").mapInArrow(add, "slice long, y binary").collect()
+        q = np.concatenate([np.frombuffer(r["y"], np.float32) for r in sorted(parts, key=lambda r: r["slice"])]).reshape(len(feats), width) if parts else np.zeros((len(feats), width), np.float32)
+        block.destroy()
     u, s, _ = np.linalg.svd(q, full_matrices=False) if len(feats) else (q, np.zeros(0), None)
     keep = min(rank, int((s > 1e-7 * s.max(initial=0)).sum()))
     return feats, u[:, :keep].astype(np.float32)
@@ -240,7 +244,11 @@ class Seeds:
         i, last = i[ok], last[ok]
         lo, hi = np.searchsorted(row, row[t[i]], "left"), np.searchsorted(row, row[t[i]], "right")
         wide = self.reach[k[i]]
-        return row[t[i]], k[i], np.maximum(lo, t[last] - wide + 1), np.minimum(hi, t[i] + wide)
+        lo, hi = np.maximum(lo, t[last] - wide + 1), np.minimum(hi, t[i] + wide)
+        # runs that begin close to each other become one
+        near = t[i] // np.maximum(wide // 2, 1)
+        one = np.flatnonzero(np.append(True, (k[i][1:] != k[i][:-1]) | (row[t[i]][1:] != row[t[i]][:-1]) | (near[1:] != near[:-1]))) if len(i) else i
+        return row[t[i]][one], k[i][one], np.minimum.reduceat(lo, one) if len(one) else lo, np.maximum.reduceat(hi, one) if len(one) else hi
 
 
 def closest(item: Item, words: list[bytes]) -> tuple[float, float, int] | None:
@@ -266,7 +274,7 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, counts: np.nda
     made = [Item(i, raw) for i, raw in items]
     for k, (_, raw) in enumerate(items):
         buf = np.frombuffer(raw, np.uint8)
-        h = tokens(buf, np.array([0, len(buf)]), True)[2]
+        h = plain_tokens(buf, np.array([0, len(buf)]))[2]
         if len(h):
             f, x = passage(h, idf)
             latent[k] = x.astype(np.float32) @ basis[np.searchsorted(feats, f)]
@@ -279,18 +287,19 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, counts: np.nda
     for at in range(0, len(feats), 4096):
         f = feats[at : at + 4096]
         most[f] = idf[f] * (basis[at : at + 4096] @ latent.T).max(axis=1, initial=0.0)
-    shared = spark.sparkContext.broadcast((idf.astype(np.float32), place, basis, latent, most, made, Seeds(made, counts)))
-    source = docs.select(*keep, text_bytes(text).alias("__raw"))
-    schema = source.drop("__raw").schema.add("item_id", "long").add("cosine", "double").add("overlap", "double").add("answer", "double")
+    shared = spark.sparkContext.broadcast((idf.astype(np.float32), place, basis * idf[feats][:, None].astype(np.float32), latent, most, made, Seeds(made, counts)))
+    raw = fresh(docs, "raw")
+    source = docs.select(*keep, text_bytes(text).alias(raw))
+    schema = source.drop(raw).schema.add("item_id", "string").add("cosine", "double").add("overlap", "double").add("answer", "double")
 
     def run(batches):
-        idf, place, basis, latent, most, made, seeds = shared.value
+        idf, place, weighted, latent, most, made, seeds = shared.value
         square = idf.astype(np.float64) ** 2
         for b in batches:
             found = []
-            for begin, end, buf, off in blocks(b.column("__raw")):
+            for begin, end, buf, off in blocks(b.column(raw)):
                 near = []
-                first, last, h, row = tokens(buf, off, True)
+                first, last, h, row = plain_tokens(buf, off)
                 if not len(h) or not len(made):
                     continue
                 f = (h % np.uint64(FEATURES)).astype(np.int64)
@@ -298,31 +307,54 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, counts: np.nda
                 mass = np.concatenate([[0.0], np.cumsum(square[f])])
                 reach = np.concatenate([[0.0], np.cumsum(most[f])])
                 cut = np.searchsorted(row, np.arange(end - begin + 1))
-                # windows from each text's start, the last one up to its end
-                n = np.diff(cut)
-                many = np.where(n > 0, np.maximum(0, -(-(n - WINDOW) // STRIDE)) + 1, 0)
+                # chunks of STRIDE words from each text's start; a window is WINDOW words from a chunk's start, or up to the end
+                chunks = -(-np.diff(cut) // STRIDE)
+                before = np.cumsum(chunks) - chunks
+                of = np.repeat(np.arange(end - begin), chunks)
+                start = cut[of] + (np.arange(len(of)) - before[of]) * STRIDE
+                stop = np.minimum(start + STRIDE, cut[of + 1])
+                many = np.where(chunks > 0, np.maximum(0, chunks - WINDOW // STRIDE) + 1, 0)
                 doc = np.repeat(np.arange(end - begin), many)
-                s = cut[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
-                e = np.minimum(s + WINDOW, cut[doc + 1])
+                c0 = before[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                c1 = np.minimum(c0 + WINDOW // STRIDE, before[doc] + chunks[doc])
+                s, e = start[c0], stop[c1 - 1]
                 norm = mass[e] - mass[s]
                 live = np.flatnonzero(reach[e] - reach[s] >= 0.999 * COSINE * np.sqrt(norm))
                 for base in range(0, len(live), 2048):
                     ids = live[base : base + 2048]
+                    span_of = np.minimum(c0[ids][:, None] + np.arange(WINDOW // STRIDE), c1[ids][:, None] - 1)
+                    used = np.unique(span_of)
+                    size = stop[used] - start[used]
+                    w = np.repeat(np.arange(len(used)), size)
+                    t = np.repeat(start[used], size) + np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+                    w, t = w[at[t] >= 0], t[at[t] >= 0]
+                    # a chunk's sum of latent words, added up over the chunks of a window
+                    z = np.zeros((len(used), weighted.shape[1]), np.float32)
+                    edges = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+                    if len(edges):
+                        z[w[edges]] = np.add.reduceat(weighted[at[t]], edges, axis=0)
+                    by_item = z @ latent.T
+                    place_of = np.searchsorted(used, span_of)
+                    cosine = by_item[place_of[:, 0]]
+                    for k in range(1, WINDOW // STRIDE):
+                        more = c0[ids] + k < c1[ids]
+                        cosine[more] += by_item[place_of[more, k]]
+                    cosine /= np.sqrt(norm[ids])[:, None].astype(np.float32)
+                    # words that repeat in a window count by the root of their number: only windows that may pass are looked at
+                    ids = ids[(cosine >= COSINE).any(axis=1)]
                     size = e[ids] - s[ids]
                     w = np.repeat(np.arange(len(ids)), size)
                     t = np.repeat(s[ids], size) + np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
                     w, t = w[at[t] >= 0], t[at[t] >= 0]
-                    # sqrt(tf) of each word of the benchmark in its window
                     key, tf = np.unique(w * np.int64(FEATURES) + f[t], return_counts=True)
-                    w, g = key // FEATURES, key % FEATURES
-                    x = (np.sqrt(tf) * idf[g]).astype(np.float32)
-                    z = np.zeros((len(ids), basis.shape[1]), np.float32)
+                    w, x = key // FEATURES, np.sqrt(tf).astype(np.float32)
                     edges = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+                    z = np.zeros((len(ids), weighted.shape[1]), np.float32)
                     if len(edges):
-                        z[w[edges]] = np.add.reduceat(basis[place[g]] * x[:, None], edges, axis=0)
-                    near_cos = (z / np.sqrt(norm[ids])[:, None].astype(np.float32)) @ latent.T
-                    for i, k in zip(*np.nonzero(near_cos >= COSINE), strict=True):
-                        near.append((int(doc[ids[i]]), int(k), float(near_cos[i, k]), int(s[ids[i]]), int(e[ids[i]])))
+                        z[w[edges]] = np.add.reduceat(weighted[place[key % FEATURES]] * x[:, None], edges, axis=0)
+                    cosine = (z / np.sqrt(norm[ids])[:, None].astype(np.float32)) @ latent.T
+                    for i, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                        near.append((int(doc[ids[i]]), int(k), float(cosine[i, k]), int(s[ids[i]]), int(e[ids[i]])))
                 best: dict = {}
                 for i, k, cos, ws, we in near:
                     lo, hi = max(int(cut[i]), ws - STRIDE), min(int(cut[i + 1]), max(we, ws + len(made[k].words)) + STRIDE)
@@ -331,7 +363,6 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, counts: np.nda
                     whole, answer = made[k].judge(plain_words(buf[first[lo] : last[hi - 1]].tobytes()))
                     if (leaked(whole, answer), whole) > (leaked(o[1], o[2]), o[1]):
                         o[1:] = [whole, answer]
-                first, last, h, row = plain_tokens(buf, off)
                 for i, k, lo, hi in zip(*(x.tolist() for x in seeds.regions(h, row)), strict=True):
                     o = best.get((begin + i, k), [0.0, 0.0, 0.0])
                     if leaked(o[1], o[2]) or not seeds.possible(k, h[lo:hi].tolist()):
@@ -342,13 +373,13 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, counts: np.nda
                         best[begin + i, k] = o
                         o[1:] = hit[:2]
                         a, z = first[lo + hit[2]], last[min(hi, lo + hit[2] + span(len(made[k].words))) - 1]
-                        g, x = passage(tokens(buf[a:z], np.array([0, z - a]), True)[2], idf)
-                        x, g = x[place[g] >= 0], g[place[g] >= 0]
-                        o[0] = max(o[0], float((x.astype(np.float32) @ basis[place[g]]) @ latent[k]))
+                        g, x = passage(plain_tokens(buf[a:z], np.array([0, z - a]))[2], idf)
+                        x, g = x[place[g] >= 0] / idf[g[place[g] >= 0]], g[place[g] >= 0]
+                        o[0] = max(o[0], float((x.astype(np.float32) @ weighted[place[g]]) @ latent[k]))
                 found += [(r, k, *o) for (r, k), o in best.items() if leaked(o[1], o[2])]
             if found:
                 take = pa.array([x[0] for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in keep), pa.array([made[x[1]].id for x in found], pa.int64()), *(pa.array([float(x[k]) for x in found]) for k in (2, 3, 4))], names=[*keep, "item_id", "cosine", "overlap", "answer"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in keep), pa.array([made[x[1]].id for x in found], pa.string()), *(pa.array([float(x[k]) for x in found]) for k in (2, 3, 4))], names=[*keep, "item_id", "cosine", "overlap", "answer"])
 
     return source.mapInArrow(run, schema)
 
@@ -363,23 +394,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
     keep = keep or ["doc_id"]
     spark = docs.sparkSession
     small_batches(spark)
-    items = saved(benchmark.select(F.col(id_col).cast("long").alias("id"), text_bytes(text).alias("raw")).where(F.length("raw") > 0), "items")
-    counts, total = word_counts(docs, "text")
+    items = saved(benchmark.select(F.col(id_col).cast("string").alias("id"), text_bytes(text).alias("raw")).where(F.length("raw") > 0), "items")
+    own = benchmark.schema[id_col].dataType
+    counts, total = word_counts(docs, text)
     idf = np.log((total + 1.0) / (counts + 0.5)).clip(0.1)
     feats, basis = randomised_svd(items, idf, RANK)
     if not basis.shape[1]:
-        return docs.select(*keep).withColumns({"item_id": F.lit(0).cast("long"), "cosine": F.lit(0.0), "overlap": F.lit(0.0), "answer": F.lit(0.0)}).where("false")
-    n = items.count()
+        return docs.select(*keep).withColumns({"item_id": F.lit(None).cast(own), "cosine": F.lit(0.0), "overlap": F.lit(0.0), "answer": F.lit(0.0)}).where("false")
+    passes = -(-items.count() // BLOCK_ITEMS)
     out = None
-    for part in range(-(-n // BLOCK_ITEMS)):
-        rows = items.where(F.pmod(F.xxhash64("id", "raw"), F.lit(-(-n // BLOCK_ITEMS))) == part)
+    for part in range(passes):
+        rows = items.where(F.pmod(F.xxhash64("id", "raw"), F.lit(passes)) == part)
         block = [(r["id"], bytes(r["raw"])) for r in rows.collect()]  # about BLOCK_ITEMS items
-        found = _search(docs, block, idf, counts, feats, basis, keep, "text")
+        found = _search(docs, block, idf, counts, feats, basis, keep, text)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.withColumn("item_id", F.col("item_id").cast(own))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item."""
-    bad = saved(leaks(docs.withColumn("__k", F.xxhash64(F.coalesce("text", F.lit("")))), benchmark, ["__k"]).select("__k").distinct(), "leaks")
-    return docs.withColumn("__k", F.xxhash64(F.coalesce("text", F.lit("")))).join(bad, "__k", "left_anti").drop("__k")
+    k = fresh(docs, "k")
+    keyed = docs.withColumn(k, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    bad = saved(leaks(keyed, benchmark, [k], id_col, text).select(k).distinct(), "leaks")
+    return keyed.join(bad, k, "left_anti").select(*docs.columns)
