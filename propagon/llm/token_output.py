@@ -1,12 +1,14 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
-The tokens of all texts, each text followed by an end id, form one stream in input order, cut into sequences of
-``length`` ids. A keyed Feistel permutation of 0 .. n - 1 gives every sequence its slot; it is evaluated where the
-sequence is made, so the order needs no table and no sort of the corpus. Ranges of slots are shards: files of records of
-one width, so that slot s is record s - first of its shard and a reader starts or resumes anywhere.
-
-Texts are tokenised twice: once for the tokens of every input partition, whose running sum places the stream, and once to
-write. The input must give the same rows in the same partitions both times (files, not a shuffle); a checksum proves it.
+The tokens of the texts of an input partition, each text followed by an end id, form a stream that is cut into sequences of
+``length`` ids; the last one is filled up. A keyed Feistel permutation, walked on from places outside, orders all sequences:
+it permutes 0 .. bound - 1, where every partition owns as many numbers as its bytes can make sequences at most, so a
+sequence knows its place once it is made, and texts are tokenised once. Ranges of places are shards: files of records of one
+width. A sequence's global slot is its rank; the manifest has the first slot of every shard, so that slot s is record
+s - first_slot of its shard and a reader starts or resumes anywhere.
+
+The input must give the same rows in the same partitions twice (files, not a shuffle): once to count bytes, once to tokenise;
+a checksum proves it. Sequences are dealt to ranges by the number of the range itself, so that no two ranges meet in a task.
 """
 
 from __future__ import annotations
@@ -14,22 +16,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from propagon.llm.common import mix, new_path, saved, small_batches
+from propagon.llm.common import mix, new_path, saved, small_batches, text_bytes
 
 LENGTH = 1024
 SHARD_SEQUENCES = 4096
 END_ID = 50256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_PIECES = 600_000
+#: Characters of a text that are encoded at once.
+PART = 1 << 20
+#: Bytes of text that a token is taken to hold when ranges are laid out; shards have fewer sequences where it holds more.
+TOKEN_BYTES = 2.5
+#: Ranges of shards at most; beyond it a range holds several shards, one after another.
+MAX_RANGES = 100_000
 _U = np.uint64
 
 
@@ -45,11 +53,8 @@ def id_bytes(path: str) -> int:
 
 
 class Encoder:
-    """Byte-level BPE ids of texts as little-endian bytes, with the ids of frequent pieces kept.
-
-    The pattern never puts what stands before a single space into one piece with the word after it, so texts are encoded
-    word by word; a text with a space between other white space is encoded as a whole.
-    """
+    """Byte-level BPE ids of texts. A long text is encoded in parts, cut where a single space begins a word, since the
+    pattern always begins a piece there."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -57,27 +62,22 @@ class Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.bpe = tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype(f"<u{id_bytes(path)}")
-        self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s (?:\s|\Z)")
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.odd.search(text):
-            return self.ids(text)
-        first, *rest = text.split(" ")
-        known, out = self.known, [self.ids(first)]
-        for w in rest:
-            x = known.get(w)
-            if x is None:
-                x = self.ids(" " + w)
-                if len(known) < CACHED_PIECES:
-                    known[w] = x
-            out.append(x)
-        return b"".join(out)
+        return b"".join(np.array(self.bpe.encode_ordinary(part), self.dtype).tobytes() for part in parts(text))
+
+
+_WORD_START = re.compile(r"(?<=\S) (?=\S)")
+
+
+def parts(text: str, size: int = PART):
+    """The text in parts of about ``size`` characters."""
+    at = 0
+    while at < len(text):
+        cut = _WORD_START.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 @cache
@@ -104,110 +104,115 @@ def slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _stream(batches, path: str, end_id: int):
-    """Per text: its ids and the end id, as bytes."""
-    e = encoder(path)
-    end = np.array([end_id], e.dtype).tobytes()
-    for b in batches:
-        for t in b.column("text"):
-            yield e.encode(t.as_py() or "") + end
+def _checks(column, check: int) -> int:
+    for x in column:
+        raw = x.as_buffer() if x.is_valid else b""
+        check = zlib.crc32(raw, zlib.crc32(len(raw).to_bytes(8, "little"), check))
+    return check
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = 0, end_id: int = END_ID, text: str = "text") -> DataFrame:
     """Writes the shards and returns their manifest: shard, first_slot, sequences, tokens, record_bytes, sha256, path.
 
-    A null or empty text is its end id alone. The last sequence is filled up with end ids, which ``tokens`` leaves out.
-    No texts give no shards. Repeated rows are written as often as they come. A shard is written under a name of its own
-    attempt and renamed, so a lost task leaves nothing half done.
+    A null or empty text is its end id alone. The last sequence of an input partition is filled up with end ids, which
+    ``tokens`` leaves out. A shard has about ``shard_sequences`` sequences; no texts give no shards. Repeated rows are
+    written as often as they come. A shard is written under a name of its own attempt and renamed, so a lost task leaves
+    nothing half done.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(text).alias("text"))
+    texts = docs.select(text_bytes(text).alias("text"))
     width = id_bytes(tokenizer)
 
     def count(batches):
-        n, texts_seen, check = 0, 0, 0
-        for x in _stream(batches, tokenizer, end_id):
-            n += len(x) // width
-            texts_seen += 1
-            check = (check * 1_000_003 + len(x)) % (1 << 61)
-        if texts_seen:
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (TaskContext.get().partitionId(), n, check)], names=["part", "n", "crc"])
-
-    parts = sorted(tuple(r) for r in texts.mapInArrow(count, "part long, n long, crc long").collect())  # one row a partition
-    total = sum(r[1] for r in parts)
-    start, at = {}, 0
-    for p, n, check in parts:
-        start[p] = (at, check)
-        at += n
-    sequences = -(-total // length)
+        size, rows, check = 0, 0, 0
+        for b in batches:
+            rows += b.num_rows
+            check = _checks(b.column("text"), check)
+            size += sum(len(x.as_buffer()) for x in b.column("text"))
+        if rows:
+            # a token is a byte at least
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (TaskContext.get().partitionId(), -(-(size + rows) // length), check, size + rows)], names=["part", "most", "crc", "size"])
+
+    seen = sorted(tuple(r) for r in texts.mapInArrow(count, "part long, most long, crc long, size long").collect())  # one row a partition
+    most = np.array([r[1] for r in seen], np.int64)
+    bound = int(most.sum())
+    # three numbers a partition, fetched once by each worker
+    owned = spark.sparkContext.broadcast((np.array([r[0] for r in seen], np.int64), np.cumsum(most) - most, np.array([r[2] for r in seen], np.int64)))
+    # sequences are about a third of the bound, so a range of the bound is wider than its shard
+    span = max(1, round(shard_sequences * TOKEN_BYTES))
+    ranges = max(1, -(-bound // span))
 
     def cut(batches):
-        begin, want = start.get(TaskContext.get().partitionId(), (0, 0))
-        buf, size, offset, check = [], 0, begin, 0
+        part, first, checks = owned.value
+        i = int(np.searchsorted(part, TaskContext.get().partitionId()))
+        number, check = (int(first[i]) if i < len(part) else 0), 0
+        end = np.array([end_id], f"<u{width}").tobytes()
+        step = length * width
+        held, size, any_rows = [], 0, False
 
         def rows(final: bool):
-            nonlocal buf, size, offset
-            data = b"".join(buf)
-            have = size
-            if final and offset + have == total:
-                pad = -total % length
-                data += np.full(pad, end_id, f"<u{width}").tobytes()
-                have += pad
-            last = offset + have if final else (offset + have) // length * length
-            edges = np.unique(np.clip(np.append(np.arange(offset // length, last // length + 1) * length, [offset, last]), offset, last))
-            if len(edges) > 1:
-                seq = edges[:-1] // length
-                slot = slots(seq, sequences, key)
-                pieces = [data[(a - offset) * width : (b - offset) * width] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(slot // shard_sequences), pa.array(slot), pa.array(edges[:-1] % length), pa.array(pieces, pa.binary())], names=["shard", "slot", "at", "ids"])
-            rest = data[(last - offset) * width : size * width]
-            buf, size, offset = [rest], len(rest) // width, last
-
-        for x in _stream(batches, tokenizer, end_id):
-            buf.append(x)
-            size += len(x) // width
-            check = (check * 1_000_003 + len(x)) % (1 << 61)
-            if size >= 512 * length:
+            nonlocal held, size, number
+            data = b"".join(held)
+            n = -(-len(data) // step) if final else len(data) // step
+            if n:
+                place = slots(np.arange(number, number + n), bound, key)
+                real = np.minimum(step, len(data) - np.arange(n) * step) // width
+                ids = [data[j * step : (j + 1) * step] for j in range(n)]
+                ids[-1] += end * ((step - len(ids[-1])) // width)
+                yield pa.RecordBatch.from_arrays([pa.array(place // span), pa.array(place), pa.array(real), pa.array(ids, pa.binary())], names=["shard", "place", "real", "ids"])
+            held = [data[n * step :]]
+            size, number = len(held[0]), number + n
+
+        e = encoder(tokenizer)
+        for b in batches:
+            any_rows |= b.num_rows > 0
+            check = _checks(b.column("text"), check)
+            for x in b.column("text"):
+                ids = e.encode(x.as_buffer().to_pybytes().decode()) + end
+                held.append(ids)
+                size += len(ids)
+            if size >= 256 * step:
                 yield from rows(False)
-        if check != want:
+        if any_rows and (i >= len(part) or part[i] != TaskContext.get().partitionId() or check != checks[i]):
             raise RuntimeError("the input gave other rows the second time; write it to files first")
         if size:
             yield from rows(True)
 
-    pieces = texts.mapInArrow(cut, "shard long, slot long, at long, ids binary")
+    sequences = texts.mapInArrow(cut, "shard long, place long, real long, ids binary")
 
     def write(batches):
         fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1))
         fs.create_dir(base, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        shard, out, sha, n = None, None, None, 0
+        shard, out, sha, n, real = None, None, None, 0, 0
 
         def done():
             out.close()
             fs.move(f"{base}/.{shard:08d}.{attempt}", f"{base}/{shard:08d}.bin")
-            records = n // (length * width)
-            real = records * length - (-total % length if last_slot // shard_sequences == shard else 0)
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in (shard, shard * shard_sequences, records, real, length * width, sha.hexdigest(), f"{base}/{shard:08d}.bin")], names=["shard", "first_slot", "sequences", "tokens", "record_bytes", "sha256", "path"])
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in (shard, n, real, length * width, sha.hexdigest(), f"{base}/{shard:08d}.bin")], names=["shard", "sequences", "tokens", "record_bytes", "sha256", "path"])
 
         for b in batches:
-            for s, ids in zip(b.column("shard").to_pylist(), b.column("ids"), strict=True):
+            for s, many, ids in zip(b.column("shard").to_pylist(), b.column("real").to_pylist(), b.column("ids"), strict=True):
                 if s != shard:
                     if out is not None:
                         yield done()
-                    shard, sha, n = s, hashlib.sha256(), 0
+                    shard, sha, n, real = s, hashlib.sha256(), 0, 0
                     out = fs.open_output_stream(f"{base}/.{s:08d}.{attempt}")
                 data = ids.as_buffer()
                 out.write(data)
                 sha.update(data)
-                n += len(data)
+                n += 1
+                real += many
         if out is not None:
             yield done()
 
-    last_slot = int(slots(np.array([sequences - 1]), sequences, key)[0]) if sequences else -1
-    ranges = max(1, -(-sequences // shard_sequences))
-    dealt = pieces.repartition(ranges, "shard").sortWithinPartitions("shard", "slot", "at")
-    return saved(dealt.mapInArrow(write, "shard long, first_slot long, sequences long, tokens long, record_bytes long, sha256 string, path string"), "manifest")
+    each = -(-ranges // MAX_RANGES)
+    dealt = sequences.repartitionById(-(-ranges // each), F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("shard", "place")
+    made = saved(dealt.mapInArrow(write, "shard long, sequences long, tokens long, record_bytes long, sha256 string, path string"), "shards")
+    # one row a shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return made.select("shard", F.coalesce(F.sum("sequences").over(before), F.lit(0)).cast("long").alias("first_slot"), "sequences", "tokens", "record_bytes", "sha256", "path")
 
 
 def read_records(path: str, first_slot: int, slot: int, count: int, length: int = LENGTH, dtype: str = "<u2") -> np.ndarray:
