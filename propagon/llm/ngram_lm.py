@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from propagon.llm.common import blocks, new_path, pair_hash, saved, small_batches, text_bytes, tokens
 
 HOT_SHARE = 0.001
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
+#: Words that a task holds before it counts them.
+HELD_TOKENS = 2_000_000
 #: Hashes of the start and the end of a text; no word has them but by chance.
 START, END = np.uint64(0x1234567890ABCDEF), np.uint64(0xFEDCBA0987654321)
 _U = np.uint64
@@ -92,7 +94,7 @@ def _pairs_packed(train: DataFrame, hot: list[int], shards: int) -> DataFrame:
                 same = row[1:] == row[:-1]
                 held.append((seq[:-1][same], seq[1:][same]))
                 size += len(seq)
-                if size > 5_000_000:
+                if size > HELD_TOKENS:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -113,7 +115,7 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint32).astype(np.int64)
 
 
-def _merge(packed: DataFrame, folder: str) -> DataFrame:
+def _merge(packed: DataFrame, folder: str, shards: int) -> DataFrame:
     """Writes each shard's pairs and returns what the words need: (h, n1, n2, n3, cont) and, under h null, the counts of counts."""
 
     def run(batches):
@@ -128,7 +130,7 @@ def _merge(packed: DataFrame, folder: str) -> DataFrame:
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             c = np.add.reduceat(c, at)
             key, v, w = key[at], v[at], w[at]
-            _write(f"{folder}/pairs-{shard:06d}", key, c.astype(np.uint32))
+            _write(f"{folder}/pairs-{shard:06d}", key, c.astype(np.int64))
             ctx, inv = np.unique(v, return_inverse=True)
             n = [np.bincount(inv, weights=hit, minlength=len(ctx)).astype(np.int64) for hit in (c == 1, c == 2, c > 2)]
             word, cont = np.unique(w, return_counts=True)
@@ -148,7 +150,7 @@ def _merge(packed: DataFrame, folder: str) -> DataFrame:
         if held:
             yield from done()
 
-    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "h long, n1 long, n2 long, n3 long, cont long, n long")
+    return packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, "h long, n1 long, n2 long, n3 long, cont long, n long")
 
 
 def _word_rows(h, n1, n2, n3, cont):
@@ -186,7 +188,7 @@ def train_model(train: DataFrame, text: str = "text") -> str:
             for _, _, seq, _ in _sequences(b.column("raw")):
                 held.append(seq[seq != START])
                 size += len(seq)
-                if size > 5_000_000:
+                if size > HELD_TOKENS:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -197,7 +199,7 @@ def train_model(train: DataFrame, text: str = "text") -> str:
     hot = [r[0] for r in counts.where(F.col("c") > max(1, HOT_SHARE * total["n"])).select("h").collect()]  # fewer than 1 / HOT_SHARE
     hot.append(int(START.view(np.int64)))
     shards = max(1, -(-total["n"] // SHARD_TOKENS))
-    stats = saved(_merge(_pairs_packed(rows, hot, shards), folder), "stats")
+    stats = saved(_merge(_pairs_packed(rows, hot, shards), folder, shards), "stats")
     world = stats.where("h is null").agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("n1", "n2", "n3", "cont", "n"))).first()
     per = stats.where("h is not null").groupBy("h").agg(*(F.sum(k).alias(k) for k in ("n1", "n2", "n3", "cont")))
     full = counts.join(per, "h", "full").select("h", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("c", "n1", "n2", "n3", "cont")))
@@ -225,12 +227,12 @@ def train_model(train: DataFrame, text: str = "text") -> str:
         for i in np.unique(s):
             k = np.flatnonzero(s == i)
             k = k[np.argsort(h[k])]
-            _write(f"{folder}/words-{i:06d}", h[k], c[k].astype(np.uint32), context[k].astype(np.uint32), backoff[k].astype(np.float32), low[k].astype(np.float32))
+            _write(f"{folder}/words-{i:06d}", h[k], c[k].astype(np.int64), context[k].astype(np.int64), backoff[k].astype(np.float32), low[k].astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int64())], names=["shard"])
 
     # one task a shard: hashes are dealt by their range
     shard = F.floor(F.shiftrightunsigned("h", 32).cast("decimal(20,0)") * shards / F.lit(1 << 32).cast("decimal(20,0)")).cast("int")
-    saved(full.withColumn("s", shard).repartition(shards, "s").sortWithinPartitions("s").drop("s").mapInArrow(write, "shard long"), "written")
+    saved(full.repartitionById(shards, shard).mapInArrow(write, "shard long"), "written")
     os.makedirs(folder, exist_ok=True)
     with open(f"{folder}/meta.json", "w") as f:
         json.dump(meta, f)
@@ -271,19 +273,19 @@ class Scorer:
         """Count, count as context, backoff weight and continuation probability of word hashes."""
         c, x = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         g, low = np.ones(len(h)), np.full(len(h), self.meta["unseen"])
-        for q, raw, n, at in self._find("words", 24, _shard_of(h, self.meta["shards"]), h):
-            c[q] = raw[8 * n : 12 * n].view(np.uint32)[at]
-            x[q] = raw[12 * n : 16 * n].view(np.uint32)[at]
-            g[q] = raw[16 * n : 20 * n].view(np.float32)[at]
-            low[q] = raw[20 * n : 24 * n].view(np.float32)[at]
+        for q, raw, n, at in self._find("words", 32, _shard_of(h, self.meta["shards"]), h):
+            c[q] = raw[8 * n : 16 * n].view(np.int64)[at]
+            x[q] = raw[16 * n : 24 * n].view(np.int64)[at]
+            g[q] = raw[24 * n : 28 * n].view(np.float32)[at]
+            low[q] = raw[28 * n : 32 * n].view(np.float32)[at]
         return c, x, g, low
 
     def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         key = pair_hash(v, w)
         shard = _shard_of(np.where(np.isin(v, self.hot), key, v), self.meta["shards"])
         c = np.zeros(len(key), np.int64)
-        for q, raw, n, at in self._find("pairs", 12, shard, key):
-            c[q] = raw[8 * n : 12 * n].view(np.uint32)[at]
+        for q, raw, n, at in self._find("pairs", 16, shard, key):
+            c[q] = raw[8 * n : 16 * n].view(np.int64)[at]
         return c
 
     def score(self, column):
