@@ -4,27 +4,29 @@ Fingerprints that share a key are sorted by Gray rank, so that neighbours differ
 that hold the bits all members share (mask and pattern); 16 nodes become an upper node, which factors out the bits its
 children share. A search adds up differing bits on the way down and drops a whole group once the sum exceeds the radius.
 
-Keys come from the pigeonhole rule: of r + 2 blocks of a 64-bit fingerprint, two at least agree between fingerprints at
-r differing bits, so every link has a key in common and none is lost. Keys with more than ``limit`` different
-fingerprints are not gathered: their fingerprints link through the 65 fingerprints within one bit of each, two of which
-coincide exactly when two fingerprints differ in two bits or fewer.
+An index holds the fingerprints that share a key. Keys come from the pigeonhole rule: of r + 1 blocks of a 64-bit
+fingerprint, one at least agrees between fingerprints at r differing bits, so every link has a key in common and none is
+lost. A key takes only as many bits of its block as leave an index GROUP fingerprints or so, and its search does the rest.
+Keys with more than ``limit`` different fingerprints are not gathered: their fingerprints link through the 65 fingerprints
+within one bit of each, two of which coincide exactly when two fingerprints differ in two bits or fewer.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from propagon.llm.common import components, mix, saved, small_batches, text_bytes
+from propagon.llm.common import components, fresh, mix, saved, small_batches, text_bytes, tidy
 
 FAN = 16
-SMALL = 24
+#: Fingerprints that an index holds on average.
+GROUP = 1024
 _U = np.uint64
 
 
@@ -51,24 +53,30 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], width: int, count: int = 1, text: str = "text", distinct: bool = False) -> DataFrame:
-    """``keep`` columns and f0, f1 ..: independent 64-bit fingerprints of each text, of its shingles or of their set."""
+def fingerprints(docs: DataFrame, keep: list[str], width: int, count: int = 1, text: str = "text", distinct: bool = False, few: float | None = None) -> DataFrame:
+    """``keep`` columns and f0, f1 ..: independent 64-bit fingerprints of each text, of its shingles or of their set; with
+    ``few`` also p, the least shingle hashes of a text of FEW or less, one of which texts of that similarity share."""
     small_batches(docs.sparkSession)
     source = docs.select(*keep, text_bytes(text).alias("__raw"))
     schema = source.drop("__raw").schema
     for i in range(count):
         schema = schema.add(f"f{i}", "long")
+    if few is not None:
+        schema = schema.add("p", ArrayType(LongType()))
 
     def run(batches):
         seeds = [_U(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in range(count)]
         for b in batches:
             out = np.zeros((count, b.num_rows), np.uint64)
+            least = []
             for i, raw in enumerate(b.column("__raw")):
                 h = shingle_hashes(raw.as_py(), width)
                 h = np.unique(h) if distinct else h
+                least.append(h[: len(h) - math.ceil(few * len(h)) + 1].view(np.int64).tolist() if few is not None and len(h) <= FEW else [])
                 for j in range(count):
                     out[j, i] = fingerprint(mix(h ^ seeds[j]) if j else h)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x.view(np.int64)) for x in out)], names=[*keep, *(f"f{i}" for i in range(count))])
+            more = [] if few is None else [pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x.view(np.int64)) for x in out), *more], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -96,8 +104,9 @@ class GrayIndex:
 
     def within(self, queries: np.ndarray, radius: int):
         """(query, member) positions at ``radius`` bits or fewer, in pieces."""
-        for begin in range(0, len(queries), 512):
-            q = queries[begin : begin + 512]
+        step = max(16, min(512, (1 << 22) // max(1, len(self.order))))
+        for begin in range(0, len(queries), step):
+            q = queries[begin : begin + step]
             top = len(self.levels) - 1
             who = np.repeat(np.arange(len(q)), len(self.levels[top][0]))
             node = np.tile(np.arange(len(self.levels[top][0])), len(q))
@@ -118,23 +127,17 @@ class GrayIndex:
             yield begin + who, self.order[node]
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """The edges, in the order given, that join parts not joined before."""
-    top = list(range(n))
-
-    def find(x):
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            top[q] = p
-            out.append((x, y))
-    return out
+def join_parts(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Lets positions that the pairs (a, b) connect share their least label, in place."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label[:] = up
 
 
 def runs_of(batches, keys: list[str], limit: int):
@@ -170,73 +173,27 @@ def runs_of(batches, keys: list[str], limit: int):
 
 
 def _link_keys(keyed: DataFrame, radius: int, limit: int) -> DataFrame:
-    """(a, b, long) edges inside each key (t, k): a spanning forest of its links; b null and long for those of long keys."""
+    """(a, b, long) edges inside each key k: each linked fingerprint and the first of its part; b null and long for the
+    fingerprints of long keys."""
 
     def run(batches):
-        for t, long in _grouped(batches, limit):
-            f = t[1].view(np.uint64)
+        for t, long in runs_of(batches, ["k"], limit):
+            f = t.column("f").to_numpy().view(np.uint64)
             if long:
                 yield _edges(f, np.full(len(f), -1), True)
                 continue
-            key = t[0]
-            size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
-            if len(size) == 1 and size[0] > SMALL:
-                pairs = [(np.minimum(a, b), np.maximum(a, b)) for a, b in GrayIndex(f).within(f, radius)]
-                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                a, b = a[a < b], b[a < b]
-                e = forest(len(f), a, b)
-                if e:
-                    x = np.array(e)
-                    yield _edges(f[x[:, 0]], f[x[:, 1]].view(np.int64), False)
+            if len(f) < 2:
                 continue
-            for d in range(1, int(size.max(initial=1))):
-                i = np.flatnonzero(key[d:] == key[:-d])
-                i = i[np.bitwise_count(f[i] ^ f[i + d]) <= radius]
-                if len(i):
-                    yield _edges(f[i], f[i + d].view(np.int64), False)
+            label = np.arange(len(f))
+            for a, b in GrayIndex(f).within(f, radius):
+                join_parts(label, a[a < b], b[a < b])
+            linked = np.flatnonzero(label != np.arange(len(f)))
+            if len(linked):
+                yield _edges(f[linked], f[label[linked]].view(np.int64), False)
 
     return keyed.repartition("k").sortWithinPartitions("k", "f").mapInArrow(run, "a long, b long, long boolean")
 
 
-def _grouped(batches, limit: int):
-    """((keys, fingerprints), long): many short keys together, or one key of over SMALL rows, or pieces of a long one."""
-    pend_k: list[np.ndarray] = []
-    pend_f: list[np.ndarray] = []
-    carry_k, carry_f, streaming = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-
-    def split(k, f):
-        cut = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        size = np.diff(np.append(cut, len(k)))
-        big = size > SMALL
-        short = ~np.repeat(big, size)
-        if short.any():
-            yield (k[short], f[short]), False
-        for s, n in zip(cut[big], size[big], strict=True):
-            yield (k[s : s + n], f[s : s + n]), bool(n > limit)
-
-    for b in batches:
-        k, f = b.column("k").to_numpy(), b.column("f").to_numpy()
-        if not len(k):
-            continue
-        if streaming is not None:
-            n = int(np.searchsorted(k, streaming, "right"))
-            if n:
-                yield (k[:n], f[:n]), True
-            if n == len(k):
-                continue
-            k, f, streaming = k[n:], f[n:], None
-        k, f = np.concatenate([carry_k, k]), np.concatenate([carry_f, f])
-        at = int(np.searchsorted(k, k[-1], "left"))
-        if at:
-            yield from split(k[:at], f[:at])
-        carry_k, carry_f = k[at:], f[at:]
-        if len(carry_k) > limit:
-            yield (carry_k, carry_f), True
-            streaming, carry_k, carry_f = carry_k[0], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(carry_k):
-        yield from split(carry_k, carry_f)
-
-
 def _edges(a, b, long: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(b.astype(np.int64, copy=False)), pa.array(np.full(len(a), long))], names=["a", "b", "long"])
 
@@ -250,10 +207,9 @@ def hamming_components(fps: DataFrame, radius: int = 2, limit: int = 20_000) ->
         raise ValueError("long keys need radius 2")
     spark = fps.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    n = radius + 2
-    edge = [64 * i // n for i in range(n + 1)]
-    parts = [F.shiftrightunsigned("f", edge[i]).bitwiseAND((1 << edge[i + 1] - edge[i]) - 1) for i in range(n)]
-    keys = [F.xxhash64(F.lit(t), parts[i], parts[j]) for t, (i, j) in enumerate(combinations(range(n), 2))]
+    edge = [64 * i // (radius + 1) for i in range(radius + 2)]
+    bits = max(0, math.ceil(math.log2(max(fps.count(), 1) / GROUP)))
+    keys = [F.xxhash64(F.lit(i), F.shiftrightunsigned("f", at).bitwiseAND((1 << min(bits, upto - at)) - 1)) for i, (at, upto) in enumerate(zip(edge, edge[1:], strict=False))]
     found = saved(_link_keys(fps.select(F.explode(F.array(*keys)).alias("k"), "f"), radius, limit), "links")
     hot = found.where("long").select(F.col("a").alias("f")).distinct()
     near = hot.select("f", F.explode(F.concat(F.array("f"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("f").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("c"))
@@ -294,15 +250,18 @@ def plan(n: int, similarity: float, recall: float = 0.99) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
-def near_pairs(fps: DataFrame, similarity: float, window: int = 4096) -> DataFrame:
-    """(a, b, far): likely pairs of ids of ``fps`` (id, f0 .. f3), as a least spanning forest of every key.
+#: Distinct shingles up to which a text has keys of its shingles too, since fingerprints of few shingles differ by chance.
+FEW = 50
+WINDOW = 4096
+
 
-    Texts that share a key of randomly chosen bits are compared on all 256 bits. A key of over ``window`` texts is
-    taken in Gray order of one of the words, turned by its own amount in every table, in windows that overlap by half: two
-    texts that one order sets apart meet in another. Rows are ordered in full, so that reruns agree.
+def keyed_texts(fps: DataFrame, similarity: float, n: int) -> DataFrame:
+    """(k, most, r, id, label, f0 ..): a row for each key of each text of ``fps``; ``most`` is the distance at which two
+    texts of the key are candidates, ``r`` a Gray rank that orders the key.
+
+    Every table has a key of randomly chosen bits. A text of FEW shingles or less has its least shingles as keys too: two
+    texts at ``similarity`` share one of them.
     """
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    n = fps.count()
     bits, tables = plan(n, similarity)
     total = 64 * WORDS64
     mean = total * _flip(similarity)
@@ -316,48 +275,66 @@ def near_pairs(fps: DataFrame, similarity: float, window: int = 4096) -> DataFra
         for j, x in enumerate(at):
             bit = F.shiftleft(F.shiftrightunsigned(names[x // 64], x % 64).bitwiseAND(1), j)
             value = bit if value is None else value.bitwiseOR(bit)
-        return F.struct(F.lit(t).alias("t"), value.alias("k"))
+        return F.struct(F.lit(t).alias("t"), value.cast("long").alias("k"), F.lit(most).alias("most"))
 
-    rows = fps.select("id", *names, F.explode(F.array(*(key(t, c) for t, c in enumerate(chosen)))).alias("x"))
-    word, turn = F.element_at(F.array(*names), F.col("x.t") % WORDS64 + 1), F.floor(F.col("x.t") / WORDS64).cast("int") % 4 * 16
-    turned = F.call_function("shiftleft", word, turn).bitwiseOR(F.call_function("shiftrightunsigned", word, 64 - turn))
-    rows = rows.withColumn("r", turned)
+    few = F.transform("p", lambda h: F.struct(F.lit(-1).alias("t"), h.alias("k"), F.lit(int(0.3 * total)).alias("most")))
+    rows = fps.select("id", "label", *names, F.explode(F.concat(F.array(*(key(t, c) for t, c in enumerate(chosen))), few)).alias("x"))
+    t = F.greatest(F.col("x.t"), F.lit(0))
+    word, turn = F.element_at(F.array(*names), t % WORDS64 + 1), F.floor(t / WORDS64).cast("int") % 4 * 16
+    rows = rows.withColumn("r", F.call_function("shiftleft", word, turn).bitwiseOR(F.call_function("shiftrightunsigned", word, 64 - turn)))
     for b in (1, 2, 4, 8, 16, 32):
         rows = rows.withColumn("r", F.col("r").bitwiseXOR(F.shiftrightunsigned("r", b)))
-    rows = rows.select(F.xxhash64("x.t", "x.k").alias("k"), "r", "id", *names)
+    return rows.select(F.xxhash64("x.t", "x.k").alias("k"), F.col("x.most").alias("most"), "r", "id", "label", *names)
+
+
+def candidates(keyed: DataFrame, each: int, window: int = WINDOW) -> DataFrame:
+    """(a, b): for every text and key the ``each`` nearest candidates of another label; b is null once for a text that has
+    more of them in some key.
+
+    A key of over ``window`` texts is taken in Gray order, in windows that overlap by half: two texts that one order sets
+    apart meet in another. Rows are ordered in full, so that reruns agree.
+    """
+    keyed.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    names = [f"f{i}" for i in range(WORDS64)]
 
     def run(batches):
         held = None
         for t, long in runs_of(batches, ["k"], window):
+            k, most = t.column("k")[0].as_py(), t.column("most")[0].as_py()
             f = np.stack([t.column(c).to_numpy() for c in names]).view(np.uint64)
-            ids = t.column("id").to_numpy()
-            if held is not None and held[2] == t.column("k")[0].as_py():
-                f, ids = np.concatenate([held[0], f], axis=1), np.concatenate([held[1], ids])
-            held = (f[:, -window // 2 :], ids[-window // 2 :], t.column("k")[0].as_py()) if long else None
+            ids, label = t.column("id").to_numpy(), t.column("label").to_numpy()
+            if held is not None and held[3] == k:
+                f, ids, label = np.concatenate([held[0], f], axis=1), np.concatenate([held[1], ids]), np.concatenate([held[2], label])
+            held = (f[:, -window // 2 :], ids[-window // 2 :], label[-window // 2 :], k) if long else None
             if len(ids) < 2:
                 continue
-            # Gray order puts texts that differ in few bits side by side
-            o = np.argsort(gray_rank(f[0]), kind="stable")
-            f, ids = f[:, o], ids[o]
-            near_i, near_j, near_d = [], [], []
+            out_a, out_b, open_ = [], [], []
             for s in range(0, len(ids), 128):
-                d = np.zeros((min(128, len(ids) - s), len(ids)), np.uint16)
+                far = np.zeros((min(128, len(ids) - s), len(ids)), np.uint16)
                 for w in f:
-                    d += np.bitwise_count(w[s : s + 128, None] ^ w[None, :])
-                i, j = np.nonzero(d <= most)
-                up = i + s < j
-                near_i.append(i[up] + s)
-                near_j.append(j[up])
-                near_d.append(d[i[up], j[up]])
-            i, j, d = map(np.concatenate, (near_i, near_j, near_d))
-            if len(i):
-                o = np.argsort(d, kind="stable")
-                e = np.array(forest(len(ids), i[o], j[o]))
-                far = np.bitwise_count(f[:, e[:, 0]] ^ f[:, e[:, 1]]).sum(axis=0)
-                a, b = ids[e[:, 0]], ids[e[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far.astype(np.int64))], names=["a", "b", "far"])
-
-    return rows.repartition("k").sortWithinPartitions("k", "r", *names, "id").mapInArrow(run, "a long, b long, far long").distinct()
+                    far += np.bitwise_count(w[s : s + 128, None] ^ w[None, :])
+                far[label[s : s + 128, None] == label[None, :]] = 999
+                near = far <= most
+                count = near.sum(axis=1)
+                i = np.flatnonzero(count)
+                if not len(i):
+                    continue
+                open_.append(ids[s + i[count[i] > each]])
+                if each < len(ids):
+                    j = np.argpartition(far[i], each - 1, axis=1)[:, :each]
+                    i = np.repeat(i, each)
+                    j = j.ravel()
+                    ok = far[i, j] <= most
+                    i, j = i[ok], j[ok]
+                else:
+                    i, j = np.nonzero(near)
+                out_a.append(ids[s + i])
+                out_b.append(ids[j])
+            if out_a:
+                a, b, more = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(open_)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(a, b), more])), pa.array(np.concatenate([np.maximum(a, b), more]), mask=np.arange(len(a) + len(more)) >= len(a))], names=["a", "b"])
+
+    return keyed.repartition("k").sortWithinPartitions("k", "r", *names, "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -372,42 +349,66 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, s binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h, root): a text's hash and its group, for every row; groups join texts at ``similarity`` or more.
-
-    Equal texts are one member. SimHash finds likely pairs (recall 0.99 at the similarity itself, more above it), the
-    Jaccard similarity of the sets of shingles decides. Texts without words (null, empty) form one group.
-    """
-    spark = docs.sparkSession
-    hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    fps = saved(fingerprints(hashed, [id_col, "__h"], width, WORDS64, text, distinct=True).withColumnsRenamed({id_col: "doc", "__h": "id"}), "fingerprints")
-    each = saved(fps.groupBy("id").agg(*(F.min(f"f{i}").alias(f"f{i}") for i in range(WORDS64))), "texts")
-    pairs = saved(near_pairs(each, similarity), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = hashed.select(F.col("__h").alias("id"), text_bytes(text).alias("raw")).join(ends, "id", "left_semi")
-    sets = saved(_sets(wanted, width).dropDuplicates(["id"]), "sets")
+def _judge(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, alike): whether the shingle sets of each pair reach the Jaccard similarity."""
     left = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
     both = left.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").select("a", "b", "sa", "sb")
 
-    def judge(batches):
+    def run(batches):
         for b in batches:
-            keep = []
+            alike = []
             for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common >= similarity * (len(p) + len(q) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                alike.append(common >= similarity * (len(p) + len(q) - common))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
+
+    small_batches(pairs.sparkSession)
+    return both.mapInArrow(run, "a long, b long, alike boolean")
 
-    links = both.mapInArrow(judge, "a long, b long")
-    roots = components(links).withColumnRenamed("node", "id")
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, h, root): a text's hash and its group, for every row; groups join texts at ``similarity`` or more.
+
+    Equal texts are one member. SimHash finds likely pairs (recall 0.99 at the similarity itself, more above it), the
+    Jaccard similarity of the sets of shingles decides. A first round judges the nearest candidate of each text and key;
+    texts with further candidates go on, with eight times as many in every round but only across the groups found so far,
+    until no candidate is left: no link is dropped because a nearer one was tried. Texts without words (null, empty) form
+    one group.
+    """
+    hashed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(text).alias("text"))
+    fps = saved(fingerprints(hashed, ["doc", "id"], width, WORDS64, distinct=True, few=similarity), "fingerprints")
+    names = [f"f{i}" for i in range(WORDS64)]
+    texts = saved(fps.groupBy("id").agg(*(F.min(k).alias(k) for k in names), F.first("p").alias("p")), "texts")
+    n = texts.count()
+    left, each, sets, judged = texts.withColumn("label", F.col("id")), 1, None, None
+    while True:
+        found = saved(candidates(keyed_texts(left, similarity, n), each), "candidates")
+        pairs = found.where("b is not null")
+        if sets is None:  # of all texts that later rounds may need
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            sets = saved(_sets(hashed.select("id", text_bytes("text").alias("raw")).join(ends, "id", "left_semi").dropDuplicates(["id"]), width), "sets")
+        else:
+            pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        now = saved(_judge(pairs, sets, similarity), "judged")
+        judged = now if judged is None else judged.unionByName(now)
+        roots = saved(components(judged.where("alike").select("a", "b")), "roots")
+        more = found.where("b is null").select(F.col("a").alias("id"))
+        tidy(docs.sparkSession)
+        if more.isEmpty():
+            break
+        left = texts.join(more, "id", "left_semi").join(roots.withColumnsRenamed({"node": "id", "root": "label"}), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        each *= 8
+    roots = roots.withColumnRenamed("node", "id")
     return fps.select(F.col("doc").alias(id_col), "id").join(roots, "id", "left").select(id_col, F.col("id").alias("h"), F.coalesce("root", "id").alias("root"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row of the least id stays (a null id last)."""
     groups = saved(near_duplicates(docs, width, similarity, id_col, text), "groups")
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("h"))).alias("m")).select(F.col("m.i").alias("__i"), F.col("m.h").alias("__h"))
-    out = docs.withColumn("__k", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    out = out.join(best, out["__k"].eqNullSafe(best["__h"]) & out[id_col].eqNullSafe(best["__i"]), "left_semi")
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("h"))).alias("m")).select(F.col("m.i").alias("i"), F.col("m.h").alias("h")).select(F.struct("i", "h").alias("best"))
+    k = fresh(docs, "k")
+    out = docs.withColumn(k, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    out = out.join(best, out[k].eqNullSafe(best["best.h"]) & out[id_col].eqNullSafe(best["best.i"]), "left_semi")
     repeats = groups.groupBy(id_col, "h").count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates([id_col, "__k"]) if repeats else out).drop("__k")
+    return (out.dropDuplicates([id_col, k]) if repeats else out).select(*docs.columns)
