@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propagon.llm.common import WORD, saved
+from propagon.llm.common import WORD, fresh, saved
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -119,7 +119,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """The rows of ``docs`` in the mix: each as often as its whole epochs say, and once more if half of it or more falls
     into the fractional selection. Rows without words are not part of a mix."""
     mix = saved(mix_sources(docs, id_col, text, source, seed), "mix")
-    times = mix.select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), (F.col("copies") + F.when(2 * (F.col("taken") - F.col("copies") * F.col("size")) >= F.col("size"), 1).otherwise(0)).alias("__n")).where("__n > 0").where(F.col("size") > 0).groupBy("__id", "__key").agg(F.max("__n").alias("__n"))
-    own = docs.withColumn("__k", sample_key(quality(text), id_col, text, seed))
-    out = own.join(times, own[id_col].eqNullSafe(times["__id"]) & (own["__k"] == times["__key"]))
-    return out.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
+    more = F.when(2 * (F.col("taken") - F.col("copies") * F.col("size")) >= F.col("size"), 1).otherwise(0)
+    wanted = mix.where("size > 0").groupBy(F.col(id_col).alias("id"), "key").agg(F.max(F.col("copies") + more).alias("n")).where("n > 0")
+    key, times = fresh(docs, "key"), fresh(docs, "times")
+    wanted = wanted.select(F.struct("id", "key", "n").alias(times))
+    own = docs.withColumn(key, sample_key(quality(text), id_col, text, seed))
+    out = own.join(wanted, own[id_col].eqNullSafe(wanted[times]["id"]) & (own[key] == wanted[times]["key"]))
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)["n"])).alias(key)).select(*docs.columns)

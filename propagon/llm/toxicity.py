@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propagon.llm.common import _BYTE, LOWER, WORD, blocks, crc_mod, mix, powers, saved, small_batches, text_bytes, tokens
+from propagon.llm.common import _BYTE, LOWER, WORD, blocks, crc_mod, fresh, mix, powers, saved, small_batches, text_bytes, tokens
 
 #: Size of the model: words of the largest absolute z-score that are kept, and words of the prior.
 MAX_WORDS = 20_000
@@ -225,24 +225,25 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", id_col:
     return model
 
 
-def toxicity(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, score (0 to 1) and passages, the significant ones: words from ``first`` before ``end``, bytes from
+def toxicity(docs: DataFrame, model: Model, keep: list[str], text: str = "text", score_col: str = "score", passages_col: str = "passages") -> DataFrame:
+    """``keep`` columns, score (0 to 1) and passages (under the names given), the significant ones: words from ``first`` before ``end``, bytes from
     ``at`` before ``to``, and the sum of log-odds. A null or empty text has no passage and gets the model's base score."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most max_words words
-    source = docs.select(*keep, text_bytes(text).alias("__raw"))
-    schema = source.drop("__raw").withColumns({"score": F.lit(0.0), "passages": F.expr("cast(null as array<struct<first:int,end:int,at:bigint,to:bigint,sum:double>>)")}).schema
+    raw = fresh(docs, "raw")
+    source = docs.select(*keep, text_bytes(text).alias(raw))
+    schema = source.drop(raw).withColumns({score_col: F.lit(0.0), passages_col: F.expr("cast(null as array<struct<first:int,end:int,at:bigint,to:bigint,sum:double>>)")}).schema
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("at", pa.int64()), ("to", pa.int64()), ("sum", pa.float64())]))
 
     def run(batches):
         m = shared.value
         for b in batches:
             score, spans = [], []
-            for n, segs, at, to, _ in m.passages(b.column("__raw")):
+            for n, segs, at, to, _ in m.passages(b.column(raw)):
                 score.append(m.score(n, [x[2] for x in segs]))
                 spans.append([{"first": s, "end": e, "at": int(at[s]), "to": int(to[e - 1]), "sum": x} for s, e, x in segs if m.evidence(n, [x]) >= -math.log10(SIGNIFICANT)])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score, pa.float64()), pa.array(spans, kind)], names=[*keep, "score", "passages"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score, pa.float64()), pa.array(spans, kind)], names=[*keep, score_col, passages_col])
 
     return source.mapInArrow(run, schema)
 
@@ -250,6 +251,8 @@ def toxicity(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 def labelled(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
     """Documents with a label, apart from the fifth that is held out (crc32 of the id modulo 5 is 0): the ``max_texts`` ids
     of the least hashes at most. The sample is drawn from the labels, so that only its texts are looked at."""
-    own = labels.select(F.col("doc_id").alias("__id"), "toxic").where("__id is not null and toxic is not null").where(crc_mod("__id", 5) != 0).dropDuplicates(["__id"])
+    own = labels.select(F.col("doc_id").alias("__id"), "toxic").where("__id is not null and toxic is not null").where(crc_mod("__id", 5) != 0)
+    # labels that disagree count as toxic, whatever their order
+    own = own.groupBy("__id").agg(F.max("toxic").alias("toxic"))
     own = own.orderBy(F.xxhash64("__id"), "__id").limit(max_texts)
     return docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).drop("__id")

@@ -147,16 +147,28 @@ def test_mixing(spark, texts):
 
 def test_token_shards_round_trip(spark, texts, tmp_path):
     e = token_output.Encoder(token_output.tokenizer_path())
-    odd = ["a  b", "a   b", " \n  x", "\n \n x", " ", "it's ok \n\n\n z", "\t b "]
-    assert all(e.encode(t) == e.ids(t) for t in [x for x in texts if x] + odd)
-    m = token_output.write_shards(frame(spark, texts).coalesce(1), f"file://{tmp_path}/out", token_output.tokenizer_path(), length=16, shard_sequences=10).orderBy("shard").collect()
-    stream = np.concatenate([np.append(np.frombuffer(e.encode(t or ""), "<u2"), token_output.END_ID) for t in texts])
-    n = -(-len(stream) // 16)
-    want = np.full(n * 16, token_output.END_ID, "<u2")
-    want[: len(stream)] = stream
+    odd = ["a  b", "a   b", " \n  x", "\n \n x", " ", "it's ok \n\n\n z", "\t b ", "x \u3000 y"]
+    whole = [np.array(e.bpe.encode_ordinary(t), "<u2").tobytes() for t in [x for x in texts if x] + odd]
+    assert whole == [e.encode(t) for t in [x for x in texts if x] + odd]
+    assert whole == [b"".join(e.encode(p) for p in token_output.parts(t, 7)) for t in [x for x in texts if x] + odd]
+    docs = frame(spark, texts).repartition(3, "doc_id")
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    m = token_output.write_shards(docs, f"file://{tmp_path}/out", token_output.tokenizer_path(), length=16, shard_sequences=10).orderBy("shard").collect()
+    each = docs.select(F.spark_partition_id().alias("p"), F.coalesce("text", F.lit("")).alias("t")).collect()
+    want, bounds, tokens = [], [], 0
+    for p in sorted({r.p for r in each}):
+        mine = [r.t for r in each if r.p == p]
+        stream = np.concatenate([np.append(np.frombuffer(e.encode(t), "<u2"), token_output.END_ID) for t in mine])
+        tokens += len(stream)
+        bounds.append(-(-sum(len(t.encode()) + 1 for t in mine) // 16))
+        want.append(np.append(stream, np.full(-len(stream) % 16, token_output.END_ID)).reshape(-1, 16))
+    first = np.cumsum(bounds) - bounds
+    place = np.concatenate([token_output.slots(np.arange(f, f + len(w)), sum(bounds), 0) for f, w in zip(first, want, strict=True)])
     got = np.concatenate([token_output.read_records(r.path, r.first_slot, r.first_slot, r.sequences, 16) for r in m])
-    place = token_output.slots(np.arange(n), n, 0)
-    assert sorted(place) == list(range(n)) and (got[place] == want.reshape(n, 16)).all() and sum(r.tokens for r in m) == len(stream)
+    assert (got == np.concatenate(want)[np.argsort(place)]).all() and len(got) == len(place) and sum(r.tokens for r in m) == tokens
+    assert sorted(token_output.slots(np.arange(100), 100, 3)) == list(range(100))
+    assert [r.first_slot for r in m] == [sum(x.sequences for x in m[:i]) for i in range(len(m))]
     assert all(hashlib.sha256(open(r.path, "rb").read()).hexdigest() == r.sha256 for r in m)
 
 

@@ -23,8 +23,8 @@ def tables(spark, tmp_path_factory):
     item = [" ".join(f"q{x}" for x in rng.integers(0, 3000, 40)) + ". The answer is right here." for _ in range(10)]
     texts += [texts[1], texts[1], texts[2].rsplit(" ", 1)[0] + " changed", texts[3] + " " + item[4], None, "", texts[5].replace(" ", "\n", 3)]
     folder = str(tmp_path_factory.mktemp("tables"))
-    rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", len(t or ""), "clash") for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string").write.parquet(f"{folder}/documents.parquet")
+    rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", len(t or ""), "clash", "clash", "clash", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, score string, raw string, times int").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(list(enumerate(item)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder, texts, set(range(0, 480, 4))
@@ -52,7 +52,7 @@ def test_toxic_documents_go_and_clean_ones_stay(tables, kept):
     _, texts, toxic = tables
     columns, rows = kept[0]
     left = {r.doc_id for r in rows}
-    assert columns == ["doc_id", "text", "lang", "source", "n_chars", "key"] and len(left) == len(rows)
+    assert columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "score", "raw", "times"] and len(left) == len(rows)
     assert len(left & toxic) <= 0.05 * len(toxic) and len(left - toxic) >= 0.98 * (len(texts) - len(toxic))
 
 
