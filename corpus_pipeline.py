@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from propagon.llm import decontamination, mixing, simhash, token_output, toxicity
-from propagon.llm.common import saved
+from propagon.llm.common import fresh, saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half for toxicity stay; a null or empty text has no toxic passage and stays."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.labelled(docs, labels))
-    return toxicity.toxicity(docs, model, docs.columns).where("score < 0.5").select(*docs.columns)
+    score, passages = fresh(docs, "score"), fresh(docs, "passages")
+    return toxicity.toxicity(docs, model, docs.columns, score_col=score, passages_col=passages).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
