@@ -372,8 +372,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
 
     Equal texts are one member. SimHash finds likely pairs (recall 0.99 at the similarity itself, more above it), the
     Jaccard similarity of the sets of shingles decides. A first round judges the nearest candidate of each text and key;
-    texts with further candidates go on, with eight times as many in every round but only across the groups found so far,
-    until no candidate is left: no link is dropped because a nearer one was tried. Texts without words (null, empty) form
+    texts with further candidates go on, with eight and then with all of them, but only across the groups found so far: no
+    link is dropped because a nearer one was tried. Texts without words (null, empty) form
     one group.
     """
     hashed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(text).alias("text"))
@@ -381,7 +381,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     names = [f"f{i}" for i in range(WORDS64)]
     texts = saved(fps.groupBy("id").agg(*(F.min(k).alias(k) for k in names), F.first("p").alias("p")), "texts")
     n = texts.count()
-    left, each, sets, judged = texts.withColumn("label", F.col("id")), 1, None, None
+    left, each, sets, judged, roots = texts.withColumn("label", F.col("id")), 1, None, None, None
     while True:
         found = saved(candidates(keyed_texts(left, similarity, n), each), "candidates")
         pairs = found.where("b is not null")
@@ -392,13 +392,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
             pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
         now = saved(_judge(pairs, sets, similarity), "judged")
         judged = now if judged is None else judged.unionByName(now)
-        roots = saved(components(judged.where("alike").select("a", "b")), "roots")
+        if roots is None or not now.where("alike").isEmpty():  # a link found later joins groups
+            roots = saved(components(judged.where("alike").select("a", "b")), "roots")
         more = found.where("b is null").select(F.col("a").alias("id"))
         tidy(docs.sparkSession)
         if more.isEmpty():
             break
         left = texts.join(more, "id", "left_semi").join(roots.withColumnsRenamed({"node": "id", "root": "label"}), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        each *= 8
+        each = 8 if each == 1 else 2 * WINDOW
     roots = roots.withColumnRenamed("node", "id")
     return fps.select(F.col("doc").alias(id_col), "id").join(roots, "id", "left").select(id_col, F.col("id").alias("h"), F.coalesce("root", "id").alias("root"))
 
