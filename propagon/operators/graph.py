@@ -20,6 +20,12 @@ def time_only_tree(posts: DataFrame, gap: int = LOOKBACK_GAP) -> DataFrame:
     return out.select("cascade_idx", F.col("tweet_idx").alias("child_tweet_idx"), F.col("user_idx").alias("child_user_idx"), F.col("p.tweet_idx").alias("parent_tweet_idx"), F.col("p.user_idx").alias("parent_user_idx"), (F.col("relative_time") - F.col("p.relative_time")).alias("time_gap"), F.when(F.col("near") > 0, F.col("near")).otherwise(F.col("all")).alias("candidate_count"))
 
 
+def tree_edges(tree: DataFrame, posts: DataFrame) -> DataFrame:
+    """A tree as user edges, parent to child at the child's time, in the form of ``star_edges``."""
+    t = posts.select("cascade_idx", F.col("tweet_idx").alias("child_tweet_idx"), "relative_time")
+    return tree.join(t, ["cascade_idx", "child_tweet_idx"]).select("cascade_idx", F.col("parent_user_idx").alias("src"), F.col("child_user_idx").alias("dst"), F.col("parent_tweet_idx").alias("src_tweet"), F.col("child_tweet_idx").alias("dst_tweet"), "relative_time")
+
+
 def tree_parents(tree: DataFrame) -> DataFrame:
     """Per cascade: edges, parents, parents of two or more, the share of the busiest, and the entropy of children."""
     n = tree.groupBy("cascade_idx", "parent_tweet_idx").agg(F.count("*").alias("c"))
@@ -64,15 +70,19 @@ def candidate_edges(follows: DataFrame, posts: DataFrame) -> DataFrame:
     v = v.withColumn("local_idx", F.row_number().over(Window.partitionBy("cascade_idx").orderBy("user_idx")) - 1)
     s = v.withColumnsRenamed({"user_idx": "src", "local_idx": "src_local"})
     d = v.withColumnsRenamed({"user_idx": "dst", "local_idx": "dst_local"})
-    return follows.join(s, "src").join(d, ["cascade_idx", "dst"]).select("cascade_idx", "src", "dst", F.col("src_local").cast("long"), F.col("dst_local").cast("long"))
+    # edges with an end outside all cascades go before a user's cascades multiply the rest
+    own = follows.join(v.select(F.col("user_idx").alias("dst")).distinct(), "dst", "left_semi")
+    return own.join(s, "src").join(d, ["cascade_idx", "dst"]).select("cascade_idx", "src", "dst", F.col("src_local").cast("long"), F.col("dst_local").cast("long"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """Local clustering coefficient of every node of an edge list, directions and self loops ignored."""
-    e = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    both = e.union(e.select("v", "u"))
-    deg = both.groupBy("u").agg(F.count("*").alias("k"))
-    # each triangle is found once, at its two smaller nodes
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    deg = pairs.union(pairs.select("v", "u")).groupBy("u").agg(F.count("*").alias("k"))
+    # edges lead to the end of more neighbours, so that a hub starts few wedges; each triangle is found once
+    ku, kv = deg.withColumnsRenamed({"k": "ku"}), deg.withColumnsRenamed({"u": "v", "k": "kv"})
+    up = (F.col("ku") < F.col("kv")) | ((F.col("ku") == F.col("kv")) & (F.col("u") < F.col("v")))
+    e = pairs.join(ku, "u").join(kv, "v").select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("v"))
     a, b, c = e.alias("a"), e.alias("b"), e.alias("c")
     tri = a.join(b, F.col("a.v") == F.col("b.u")).join(c, (F.col("c.u") == F.col("a.u")) & (F.col("c.v") == F.col("b.v"))).select(F.explode(F.array("a.u", "a.v", "b.v")).alias("u")).groupBy("u").agg(F.count("*").alias("t"))
     return deg.join(tri, "u", "left").select(F.col("u").alias("user_idx"), F.col("k").alias("degree"), F.round(F.when(F.col("k") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0), 6).alias("clustering"))

@@ -18,32 +18,37 @@ def event_size_bucket(n: Column) -> Column:
     return F.when(n < 8, "<8").when(n < 20, "8-20").when(n < 50, "20-50").when(n < 100, "50-100").when(n < 300, "100-300").otherwise("300+")
 
 
-def components(windows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Burst, concentration and persistence of every cascade, as the score label takes them."""
+#: Weights of the five component scores.
+WEIGHTS = {"burst": 0.25, "text_repetition": 0.20, "coordination": 0.20, "structure_concentration": 0.20, "persistence": 0.15}
+
+
+def components(windows: DataFrame, nodes: DataFrame, stats: DataFrame) -> DataFrame:
+    """Burst, repetition, coordination, concentration and persistence of every cascade, as the score label takes them."""
     w = windows.groupBy("cascade_idx").agg(F.max(F.greatest("delta_heat", F.lit(0))).alias("max_delta"), F.max("num_retweets_cur").alias("max_heat"), F.sum("num_retweets_cur").alias("retweets"), F.count_if(F.col("num_retweets_cur") > 0).alias("active"), F.count("*").alias("windows"))
-    n = nodes.groupBy("cascade_idx").agg(F.max("num_posts_cum").alias("top_posts"), F.max(F.col("in_degree_cum") + F.col("out_degree_cum")).alias("top_degree"), F.sum(F.col("in_degree_cum") + F.col("out_degree_cum")).alias("degrees"))
+    x = nodes.join(stats.select("cascade_idx", "window_idx", "user_idx", "num_texts_visible"), ["cascade_idx", "window_idx", "user_idx"], "left").na.fill(0)
+    degree = F.col("in_degree_cum") + F.col("out_degree_cum")
+    n = x.groupBy("cascade_idx").agg(F.max("num_posts_cum").alias("top_posts"), F.sum("num_texts_visible").alias("texts"), F.max(degree).alias("top_degree"), F.sum(degree).alias("degrees"), F.count("*").alias("node_rows"))
     one = lambda c: F.greatest(F.col(c), F.lit(1))
     x = w.join(n, "cascade_idx", "left").na.fill(0)
-    return x.select("cascade_idx", (F.col("max_delta") + F.col("max_heat")).cast("double").alias("burst"), (F.col("top_posts") / one("retweets")).alias("text"), (F.col("top_degree") / one("degrees")).alias("structure"), (F.col("active") / one("windows")).alias("persistence"))
+    raw = {"burst": (F.col("max_delta") + F.col("max_heat")).cast("double"), "text_repetition": F.col("top_posts") / one("retweets"), "coordination": F.col("texts") / one("node_rows"), "structure_concentration": F.col("top_degree") / one("degrees"), "persistence": F.col("active") / one("windows")}
+    return x.select("cascade_idx", *(v.alias(k) for k, v in raw.items()))
 
 
 def score_rank_labels(parts: DataFrame) -> DataFrame:
-    """Min-max scores, weighted; the lower half is 0, the top fifth 1, between them -1."""
-    names = {"burst": 0.3125, "text": 0.25, "structure": 0.25, "persistence": 0.1875}
-    bounds = parts.agg(*(f(k).alias(f"{k}_{f.__name__}") for k in names for f in (F.min, F.max)))
+    """Min-max scores, weighted and rounded to eight digits; the lower half is 0, the top fifth 1, between them -1. Confidence
+    falls with the distance from the end of the ranking. Ranks are counted in pieces, so no task orders all rows."""
+    bounds = parts.agg(*(f(k).alias(f"{k}_{f.__name__}") for k in WEIGHTS for f in (F.min, F.max)))
     x = parts.crossJoin(bounds)
     total = None
-    for k, weight in names.items():
+    for k, weight in WEIGHTS.items():
         span = F.col(f"{k}_max") - F.col(f"{k}_min")
         part = weight * F.when(span > 0, (F.col(k) - F.col(f"{k}_min")) / span).otherwise(0.0)
         total = part if total is None else total + part
-    s = x.select("cascade_idx", F.round(total, 8).alias("score"))
-    # ranks from counts per score, so that only equal scores are ordered together
-    by = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = s.groupBy("score").agg(F.count("*").alias("n")).withColumn("below", F.coalesce(F.sum("n").over(by), F.lit(0)))
-    r = s.join(below, "score").withColumn("rank", F.col("below") + F.row_number().over(Window.partitionBy("score").orderBy("cascade_idx")) - 1).crossJoin(s.agg(F.count("*").alias("total")))
-    label = F.when(F.col("rank") < F.floor(0.5 * F.col("total")), 0).when(F.col("rank") >= F.floor(0.8 * F.col("total")), 1).otherwise(-1)
-    return r.select("cascade_idx", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), label.alias("label"), split_of(F.col("cascade_idx")).alias("split"))
+    r = bucket_ranks(x.select("cascade_idx", F.lit("all").alias("bucket"), F.round(total, 8).alias("weak_score")), ("weak_score",))
+    rank, low, high = F.col("weak_score_rank"), F.floor(0.5 * F.col("n")), F.floor(0.8 * F.col("n"))
+    label = F.when(rank < low, 0).when(rank >= high, 1).otherwise(-1)
+    sure = F.when(rank < low, 1 - rank / F.greatest(low, F.lit(1))).when(rank >= high, (rank - high + 1) / F.greatest(F.col("n") - high, F.lit(1))).otherwise(0.0)
+    return r.select("cascade_idx", "weak_score", rank.cast("long").alias("rank"), label.alias("weak_label"), F.round(sure, 8).alias("label_confidence"), split_of(F.col("cascade_idx")).alias("split"))
 
 
 def bucket_percentiles(rows: DataFrame, value: str, bucket: str, id_col: str = "cascade_idx") -> DataFrame:
@@ -56,6 +61,8 @@ def bucket_percentiles(rows: DataFrame, value: str, bucket: str, id_col: str = "
 #: The raw scores of a cascade that are ranked within size buckets, and the cut points of a ranking.
 RAW = ("burst", "coordination", "structure", "text", "temporal_sync", "follow_density", "natural_spread")
 PIECES = 200
+#: Added before rounding, so that a decimal half goes up whatever the last bit of its double is.
+HALF_UP = 1e-11
 
 
 def event_features(cascades: DataFrame, windows: DataFrame, nodes: DataFrame, stats: DataFrame, similarity: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -70,15 +77,15 @@ def event_features(cascades: DataFrame, windows: DataFrame, nodes: DataFrame, st
     seen = F.when((F.col("num_posts_cum") > 0) | (F.col("num_texts_visible") > 0), F.col("first_seen_time"))
     cum, ctx = (F.col(f"in_degree_{s}") + F.col(f"out_degree_{s}") for s in ("cum", "ctx"))
     n = x.groupBy("cascade_idx").agg(
-        F.count("*").alias("node_rows"), F.count_distinct("user_idx").alias("users"), F.max("num_posts_cum").alias("top_posts"), F.sum("num_texts_visible").alias("texts"), F.round(F.sum("text_score"), 6).alias("text_sum"),
+        F.count("*").alias("node_rows"), F.count_distinct("user_idx").alias("users"), F.max("num_posts_cum").alias("top_posts"), F.sum("num_texts_visible").alias("texts"), F.round(F.sum("text_score") + HALF_UP, 6).alias("text_sum"),
         F.max(cum).alias("top_degree"), F.sum(cum).alias("degrees"), F.sum(ctx).alias("degrees_ctx"), F.stddev_pop(seen).alias("seen_std"), (F.max(seen) - F.min(seen)).alias("seen_span"),
     )
     f = candidates.groupBy("cascade_idx").agg(F.count("*").alias("candidates"))
-    c = cascades.select("cascade_idx", F.col("observed_retweet_count").alias("observed"), F.col("obs_duration"))
+    c = cascades.select("cascade_idx", F.col("observed_retweet_count").alias("observed"), F.col("observed_duration"))
     r = c.join(w, "cascade_idx", "left").join(n, "cascade_idx", "left").join(f, "cascade_idx", "left").na.fill(0)
     one = lambda k: F.greatest(F.col(k), F.lit(1))
     share = F.col("max_heat") / (F.col("observed") + 1)
-    coordination = F.col("active_users") / (F.col("active_windows") + 1) + one("users") / F.log(1 + one("obs_duration"))
+    coordination = F.col("active_users") / (F.col("active_windows") + 1) + one("users") / F.log(1 + one("observed_duration"))
     structure = F.col("top_degree") / one("degrees") + F.col("degrees_ctx") / one("node_rows") + F.col("candidates") / (one("users") * one("users"))
     raw = {
         "burst": F.col("max_delta") + F.col("max_heat") + share,
@@ -89,14 +96,17 @@ def event_features(cascades: DataFrame, windows: DataFrame, nodes: DataFrame, st
         "follow_density": F.col("candidates") / (one("users") * F.greatest(one("users") - 1, F.lit(1))),
         "natural_spread": F.log(1 + F.col("observed")) + F.col("seen_span") / 1800 - coordination - structure,
     }
-    return r.select("cascade_idx", event_size_bucket(F.col("observed")).alias("bucket"), *(F.round(v.cast("double"), 8).alias(k) for k, v in raw.items()), "users", "candidates", F.col("max_heat").alias("top_window"), "text_sum", "degrees_ctx")
+    return r.select("cascade_idx", event_size_bucket(F.col("observed")).alias("bucket"), *(F.round(v.cast("double") + HALF_UP, 8).alias(k) for k, v in raw.items()), "users", "candidates", F.col("max_heat").alias("top_window"), "text_sum", "degrees_ctx")
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """The rows behind a checkpoint in the folder that the session names; a temporary one where it names none."""
+    """The rows behind a checkpoint in the folder that the session names; in local mode a temporary one where it names none."""
     sc = rows.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="propagon-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="propagon-"))
     return rows.checkpoint()
 
 
@@ -200,7 +210,7 @@ def network_labels(scored: DataFrame) -> DataFrame:
     high = (F.col("network") >= F.col("network_q80")) & (F.col("largest_score") >= F.col("largest_score_q70")) & (F.col("density_score") >= F.col("density_score_q70"))
     low = (F.col("network") <= F.col("network_q40")) & (F.col("largest_score") <= F.col("largest_score_q40")) & (F.col("density_score") <= F.col("density_score_q40"))
     big = F.col("bucket") != "<8"
-    return x.select("cascade_idx", F.col("edges").cast("long").alias("edges"), "network", F.when(big & high, 1).when(big & low, 0).otherwise(-1).alias("label"), F.round(F.least(F.lit(1.0), 2 * F.abs(F.col("network") - 0.5)), 6).alias("confidence"))
+    return x.select("cascade_idx", F.col("edges").cast("long").alias("edges"), "network", F.when(big & high, 1).when(big & low, 0).otherwise(-1).alias("label"), F.round(F.least(F.lit(1.0), 2 * F.abs(F.col("network") - 0.5)) + HALF_UP, 6).alias("confidence"))
 
 
 def consensus_labels(*versions: DataFrame) -> DataFrame:
@@ -214,3 +224,46 @@ def consensus_labels(*versions: DataFrame) -> DataFrame:
     conf = F.when(yes, F.col("pos")).when(no, F.col("neg")).otherwise(F.greatest("pos", "neg")) / len(versions)
     clash = ~(yes | no) & (F.col("pos") > 0) & (F.col("neg") > 0)
     return x.select("cascade_idx", "pos", "neg", F.when(yes, 1).when(no, 0).otherwise(-1).alias("label"), F.round(conf, 6).alias("confidence"), clash.cast("int").alias("conflict"))
+
+
+def label_counts(labels: DataFrame, by: str = "bucket") -> DataFrame:
+    """Cascades of each label in each group."""
+    return labels.groupBy(by).agg(*(F.count_if(F.col("label") == v).alias(k) for k, v in (("positive", 1), ("negative", 0), ("ignore", -1))))
+
+
+def label_describe(labels: DataFrame, value: str) -> DataFrame:
+    """Per label: rows, mean, least, middle (the upper one of two) and largest value."""
+    r = bucket_ranks(labels.select("cascade_idx", F.col("label").alias("bucket"), value), (value,))
+    middle = F.max(F.when(F.col(f"{value}_rank") == F.expr("n div 2"), F.col(value)))
+    return r.groupBy(F.col("bucket").alias("label")).agg(F.count("*").alias("count"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("min"), middle.alias("p50"), F.max(value).alias("max"))
+
+
+def pearson(a: str, b: str) -> Column:
+    """Correlation, 0 where a side does not vary."""
+    return F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b)).otherwise(0.0)
+
+
+def label_agreement(**versions: DataFrame) -> DataFrame:
+    """(left, right, label_left, label_right, cascades): how often each two versions give each two labels."""
+    x = None
+    for k, v in versions.items():
+        one = v.select("cascade_idx", F.col("label").alias(k))
+        x = one if x is None else x.join(one, "cascade_idx")
+    names = list(versions)
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("label_left"), F.col(b).alias("label_right")) for i, a in enumerate(names) for b in names[i + 1 :]))).alias("x")
+    return x.select(pairs).groupBy("x.left", "x.right", "x.label_left", "x.label_right").agg(F.count("*").alias("cascades"))
+
+
+def label_comparison(cascades: DataFrame, **versions: DataFrame) -> DataFrame:
+    """Per version: labels and their shares, correlation with the reposts observed, mean confidence, and the balance of labels
+    within size buckets (the share of the rarer one, averaged over buckets with a label)."""
+    every = None
+    for k, v in versions.items():
+        one = v.select(F.lit(k).alias("label_version"), "cascade_idx", "label", F.col("confidence").cast("double").alias("confidence"))
+        every = one if every is None else every.unionByName(one)
+    x = every.join(cascades.select("cascade_idx", F.col("observed_retweet_count").cast("double").alias("observed"), event_size_bucket(F.col("observed_retweet_count")).alias("bucket")), "cascade_idx").withColumn("y", F.col("label").cast("double"))
+    total = F.count("*")
+    of = {k: F.count_if(F.col("label") == v) for k, v in (("positive", 1), ("negative", 0), ("ignore", -1))}
+    n = x.groupBy("label_version").agg(*(v.alias(k) for k, v in of.items()), *(F.round(v / total, 6).alias(f"{k}_ratio") for k, v in of.items()), F.round(pearson("observed", "y"), 6).alias("correlation"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    b = x.where("label >= 0").groupBy("label_version", "bucket").agg((F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)) / F.count("*")).alias("balance"))
+    return n.join(b.groupBy("label_version").agg(F.avg("balance").alias("balance")), "label_version", "left").withColumn("balance", F.round(F.coalesce("balance", F.lit(0.0)), 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,14 +52,17 @@ def brier_nll(preds: DataFrame, eps: float = 1e-12) -> DataFrame:
     return preds.agg(F.round(F.avg((F.col("y_prob") - F.col("y_true")) ** 2), 6).alias("brier"), F.round(F.avg(nll), 6).alias("nll"))
 
 
+def bin_of(bins: int) -> Column:
+    """Bin whose lower edge, i / bins, is the last one not above the score; 1 belongs to the last bin."""
+    return sum((F.col("y_prob") >= i / bins).cast("long") for i in range(1, bins))
+
+
 def calibration_bins(preds: DataFrame, bins: int = 10) -> DataFrame:
-    b = F.least(F.floor(F.col("y_prob") * bins + 1e-9), F.lit(bins - 1)).cast("long")
-    return preds.withColumn("bin", b).groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("y_prob"), 6).alias("confidence"), F.round(F.avg("y_true"), 6).alias("accuracy"))
+    return preds.withColumn("bin", bin_of(bins)).groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("y_prob"), 6).alias("confidence"), F.round(F.avg("y_true"), 6).alias("accuracy"))
 
 
 def calibration_error(preds: DataFrame, bins: int = 10) -> DataFrame:
-    b = F.least(F.floor(F.col("y_prob") * bins + 1e-9), F.lit(bins - 1)).cast("long")
-    x = preds.withColumn("bin", b).groupBy("bin").agg(F.count("*").alias("n"), F.abs(F.avg("y_prob") - F.avg("y_true")).alias("gap"))
+    x = preds.withColumn("bin", bin_of(bins)).groupBy("bin").agg(F.count("*").alias("n"), F.abs(F.avg("y_prob") - F.avg("y_true")).alias("gap"))
     return x.agg(F.round(F.sum(F.col("n") * F.col("gap")) / F.sum("n"), 6).alias("ece"))
 
 

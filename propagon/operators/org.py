@@ -28,19 +28,27 @@ def quality_counters(raw: DataFrame) -> DataFrame:
     return n.crossJoin(posts(raw).agg(F.count("*").alias("kept"))).select("rows", "negative", "late", "roots", (F.col("rows") - F.col("kept")).alias("duplicates"))
 
 
+#: The reasons why a cascade does not train.
+REASONS = ("min_retweets", "min_duration", "bad_root_user_idx", "bad_root_time_epoch")
+
+
 def cascade_table(raw: DataFrame, obs: int = OBSERVATION, min_reposts: int = MIN_REPOSTS, min_duration: int = MIN_DURATION) -> DataFrame:
-    """Per root: repost counts before the removal of duplicates, duration, reasons to drop it and whether it trains."""
-    inside = F.col("relative_time").between(0, obs)
-    seen = raw.where("is_root = 0").groupBy("cascade_idx").agg(F.count("*").alias("n"), F.count_if(inside).alias("o"), F.max(F.when(inside, F.col("relative_time"))).alias("d"))
-    c = raw.where("is_root = 1").select("cascade_idx", F.col("user_idx").alias("root_user_idx")).join(seen, "cascade_idx", "left")
-    c = c.select("cascade_idx", "root_user_idx", F.coalesce("n", F.lit(0)).alias("final_retweet_count"), F.coalesce("o", F.lit(0)).alias("observed_retweet_count"), F.coalesce("d", F.lit(0)).cast("long").alias("obs_duration"))
-    reason = F.concat_ws(";", F.when(F.col("observed_retweet_count") < min_reposts, "few_retweets"), F.when(F.col("obs_duration") < min_duration, "short_duration"))
+    """Per root: repost counts before the removal of duplicates, durations, reasons to drop it and whether it trains."""
+    rel = F.col("relative_time")
+    inside = rel.between(0, obs)
+    seen = raw.where("is_root = 0").groupBy("cascade_idx").agg(F.count("*").alias("n"), F.count_if(inside).alias("o"), F.max(rel).alias("m"), F.max(F.when(inside, rel)).alias("d"))
+    c = raw.where("is_root = 1").select("cascade_idx", F.col("tweet_idx").alias("root_tweet_idx"), F.col("user_idx").alias("root_user_idx"), F.col("time_epoch").alias("root_time_epoch")).join(seen, "cascade_idx", "left")
+    none = F.lit(0).cast("long")
+    c = c.select("cascade_idx", "root_tweet_idx", "root_user_idx", "root_time_epoch", F.coalesce("n", none).alias("final_retweet_count"), F.coalesce("o", none).alias("observed_retweet_count"), F.greatest(F.coalesce("m", none), none).alias("duration"), F.coalesce("d", none).alias("observed_duration"))
+    fails = (F.col("observed_retweet_count") < min_reposts, F.col("observed_duration") < min_duration, F.col("root_user_idx") <= 0, F.col("root_time_epoch") <= 0)
+    reason = F.concat_ws(";", *(F.when(f, name) for f, name in zip(fails, REASONS, strict=True)))
     return c.withColumn("drop_reason", reason).withColumn("valid_for_training", (F.col("drop_reason") == "").cast("int"))
 
 
-def user_table(raw: DataFrame) -> DataFrame:
-    """Roots and reposts per user of positive id."""
-    return raw.where("user_idx > 0").groupBy("user_idx").agg(F.count_if(F.col("is_root") == 1).alias("num_roots"), F.count_if(F.col("is_root") == 0).alias("num_retweets"), F.count_distinct("cascade_idx").alias("num_cascades"))
+def user_table(clean: DataFrame) -> DataFrame:
+    """Users of positive id with their roots and reposts, duplicates removed."""
+    n = clean.where("user_idx > 0").groupBy("user_idx").agg(F.count_if(F.col("is_root") == 1).alias("num_root_posts"), F.count_if(F.col("is_root") == 0).alias("num_retweets"))
+    return n.select("user_idx", F.lit(1).alias("is_active_in_events"), (F.col("num_root_posts") > 0).cast("int").alias("is_root_user"), (F.col("num_retweets") > 0).cast("int").alias("is_retweet_user"), "num_root_posts", "num_retweets")
 
 
 def org_window(rel: Column, obs: int = OBSERVATION, size: int = WINDOW) -> Column:
@@ -79,3 +87,66 @@ def dedup_lines(lines: DataFrame, key: list[str], order: str, by: str) -> DataFr
     """The first row of each key within a file, in file order; rows with a blank key stay."""
     w = Window.partitionBy(by, *key).orderBy(order)
     return lines.withColumn("rn", F.row_number().over(w)).where((F.col("rn") == 1) | (F.trim(F.col(key[0])) == "")).drop("rn")
+
+
+def valid_events(raw: DataFrame, roots: DataFrame) -> DataFrame:
+    """Reposts of a known root with positive ids and time; the root comes from ``roots``."""
+    known = roots.select("cascade_idx").distinct()
+    return raw.where("is_root = 0 and tweet_idx > 0 and user_idx > 0 and time_epoch > 0").join(known, "cascade_idx", "left_semi")
+
+
+def all_counters(raw: DataFrame, roots: DataFrame, obs: int = OBSERVATION) -> DataFrame:
+    """What was wrong with the reposts of a log: unknown roots, bad ids, negative times, repeated ids, missing texts."""
+    r = raw.where("is_root = 0").join(roots.select("cascade_idx", F.lit(1).alias("known")).distinct(), "cascade_idx", "left")
+    known = F.col("known").isNotNull()
+    bad = known & ((F.col("tweet_idx") <= 0) | (F.col("user_idx") <= 0) | (F.col("time_epoch") <= 0))
+    good = known & ~bad
+    n = r.agg(F.count_if(~known).alias("missing_cascade_root"), F.count_if(bad).alias("bad_event_rows"), F.count_if(bad & (F.col("user_idx") <= 0)).alias("missing_user_idx"), F.count_if(good & (F.col("relative_time") < 0)).alias("negative_relative_time"), F.count_if(good).alias("valid"))
+    kept = posts(roots.unionByName(valid_events(raw, roots))).where("is_root = 0").agg(F.count("*").alias("kept"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("missing_retweet_text"))
+    missing = roots.agg(F.count_if(F.coalesce("text", F.lit("")) == "").alias("missing_root_text"))
+    return n.crossJoin(kept).crossJoin(missing).select("missing_cascade_root", "bad_event_rows", "missing_user_idx", "negative_relative_time", (F.col("valid") - F.col("kept")).alias("duplicate_tweet_idx"), "missing_retweet_text", "missing_root_text")
+
+
+def overlapping_windows(clean: DataFrame, obs: int = OBSERVATION, size: int = 600, step: int = 300) -> DataFrame:
+    """(cascade_idx, tweet_idx, window_id): every window that holds a post; windows start at each step before ``obs``, end at
+    ``obs`` at the latest, and the last one is closed on the right. Only windows that hold the time are made."""
+    rel, last = F.col("relative_time"), -(-obs // step)
+    low = F.greatest(F.lit(1), F.floor((rel - size) / step) + 2)
+    high = F.least(F.lit(last), F.floor(rel / step) + 1)
+    # at the end of the observation only the closed window is left
+    held = F.when(rel == obs, F.array(F.lit(last).cast("long"))).when(low <= high, F.sequence(low.cast("long"), high.cast("long")))
+    return clean.where(rel.between(0, obs)).select("cascade_idx", "tweet_idx", F.explode(held).alias("window_id"))
+
+
+def window_activity(clean: DataFrame) -> DataFrame:
+    """Per cascade, window and user: posts, reposts, texts, first and last time; roots stand in window 1."""
+    w = F.when(F.col("is_root") == 1, F.lit(1).cast("long")).otherwise(org_window(F.col("relative_time")))
+    p = clean.withColumn("window_id", w).where("window_id is not null").withColumn("t", (F.coalesce("text", F.lit("")) != "").cast("int"))
+    time = F.when(F.col("is_root") == 1, 0).otherwise(F.col("relative_time")).cast("long")
+    return p.groupBy("cascade_idx", "window_id", "user_idx").agg(F.count("*").alias("active_count"), F.count_if(F.col("is_root") == 0).alias("retweet_count"), F.sum("t").alias("text_count"), F.min(time).alias("first_active_time"), F.max(time).alias("last_active_time"), F.max("is_root").alias("is_root"), F.max("t").alias("has_text"))
+
+
+def window_sizes(activity: DataFrame) -> DataFrame:
+    """Mean and median of users and reposts over windows with any."""
+    n = activity.groupBy("cascade_idx", "window_id").agg(F.count("*").alias("nodes"), F.sum("retweet_count").alias("retweets"))
+    return n.agg(F.count("*").alias("windows"), *(F.round(f, 6).alias(k) for k, f in (("avg_nodes", F.avg("nodes")), ("median_nodes", F.percentile("nodes", 0.5)), ("avg_retweets", F.avg("retweets")), ("median_retweets", F.percentile("retweets", 0.5)))))
+
+
+def integrity(raw: DataFrame, clean: DataFrame, activity: DataFrame, obs: int = OBSERVATION, size: int = WINDOW) -> DataFrame:
+    """One row of checks: positive ids, windows in range, a root of every cascade and its row in window 1."""
+    ids = clean.agg(F.min((F.col("cascade_idx") > 0) & (F.col("tweet_idx") > 0) & (F.col("user_idx") > 0)).alias("all_positive"), F.count_distinct("cascade_idx").alias("cascades"), F.count_distinct(F.when(F.col("is_root") == 1, F.col("cascade_idx"))).alias("rooted"))
+    rows = activity.agg(F.min(F.col("window_id").between(1, -(-obs // size))).alias("windows_in_range"), F.count_distinct(F.when((F.col("is_root") == 1) & (F.col("window_id") == 1), F.col("cascade_idx"))).alias("first"))
+    return ids.crossJoin(rows).select(F.col("all_positive").cast("int").alias("all_positive"), F.col("windows_in_range").cast("int").alias("windows_in_range"), (F.col("cascades") == F.col("rooted")).cast("int").alias("roots_exist"), (F.col("cascades") == F.col("first")).cast("int").alias("roots_in_first_window"))
+
+
+#: Observation, window, step, least reposts and least duration of each setting of the sweep.
+SETTINGS = {"A": (1800, 300, 300, 8, 300), "B": (3600, 600, 600, 8, 600), "C": (7200, 600, 600, 10, 600), "D": (1800, 300, 300, 5, 300), "E": (3600, 600, 600, 5, 600)}
+
+
+def setting_sweep(raw: DataFrame) -> DataFrame:
+    """Per setting: cascades, those that train, and how many fail for each reason. One pass over the reposts serves all."""
+    rel = F.col("relative_time")
+    seen = raw.where("is_root = 0").groupBy("cascade_idx").agg(*(f for k, (o, *_) in SETTINGS.items() for f in (F.count_if(rel.between(0, o)).alias(f"n{k}"), F.max(F.when(rel.between(0, o), rel)).alias(f"d{k}"))))
+    c = raw.where("is_root = 1").select("cascade_idx").join(seen, "cascade_idx", "left").na.fill(0)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("setting"), (F.col(f"n{k}") < m).alias("few"), (F.col(f"d{k}") < d).alias("short")) for k, (_, _, _, m, d) in SETTINGS.items()))).alias("x")
+    return c.select(each).select("x.*").groupBy("setting").agg(F.count("*").alias("cascades"), F.count_if(~F.col("few") & ~F.col("short")).alias("valid"), F.count_if("few").alias("min_retweets"), F.count_if("short").alias("min_duration"))

@@ -58,14 +58,16 @@ def size_by_bin(raw: DataFrame) -> DataFrame:
 
 
 def observation_sweep(raw: DataFrame) -> DataFrame:
-    """Per observation and minimum: cascades that pass, their share, and mean and median counts of those."""
+    """Per observation and minimum: cascades that pass and their share; mean and median of the reposts and durations observed,
+    over all cascades."""
     r = raw.where("is_root = 0 and relative_time >= 0")
-    n = r.groupBy("cascade_idx").agg(*(F.count_if(F.col("relative_time") <= o).alias(f"n{o}") for o in sorted({o for o, _ in SWEEP})))
+    t, every = F.col("relative_time"), sorted({o for o, _ in SWEEP})
+    n = r.groupBy("cascade_idx").agg(*(F.count_if(t <= o).alias(f"n{o}") for o in every), *(F.max(F.when(t <= o, t)).alias(f"d{o}") for o in every))
     c = raw.where("is_root = 1").select("cascade_idx").join(n, "cascade_idx", "left").na.fill(0)
-    combos = F.explode(F.array(*(F.struct(F.lit(o).cast("long").alias("obs"), F.lit(m).cast("long").alias("min_retweets"), F.col(f"n{o}").alias("n")) for o, m in SWEEP))).alias("x")
-    x = c.select(combos).select("x.*")
+    combos = F.explode(F.array(*(F.struct(F.lit(o).cast("long").alias("obs_seconds"), F.lit(m).cast("long").alias("min_retweets"), F.col(f"n{o}").alias("n"), F.col(f"d{o}").alias("d")) for o, m in SWEEP))).alias("x")
+    x = c.select(combos).select("x.*").groupBy("obs_seconds", "min_retweets")
     ok = F.col("n") >= F.col("min_retweets")
-    return x.groupBy("obs", "min_retweets").agg(F.count_if(ok).alias("passed"), F.round(F.count_if(ok) / F.count("*"), 6).alias("ratio"), F.round(F.coalesce(F.avg(F.when(ok, F.col("n"))), F.lit(0.0)), 6).alias("mean_n"), F.round(F.coalesce(F.percentile(F.when(ok, F.col("n")), 0.5), F.lit(0.0)), 6).alias("median_n"))
+    return x.agg(F.count_if(ok).alias("num_pass_cascades"), F.round(F.count_if(ok) / F.count("*"), 6).alias("pass_ratio"), F.round(F.avg("n"), 6).alias("avg_observed_retweets"), F.round(F.percentile("n", 0.5), 6).alias("median_observed_retweets"), F.round(F.avg("d"), 6).alias("avg_observed_duration"), F.round(F.percentile("d", 0.5), 6).alias("median_observed_duration"))
 
 
 def largest_cascade(raw: DataFrame) -> DataFrame:

@@ -55,16 +55,24 @@ def fixed_windows(posts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def node_windows(posts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every user from the window first seen on: posts and degrees per scope, time since then, windows active so far."""
+    """Every user from the window first seen on: posts and degrees per scope, time since then, windows with posts or edges so
+    far, and whether the user has a root."""
     ends = edges.select("cascade_idx", F.col("src").alias("user_idx"), "relative_time", F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select("cascade_idx", F.col("dst").alias("user_idx"), "relative_time", F.lit(1).alias("i"), F.lit(0).alias("o")))
-    act = posts.select("cascade_idx", "user_idx", "relative_time", F.lit(1).alias("p"), F.lit(0).alias("i"), F.lit(0).alias("o")).unionByName(ends.withColumn("p", F.lit(0)))
-    first = act.groupBy("cascade_idx", "user_idx").agg(F.min("relative_time").alias("first_seen_time"))
+    act = posts.select("cascade_idx", "user_idx", "relative_time", F.lit(1).alias("p"), F.lit(0).alias("i"), F.lit(0).alias("o"), "is_root").unionByName(ends.withColumn("p", F.lit(0)).withColumn("is_root", F.lit(0)))
+    first = act.groupBy("cascade_idx", "user_idx").agg(F.min("relative_time").alias("first_seen_time"), F.max("is_root").alias("is_root"))
     f = fed(act, ["cascade_idx", "user_idx", "p", "i", "o"])
     sums = [F.sum(F.when(F.col("scope") == s, F.col(k)).otherwise(0)).alias(f"{name}_{s}") for k, name in (("p", "num_posts"), ("i", "in_degree"), ("o", "out_degree")) for s in ("cur", "ctx", "cum")]
     n = f.groupBy("cascade_idx", "window_idx", "user_idx").agg(*sums)
     g = grid(posts).join(first, "cascade_idx").where("first_seen_time < end_time").join(n, ["cascade_idx", "window_idx", "user_idx"], "left").na.fill(0)
     run = Window.partitionBy("cascade_idx", "user_idx").orderBy("window_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("time_since_first_seen", F.col("end_time") - F.col("first_seen_time")).withColumn("active_window_count", F.sum((F.col("num_posts_cur") > 0).cast("int")).over(run)).drop("end_time")
+    active = (F.col("num_posts_cur") + F.col("in_degree_cur") + F.col("out_degree_cur") > 0).cast("int")
+    return g.withColumn("time_since_first_seen", F.col("end_time") - F.col("first_seen_time")).withColumn("active_window_count", F.sum(active).over(run)).drop("end_time")
+
+
+def fixed_node_windows(posts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The panel of users over windows of one step, with counts of the window and up to its end."""
+    names = {"num_posts_cur": "num_posts_in_window", "num_posts_cum": "cum_posts", "in_degree_cur": "in_degree_window", "out_degree_cur": "out_degree_window", "in_degree_cum": "cum_in_degree", "out_degree_cum": "cum_out_degree"}
+    return node_windows(posts, edges).select("cascade_idx", "window_idx", "user_idx", "is_root", "first_seen_time", *(F.col(k).alias(v) for k, v in names.items()), "time_since_first_seen")
 
 
 def edge_windows(edges: DataFrame) -> DataFrame:
@@ -74,8 +82,10 @@ def edge_windows(edges: DataFrame) -> DataFrame:
 
 
 def text_windows(posts: DataFrame) -> DataFrame:
-    """Texts visible at each window's end: roots always, reposts that came before it."""
-    g = grid(posts).join(posts, "cascade_idx").where("is_root = 1 or relative_time < end_time")
+    """Texts visible at each window's end: roots always, reposts that came before it. Only visible windows are made."""
+    last = OBSERVATION // STEP
+    first = F.when(F.col("is_root") == 1, 1).otherwise(F.greatest(bucket(F.col("relative_time")), F.lit(1))).cast("long")
+    g = posts.where(first <= last).withColumn("window_idx", F.explode(F.sequence(first, F.lit(last).cast("long")))).withColumn("end_time", F.col("window_idx") * STEP)
     kind = F.when(F.col("is_root") == 1, "root_always_visible").when(F.col("relative_time") >= F.col("end_time") - STEP, "current_window").otherwise("history_visible")
     return g.select("cascade_idx", "window_idx", "tweet_idx", "user_idx", "relative_time", kind.alias("text_visible_type"), F.length("text").cast("long").alias("text_length"))
 

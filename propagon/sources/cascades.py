@@ -11,18 +11,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an event: 64 ids make a cascade, its first is the root; some ids repeat and some times are negative."""
+    """One row an event: 64 ids make two cascades of changing size, the first event of each is its root; some ids repeat and
+    some times are negative."""
     e = table(spark, sf_dir, "events")
     b, k = F.expr("event_id div 64"), F.col("event_id") % 64
-    rel = F.when(k == 0, 0).when(F.col("event_id") % 640 == 639, -30).otherwise(F.expr("((event_id % 64) * 40 + user_id % 40) div 30 * 30")).cast("long")
-    kept = e.where((k < 8 + (b * 37) % 57) | (F.col("event_id") % 640 == 639))
-    return kept.select(
-        (b + 1).alias("cascade_idx"),
+    cut = 8 + (b * 37) % 57
+    j = F.when(k < cut, k).otherwise(k - cut)
+    rel = F.when(j == 0, 0).when(F.col("event_id") % 640 == 639, -30).otherwise(F.floor((j * 40 + F.col("user_id") % 40) / 30) * 30).cast("long")
+    cascade = 2 * b + 1 + (k >= cut).cast("int")
+    return e.select(
+        cascade.alias("cascade_idx"),
         F.when(F.col("event_id") % 100 == 99, F.col("event_id")).otherwise(F.col("event_id") + 1).alias("tweet_idx"),
         (F.col("user_id") + 1).alias("user_idx"),
-        (k == 0).cast("int").alias("is_root"),
+        (j == 0).cast("int").alias("is_root"),
         rel.alias("relative_time"),
-        (F.lit(1704067200) + b * 86400 + rel).alias("time_epoch"),
+        (F.lit(1704067200) + (cascade - 1) * 86400 + rel).alias("time_epoch"),
         F.concat("event_type", F.lit(" "), "props").alias("text"),
         F.col("event_id").alias("event_seq"),
     )
@@ -30,8 +33,7 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (src, dst) user pairs; self loops stay."""
-    line = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 10 == 0)
-    return line.select((F.col("l_suppkey") % 150 + 1).alias("src"), (F.col("l_partkey") % 150 + 1).alias("dst")).distinct()
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + 1).alias("src"), (F.col("l_partkey") + 1).alias("dst")).distinct()
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +43,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("row_seq"), (F.col("value") > 20).cast("int").alias("y_true"), prob.alias("y_prob"))
 
 
-SQL = """raw_posts AS (
-  SELECT event_id // 64 + 1 AS cascade_idx, CASE WHEN event_id % 100 = 99 THEN event_id ELSE event_id + 1 END AS tweet_idx,
-    user_id + 1 AS user_idx, CAST(event_id % 64 = 0 AS INT) AS is_root,
-    CAST(CASE WHEN event_id % 64 = 0 THEN 0 WHEN event_id % 640 = 639 THEN -30 ELSE ((event_id % 64) * 40 + user_id % 40) // 30 * 30 END AS BIGINT) AS relative_time,
+SQL = """placed AS (
+  SELECT *, event_id // 64 AS b, event_id % 64 AS k, 8 + (event_id // 64 * 37) % 57 AS cut FROM events),
+raw_posts AS (
+  SELECT 2 * b + 1 + CAST(k >= cut AS INT) AS cascade_idx, CASE WHEN event_id % 100 = 99 THEN event_id ELSE event_id + 1 END AS tweet_idx,
+    user_id + 1 AS user_idx, CAST(CASE WHEN k < cut THEN k ELSE k - cut END = 0 AS INT) AS is_root,
+    CAST(CASE WHEN CASE WHEN k < cut THEN k ELSE k - cut END = 0 THEN 0 WHEN event_id % 640 = 639 THEN -30 ELSE (CASE WHEN k < cut THEN k ELSE k - cut END * 40 + user_id % 40) // 30 * 30 END AS BIGINT) AS relative_time,
     event_type || ' ' || props AS text, event_id AS event_seq
-  FROM events WHERE event_id % 64 < 8 + ((event_id // 64) * 37) % 57 OR event_id % 640 = 639),
-follows AS (SELECT DISTINCT l_suppkey % 150 + 1 AS src, l_partkey % 150 + 1 AS dst FROM lineitem WHERE l_orderkey % 10 = 0),
+  FROM placed),
+follows AS (SELECT DISTINCT l_suppkey + 1 AS src, l_partkey + 1 AS dst FROM lineitem),
 preds AS (SELECT event_id AS row_seq, CAST(value > 20 AS INT) AS y_true, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS y_prob FROM events),
 roots AS (SELECT * FROM raw_posts WHERE is_root = 1),
 reposts AS (
