@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propagon.operators import features, graph, labels, metrics, org, packs, temporal, windows
+from propagon.operators import features, graph, labels, metrics, org, packs, temporal, trees, windows
 from propagon.sources import cascades as src
 
 QUERIES: dict = {}
@@ -305,3 +305,17 @@ _add("pack_candidates", lambda s, d: packs.pack_candidates(graph.candidate_edges
 _add("edge_stats", lambda s, d: packs.edge_stats(graph.candidate_edges(src.follows(s, d), _posts(s, d))), CAND + ", ce AS (SELECT * FROM cd WHERE src <> dst), ends AS (SELECT cascade_idx, src AS user_idx, dst AS other, 1 AS o, 0 AS i FROM ce UNION ALL SELECT cascade_idx, dst, src, 0, 1 FROM ce), pr AS (SELECT cascade_idx, user_idx, other, sum(o) AS o, sum(i) AS i FROM ends GROUP BY ALL) SELECT cascade_idx, user_idx, CAST(sum(i) AS BIGINT) AS edges_in, CAST(sum(o) AS BIGINT) AS edges_out, count(*) AS neighbours, count(CASE WHEN o > 0 AND i > 0 THEN 1 END) AS reciprocal FROM pr GROUP BY ALL")
 _add("pack_diagnostics", lambda s, d: packs.pack_diagnostics(_nodes(s, d), labels.stratified_labels(_scored(s, d)), labels.split_of(F.col("cascade_idx"))), RAWS + V2 + ", pn AS (SELECT cascade_idx, label, count(DISTINCT user_idx) AS n, CAST('0x' || substr(md5(CAST(cascade_idx AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS x FROM nw JOIN v2 USING (cascade_idx) WHERE label >= 0 GROUP BY cascade_idx, label) SELECT CASE WHEN x < 70 THEN 'train' WHEN x < 85 THEN 'valid' ELSE 'test' END AS split, label, count(*) AS samples, min(n) AS min_nodes, max(n) AS max_nodes FROM pn GROUP BY ALL")
 _add("positive_weight", lambda s, d: packs.positive_weight(labels.stratified_labels(_scored(s, d))), RAWS + V2 + ", pw AS (SELECT count(CASE WHEN label = 1 THEN 1 END) AS positive, count(CASE WHEN label = 0 THEN 1 END) AS negative FROM v2) SELECT positive, negative, round(CASE WHEN positive > 0 THEN negative / positive ELSE 1 END, 6) AS weight, round(sqrt(CASE WHEN positive > 0 THEN negative / positive ELSE 1 END), 6) AS root_weight FROM pw")
+
+
+# scored trees: folds, which SQL does not state; tests/test_trees.py has a plain version
+
+
+def _tree(s, d, method="hybrid"):
+    return trees.scored_tree(_posts(s, d), src.follows(s, d), method)
+
+
+QUERIES["hybrid_tree"] = _tree
+QUERIES["branching_tree"] = lambda s, d: _tree(s, d, "branching_time")
+QUERIES["follow_time_tree"] = lambda s, d: _tree(s, d, "follow_time")
+QUERIES["tree_features"] = lambda s, d: trees.tree_features(_tree(s, d))
+QUERIES["tree_diagnostics"] = lambda s, d: trees.tree_diagnostics(_tree(s, d), _posts(s, d))
