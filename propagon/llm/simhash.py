@@ -308,7 +308,6 @@ def candidates(keyed: DataFrame, each: int, window: int = WINDOW) -> DataFrame:
             held = (f[:, -window // 2 :], ids[-window // 2 :], label[-window // 2 :], k) if long else None
             if len(ids) < 2:
                 continue
-            out_a, out_b, open_ = [], [], []
             for s in range(0, len(ids), 128):
                 far = np.zeros((min(128, len(ids) - s), len(ids)), np.uint16)
                 for w in f:
@@ -319,7 +318,7 @@ def candidates(keyed: DataFrame, each: int, window: int = WINDOW) -> DataFrame:
                 i = np.flatnonzero(count)
                 if not len(i):
                     continue
-                open_.append(ids[s + i[count[i] > each]])
+                more = ids[s + i[count[i] > each]]
                 if each < len(ids):
                     j = np.argpartition(far[i], each - 1, axis=1)[:, :each]
                     i = np.repeat(i, each)
@@ -328,10 +327,7 @@ def candidates(keyed: DataFrame, each: int, window: int = WINDOW) -> DataFrame:
                     i, j = i[ok], j[ok]
                 else:
                     i, j = np.nonzero(near)
-                out_a.append(ids[s + i])
-                out_b.append(ids[j])
-            if out_a:
-                a, b, more = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(open_)
+                a, b = ids[s + i], ids[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(a, b), more])), pa.array(np.concatenate([np.maximum(a, b), more]), mask=np.arange(len(a) + len(more)) >= len(a))], names=["a", "b"])
 
     return keyed.repartition("k").sortWithinPartitions("k", "r", *names, "id").mapInArrow(run, "a long, b long").distinct()
