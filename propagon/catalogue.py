@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propagon.operators import features, graph, labels, metrics, org, packs, temporal, trees, windows
+from propagon.operators import features, graph, labels, metrics, org, packs, stability, temporal, trees, windows
 from propagon.sources import cascades as src
 
 QUERIES: dict = {}
@@ -319,3 +319,37 @@ QUERIES["branching_tree"] = lambda s, d: _tree(s, d, "branching_time")
 QUERIES["follow_time_tree"] = lambda s, d: _tree(s, d, "follow_time")
 QUERIES["tree_features"] = lambda s, d: trees.tree_features(_tree(s, d))
 QUERIES["tree_diagnostics"] = lambda s, d: trees.tree_diagnostics(_tree(s, d), _posts(s, d))
+
+# node predictions
+STEPS = ", st AS (SELECT *, lag(node_prob) OVER o AS p0, lag(node_strength) OVER o AS s0, lag(dominant_role) OVER o AS r0 FROM npred WINDOW o AS (PARTITION BY cascade_idx, node_idx ORDER BY window_idx)), sp AS (SELECT *, abs(node_prob - p0) AS j FROM st WHERE p0 IS NOT NULL)"
+_add("temporal_stability", lambda s, d: stability.temporal_stability(src.node_predictions(s, d)), STEPS + " SELECT round(avg(j), 6) AS prob_jump_mean, round(stddev_pop(j), 6) AS prob_jump_std, round(avg(abs(node_strength - s0)), 6) AS strength_jump_mean, round(count(CASE WHEN r0 <> dominant_role THEN 1 END) / greatest(count(*), 1), 6) AS role_transition_rate, round(avg(j * exp(-greatest(shock, 0))), 6) AS shock_weighted_jump, round(count(CASE WHEN node_prob >= 0.5 AND p0 >= 0.5 THEN 1 END) / greatest(count(CASE WHEN node_prob >= 0.5 OR p0 >= 0.5 THEN 1 END), 1), 6) AS high_risk_persistence FROM sp")
+_add("role_statistics", lambda s, d: stability.role_statistics(src.node_predictions(s, d)), " SELECT " + ", ".join(f"round(count(CASE WHEN dominant_role = '{r}' THEN 1 END) / count(*), 6) AS role_{r}_ratio" for r in stability.ROLES) + ", round(count(DISTINCT dominant_role) / 5, 6) AS dominant_role_diversity FROM npred")
+_add("gate_statistics", lambda s, d: stability.gate_statistics(src.node_predictions(s, d)), ", g AS (SELECT gate_obs_weight AS o, gate_prior_weight AS p, least(greatest(gate_obs_weight / greatest(gate_obs_weight + gate_prior_weight, 1e-12), 1e-12), 1) AS a, least(greatest(gate_prior_weight / greatest(gate_obs_weight + gate_prior_weight, 1e-12), 1e-12), 1) AS b FROM npred) SELECT round(avg(o), 6) AS mean_gate_obs, round(avg(p), 6) AS mean_gate_prior, round(count(CASE WHEN o >= p THEN 1 END) / count(*), 6) AS obs_dominant_ratio, round(count(CASE WHEN p > o THEN 1 END) / count(*), 6) AS prior_dominant_ratio, round(avg(-(a * ln(a) + b * ln(b)) / ln(2)), 6) AS gate_entropy FROM g")
+
+
+def _events(s, d):
+    c = org.cascade_table(src.raw_posts(s, d))
+    return c.select("cascade_idx", (F.col("observed_retweet_count") > 20).cast("int").alias("y_true"), (F.col("cascade_idx") % 2).cast("int").alias("y_pred"))
+
+
+_add("uncertainty_statistics", lambda s, d: stability.uncertainty_statistics(src.node_predictions(s, d), _events(s, d)), CASCADES + ", pu AS (SELECT cascade_idx, avg(uncertainty) AS u FROM npred GROUP BY ALL), eu AS (SELECT u, (observed_retweet_count > 20) = (cascade_idx % 2 = 1) AS ok FROM casc JOIN pu USING (cascade_idx)) SELECT (SELECT round(avg(uncertainty), 6) FROM npred) AS mean_uncertainty, round(coalesce(avg(CASE WHEN ok THEN u END), 0), 6) AS uncertainty_correct_mean, round(coalesce(avg(CASE WHEN NOT ok THEN u END), 0), 6) AS uncertainty_wrong_mean FROM eu")
+ATTENTION = ", at0 AS (SELECT *, sum(event_attention) OVER (PARTITION BY cascade_idx) AS total, row_number() OVER (PARTITION BY cascade_idx ORDER BY event_attention DESC, window_idx, node_idx) AS rn FROM npred), at1 AS (SELECT *, event_attention / total AS p FROM at0 WHERE total > 0)"
+_add("attention_statistics", lambda s, d: stability.attention_statistics(src.node_predictions(s, d)), ATTENTION + ", ac AS (SELECT cascade_idx, -sum(p * ln(greatest(p, 1e-12))) / ln(greatest(count(*), 2)) AS e, max(p) AS t1, sum(CASE WHEN rn <= 5 THEN p END) AS t5 FROM at1 GROUP BY ALL) SELECT round(avg(e), 6) AS attention_entropy, round(avg(t1), 6) AS top1_attention_mean, round(avg(t5), 6) AS top5_attention_mass_mean FROM ac")
+_add("key_windows", lambda s, d: stability.key_windows(src.node_predictions(s, d)), ATTENTION + " SELECT window_idx, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM at1 WHERE rn = 1 GROUP BY window_idx")
+_add("window_inequality", lambda s, d: stability.inequality(_nodes(s, d), ["cascade_idx", "window_idx"], "num_posts_cur"), NODES + ", iq AS (SELECT cascade_idx, window_idx, num_posts_cur AS v, row_number() OVER (PARTITION BY cascade_idx, window_idx ORDER BY num_posts_cur) AS i, sum(num_posts_cur) OVER (PARTITION BY cascade_idx, window_idx) AS t FROM nw) SELECT cascade_idx, window_idx, round(CASE WHEN max(t) > 0 THEN 2 * sum(i * v) / (count(*) * max(t)) - (count(*) + 1) / count(*) ELSE 0 END, 6) AS gini, round(CASE WHEN max(t) > 0 THEN -sum(CASE WHEN v > 0 THEN v / t * ln(v / t + 1e-12) END) / ln(greatest(count(CASE WHEN v > 0 THEN 1 END), 2)) ELSE 0 END, 6) AS entropy FROM iq GROUP BY ALL")
+
+# vectors
+VEC = ", vc AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+
+
+def _vectors(s, d):
+    return src.table(s, d, "embeddings").select("vec_id", "embedding")
+
+
+def _text_vectors(s, d):
+    t = windows.text_windows(_posts(s, d)).join(_vectors(s, d).withColumnRenamed("vec_id", "tweet_idx"), "tweet_idx")
+    return stability.mean_vectors(t, ["cascade_idx", "window_idx"], "embedding").select("cascade_idx", "window_idx", F.posexplode("v").alias("dim", "x")).select("cascade_idx", "window_idx", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+_add("text_vectors", _text_vectors, TEXTS + VEC + ", tv AS (SELECT cascade_idx, window_idx, dim, avg(x) AS x FROM tw JOIN vc ON vec_id = tweet_idx GROUP BY ALL) SELECT cascade_idx, window_idx, dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY cascade_idx, window_idx)), 1e-12), 6) AS x FROM tv")
+_add("neighbour_mean", lambda s, d: stability.neighbour_mean(src.follows(s, d), _vectors(s, d).select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))).select("node", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x")), VEC + " SELECT dst AS node, dim, round(avg(x), 6) AS x FROM follows JOIN vc ON vec_id = src GROUP BY ALL")

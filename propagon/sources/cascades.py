@@ -43,6 +43,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("row_seq"), (F.col("value") > 20).cast("int").alias("y_true"), prob.alias("y_prob"))
 
 
+def node_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each user and window of a cascade with an event, its predictions made from the ids."""
+    n = raw_posts(spark, sf_dir).where("relative_time between 0 and 1799").select("cascade_idx", F.col("user_idx").alias("node_idx"), (F.floor(F.col("relative_time") / 300) + 1).alias("window_idx")).distinct()
+    c, u, w = (F.col(k) for k in ("cascade_idx", "node_idx", "window_idx"))
+    roles = F.array(*map(F.lit, ("producer", "amplifier", "suppressor", "reframer", "ordinary")))
+    made = {"node_prob": (u * 37 + w * 11 + c) % 100 / 100, "node_strength": (u * 7 + w * 3) % 10 / 10, "shock": (c + w) % 5 / 5, "gate_obs_weight": (u + w) % 7 / 7, "gate_prior_weight": u * 3 % 5 / 5, "uncertainty": (u + c) % 11 / 11, "event_attention": (u * 13 + w * 5) % 17 / 17}
+    return n.withColumns(made).withColumn("dominant_role", F.element_at(roles, ((u + w) % 5 + 1).cast("int")))
+
+
 SQL = """placed AS (
   SELECT *, event_id // 64 AS b, event_id % 64 AS k, 8 + (event_id // 64 * 37) % 57 AS cut FROM events),
 raw_posts AS (
@@ -53,6 +62,9 @@ raw_posts AS (
   FROM placed),
 follows AS (SELECT DISTINCT l_suppkey + 1 AS src, l_partkey + 1 AS dst FROM lineitem),
 preds AS (SELECT event_id AS row_seq, CAST(value > 20 AS INT) AS y_true, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS y_prob FROM events),
+npred AS (SELECT *, (node_idx * 37 + window_idx * 11 + cascade_idx) % 100 / 100 AS node_prob, (node_idx * 7 + window_idx * 3) % 10 / 10 AS node_strength, (cascade_idx + window_idx) % 5 / 5 AS shock, (node_idx + window_idx) % 7 / 7 AS gate_obs_weight, node_idx * 3 % 5 / 5 AS gate_prior_weight,
+    (node_idx + cascade_idx) % 11 / 11 AS uncertainty, (node_idx * 13 + window_idx * 5) % 17 / 17 AS event_attention, ['producer', 'amplifier', 'suppressor', 'reframer', 'ordinary'][(node_idx + window_idx) % 5 + 1] AS dominant_role
+  FROM (SELECT DISTINCT cascade_idx, user_idx AS node_idx, relative_time // 300 + 1 AS window_idx FROM raw_posts WHERE relative_time BETWEEN 0 AND 1799)),
 roots AS (SELECT * FROM raw_posts WHERE is_root = 1),
 reposts AS (
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY tweet_idx ORDER BY event_seq) AS rn FROM raw_posts WHERE is_root = 0)
