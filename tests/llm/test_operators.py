@@ -278,6 +278,10 @@ def test_licences(spark):
     assert got == {(0, 1): ("mit", True), (1, 0): ("cc-by-nc", True), (2, 0): ("unknown", False)}
 
 
+def test_every_notice_is_scored(spark):
+    assert licences.notices(spark).where(~F.col("notice").rlike(licences.CUES)).select("notice").collect() == []
+
+
 def test_trusted_perplexity(spark):
     rng = np.random.default_rng(8)
     good = [" ".join(rng.choice([f"w{i}" for i in range(50)], 80)) for _ in range(300)]
