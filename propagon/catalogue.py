@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propagon.operators import features, graph, labels, metrics, org, packs, stability, temporal, trees, windows
+from propagon.operators import calibration, features, graph, labels, metrics, org, packs, sampling, stability, temporal, trees, windows
 from propagon.sources import cascades as src
 
 QUERIES: dict = {}
@@ -353,3 +353,45 @@ def _text_vectors(s, d):
 
 _add("text_vectors", _text_vectors, TEXTS + VEC + ", tv AS (SELECT cascade_idx, window_idx, dim, avg(x) AS x FROM tw JOIN vc ON vec_id = tweet_idx GROUP BY ALL) SELECT cascade_idx, window_idx, dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY cascade_idx, window_idx)), 1e-12), 6) AS x FROM tv")
 _add("neighbour_mean", lambda s, d: stability.neighbour_mean(src.follows(s, d), _vectors(s, d).select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))).select("node", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x")), VEC + " SELECT dst AS node, dim, round(avg(x), 6) AS x FROM follows JOIN vc ON vec_id = src GROUP BY ALL")
+
+# histograms and samples
+SAMPLE = 200
+CUTS = "CASE " + " ".join(f"WHEN final_retweet_count <= {hi} THEN {i}" for i, (_, hi) in enumerate(sampling.INTERVALS[:-1], 1)) + " ELSE 7 END"
+NAMES = "CASE bin " + " ".join(f"WHEN {i} THEN '{sampling.label(v)}'" for i, v in enumerate(sampling.INTERVALS, 1)) + " END"
+STRATA = CASCADES + f""", binned AS (SELECT cascade_idx, final_retweet_count, {CUTS} AS bin FROM casc), bs AS (SELECT bin, count(*) AS available FROM binned GROUP BY bin),
+bt AS (SELECT *, (SELECT sum(available) FROM bs) AS total, least({SAMPLE}, (SELECT sum(available) FROM bs)) AS wanted FROM bs), bf AS (SELECT *, CAST(floor(available / total * wanted) AS BIGINT) AS base FROM bt),
+bg AS (SELECT *, available - base AS free, wanted - sum(base) OVER () AS rest FROM bf),
+alloc AS (SELECT bin, available, CAST(base + greatest(0, least(free, rest - coalesce(sum(free) OVER (ORDER BY free DESC, bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS target FROM bg),
+strat AS (SELECT cascade_idx, bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(CAST(cascade_idx AS VARCHAR)), cascade_idx) AS place FROM binned) JOIN alloc USING (bin) WHERE place <= target)"""
+
+
+def _cascades(s, d):
+    return org.cascade_table(src.raw_posts(s, d))
+
+
+def _strata(s, d):
+    return sampling.stratified_sample(_cascades(s, d), "final_retweet_count", "cascade_idx", SAMPLE)
+
+
+_add("interval_histogram", lambda s, d: sampling.interval_histogram(_cascades(s, d), "final_retweet_count"), STRATA + f" SELECT {NAMES} AS interval, coalesce(available, 0) AS count, round(coalesce(available, 0) * 100 / (SELECT count(*) FROM casc), 2) AS percent FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS bin) LEFT JOIN bs USING (bin)")
+_add("interval_examples", lambda s, d: sampling.interval_examples(_cascades(s, d), "final_retweet_count", "cascade_idx"), STRATA + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY cascade_idx) AS place FROM binned) WHERE place <= 3")
+_add("sample_allocation", lambda s, d: sampling.allocation(_cascades(s, d), "final_retweet_count", SAMPLE), STRATA + " SELECT * FROM alloc")
+_add("stratified_sample", _strata, STRATA + " SELECT * FROM strat")
+_add("simple_sample", lambda s, d: sampling.simple_sample(_cascades(s, d).select("cascade_idx"), "cascade_idx", SAMPLE), CASCADES + f" SELECT cascade_idx FROM casc ORDER BY md5(CAST(cascade_idx AS VARCHAR)), cascade_idx LIMIT {SAMPLE}")
+_add("sample_ids", lambda s, d: sampling.with_ids(_strata(s, d), _cascades(s, d).where("valid_for_training = 1").select("cascade_idx", "root_tweet_idx"), "cascade_idx"), STRATA + " SELECT st.cascade_idx, bin, c.root_tweet_idx, CAST(c.cascade_idx IS NULL AS INT) AS missing FROM strat st LEFT JOIN (SELECT * FROM cascade_t WHERE drop_reason = '') c ON c.cascade_idx = st.cascade_idx")
+
+# epochs of runs: every cascade stands for a run and every window for an epoch
+EPOCHS = ", ep AS (SELECT cascade_idx AS run, window_idx AS epoch, max(node_prob) AS valid_f1, max(uncertainty) AS valid_auc, min(event_attention) AS valid_mcc FROM npred GROUP BY ALL), es AS (" + " UNION ALL ".join(f"SELECT run, '{n}' AS strategy, epoch, valid_f1, valid_auc, valid_mcc FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY {o}) AS rn FROM ep) WHERE rn = 1" for n, o in zip(calibration.STRATEGIES, ("epoch DESC", "valid_f1 DESC, epoch", "valid_auc DESC, epoch", "valid_mcc DESC, epoch"), strict=True)) + ")"
+
+
+def _selected(s, d):
+    n = src.node_predictions(s, d).groupBy(F.col("cascade_idx").alias("run"), F.col("window_idx").alias("epoch"))
+    return calibration.epoch_selection(n.agg(F.max("node_prob").alias("valid_f1"), F.max("uncertainty").alias("valid_auc"), F.min("event_attention").alias("valid_mcc")))
+
+
+_add("epoch_selection", _selected, EPOCHS + " SELECT * FROM es")
+_add("run_summary", lambda s, d: calibration.run_summary(_selected(s, d)), EPOCHS + " SELECT strategy, count(*) AS n, " + ", ".join(f"round(avg({f}), 6) AS {f}_mean, round(coalesce(stddev_samp({f}), 0), 6) AS {f}_std" for f in calibration.FIELDS) + " FROM es GROUP BY strategy")
+
+# fits of calibration, which SQL does not state; tests/test_calibration.py has plain versions
+QUERIES["calibrated_scores"] = lambda s, d: calibration.calibrated(src.predictions(s, d))
+QUERIES["calibration_matrix"] = lambda s, d: calibration.method_matrix(calibration.calibrated(src.predictions(s, d)))
