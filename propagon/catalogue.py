@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propagon.operators import calibration, features, graph, labels, metrics, org, packs, sampling, stability, temporal, trees, windows
+from propagon.operators import calibration, features, graph, key_users, labels, metrics, org, packs, sampling, stability, temporal, trees, windows
 from propagon.sources import cascades as src
 
 QUERIES: dict = {}
@@ -395,3 +395,27 @@ _add("run_summary", lambda s, d: calibration.run_summary(_selected(s, d)), EPOCH
 # fits of calibration, which SQL does not state; tests/test_calibration.py has plain versions
 QUERIES["calibrated_scores"] = lambda s, d: calibration.calibrated(src.predictions(s, d))
 QUERIES["calibration_matrix"] = lambda s, d: calibration.method_matrix(calibration.calibrated(src.predictions(s, d)))
+
+# key users
+SEED_FEATURES = [f"{n}_{k}" for n in ("num_posts", "in_degree", "out_degree") for k in ("cur", "ctx", "cum")]
+POOL = NODES + CAND.replace(", v AS", ", kv AS", 1).replace("JOIN v ", "JOIN kv ") + f""", ks0 AS (SELECT cascade_idx, window_idx, user_idx, ({" + ".join(SEED_FEATURES)}) / 9 AS m, greatest({", ".join(SEED_FEATURES)}) AS t FROM nw),
+kb AS (SELECT cascade_idx, count(*) < 6 * count(DISTINCT user_idx) AS pad, min(m) AS m0, max(m) AS m1, min(t) AS t0, max(t) AS t1 FROM ks0 GROUP BY ALL),
+kb1 AS (SELECT cascade_idx, m1, t1, CASE WHEN pad THEN 0 ELSE m0 END AS m0, CASE WHEN pad THEN 0 ELSE t0 END AS t0 FROM kb),
+ks AS (SELECT cascade_idx, window_idx, user_idx, round(0.6::DOUBLE * CASE WHEN m1 - m0 < 1e-8 THEN 0 ELSE (m - m0) / (m1 - m0) END + 0.4::DOUBLE * CASE WHEN t1 - t0 < 1e-8 THEN 0 ELSE (t - t0) / (t1 - t0) END, 8) AS seed FROM ks0 JOIN kb1 USING (cascade_idx)),
+kl AS (SELECT cascade_idx, src, dst, 1 AS weight FROM cd WHERE src <> dst UNION ALL SELECT cascade_idx, dst, src, 1 FROM cd WHERE src <> dst),
+k0 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY cascade_idx, window_idx ORDER BY seed DESC, user_idx) <= 16 THEN 0 END AS hop FROM ks),
+h0 AS (SELECT cascade_idx, window_idx, user_idx, seed, CASE WHEN hop = 0 THEN seed ELSE 0 END AS path, hop FROM k0)""" + "".join(f""",
+a{h} AS (SELECT f.cascade_idx, f.window_idx, l.dst AS user_idx, sum(l.weight) AS add FROM h{h - 1} f JOIN kl l ON l.cascade_idx = f.cascade_idx AND l.src = f.user_idx WHERE f.hop = {h - 1} GROUP BY ALL),
+h{h} AS (SELECT s.cascade_idx, s.window_idx, s.user_idx, seed, path + coalesce(pow(0.6, {h - 1}) * add, 0) AS path, coalesce(hop, CASE WHEN add IS NOT NULL THEN {h} END) AS hop FROM h{h - 1} s LEFT JOIN a{h} a ON a.cascade_idx = s.cascade_idx AND a.window_idx = s.window_idx AND a.user_idx = s.user_idx)""" for h in range(1, 5)) + """,
+kd AS (SELECT cascade_idx, src AS user_idx, count(*) AS degree FROM kl GROUP BY ALL),
+kf AS (SELECT s.cascade_idx, s.window_idx, s.user_idx, hop, round(0.45::DOUBLE * path + 0.3::DOUBLE * seed + 0.15::DOUBLE * least(1, coalesce(degree, 0) / 50) + 0.1::DOUBLE / (1 + hop), 8) AS score FROM h4 s LEFT JOIN kd d ON d.cascade_idx = s.cascade_idx AND d.user_idx = s.user_idx WHERE hop IS NOT NULL),
+kr AS (SELECT *, row_number() OVER (PARTITION BY cascade_idx, window_idx ORDER BY score DESC, user_idx) AS rank FROM kf),
+kp AS (SELECT cascade_idx, window_idx, rank, user_idx, round((score - min(score) OVER w) / greatest(max(score) OVER w - min(score) OVER w, 1e-8), 5) AS weight, hop FROM kr WHERE rank <= 32 WINDOW w AS (PARTITION BY cascade_idx, window_idx))"""
+
+
+def _seeds(s, d):
+    return key_users.seed_scores(_nodes(s, d), SEED_FEATURES)
+
+
+_add("seed_scores", _seeds, POOL + " SELECT * FROM ks")
+_add("key_user_pool", lambda s, d: key_users.key_user_pool(_seeds(s, d), graph.candidate_edges(src.follows(s, d), _posts(s, d)).withColumn("weight", F.lit(1))), POOL + " SELECT * FROM kp")
