@@ -252,7 +252,9 @@ def plan(n: int, similarity: float, recall: float = 0.99) -> tuple[int, int]:
 
 #: Distinct shingles up to which a text has keys of its shingles too, since fingerprints of few shingles differ by chance.
 FEW = 50
+#: Texts of a key that are compared at once.
 WINDOW = 4096
+NAMES = [f"f{i}" for i in range(WORDS64)]
 
 
 def keyed_texts(fps: DataFrame, similarity: float, n: int) -> DataFrame:
@@ -268,69 +270,126 @@ def keyed_texts(fps: DataFrame, similarity: float, n: int) -> DataFrame:
     most = int(mean + 3 * math.sqrt(mean * (1 - mean / total)))
     rng = np.random.Generator(np.random.PCG64(7))
     chosen = [rng.choice(total, bits, replace=False).tolist() for _ in range(tables)]
-    names = [f"f{i}" for i in range(WORDS64)]
 
     def key(t: int, at: list[int]):
         value = None
         for j, x in enumerate(at):
-            bit = F.shiftleft(F.shiftrightunsigned(names[x // 64], x % 64).bitwiseAND(1), j)
+            bit = F.shiftleft(F.shiftrightunsigned(NAMES[x // 64], x % 64).bitwiseAND(1), j)
             value = bit if value is None else value.bitwiseOR(bit)
         return F.struct(F.lit(t).alias("t"), value.cast("long").alias("k"), F.lit(most).alias("most"))
 
     few = F.transform("p", lambda h: F.struct(F.lit(-1).alias("t"), h.alias("k"), F.lit(int(0.3 * total)).alias("most")))
-    rows = fps.select("id", "label", *names, F.explode(F.concat(F.array(*(key(t, c) for t, c in enumerate(chosen))), few)).alias("x"))
+    rows = fps.select("id", "label", *NAMES, F.explode(F.concat(F.array(*(key(t, c) for t, c in enumerate(chosen))), few)).alias("x"))
     t = F.greatest(F.col("x.t"), F.lit(0))
-    word, turn = F.element_at(F.array(*names), t % WORDS64 + 1), F.floor(t / WORDS64).cast("int") % 4 * 16
+    word, turn = F.element_at(F.array(*NAMES), t % WORDS64 + 1), F.floor(t / WORDS64).cast("int") % 4 * 16
     rows = rows.withColumn("r", F.call_function("shiftleft", word, turn).bitwiseOR(F.call_function("shiftrightunsigned", word, 64 - turn)))
     for b in (1, 2, 4, 8, 16, 32):
         rows = rows.withColumn("r", F.col("r").bitwiseXOR(F.shiftrightunsigned("r", b)))
-    return rows.select(F.xxhash64("x.t", "x.k").alias("k"), F.col("x.most").alias("most"), "r", "id", "label", *names)
+    return rows.select(F.xxhash64("x.t", "x.k").alias("k"), F.col("x.most").alias("most"), "r", "id", "label", *NAMES)
+
+
+def _nearest(f, ids, label, g, others, groups, most: int, each: int):
+    """(a, b) batches for texts ``ids`` among ``others``: the ``each`` nearest of another label at ``most`` bits or fewer, and
+    b null for a text that has more."""
+    for s in range(0, len(ids), 128):
+        far = np.zeros((min(128, len(ids) - s), len(others)), np.uint16)
+        for v, w in zip(f, g, strict=True):
+            far += np.bitwise_count(v[s : s + 128, None] ^ w[None, :])
+        far[label[s : s + 128, None] == groups[None, :]] = 999
+        near = far <= most
+        count = near.sum(axis=1)
+        i = np.flatnonzero(count)
+        if not len(i):
+            continue
+        more = ids[s + i[count[i] > each]]
+        if each < len(others):
+            j = np.argpartition(far[i], each - 1, axis=1)[:, :each]
+            i, j = np.repeat(i, each), j.ravel()
+            ok = far[i, j] <= most
+            i, j = i[ok], j[ok]
+        else:
+            i, j = np.nonzero(near)
+        a, b = ids[s + i], others[j]
+        yield _pairs(np.concatenate([np.minimum(a, b), more]), np.concatenate([np.maximum(a, b), more]), len(a))
+
+
+def _pairs(a, b, n: int) -> pa.RecordBatch:
+    """(a, b) rows; b is null from row ``n`` on."""
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(b)) >= n)], names=["a", "b"])
 
 
-def candidates(keyed: DataFrame, each: int, window: int = WINDOW) -> DataFrame:
+def _parts(t: pa.Table):
+    return np.stack([t.column(f"f{i}").to_numpy() for i in range(WORDS64)]).view(np.uint64), t.column("id").to_numpy(), t.column("label").to_numpy()
+
+
+def first_candidates(keyed: DataFrame, each: int, window: int) -> DataFrame:
     """(a, b): for every text and key the ``each`` nearest candidates of another label; b is null once for a text that has
     more of them in some key.
 
-    A key of over ``window`` texts is taken in Gray order, in windows that overlap by half: two texts that one order sets
-    apart meet in another. Rows are ordered in full, so that reruns agree.
+    A key of over ``window`` texts is taken in Gray order, in windows that overlap by half; all its texts count as having
+    more candidates. Rows are ordered in full, so that reruns agree.
     """
     keyed.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    names = [f"f{i}" for i in range(WORDS64)]
 
     def run(batches):
         held = None
         for t, long in runs_of(batches, ["k"], window):
             k, most = t.column("k")[0].as_py(), t.column("most")[0].as_py()
-            f = np.stack([t.column(c).to_numpy() for c in names]).view(np.uint64)
-            ids, label = t.column("id").to_numpy(), t.column("label").to_numpy()
+            f, ids, label = _parts(t)
+            if long:
+                yield _pairs(ids, ids, 0)
             if held is not None and held[3] == k:
                 f, ids, label = np.concatenate([held[0], f], axis=1), np.concatenate([held[1], ids]), np.concatenate([held[2], label])
             held = (f[:, -window // 2 :], ids[-window // 2 :], label[-window // 2 :], k) if long else None
-            if len(ids) < 2:
+            if len(ids) > 1:
+                yield from _nearest(f, ids, label, f, ids, label, most, each)
+
+    return keyed.repartition("k").sortWithinPartitions("k", "r", *NAMES, "id").mapInArrow(run, "a long, b long").distinct()
+
+
+def candidates(keyed: DataFrame, each: int, window: int) -> DataFrame:
+    """As ``first_candidates``, but no two texts of a key are left out: a key of over ``window`` texts is cut into blocks in
+    the order of labels, and every two blocks that do not hold one label alone meet in a task of their own."""
+    spark = keyed.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    rest = ["k", "most", "id", "label", *NAMES]
+    schema = "a long, b long, block long, k long, most int, id long, label long, " + ", ".join(f"{c} long" for c in NAMES)
+    types = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + WORDS64)]
+
+    def within(batches):
+        at, key = 0, None
+        for t, long in runs_of(batches, ["k"], window):
+            if not long:
+                f, ids, label = _parts(t)
+                found = _nearest(f, ids, label, f, ids, label, t.column("most")[0].as_py(), each) if len(ids) > 1 else ()
+                for p in found:
+                    yield pa.RecordBatch.from_arrays([*p.columns, *(pa.nulls(p.num_rows, x) for x in types)], names=["a", "b", "block", *rest])
                 continue
-            for s in range(0, len(ids), 128):
-                far = np.zeros((min(128, len(ids) - s), len(ids)), np.uint16)
-                for w in f:
-                    far += np.bitwise_count(w[s : s + 128, None] ^ w[None, :])
-                far[label[s : s + 128, None] == label[None, :]] = 999
-                near = far <= most
-                count = near.sum(axis=1)
-                i = np.flatnonzero(count)
-                if not len(i):
-                    continue
-                more = ids[s + i[count[i] > each]]
-                if each < len(ids):
-                    j = np.argpartition(far[i], each - 1, axis=1)[:, :each]
-                    i = np.repeat(i, each)
-                    j = j.ravel()
-                    ok = far[i, j] <= most
-                    i, j = i[ok], j[ok]
-                else:
-                    i, j = np.nonzero(near)
-                a, b = ids[s + i], ids[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(a, b), more])), pa.array(np.concatenate([np.maximum(a, b), more]), mask=np.arange(len(a) + len(more)) >= len(a))], names=["a", "b"])
-
-    return keyed.repartition("k").sortWithinPartitions("k", "r", *names, "id").mapInArrow(run, "a long, b long").distinct()
+            k = t.column("k")[0].as_py()
+            at, key = at + 1 if k == key else 0, k
+            n = t.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, at)), *(t.column(c).combine_chunks() for c in rest)], names=["a", "b", "block", *rest])
+
+    def between(batches):
+        for t, _ in runs_of(batches, ["k", "x", "y"], 2 * window):
+            most = t.column("most")[0].as_py()
+            f, ids, label = _parts(t)
+            n = int((t.column("block").to_numpy() == t.column("x").to_numpy()).sum())
+            if n == len(ids):
+                yield from _nearest(f, ids, label, f, ids, label, most, each)
+            else:
+                one, two = (f[:, :n], ids[:n], label[:n]), (f[:, n:], ids[n:], label[n:])
+                yield from _nearest(*one, *two, most, each)
+                yield from _nearest(*two, *one, most, each)
+
+    found = saved(keyed.repartition("k").sortWithinPartitions("k", "label", "r", *NAMES, "id").mapInArrow(within, schema), "compared")
+    out, blocks = found.where("block is null").select("a", "b"), found.where("block is not null").select("block", *rest)
+    labels = blocks.groupBy("k", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    x, y = (labels.select("k", *(F.col(c).alias(f"{side}{end}") for c, end in (("block", ""), ("lo", "lo"), ("hi", "hi")))) for side in "xy")
+    meet = x.join(y, "k").where("x <= y and least(xlo, ylo) < greatest(xhi, yhi)").select("k", "x", "y")
+    ends = meet.select("k", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    both = blocks.join(ends, ["k", "block"]).repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "block", "id")
+    return out.union(both.select("x", "y", "block", *rest).mapInArrow(between, "a long, b long")).distinct()
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -363,23 +422,23 @@ def _judge(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, alike boolean")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, h, root): a text's hash and its group, for every row; groups join texts at ``similarity`` or more.
 
     Equal texts are one member. SimHash finds likely pairs (recall 0.99 at the similarity itself, more above it), the
     Jaccard similarity of the sets of shingles decides. A first round judges the nearest candidate of each text and key;
     texts with further candidates go on, with eight and then with all of them, but only across the groups found so far: no
-    link is dropped because a nearer one was tried. Texts without words (null, empty) form
-    one group.
+    link is dropped because a nearer one was tried, and none because its key is long. ``window`` texts of a key are
+    compared at once; it changes no group. Texts without words (null, empty) form one group.
     """
     hashed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(text).alias("text"))
     fps = saved(fingerprints(hashed, ["doc", "id"], width, WORDS64, distinct=True, few=similarity), "fingerprints")
-    names = [f"f{i}" for i in range(WORDS64)]
-    texts = saved(fps.groupBy("id").agg(*(F.min(k).alias(k) for k in names), F.first("p").alias("p")), "texts")
+    texts = saved(fps.groupBy("id").agg(*(F.min(k).alias(k) for k in NAMES), F.first("p").alias("p")), "texts")
     n = texts.count()
     left, each, sets, judged, roots = texts.withColumn("label", F.col("id")), 1, None, None, None
     while True:
-        found = saved(candidates(keyed_texts(left, similarity, n), each), "candidates")
+        keyed = keyed_texts(left, similarity, n)
+        found = saved(first_candidates(keyed, each, window) if each == 1 else candidates(keyed, each, window), "candidates")
         pairs = found.where("b is not null")
         if sets is None:  # of all texts that later rounds may need
             ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -395,7 +454,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
         if more.isEmpty():
             break
         left = texts.join(more, "id", "left_semi").join(roots.withColumnsRenamed({"node": "id", "root": "label"}), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        each = 8 if each == 1 else 2 * WINDOW
+        each = 8 if each == 1 else window
     roots = roots.withColumnRenamed("node", "id")
     return fps.select(F.col("doc").alias(id_col), "id").join(roots, "id", "left").select(id_col, F.col("id").alias("h"), F.coalesce("root", "id").alias("root"))
 

@@ -74,6 +74,40 @@ def test_one_of_each_group(spark):
     assert left.columns == frame(spark, base).columns
 
 
+def test_long_keys_of_near_duplicates_lose_no_pair(spark):
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(4):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for _ in range(60):
+            t = list(base)
+            for at in rng.integers(0, 120, int(rng.integers(0, 4))):
+                t[at] = f"e{rng.integers(0, 10**6)}"
+            texts.append(" ".join(t))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    for window in (8, simhash.WINDOW):
+        groups = {}
+        for r in simhash.near_duplicates(frame(spark, texts), window=window).collect():
+            groups.setdefault(r.root, []).append(r.doc_id)
+        assert sorted(map(sorted, groups.values())) == sorted([i for i, x in enumerate(label) if x == y] for y in set(label))
+
+
+def test_blocks_of_a_long_key_meet_once(spark):
+    rng = np.random.default_rng(22)
+    f = rng.integers(0, 1 << 62, 4) ^ (1 << rng.integers(0, 60, (50, 4)))
+    rows = [(1 if i < 45 else 2, 20, i, i, i % 7 if i < 30 else 3, *map(int, f[i])) for i in range(50)]
+    keyed = spark.createDataFrame(rows, "k long, most int, r long, id long, label long, f0 long, f1 long, f2 long, f3 long")
+    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if rows[i][0] == rows[j][0] and rows[i][4] != rows[j][4] and sum((int(x) ^ int(y)).bit_count() for x, y in zip(f[i], f[j])) <= 20}
+    for window in (4, 8, 100):
+        assert {(r.a, r.b) for r in simhash.candidates(keyed, 100, window).collect()} == want and want
+
+
 def test_a_repeated_line_hides_no_near_copy(spark):
     rng = np.random.default_rng(14)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) for _ in range(20)]
