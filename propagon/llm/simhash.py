@@ -13,6 +13,7 @@ within one bit of each, two of which coincide exactly when two fingerprints diff
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -257,19 +258,32 @@ WINDOW = 4096
 NAMES = [f"f{i}" for i in range(WORDS64)]
 
 
+def chosen_bits(n: int, similarity: float) -> list[list[int]]:
+    """The fingerprint bits that make the key of each table."""
+    bits, tables = plan(n, similarity)
+    rng = np.random.Generator(np.random.PCG64(7))
+    return [rng.choice(64 * WORDS64, bits, replace=False).tolist() for _ in range(tables)]
+
+
+def met_before(x: np.ndarray, table: int, masks: np.ndarray) -> np.ndarray:
+    """Whether texts that differ by ``x`` (words, pairs) share a key of an earlier table too."""
+    before = np.zeros(x.shape[1], bool)
+    for mask in masks[: max(table, 0)]:
+        before |= ~np.any(x & mask[:, None], axis=0)
+    return before
+
+
 def keyed_texts(fps: DataFrame, similarity: float, n: int) -> DataFrame:
-    """(k, most, r, id, label, f0 ..): a row for each key of each text of ``fps``; ``most`` is the distance at which two
-    texts of the key are candidates, ``r`` a Gray rank that orders the key.
+    """(k, t, most, r, id, label, f0 ..): a row for each key of each text of ``fps``; ``t`` is its table, -1 for shingles,
+    ``most`` the distance at which two texts of the key are candidates, ``r`` a Gray rank that orders the key.
 
     Every table has a key of randomly chosen bits. A text of FEW shingles or less has its least shingles as keys too: two
     texts at ``similarity`` share one of them.
     """
-    bits, tables = plan(n, similarity)
     total = 64 * WORDS64
     mean = total * _flip(similarity)
     most = int(mean + 3 * math.sqrt(mean * (1 - mean / total)))
-    rng = np.random.Generator(np.random.PCG64(7))
-    chosen = [rng.choice(total, bits, replace=False).tolist() for _ in range(tables)]
+    chosen = chosen_bits(n, similarity)
 
     def key(t: int, at: list[int]):
         value = None
@@ -285,12 +299,13 @@ def keyed_texts(fps: DataFrame, similarity: float, n: int) -> DataFrame:
     rows = rows.withColumn("r", F.call_function("shiftleft", word, turn).bitwiseOR(F.call_function("shiftrightunsigned", word, 64 - turn)))
     for b in (1, 2, 4, 8, 16, 32):
         rows = rows.withColumn("r", F.col("r").bitwiseXOR(F.shiftrightunsigned("r", b)))
-    return rows.select(F.xxhash64("x.t", "x.k").alias("k"), F.col("x.most").alias("most"), "r", "id", "label", *NAMES)
+    return rows.select(F.xxhash64("x.t", "x.k").alias("k"), F.col("x.t").alias("t"), F.col("x.most").alias("most"), "r", "id", "label", *NAMES)
 
 
-def _nearest(f, ids, label, g, others, groups, most: int, each: int):
+def _nearest(f, ids, label, g, others, groups, most: int, each: int, before=None, once: bool = False):
     """(a, b) batches for texts ``ids`` among ``others``: the ``each`` nearest of another label at ``most`` bits or fewer, and
-    b null for a text that has more."""
+    b null for a text that has more. Pairs for which ``before`` holds are left to another key; with ``once`` and ``each``
+    as many as there are others, only the lesser id of a pair names it."""
     for s in range(0, len(ids), 128):
         far = np.zeros((min(128, len(ids) - s), len(others)), np.uint16)
         for v, w in zip(f, g, strict=True):
@@ -309,6 +324,12 @@ def _nearest(f, ids, label, g, others, groups, most: int, each: int):
             i, j = i[ok], j[ok]
         else:
             i, j = np.nonzero(near)
+            if once:
+                ok = ids[s + i] < others[j]
+                i, j = i[ok], j[ok]
+        if before is not None:
+            ok = ~before(f[:, s + i] ^ g[:, j])
+            i, j = i[ok], j[ok]
         a, b = ids[s + i], others[j]
         yield _pairs(np.concatenate([np.minimum(a, b), more]), np.concatenate([np.maximum(a, b), more]), len(a))
 
@@ -347,21 +368,27 @@ def first_candidates(keyed: DataFrame, each: int, window: int) -> DataFrame:
     return keyed.repartition("k").sortWithinPartitions("k", "r", *NAMES, "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def candidates(keyed: DataFrame, each: int, window: int) -> DataFrame:
+def candidates(keyed: DataFrame, each: int, window: int, chosen: list[list[int]]) -> DataFrame:
     """As ``first_candidates``, but no two texts of a key are left out: a key of over ``window`` texts is cut into blocks in
-    the order of labels, and every two blocks that do not hold one label alone meet in a task of their own."""
+    the order of labels, and every two blocks that do not hold one label alone meet in a task of their own. Two texts that
+    share keys of several tables (of the bits ``chosen``) are a pair in the first of them only."""
     spark = keyed.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    rest = ["k", "most", "id", "label", *NAMES]
-    schema = "a long, b long, block long, k long, most int, id long, label long, " + ", ".join(f"{c} long" for c in NAMES)
-    types = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + WORDS64)]
+    masks = np.zeros((len(chosen), WORDS64), np.uint64)
+    for at, bits in enumerate(chosen):
+        for x in bits:
+            masks[at, x // 64] |= _U(1 << x % 64)
+    rest = ["k", "t", "most", "id", "label", *NAMES]
+    schema = "a long, b long, block long, k long, t int, most int, id long, label long, " + ", ".join(f"{c} long" for c in NAMES)
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * (2 + WORDS64)]
 
     def within(batches):
         at, key = 0, None
         for t, long in runs_of(batches, ["k"], window):
             if not long:
                 f, ids, label = _parts(t)
-                found = _nearest(f, ids, label, f, ids, label, t.column("most")[0].as_py(), each) if len(ids) > 1 else ()
+                before = functools.partial(met_before, table=t.column("t")[0].as_py(), masks=masks)
+                found = _nearest(f, ids, label, f, ids, label, t.column("most")[0].as_py(), each, before, True) if len(ids) > 1 else ()
                 for p in found:
                     yield pa.RecordBatch.from_arrays([*p.columns, *(pa.nulls(p.num_rows, x) for x in types)], names=["a", "b", "block", *rest])
                 continue
@@ -372,15 +399,16 @@ def candidates(keyed: DataFrame, each: int, window: int) -> DataFrame:
 
     def between(batches):
         for t, _ in runs_of(batches, ["k", "x", "y"], 2 * window):
-            most = t.column("most")[0].as_py()
+            most, before = t.column("most")[0].as_py(), functools.partial(met_before, table=t.column("t")[0].as_py(), masks=masks)
             f, ids, label = _parts(t)
             n = int((t.column("block").to_numpy() == t.column("x").to_numpy()).sum())
             if n == len(ids):
-                yield from _nearest(f, ids, label, f, ids, label, most, each)
+                yield from _nearest(f, ids, label, f, ids, label, most, each, before, True)
             else:
                 one, two = (f[:, :n], ids[:n], label[:n]), (f[:, n:], ids[n:], label[n:])
-                yield from _nearest(*one, *two, most, each)
-                yield from _nearest(*two, *one, most, each)
+                yield from _nearest(*one, *two, most, each, before)
+                if each < max(n, len(ids) - n):
+                    yield from _nearest(*two, *one, most, each, before)
 
     found = saved(keyed.repartition("k").sortWithinPartitions("k", "label", "r", *NAMES, "id").mapInArrow(within, schema), "compared")
     out, blocks = found.where("block is null").select("a", "b"), found.where("block is not null").select("block", *rest)
@@ -438,7 +466,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     left, each, sets, judged, roots = texts.withColumn("label", F.col("id")), 1, None, None, None
     while True:
         keyed = keyed_texts(left, similarity, n)
-        found = saved(first_candidates(keyed, each, window) if each == 1 else candidates(keyed, each, window), "candidates")
+        found = saved(first_candidates(keyed, each, window) if each == 1 else candidates(keyed, each, window, chosen_bits(n, similarity)), "candidates")
         pairs = found.where("b is not null")
         if sets is None:  # of all texts that later rounds may need
             ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

@@ -101,11 +101,11 @@ def test_long_keys_of_near_duplicates_lose_no_pair(spark):
 def test_blocks_of_a_long_key_meet_once(spark):
     rng = np.random.default_rng(22)
     f = rng.integers(0, 1 << 62, 4) ^ (1 << rng.integers(0, 60, (50, 4)))
-    rows = [(1 if i < 45 else 2, 20, i, i, i % 7 if i < 30 else 3, *map(int, f[i])) for i in range(50)]
-    keyed = spark.createDataFrame(rows, "k long, most int, r long, id long, label long, f0 long, f1 long, f2 long, f3 long")
-    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if rows[i][0] == rows[j][0] and rows[i][4] != rows[j][4] and sum((int(x) ^ int(y)).bit_count() for x, y in zip(f[i], f[j])) <= 20}
+    rows = [(1 if i < 45 else 2, 0, 20, i, i, i % 7 if i < 30 else 3, *map(int, f[i])) for i in range(50)]
+    keyed = spark.createDataFrame(rows, "k long, t int, most int, r long, id long, label long, f0 long, f1 long, f2 long, f3 long")
+    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if rows[i][0] == rows[j][0] and rows[i][5] != rows[j][5] and sum((int(x) ^ int(y)).bit_count() for x, y in zip(f[i], f[j])) <= 20}
     for window in (4, 8, 100):
-        assert {(r.a, r.b) for r in simhash.candidates(keyed, 100, window).collect()} == want and want
+        assert {(r.a, r.b) for r in simhash.candidates(keyed, 100, window, [[0]]).collect()} == want and want
 
 
 def test_a_repeated_line_hides_no_near_copy(spark):
