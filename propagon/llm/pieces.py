@@ -24,7 +24,7 @@ SPACE = "▁"
 UNKNOWN = " ⁇ ".encode()
 #: Words of more characters have a heap each; bytes of known words; words that are looked up together.
 LANE, KEPT_BYTES, BLOCK_WORDS = 32, 60_000_000, 200_000
-NEVER = 1 << 62
+NO_RANK = (1 << 31) - 1
 
 # as the library: every byte that starts no character is one replacement character
 codecs.register_error("one_by_one", lambda e: ("�", e.start + 1))
@@ -75,9 +75,11 @@ class Vocabulary:
         self.words = re.compile(".+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
         # the same ranks as sorted arrays; symbols above the table stand for characters of no piece
         self.keys = np.array(sorted(self.rank), np.int64)
-        self.ranks = np.array([self.rank[k] for k in self.keys.tolist()] + [NEVER], np.int64)
-        self.results = np.array([self.made[k] for k in self.keys.tolist()] + [0], np.int64)
-        self.symbol_of = np.arange(0x110000, dtype=np.int64) + len(self.strings)
+        self.ranks = np.array([self.rank[k] for k in self.keys.tolist()] + [NO_RANK], np.int32)
+        self.results = np.array([self.made[k] for k in self.keys.tolist()] + [0], np.int32)
+        self.symbol_of = np.arange(0x110000, dtype=np.int32) + len(self.strings)
+        # ids of symbols that are pieces, -1 for others
+        self.id_of = np.array([self.ids.get(x, -1) for x in self.strings] + [-1], "<i4")
         for c, i in self.symbols.items():
             if len(c) == 1:
                 self.symbol_of[ord(c)] = i
@@ -94,7 +96,7 @@ class Vocabulary:
 
     def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places of pairs in the table, the last one for pairs that make no piece."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, at, len(self.keys))
@@ -104,31 +106,40 @@ class Vocabulary:
         of equal ones the leftmost."""
         size = np.array([len(w) for w in words])
         chars = self.symbol_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
-        symbols = np.full((len(words), int(size.max()) + 1), -1, np.int64)
+        symbols = np.full((len(words), int(size.max()) + 1), -1, np.int32)
         symbols[np.arange(symbols.shape[1]) < size[:, None]] = chars
-        place = self._found(symbols[:, :-1], symbols[:, 1:])
-        live = np.arange(len(words))
-        column = np.arange(place.shape[1])
-        while len(live):
-            agenda = self.ranks[place[live]]
+        agenda = self.ranks[self._found(symbols[:, :-1], symbols[:, 1:])]
+        out, places = symbols.copy(), np.arange(len(words))
+        column = np.arange(agenda.shape[1])
+        while len(places):
+            row = np.arange(len(places))
             best = agenda.argmin(axis=1)
-            more = agenda[np.arange(len(live)), best] < NEVER
-            live, best = live[more], best[more]
-            if not len(live):
+            more = agenda[row, best] < NO_RANK
+            if not more.all():
+                out[places[~more]] = symbols[~more]
+                symbols, agenda, places, best = symbols[more], agenda[more], places[more], best[more]
+                row = row[: len(places)]
+            if not len(places):
                 break
-            row, p = symbols[live], place[live]
-            new = self.results[p[np.arange(len(live)), best]]
-            moved = column > best[:, None]
-            row[:, :-1] = np.where(moved, row[:, 1:], row[:, :-1])
-            row[:, -1] = -1
-            row[np.arange(len(live)), best] = new
-            p[:, :-1] = np.where(moved[:, :-1], p[:, 1:], p[:, :-1])
-            p[:, -1] = len(self.keys)
-            p[np.arange(len(live)), best] = self._found(new, row[np.arange(len(live)), best + 1])
+            new = self.results[self._found(symbols[row, best], symbols[row, best + 1])]
+            moved = column >= best[:, None]
+            np.copyto(symbols[:, :-1], symbols[:, 1:].copy(), where=moved)
+            symbols[:, -1] = -1
+            symbols[row, best] = new
+            np.copyto(agenda[:, :-1], agenda[:, 1:].copy(), where=moved[:, :-1])
+            agenda[:, -1] = NO_RANK
+            agenda[row, best] = self.ranks[self._found(new, symbols[row, best + 1])]
             inner = np.flatnonzero(best)
-            p[inner, best[inner] - 1] = self._found(row[inner, best[inner] - 1], new[inner])
-            symbols[live], place[live] = row, p
-        return [self._coded(r[:n]) for r, n in zip(symbols.tolist(), (symbols >= 0).sum(axis=1).tolist(), strict=True)]
+            agenda[inner, best[inner] - 1] = self.ranks[self._found(symbols[inner, best[inner] - 1], new[inner])]
+        real = out >= 0
+        flat = out[real]
+        ids = self.id_of[np.minimum(flat, len(self.strings))]
+        data, ends = ids.tobytes(), np.cumsum(real.sum(axis=1))
+        made = [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        # words with characters that are written as bytes
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), "right")).tolist():
+            made[i] = self._coded(out[i][real[i]].tolist())
+        return made
 
     def _heap(self, symbols: list[int]) -> list[int]:
         """A long run has a heap of rank and place; an entry holds while the pair at its place has its rank."""
