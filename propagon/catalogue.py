@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
 from propagon.operators import calibration, features, graph, key_users, labels, metrics, org, packs, sampling, stability, temporal, trees, windows
@@ -419,3 +421,8 @@ def _seeds(s, d):
 
 _add("seed_scores", _seeds, POOL + " SELECT * FROM ks")
 _add("key_user_pool", lambda s, d: key_users.key_user_pool(_seeds(s, d), graph.candidate_edges(src.follows(s, d), _posts(s, d)).withColumn("weight", F.lit(1))), POOL + " SELECT * FROM kp")
+
+# evidence, ancestry and depths
+from propagon import evidence_queries  # noqa: E402
+
+evidence_queries.register(sys.modules[__name__])

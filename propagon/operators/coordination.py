@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propagon.operators.components import grouped_components
+from propagon.sources.shared import written
 
 #: Weights of the four reasons for a link.
 BIN, DEPTH, EDGE, FOLLOW = 0.35, 0.25, 0.2, 0.2
@@ -61,8 +62,10 @@ def coordination(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Every active user: degree, weight, follow, same_depth and same_bin links, size of its component (0 for a user without
     links) and density among its neighbours.
 
-    ``nodes`` (keys, user_idx, bin, depth), unique and without nulls; ``links`` as from ``links``.
+    ``nodes`` (keys, user_idx, bin, depth), unique and without nulls; ``links`` as from ``links``. Both are read many times and
+    therefore written once.
     """
+    nodes = written(nodes.select(*KEYS, "user_idx", "bin", "depth"), "active")
     cells = nodes.groupBy(*KEYS, "bin", "depth").agg(F.count("*").alias("n_cell"))
     bins = cells.groupBy(*KEYS, "bin").agg(F.sum("n_cell").alias("n_bin"))
     depths = cells.where("depth > 0").groupBy(*KEYS, "depth").agg(F.sum("n_cell").alias("n_depth"), F.min("bin").alias("least"))
@@ -70,6 +73,7 @@ def coordination(nodes: DataFrame, links: DataFrame) -> DataFrame:
     pairs = links.join(spot("a"), [*KEYS, "a"]).join(spot("b"), [*KEYS, "b"])
     is_lone = (F.col("ab") != F.col("bb")) & ~((F.col("ad") == F.col("bd")) & (F.col("ad") > 0))
     turned = lambda u, v: pairs.select(*KEYS, *(F.col(f"{u}{x}").alias(f"u{x}") for x in ("", "b", "d")), *(F.col(f"{v}{x}").alias(f"v{x}") for x in ("", "b", "d")), "edge", "follow", is_lone.cast("long").alias("lone"))
+    pairs = written(pairs, "links")
     ends = turned("a", "b").unionByName(turned("b", "a"))
     lone = ends.where("lone = 1").select(*KEYS, "u", "ub", "ud", "v", "vb", "vd")
     per = ends.groupBy(*KEYS, F.col("u").alias("user_idx")).agg(*(F.sum(k).alias(f"n_{k}") for k in ("edge", "follow", "lone")))
