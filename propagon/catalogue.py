@@ -422,7 +422,8 @@ def _seeds(s, d):
 _add("seed_scores", _seeds, POOL + " SELECT * FROM ks")
 _add("key_user_pool", lambda s, d: key_users.key_user_pool(_seeds(s, d), graph.candidate_edges(src.follows(s, d), _posts(s, d)).withColumn("weight", F.lit(1))), POOL + " SELECT * FROM kp")
 
-# evidence, ancestry and depths
-from propagon import evidence_queries  # noqa: E402
+# evidence, ancestry, calibration steps, samplers, raw files and coverage
+from propagon import evidence_queries, more_queries  # noqa: E402
 
-evidence_queries.register(sys.modules[__name__])
+for _queries in (evidence_queries, more_queries):
+    _queries.register(sys.modules[__name__])
