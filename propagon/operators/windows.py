@@ -32,20 +32,35 @@ def fed(rows: DataFrame, keys: list[str], obs: int = OBSERVATION, step: int = ST
     return b.select(*keys, F.explode(F.concat(own, ctx, cum)).alias("x")).select(*keys, "x.*")
 
 
-def _per_scope(rows: DataFrame, keys: list[str], value, name: str) -> list[Column]:
-    return [value(F.col("scope") == s).alias(f"{name}_{s}") for s in ("cur", "ctx", "cum")]
+def _up_to(values: dict[str, Column], last: int) -> list[Column]:
+    """Sums of each value up to every bucket: name_0 .. name_last, from one aggregate and without a row a window."""
+    return [F.sum(F.when(F.col("b") <= k, v).otherwise(0)).alias(f"{name}_{k}") for name, v in values.items() for k in range(last + 1)]
 
 
-def multiscale_windows(posts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Reposts, active users and edges of each window in the current, context and cumulative scope, and the step's growth."""
-    users = F.col("user_idx")
-    p = fed(posts.where("is_root = 0"), ["cascade_idx", "user_idx"])
-    n = p.groupBy("cascade_idx", "window_idx").agg(*_per_scope(p, [], F.count_if, "num_retweets"), *_per_scope(p, [], lambda c: F.count_distinct(F.when(c, users)), "num_active_users"))
-    e = fed(edges, ["cascade_idx"])
-    m = e.groupBy("cascade_idx", "window_idx").agg(*_per_scope(e, [], F.count_if, "num_edges"))
-    g = grid(posts).join(n, ["cascade_idx", "window_idx"], "left").join(m, ["cascade_idx", "window_idx"], "left").na.fill(0)
-    order = Window.partitionBy("cascade_idx").orderBy("window_idx")
-    return g.withColumn("delta_heat", F.col("num_retweets_cur") - F.lag("num_retweets_cur", 1, 0).over(order))
+def _scopes(name: str, out: str, w: int, back: int) -> list[Column]:
+    """Sums of a value in the current, context and cumulative scope of window w, as differences of sums up to buckets."""
+    to = lambda k: F.col(f"{name}_{k}")
+    return [(to(w) - to(w - 1)).alias(f"{out}_cur"), (to(w) - to(max(w - back, 0))).alias(f"{out}_ctx"), to(w).alias(f"{out}_cum")]
+
+
+def multiscale_windows(posts: DataFrame, edges: DataFrame, obs: int = OBSERVATION, step: int = STEP, context: int = CONTEXT) -> DataFrame:
+    """Reposts, active users and edges of each window in the current, context and cumulative scope, and the step's growth.
+
+    Reposts are counted by user and bucket first; a user is active in a scope where its count there is above 0.
+    """
+    last, back = obs // step, context // step
+    b = bucket(F.col("relative_time"), step)
+    p = posts.where("is_root = 0").withColumn("b", b).where(F.col("b") <= last)
+    users = p.groupBy("cascade_idx", "user_idx").agg(*_up_to({"n": F.lit(1)}, last))
+    n = users.groupBy("cascade_idx").agg(*(F.sum(f"n_{k}").alias(f"n_{k}") for k in range(last + 1)), *(F.count_if(c > 0).alias(f"u{w}_{c_name}") for w in range(1, last + 1) for c_name, c in zip(("cur", "ctx", "cum"), _scopes("n", "n", w, back), strict=True)))
+    m = edges.withColumn("b", b).where(F.col("b") <= last).groupBy("cascade_idx").agg(*_up_to({"e": F.lit(1)}, last))
+    g = posts.select("cascade_idx").distinct().join(n, "cascade_idx", "left").join(m, "cascade_idx", "left").na.fill(0)
+    heat = lambda w: F.col(f"n_{w}") - F.col(f"n_{w - 1}")
+    each = [
+        F.struct(F.lit(w).cast("long").alias("window_idx"), F.lit(w * step).cast("long").alias("end_time"), *_scopes("n", "num_retweets", w, back), *(F.col(f"u{w}_{s}").alias(f"num_active_users_{s}") for s in ("cur", "ctx", "cum")), *_scopes("e", "num_edges", w, back), (heat(w) - heat(w - 1) if w > 1 else heat(w)).alias("delta_heat"))
+        for w in range(1, last + 1)
+    ]
+    return g.select("cascade_idx", F.inline(F.array(*each)))
 
 
 def fixed_windows(posts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,19 +69,19 @@ def fixed_windows(posts: DataFrame, edges: DataFrame) -> DataFrame:
     return w.select("cascade_idx", "window_idx", (F.col("end_time") - STEP).alias("start_time"), "end_time", F.col("num_retweets_cur").alias("num_retweets"), F.col("num_retweets_cum").alias("cum_retweets"), F.col("num_active_users_cur").alias("num_active_users"), F.col("num_edges_cur").alias("num_edges"), "delta_heat")
 
 
-def node_windows(posts: DataFrame, edges: DataFrame) -> DataFrame:
+def node_windows(posts: DataFrame, edges: DataFrame, obs: int = OBSERVATION, step: int = STEP, context: int = CONTEXT) -> DataFrame:
     """Every user from the window first seen on: posts and degrees per scope, time since then, windows with posts or edges so
     far, and whether the user has a root."""
     ends = edges.select("cascade_idx", F.col("src").alias("user_idx"), "relative_time", F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select("cascade_idx", F.col("dst").alias("user_idx"), "relative_time", F.lit(1).alias("i"), F.lit(0).alias("o")))
     act = posts.select("cascade_idx", "user_idx", "relative_time", F.lit(1).alias("p"), F.lit(0).alias("i"), F.lit(0).alias("o"), "is_root").unionByName(ends.withColumn("p", F.lit(0)).withColumn("is_root", F.lit(0)))
-    first = act.groupBy("cascade_idx", "user_idx").agg(F.min("relative_time").alias("first_seen_time"), F.max("is_root").alias("is_root"))
-    f = fed(act, ["cascade_idx", "user_idx", "p", "i", "o"])
-    sums = [F.sum(F.when(F.col("scope") == s, F.col(k)).otherwise(0)).alias(f"{name}_{s}") for k, name in (("p", "num_posts"), ("i", "in_degree"), ("o", "out_degree")) for s in ("cur", "ctx", "cum")]
-    n = f.groupBy("cascade_idx", "window_idx", "user_idx").agg(*sums)
-    g = grid(posts).join(first, "cascade_idx").where("first_seen_time < end_time").join(n, ["cascade_idx", "window_idx", "user_idx"], "left").na.fill(0)
-    run = Window.partitionBy("cascade_idx", "user_idx").orderBy("window_idx").rowsBetween(Window.unboundedPreceding, 0)
-    active = (F.col("num_posts_cur") + F.col("in_degree_cur") + F.col("out_degree_cur") > 0).cast("int")
-    return g.withColumn("time_since_first_seen", F.col("end_time") - F.col("first_seen_time")).withColumn("active_window_count", F.sum(active).over(run)).drop("end_time")
+    last, back = obs // step, context // step
+    act = act.withColumn("b", bucket(F.col("relative_time"), step))
+    # one row a user; what comes after the last window counts in no bucket
+    n = act.groupBy("cascade_idx", "user_idx").agg(F.min("relative_time").alias("first_seen_time"), F.max("is_root").alias("is_root"), *_up_to({k: F.col(k) for k in "pio"}, last))
+    n = n.join(posts.select("cascade_idx").distinct(), "cascade_idx", "left_semi")
+    active = [(sum((F.col(f"{k}_{w}") - F.col(f"{k}_{w - 1}") for k in "pio"), F.lit(0)) > 0).cast("long") for w in range(1, last + 1)]
+    each = [F.struct(F.lit(w).cast("long").alias("window_idx"), *_scopes("p", "num_posts", w, back), *_scopes("i", "in_degree", w, back), *_scopes("o", "out_degree", w, back), (F.lit(w * step) - F.col("first_seen_time")).alias("time_since_first_seen"), sum(active[:w], F.lit(0).cast("long")).alias("active_window_count")) for w in range(1, last + 1)]
+    return n.select("cascade_idx", "user_idx", "first_seen_time", "is_root", F.inline(F.array(*each))).where("time_since_first_seen > 0").select("cascade_idx", "window_idx", "user_idx", "first_seen_time", "is_root", *(f"{k}_{s}" for k in ("num_posts", "in_degree", "out_degree") for s in ("cur", "ctx", "cum")), "time_since_first_seen", "active_window_count")
 
 
 def fixed_node_windows(posts: DataFrame, edges: DataFrame) -> DataFrame:
