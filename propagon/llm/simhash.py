@@ -56,27 +56,29 @@ def fingerprint(h: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], width: int, count: int = 1, text: str = "text", distinct: bool = False, few: float | None = None) -> DataFrame:
     """``keep`` columns and f0, f1 ..: independent 64-bit fingerprints of each text, of its shingles or of their set; with
-    ``few`` also p, the least shingle hashes of a text of FEW or less, one of which texts of that similarity share."""
+    ``few`` also p, the least shingle hashes of a text of FEW or less, one of which texts of that similarity share, and z, the
+    number of distinct shingles."""
     small_batches(docs.sparkSession)
     source = docs.select(*keep, text_bytes(text).alias("__raw"))
     schema = source.drop("__raw").schema
     for i in range(count):
         schema = schema.add(f"f{i}", "long")
     if few is not None:
-        schema = schema.add("p", ArrayType(LongType()))
+        schema = schema.add("p", ArrayType(LongType())).add("z", "integer")
 
     def run(batches):
         seeds = [_U(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in range(count)]
         for b in batches:
             out = np.zeros((count, b.num_rows), np.uint64)
-            least = []
+            least, size = [], []
             for i, raw in enumerate(b.column("__raw")):
                 h = shingle_hashes(raw.as_py(), width)
                 h = np.unique(h) if distinct else h
+                size.append(len(h))
                 least.append(h[: len(h) - math.ceil(few * len(h)) + 1].view(np.int64).tolist() if few is not None and len(h) <= FEW else [])
                 for j in range(count):
                     out[j, i] = fingerprint(mix(h ^ seeds[j]) if j else h)
-            more = [] if few is None else [pa.array(least, pa.list_(pa.int64()))]
+            more = [] if few is None else [pa.array(least, pa.list_(pa.int64())), pa.array(size, pa.int32())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x.view(np.int64)) for x in out), *more], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -274,7 +276,7 @@ def met_before(x: np.ndarray, table: int, masks: np.ndarray) -> np.ndarray:
 
 
 def keyed_texts(fps: DataFrame, similarity: float, n: int) -> DataFrame:
-    """(k, t, most, r, id, label, f0 ..): a row for each key of each text of ``fps``; ``t`` is its table, -1 for shingles,
+    """(k, t, most, r, id, label, z, f0 ..): a row for each key of each text of ``fps``; ``t`` is its table, -1 for shingles,
     ``most`` the distance at which two texts of the key are candidates, ``r`` a Gray rank that orders the key.
 
     Every table has a key of randomly chosen bits. A text of FEW shingles or less has its least shingles as keys too: two
@@ -293,44 +295,36 @@ def keyed_texts(fps: DataFrame, similarity: float, n: int) -> DataFrame:
         return F.struct(F.lit(t).alias("t"), value.cast("long").alias("k"), F.lit(most).alias("most"))
 
     few = F.transform("p", lambda h: F.struct(F.lit(-1).alias("t"), h.alias("k"), F.lit(int(0.3 * total)).alias("most")))
-    rows = fps.select("id", "label", *NAMES, F.explode(F.concat(F.array(*(key(t, c) for t, c in enumerate(chosen))), few)).alias("x"))
+    rows = fps.select("id", "label", "z", *NAMES, F.explode(F.concat(F.array(*(key(t, c) for t, c in enumerate(chosen))), few)).alias("x"))
     t = F.greatest(F.col("x.t"), F.lit(0))
     word, turn = F.element_at(F.array(*NAMES), t % WORDS64 + 1), F.floor(t / WORDS64).cast("int") % 4 * 16
     rows = rows.withColumn("r", F.call_function("shiftleft", word, turn).bitwiseOR(F.call_function("shiftrightunsigned", word, 64 - turn)))
     for b in (1, 2, 4, 8, 16, 32):
         rows = rows.withColumn("r", F.col("r").bitwiseXOR(F.shiftrightunsigned("r", b)))
-    return rows.select(F.xxhash64("x.t", "x.k").alias("k"), F.col("x.t").alias("t"), F.col("x.most").alias("most"), "r", "id", "label", *NAMES)
+    return rows.select(F.xxhash64("x.t", "x.k").alias("k"), F.col("x.t").alias("t"), F.col("x.most").alias("most"), "r", "id", "label", "z", *NAMES)
 
 
-def _nearest(f, ids, label, g, others, groups, most: int, each: int, before=None, once: bool = False):
-    """(a, b) batches for texts ``ids`` among ``others``: the ``each`` nearest of another label at ``most`` bits or fewer, and
-    b null for a text that has more. Pairs for which ``before`` holds are left to another key; with ``once`` and ``each``
-    as many as there are others, only the lesser id of a pair names it."""
+def _nearest(f, ids, label, most: int, each: int):
+    """(a, b) batches: for each text the ``each`` nearest texts of another label at ``most`` bits or fewer, and b null for a
+    text that has more."""
     for s in range(0, len(ids), 128):
-        far = np.zeros((min(128, len(ids) - s), len(others)), np.uint16)
-        for v, w in zip(f, g, strict=True):
-            far += np.bitwise_count(v[s : s + 128, None] ^ w[None, :])
-        far[label[s : s + 128, None] == groups[None, :]] = 999
-        near = far <= most
-        count = near.sum(axis=1)
+        far = np.zeros((min(128, len(ids) - s), len(ids)), np.uint16)
+        for v in f:
+            far += np.bitwise_count(v[s : s + 128, None] ^ v[None, :])
+        far[label[s : s + 128, None] == label[None, :]] = 999
+        count = (far <= most).sum(axis=1)
         i = np.flatnonzero(count)
         if not len(i):
             continue
         more = ids[s + i[count[i] > each]]
-        if each < len(others):
+        if each < len(ids):
             j = np.argpartition(far[i], each - 1, axis=1)[:, :each]
             i, j = np.repeat(i, each), j.ravel()
             ok = far[i, j] <= most
             i, j = i[ok], j[ok]
         else:
-            i, j = np.nonzero(near)
-            if once:
-                ok = ids[s + i] < others[j]
-                i, j = i[ok], j[ok]
-        if before is not None:
-            ok = ~before(f[:, s + i] ^ g[:, j])
-            i, j = i[ok], j[ok]
-        a, b = ids[s + i], others[j]
+            i, j = np.nonzero(far <= most)
+        a, b = ids[s + i], ids[j]
         yield _pairs(np.concatenate([np.minimum(a, b), more]), np.concatenate([np.maximum(a, b), more]), len(a))
 
 
@@ -363,61 +357,137 @@ def first_candidates(keyed: DataFrame, each: int, window: int) -> DataFrame:
                 f, ids, label = np.concatenate([held[0], f], axis=1), np.concatenate([held[1], ids]), np.concatenate([held[2], label])
             held = (f[:, -window // 2 :], ids[-window // 2 :], label[-window // 2 :], k) if long else None
             if len(ids) > 1:
-                yield from _nearest(f, ids, label, f, ids, label, most, each)
+                yield from _nearest(f, ids, label, most, each)
 
     return keyed.repartition("k").sortWithinPartitions("k", "r", *NAMES, "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def candidates(keyed: DataFrame, each: int, window: int, chosen: list[list[int]]) -> DataFrame:
-    """As ``first_candidates``, but no two texts of a key are left out: a key of over ``window`` texts is cut into blocks in
-    the order of labels, and every two blocks that do not hold one label alone meet in a task of their own. Two texts that
-    share keys of several tables (of the bits ``chosen``) are a pair in the first of them only."""
-    spark = keyed.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+def open_pairs(f, label, z, most: int, similarity: float, before, cut: int | None = None):
+    """(i, j) positions, in pieces: texts of different labels at ``most`` bits or fewer whose numbers of shingles allow the
+    similarity and for which ``before`` does not hold; i < j, or with ``cut`` i before and j from that position on."""
+    end, z = len(label) if cut is None else cut, z + 0.0
+    for s in range(0, end, 128):
+        e, lo = min(s + 128, end), s if cut is None else cut
+        far = np.zeros((e - s, len(label) - lo), np.uint16)
+        for v in f:
+            far += np.bitwise_count(v[s:e, None] ^ v[None, lo:])
+        near = (far <= most) & (label[s:e, None] != label[None, lo:])
+        near &= np.minimum(z[s:e, None], z[None, lo:]) + 1 >= similarity * np.maximum(z[s:e, None], z[None, lo:])
+        i, j = np.nonzero(near)
+        i, j = i + s, j + lo
+        ok = ~before(f[:, i] ^ f[:, j])
+        if cut is None:
+            ok &= i < j
+        if ok.any():
+            yield i[ok], j[ok]
+
+
+def _unit_pairs(t: pa.Table, similarity: float, masks: np.ndarray):
+    """``open_pairs`` of one meeting: the texts of a key, or those of two of its blocks."""
+    f, _, label = _parts(t)
+    side = t.column("side").to_numpy()
+    before = functools.partial(met_before, table=t.column("t")[0].as_py(), masks=masks)
+    apart = t.column("x")[0].as_py() != t.column("y")[0].as_py()
+    return open_pairs(f, label, t.column("z").to_numpy(), t.column("most")[0].as_py(), similarity, before, int((side == 0).sum()) if apart else None)
+
+
+UNIT = ["k", "x", "y"]
+ROW = ["t", "most", "id", "label", "z", *NAMES]
+
+
+def key_masks(chosen: list[list[int]]) -> np.ndarray:
     masks = np.zeros((len(chosen), WORDS64), np.uint64)
     for at, bits in enumerate(chosen):
         for x in bits:
             masks[at, x // 64] |= _U(1 << x % 64)
-    rest = ["k", "t", "most", "id", "label", *NAMES]
-    schema = "a long, b long, block long, k long, t int, most int, id long, label long, " + ", ".join(f"{c} long" for c in NAMES)
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * (2 + WORDS64)]
+    return masks
+
+
+def meetings(keyed: DataFrame, similarity: float, window: int, masks: np.ndarray) -> DataFrame:
+    """(k, x, y, side, t, most, id, label, z, f0 ..): the texts that have an open pair where they meet, so a text has one row
+    a meeting however many pairs it has there.
+
+    The texts of a key meet at once. A key of over ``window`` texts, or of as much more text, is cut into blocks in the
+    order of labels, and every two blocks x and y that do not hold one label alone meet in a task of their own; ``side``
+    tells which of them a text is in. Two texts that share keys of several tables are a pair in the first of them only.
+    """
+    spark = keyed.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    schema = "k long, x int, y int, side int, t int, most int, id long, label long, z int, " + ", ".join(f"{c} long" for c in NAMES)
+    names = [*UNIT, "side", *ROW]
+
+    def rows(t: pa.Table, x: int, y: int | None, side: int):
+        n = t.num_rows
+        head = [t.column("k").combine_chunks(), pa.array(np.full(n, x, np.int32)), pa.nulls(n, pa.int32()) if y is None else pa.array(np.full(n, y, np.int32)), pa.array(np.full(n, side, np.int32))]
+        return pa.RecordBatch.from_arrays([*head, *(t.column(c).combine_chunks() for c in ROW)], names=names)
+
+    def opened(t: pa.Table):
+        """The rows of a meeting that are in open pairs."""
+        used = np.zeros(t.num_rows, bool)
+        for i, j in _unit_pairs(t, similarity, masks):
+            used[i] = used[j] = True
+        if used.any():
+            yield from t.filter(pa.array(used)).combine_chunks().to_batches()
 
     def within(batches):
         at, key = 0, None
         for t, long in runs_of(batches, ["k"], window):
-            if not long:
-                f, ids, label = _parts(t)
-                before = functools.partial(met_before, table=t.column("t")[0].as_py(), masks=masks)
-                found = _nearest(f, ids, label, f, ids, label, t.column("most")[0].as_py(), each, before, True) if len(ids) > 1 else ()
-                for p in found:
-                    yield pa.RecordBatch.from_arrays([*p.columns, *(pa.nulls(p.num_rows, x) for x in types)], names=["a", "b", "block", *rest])
-                continue
             k = t.column("k")[0].as_py()
-            at, key = at + 1 if k == key else 0, k
-            n = t.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, at)), *(t.column(c).combine_chunks() for c in rest)], names=["a", "b", "block", *rest])
+            at, key = at if k == key else 0, k
+            block = np.cumsum(np.maximum(1, t.column("z").to_numpy() >> 9)) // (window + 1)
+            if not long and block[-1] == 0:
+                if t.num_rows > 1:
+                    yield from opened(pa.Table.from_batches([rows(t, -1, -1, 0)]))
+                continue
+            cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), t.num_rows]
+            for s, e in zip(cut, cut[1:], strict=False):
+                yield rows(t.slice(s, e - s), at, None, 0)
+                at += 1
 
     def between(batches):
-        for t, _ in runs_of(batches, ["k", "x", "y"], 2 * window):
-            most, before = t.column("most")[0].as_py(), functools.partial(met_before, table=t.column("t")[0].as_py(), masks=masks)
-            f, ids, label = _parts(t)
-            n = int((t.column("block").to_numpy() == t.column("x").to_numpy()).sum())
-            if n == len(ids):
-                yield from _nearest(f, ids, label, f, ids, label, most, each, before, True)
-            else:
-                one, two = (f[:, :n], ids[:n], label[:n]), (f[:, n:], ids[n:], label[n:])
-                yield from _nearest(*one, *two, most, each, before)
-                if each < max(n, len(ids) - n):
-                    yield from _nearest(*two, *one, most, each, before)
-
-    found = saved(keyed.repartition("k").sortWithinPartitions("k", "label", "r", *NAMES, "id").mapInArrow(within, schema), "compared")
-    out, blocks = found.where("block is null").select("a", "b"), found.where("block is not null").select("block", *rest)
+        for t, _ in runs_of(batches, UNIT, 2 * window):
+            yield from opened(t)
+
+    found = saved(keyed.repartition("k").sortWithinPartitions("k", "label", "r", *NAMES, "id").mapInArrow(within, schema), "meetings")
+    blocks = found.where("y is null").select("k", F.col("x").alias("block"), *ROW)
     labels = blocks.groupBy("k", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     x, y = (labels.select("k", *(F.col(c).alias(f"{side}{end}") for c, end in (("block", ""), ("lo", "lo"), ("hi", "hi")))) for side in "xy")
     meet = x.join(y, "k").where("x <= y and least(xlo, ylo) < greatest(xhi, yhi)").select("k", "x", "y")
     ends = meet.select("k", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    both = blocks.join(ends, ["k", "block"]).repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "block", "id")
-    return out.union(both.select("x", "y", "block", *rest).mapInArrow(between, "a long, b long")).distinct()
+    both = blocks.join(ends, ["k", "block"]).withColumn("side", (F.col("block") > F.col("x")).cast("int")).repartition(*UNIT).sortWithinPartitions(*UNIT, "side", "id")
+    return found.where("y is not null").unionByName(both.select(*names).mapInArrow(between, schema))
+
+
+def meeting_links(met: DataFrame, sets: DataFrame, similarity: float, window: int, masks: np.ndarray) -> DataFrame:
+    """(a, b): links between texts of ``met`` that reach the Jaccard similarity, as many as it takes to join the groups of
+    each meeting. Refuted pairs never leave the task, and texts that a link has joined are not compared again in it."""
+
+    def run(batches):
+        for t, _ in runs_of(batches, UNIT, 2 * window):
+            ids, sets = t.column("id").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("s")]
+            size = np.array([len(x) for x in sets])
+            group = np.unique(t.column("label").to_numpy(), return_inverse=True)[1]
+            a, b = [], []
+            for i, j in _unit_pairs(t, similarity, masks):
+                cut = [0, *(np.flatnonzero(np.diff(i)) + 1).tolist(), len(i)]
+                for s, e in zip(cut, cut[1:], strict=False):
+                    one, others = int(i[s]), j[s:e]
+                    others = others[group[others] != group[one]]
+                    if not len(others):
+                        continue
+                    theirs, mine = np.concatenate([sets[x] for x in others]), sets[one]
+                    shared = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs if len(mine) else np.zeros(len(theirs), bool)
+                    common = np.bincount(np.repeat(np.arange(len(others)), size[others]), weights=shared, minlength=len(others))
+                    for x in others[common >= similarity * (size[one] + size[others] - common)].tolist():
+                        if group[x] != group[one]:
+                            group[group == group[x]] = group[one]
+                            a.append(ids[one])
+                            b.append(ids[x])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    small_batches(met.sparkSession)
+    return met.join(sets, "id").repartition(*UNIT).sortWithinPartitions(*UNIT, "side", "id").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -454,35 +524,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     """(id, h, root): a text's hash and its group, for every row; groups join texts at ``similarity`` or more.
 
     Equal texts are one member. SimHash finds likely pairs (recall 0.99 at the similarity itself, more above it), the
-    Jaccard similarity of the sets of shingles decides. A first round judges the nearest candidate of each text and key;
-    texts with further candidates go on, with eight and then with all of them, but only across the groups found so far: no
-    link is dropped because a nearer one was tried, and none because its key is long. ``window`` texts of a key are
-    compared at once; it changes no group. Texts without words (null, empty) form one group.
+    Jaccard similarity of the sets of shingles decides. A first round judges the nearest candidate of each text and key.
+    Texts with further candidates go on with all of them, across the groups found so far, in the tasks where their keys
+    meet: a text's set goes there once, and only links come back, so that pairs that fail cost no row. No link is dropped
+    because a nearer one was tried, and none because its key is long. ``window`` texts of a key are compared at once; it
+    changes no group. Texts without words (null, empty) form one group. An empty table gives an empty result.
     """
     hashed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(text).alias("text"))
     fps = saved(fingerprints(hashed, ["doc", "id"], width, WORDS64, distinct=True, few=similarity), "fingerprints")
-    texts = saved(fps.groupBy("id").agg(*(F.min(k).alias(k) for k in NAMES), F.first("p").alias("p")), "texts")
+    texts = saved(fps.groupBy("id").agg(*(F.min(k).alias(k) for k in NAMES), F.min("z").alias("z"), F.first("p").alias("p")), "texts")
     n = texts.count()
-    left, each, sets, judged, roots = texts.withColumn("label", F.col("id")), 1, None, None, None
-    while True:
-        keyed = keyed_texts(left, similarity, n)
-        found = saved(first_candidates(keyed, each, window) if each == 1 else candidates(keyed, each, window, chosen_bits(n, similarity)), "candidates")
-        pairs = found.where("b is not null")
-        if sets is None:  # of all texts that later rounds may need
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            sets = saved(_sets(hashed.select("id", text_bytes("text").alias("raw")).join(ends, "id", "left_semi").dropDuplicates(["id"]), width), "sets")
-        else:
-            pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        now = saved(_judge(pairs, sets, similarity), "judged")
-        judged = now if judged is None else judged.unionByName(now)
-        if roots is None or not now.where("alike").isEmpty():  # a link found later joins groups
-            roots = saved(components(judged.where("alike").select("a", "b")), "roots")
-        more = found.where("b is null").select(F.col("a").alias("id"))
-        tidy(docs.sparkSession)
-        if more.isEmpty():
-            break
+    found = saved(first_candidates(keyed_texts(texts.withColumn("label", F.col("id")), similarity, n), 1, window), "candidates")
+    pairs, more = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("id"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(more).distinct()
+    sets = saved(_sets(hashed.select("id", text_bytes("text").alias("raw")).join(ends, "id", "left_semi").dropDuplicates(["id"]), width), "sets")
+    links = saved(_judge(pairs, sets, similarity).where("alike").select("a", "b"), "links")
+    roots = saved(components(links), "roots")
+    tidy(docs.sparkSession)
+    if not more.isEmpty():
         left = texts.join(more, "id", "left_semi").join(roots.withColumnsRenamed({"node": "id", "root": "label"}), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        each = 8 if each == 1 else window
+        masks = key_masks(chosen_bits(n, similarity))
+        met = saved(meetings(keyed_texts(left, similarity, n), similarity, window, masks), "met")
+        further = saved(meeting_links(met, sets, similarity, window, masks), "further")
+        if not further.isEmpty():
+            roots = saved(components(links.union(further)), "roots")
+        tidy(docs.sparkSession)
     roots = roots.withColumnRenamed("node", "id")
     return fps.select(F.col("doc").alias(id_col), "id").join(roots, "id", "left").select(id_col, F.col("id").alias("h"), F.coalesce("root", "id").alias("root"))
 

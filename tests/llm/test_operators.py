@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -101,11 +102,40 @@ def test_long_keys_of_near_duplicates_lose_no_pair(spark):
 def test_blocks_of_a_long_key_meet_once(spark):
     rng = np.random.default_rng(22)
     f = rng.integers(0, 1 << 62, 4) ^ (1 << rng.integers(0, 60, (50, 4)))
-    rows = [(1 if i < 45 else 2, 0, 20, i, i, i % 7 if i < 30 else 3, *map(int, f[i])) for i in range(50)]
-    keyed = spark.createDataFrame(rows, "k long, t int, most int, r long, id long, label long, f0 long, f1 long, f2 long, f3 long")
+    rows = [(1 if i < 45 else 2, 0, 20, i, i, i % 7 if i < 30 else 3, 10, *map(int, f[i])) for i in range(50)]
+    keyed = spark.createDataFrame(rows, "k long, t int, most int, r long, id long, label long, z int, f0 long, f1 long, f2 long, f3 long")
     want = {(i, j) for i in range(50) for j in range(i + 1, 50) if rows[i][0] == rows[j][0] and rows[i][5] != rows[j][5] and sum((int(x) ^ int(y)).bit_count() for x, y in zip(f[i], f[j])) <= 20}
+    masks = simhash.key_masks([[0]])
     for window in (4, 8, 100):
-        assert {(r.a, r.b) for r in simhash.candidates(keyed, 100, window, [[0]]).collect()} == want and want
+        met, got = simhash.meetings(keyed, 0.8, window, masks).toArrow(), []
+        units = met.group_by(simhash.UNIT).aggregate([]).to_pylist()
+        for u in units:
+            t = met.filter((pc.field("k") == u["k"]) & (pc.field("x") == u["x"]) & (pc.field("y") == u["y"])).sort_by([("side", "ascending"), ("id", "ascending")])
+            ids = t.column("id").to_numpy()
+            got += [tuple(sorted(p)) for i, j in simhash._unit_pairs(t, 0.8, masks) for p in zip(ids[i].tolist(), ids[j].tolist())]
+        assert set(got) == want and want and len(got) == len(want)
+
+
+def test_pairs_that_fail_leave_no_rows(spark):
+    """A template whose texts are about 0.6 alike: rows grow with the texts, not with their pairs."""
+    rng = np.random.default_rng(23)
+    base, texts = [f"w{x}" for x in rng.integers(0, 5000, 200)], []
+    for _ in range(400):
+        t = list(base)
+        for at in range(10, 200, 20):
+            t[at] = f"e{rng.integers(0, 10**9)}"
+        texts.append(" ".join(t))
+    texts += [texts[0] + " end", texts[1] + " end"]
+    docs = frame(spark, texts)
+    groups = {}
+    for r in simhash.near_duplicates(docs).collect():
+        groups.setdefault(r.root, []).append(r.doc_id)
+    assert sorted(x for x in map(sorted, groups.values()) if len(x) > 1) == [[0, 400], [1, 401]]
+    fps = simhash.fingerprints(docs.selectExpr("doc_id as id", "text"), ["id"], 5, simhash.WORDS64, distinct=True, few=0.8)
+    keyed = simhash.keyed_texts(fps.withColumn("label", F.col("id")), 0.8, len(texts))
+    masks = simhash.key_masks(simhash.chosen_bits(len(texts), 0.8))
+    met = simhash.meetings(keyed, 0.8, simhash.WINDOW, masks)
+    assert met.count() <= len(masks) * len(texts)
 
 
 def test_a_repeated_line_hides_no_near_copy(spark):
