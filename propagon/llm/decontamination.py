@@ -1,15 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of words weighted by sqrt(tf) * idf over hashed words; idf comes from counts over all documents. A
-distributed randomised SVD of the benchmark's passages gives the latent space: it holds all of the benchmark up to its
-rank, or its strongest RANK directions. Document passages are projected and compared with the benchmark by cosine, in
-blocks; a bound on the cosine, the sum of the largest part that any item gives each word of a passage, spares most of
-them the projection and loses none. For each pair found, the longest common subsequence of the words decides, with a closer
-look at the answer: the last sentence of an item.
-
-The latent space holds little of an item once the benchmark outgrows the rank, and a window is wider or narrower than an
-item. So every item is searched on shared words too: a passage that the decision accepts lacks at most a known number of
-the item's words, hence holds some of its rarest ones close together. No passage that is accepted escapes this search.
+Passages are windows of words weighted by sqrt(tf) * idf over hashed words; idf comes from document frequencies over all
+documents. Items stand in blocks of about RANK. A distributed randomised SVD of the passages of each block gives a latent
+space that holds all items of the block, so what is found of an item does not depend on how many others there are.
+Document passages are projected and compared with the benchmark by cosine, in blocks; a bound on the cosine, the sum of
+the largest part that any item gives each word of a passage, spares most of them the projection and loses none. For each
+pair found, the longest common subsequence of the words decides, with a closer look at the answer: the last sentence of
+an item.
+
+A window is wider or narrower than an item, and filler may hide it from the cosine. So every item is searched on shared
+words too: a passage that the decision accepts lacks at most a known number of the item's words, hence holds some of its
+rarest ones close together. No passage of an item's width that is accepted escapes this search.
 """
 
 from __future__ import annotations
@@ -25,26 +26,26 @@ from propagon.llm.common import SPACE, blocks, fresh, saved, small_batches, text
 
 FEATURES = 1 << 18
 SLICES = 16
+#: Items of a block on average; its latent space has as many directions as the block has items.
 RANK = 256
 OVERSAMPLE = 16
 WINDOW, STRIDE = 64, 16
 COSINE = 0.4
 OVERLAP, PARTIAL, ANSWER = 0.75, 0.55, 0.8
-#: Share of an item's length that the latent space must hold for a latent cosine to mean anything.
-KEPT = 0.5
 MARKS = b".,;:!?\"'()[]"
-#: Items that one pass holds in every task; more items take more passes.
-BLOCK_ITEMS = 20_000
+#: Blocks of items that one pass over the documents holds in every task; more items take more passes.
+PASS_BLOCKS = 8
 
 
-def word_counts(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Occurrences of every hashed word, and words in all. Tasks send dense slices, which are summed slice by slice."""
+def text_counts(docs: DataFrame, text: str) -> np.ndarray:
+    """Texts that hold each hashed word. Tasks send dense slices, which are summed slice by slice."""
 
     def count(batches):
         total = np.zeros(FEATURES, np.int64)
         for b in batches:
             for _, _, buf, off in blocks(b.column("raw")):
-                total += np.bincount((plain_tokens(buf, off)[2] % FEATURES).astype(np.int64), minlength=FEATURES)
+                _, _, h, row = plain_tokens(buf, off)
+                total += np.bincount(np.unique(row * FEATURES + (h % FEATURES).astype(np.int64)) % FEATURES, minlength=FEATURES)
         if total.any():
             parts = total.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([x.astype(np.uint32 if x.max() < 1 << 32 else np.uint64).tobytes() for x in parts], pa.binary())], names=["slice", "n"])
@@ -64,7 +65,7 @@ def word_counts(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     out = np.zeros((SLICES, FEATURES // SLICES), np.int64)
     for r in rows:  # FEATURES numbers, whatever the corpus
         out[r["slice"]] = np.frombuffer(r["n"], np.int64)
-    return out.ravel(), int(out.sum())
+    return out.ravel()
 
 
 def passage(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,32 +269,49 @@ def leaked(whole: float, answer: float) -> bool:
     return whole >= OVERLAP or (whole >= PARTIAL and answer >= ANSWER)
 
 
-def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, counts: np.ndarray, feats: np.ndarray, basis: np.ndarray, keep: list[str], text: str) -> DataFrame:
+def cosine_of(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+    return float(one[1][i] @ two[1][j])
+
+
+class Space:
+    """Latent vectors of the items of one block; ``first`` is the place of the first of them."""
+
+    def __init__(self, first: int, passages: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, feats: np.ndarray, basis: np.ndarray):
+        self.first = first
+        latent = np.zeros((len(passages), basis.shape[1]), np.float32)
+        for k, (f, x) in enumerate(passages):
+            if len(f):
+                latent[k] = x.astype(np.float32) @ basis[np.searchsorted(feats, f)]
+        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        self.place = np.full(FEATURES, -1, np.int32)
+        self.place[feats] = np.arange(len(feats))
+        self.weighted = basis * idf[feats][:, None].astype(np.float32)
+        # the most that one occurrence of a word adds to any item's product; sqrt(tf) counts occurrences no higher than tf
+        self.most = np.zeros(FEATURES, np.float32)
+        for at in range(0, len(feats), 4096):
+            self.most[feats[at : at + 4096]] = (self.weighted[at : at + 4096] @ self.latent.T).max(axis=1, initial=0.0)
+
+
+def _search(docs: DataFrame, parts: list[tuple], idf: np.ndarray, counts: np.ndarray, keep: list[str], text: str) -> DataFrame:
+    """Leaks of the items of some blocks (items, features, basis)."""
     spark = docs.sparkSession
-    latent = np.zeros((len(items), basis.shape[1]), np.float32)
-    made = [Item(i, raw) for i, raw in items]
-    for k, (_, raw) in enumerate(items):
-        buf = np.frombuffer(raw, np.uint8)
-        h = plain_tokens(buf, np.array([0, len(buf)]))[2]
-        if len(h):
-            f, x = passage(h, idf)
-            latent[k] = x.astype(np.float32) @ basis[np.searchsorted(feats, f)]
-    held = np.linalg.norm(latent, axis=1, keepdims=True)
-    latent = np.where(held >= KEPT, latent / np.maximum(held, 1e-12), 0).astype(np.float32)
-    place = np.full(FEATURES, -1, np.int32)
-    place[feats] = np.arange(len(feats))
-    # the most that one occurrence of a word adds to any item's product; sqrt(tf) counts occurrences no higher than tf
-    most = np.zeros(FEATURES)
-    for at in range(0, len(feats), 4096):
-        f = feats[at : at + 4096]
-        most[f] = idf[f] * (basis[at : at + 4096] @ latent.T).max(axis=1, initial=0.0)
-    shared = spark.sparkContext.broadcast((idf.astype(np.float32), place, basis * idf[feats][:, None].astype(np.float32), latent, most, made, Seeds(made, counts)))
+    made = [Item(i, raw) for items, _, _ in parts for i, raw in items]
+    passages, spaces = [], []
+    for items, feats, basis in parts:
+        own = []
+        for _, raw in items:
+            buf = np.frombuffer(raw, np.uint8)
+            own.append(passage(plain_tokens(buf, np.array([0, len(buf)]))[2], idf))
+        spaces.append(Space(len(passages), own, idf, feats, basis))
+        passages += own
+    shared = spark.sparkContext.broadcast((idf.astype(np.float32), spaces, passages, made, Seeds(made, counts)))
     raw = fresh(docs, "raw")
     source = docs.select(*keep, text_bytes(text).alias(raw))
     schema = source.drop(raw).schema.add("item_id", "string").add("cosine", "double").add("overlap", "double").add("answer", "double")
 
     def run(batches):
-        idf, place, weighted, latent, most, made, seeds = shared.value
+        idf, spaces, passages, made, seeds = shared.value
         square = idf.astype(np.float64) ** 2
         for b in batches:
             found = []
@@ -303,9 +321,7 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, counts: np.nda
                 if not len(h) or not len(made):
                     continue
                 f = (h % np.uint64(FEATURES)).astype(np.int64)
-                at = place[f]
                 mass = np.concatenate([[0.0], np.cumsum(square[f])])
-                reach = np.concatenate([[0.0], np.cumsum(most[f])])
                 cut = np.searchsorted(row, np.arange(end - begin + 1))
                 # chunks of STRIDE words from each text's start; a window is WINDOW words from a chunk's start, or up to the end
                 chunks = -(-np.diff(cut) // STRIDE)
@@ -319,42 +335,46 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, counts: np.nda
                 c1 = np.minimum(c0 + WINDOW // STRIDE, before[doc] + chunks[doc])
                 s, e = start[c0], stop[c1 - 1]
                 norm = mass[e] - mass[s]
-                live = np.flatnonzero(reach[e] - reach[s] >= 0.999 * COSINE * np.sqrt(norm))
-                for base in range(0, len(live), 2048):
-                    ids = live[base : base + 2048]
-                    span_of = np.minimum(c0[ids][:, None] + np.arange(WINDOW // STRIDE), c1[ids][:, None] - 1)
-                    used = np.unique(span_of)
-                    size = stop[used] - start[used]
-                    w = np.repeat(np.arange(len(used)), size)
-                    t = np.repeat(start[used], size) + np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-                    w, t = w[at[t] >= 0], t[at[t] >= 0]
-                    # a chunk's sum of latent words, added up over the chunks of a window
-                    z = np.zeros((len(used), weighted.shape[1]), np.float32)
-                    edges = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
-                    if len(edges):
-                        z[w[edges]] = np.add.reduceat(weighted[at[t]], edges, axis=0)
-                    by_item = z @ latent.T
-                    place_of = np.searchsorted(used, span_of)
-                    cosine = by_item[place_of[:, 0]]
-                    for k in range(1, WINDOW // STRIDE):
-                        more = c0[ids] + k < c1[ids]
-                        cosine[more] += by_item[place_of[more, k]]
-                    cosine /= np.sqrt(norm[ids])[:, None].astype(np.float32)
-                    # words that repeat in a window count by the root of their number: only windows that may pass are looked at
-                    ids = ids[(cosine >= COSINE).any(axis=1)]
-                    size = e[ids] - s[ids]
-                    w = np.repeat(np.arange(len(ids)), size)
-                    t = np.repeat(s[ids], size) + np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-                    w, t = w[at[t] >= 0], t[at[t] >= 0]
-                    key, tf = np.unique(w * np.int64(FEATURES) + f[t], return_counts=True)
-                    w, x = key // FEATURES, np.sqrt(tf).astype(np.float32)
-                    edges = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
-                    z = np.zeros((len(ids), weighted.shape[1]), np.float32)
-                    if len(edges):
-                        z[w[edges]] = np.add.reduceat(weighted[place[key % FEATURES]] * x[:, None], edges, axis=0)
-                    cosine = (z / np.sqrt(norm[ids])[:, None].astype(np.float32)) @ latent.T
-                    for i, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        near.append((int(doc[ids[i]]), int(k), float(cosine[i, k]), int(s[ids[i]]), int(e[ids[i]])))
+                for space in spaces:
+                    latent, weighted, place = space.latent, space.weighted, space.place
+                    at = place[f]
+                    reach = np.concatenate([[0.0], np.cumsum(space.most[f], dtype=np.float64)])
+                    live = np.flatnonzero(reach[e] - reach[s] >= 0.999 * COSINE * np.sqrt(norm))
+                    for base in range(0, len(live), 2048):
+                        ids = live[base : base + 2048]
+                        span_of = np.minimum(c0[ids][:, None] + np.arange(WINDOW // STRIDE), c1[ids][:, None] - 1)
+                        used = np.unique(span_of)
+                        size = stop[used] - start[used]
+                        w = np.repeat(np.arange(len(used)), size)
+                        t = np.repeat(start[used], size) + np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+                        w, t = w[at[t] >= 0], t[at[t] >= 0]
+                        # a chunk's sum of latent words, added up over the chunks of a window
+                        z = np.zeros((len(used), weighted.shape[1]), np.float32)
+                        edges = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+                        if len(edges):
+                            z[w[edges]] = np.add.reduceat(weighted[at[t]], edges, axis=0)
+                        by_item = z @ latent.T
+                        place_of = np.searchsorted(used, span_of)
+                        cosine = by_item[place_of[:, 0]]
+                        for k in range(1, WINDOW // STRIDE):
+                            more = c0[ids] + k < c1[ids]
+                            cosine[more] += by_item[place_of[more, k]]
+                        cosine /= np.sqrt(norm[ids])[:, None].astype(np.float32)
+                        # words that repeat in a window count by the root of their number: only windows that may pass are looked at
+                        ids = ids[(cosine >= COSINE).any(axis=1)]
+                        size = e[ids] - s[ids]
+                        w = np.repeat(np.arange(len(ids)), size)
+                        t = np.repeat(s[ids], size) + np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+                        w, t = w[at[t] >= 0], t[at[t] >= 0]
+                        key, tf = np.unique(w * np.int64(FEATURES) + f[t], return_counts=True)
+                        w, x = key // FEATURES, np.sqrt(tf).astype(np.float32)
+                        edges = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+                        z = np.zeros((len(ids), weighted.shape[1]), np.float32)
+                        if len(edges):
+                            z[w[edges]] = np.add.reduceat(weighted[place[key % FEATURES]] * x[:, None], edges, axis=0)
+                        cosine = (z / np.sqrt(norm[ids])[:, None].astype(np.float32)) @ latent.T
+                        for i, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                            near.append((int(doc[ids[i]]), space.first + int(k), float(cosine[i, k]), int(s[ids[i]]), int(e[ids[i]])))
                 best: dict = {}
                 for i, k, cos, ws, we in near:
                     lo, hi = max(int(cut[i]), ws - STRIDE), min(int(cut[i + 1]), max(we, ws + len(made[k].words)) + STRIDE)
@@ -373,9 +393,7 @@ def _search(docs: DataFrame, items: list[tuple], idf: np.ndarray, counts: np.nda
                         best[begin + i, k] = o
                         o[1:] = hit[:2]
                         a, z = first[lo + hit[2]], last[min(hi, lo + hit[2] + span(len(made[k].words))) - 1]
-                        g, x = passage(plain_tokens(buf[a:z], np.array([0, z - a]))[2], idf)
-                        x, g = x[place[g] >= 0] / idf[g[place[g] >= 0]], g[place[g] >= 0]
-                        o[0] = max(o[0], float((x.astype(np.float32) @ weighted[place[g]]) @ latent[k]))
+                        o[0] = max(o[0], cosine_of(passage(plain_tokens(buf[a:z], np.array([0, z - a]))[2], idf), passages[k]))
                 found += [(r, k, *o) for (r, k), o in best.items() if leaked(o[1], o[2])]
             if found:
                 take = pa.array([x[0] for x in found], pa.int64())
@@ -396,18 +414,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
     small_batches(spark)
     items = saved(benchmark.select(F.col(id_col).cast("string").alias("id"), text_bytes(text).alias("raw")).where(F.length("raw") > 0), "items")
     own = benchmark.schema[id_col].dataType
-    counts, total = word_counts(docs, text)
-    idf = np.log((total + 1.0) / (counts + 0.5)).clip(0.1)
-    feats, basis = randomised_svd(items, idf, RANK)
-    if not basis.shape[1]:
+    number = items.count()
+    if not number:
         return docs.select(*keep).withColumns({"item_id": F.lit(None).cast(own), "cosine": F.lit(0.0), "overlap": F.lit(0.0), "answer": F.lit(0.0)}).where("false")
-    passes = -(-items.count() // BLOCK_ITEMS)
+    counts = text_counts(docs, text)
+    idf = np.log((docs.count() + 1.0) / (counts + 0.5)).clip(0.1)
+    blocks_of = -(-number // RANK)
+    passes = -(-blocks_of // PASS_BLOCKS)
+    block = F.pmod(F.xxhash64("id", "raw"), F.lit(blocks_of))
     out = None
-    for part in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("id", "raw"), F.lit(passes)) == part)
-        block = [(r["id"], bytes(r["raw"])) for r in rows.collect()]  # about BLOCK_ITEMS items
-        found = _search(docs, block, idf, counts, feats, basis, keep, text)
-        out = found if out is None else out.unionByName(found)
+    for first in range(passes):
+        parts = []
+        for at in range(first, blocks_of, passes):
+            rows = items.where(block == at)
+            held = [(r["id"], bytes(r["raw"])) for r in rows.collect()]  # about RANK items
+            if held:
+                parts.append((held, *randomised_svd(rows, idf, len(held))))
+        if parts:
+            found = _search(docs, parts, idf, counts, keep, text)
+            out = found if out is None else out.unionByName(found)
     return out.withColumn("item_id", F.col("item_id").cast(own))
 
 

@@ -376,3 +376,22 @@ def test_empty_tables(spark):
     assert licences.licences(none).count() == 0 and quality_lm.quality_lm(none, none).count() == 0
     assert ngram_lm.lm_scores(none, F.lit(False), ["doc_id"]).count() == 0
     assert toxicity.toxicity(none, toxicity.train(none.withColumn("toxic", F.lit(1))), ["doc_id"]).count() == 0
+
+
+def test_leaks_do_not_depend_on_the_number_of_items(spark):
+    """Each document has all words of an item in order, three frequent words between every two; all are found, with few
+    items or many."""
+    rng = np.random.default_rng(31)
+    filler = [f"c{i}" for i in range(60)]
+    items = [" ".join(f"q{x}" for x in rng.integers(0, 40_000, 16)) for _ in range(700)]
+    docs = []
+    for i in range(40):
+        out = list(rng.choice(filler, 30))
+        for w in items[i].split():
+            out += [w, *rng.choice(filler, 3)]
+        docs.append(" ".join(out + list(rng.choice(filler, 30))))
+    docs += [" ".join(rng.choice(filler, 120)) for _ in range(200)] + [None, ""]
+    for n in (100, 700):
+        bench = spark.createDataFrame(list(enumerate(items[:n])), "item_id long, text string")
+        got = sorted((r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect())
+        assert got == [(i, i) for i in range(40)]
