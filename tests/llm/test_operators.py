@@ -395,3 +395,16 @@ def test_leaks_do_not_depend_on_the_number_of_items(spark):
         bench = spark.createDataFrame(list(enumerate(items[:n])), "item_id long, text string")
         got = sorted((r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect())
         assert got == [(i, i) for i in range(40)]
+
+
+def test_quality_of_clashing_columns_and_repeated_texts(spark):
+    rng = np.random.default_rng(41)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 30)) for _ in range(60)]
+    rows = [(i, t, "en", "x", "y") for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, __id string, key string"
+    docs = spark.createDataFrame(rows, schema)
+    trusted = docs.where("doc_id % 2 = 0").select("doc_id")
+    once = {r.doc_id: r.perplexity for r in quality_lm.quality_lm(docs, trusted).collect()}
+    copies = spark.createDataFrame([(i + 1000, texts[2 * i % 8], "en", "x", "y") for i in range(300)], schema)
+    more = {r.doc_id: r.perplexity for r in quality_lm.quality_lm(docs.union(copies), trusted.union(copies.select("doc_id"))).collect()}
+    assert all(abs(more[i] - once[i]) < 1e-6 * once[i] for i in once) and more[1003] == more[6]
