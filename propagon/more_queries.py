@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propagon.operators import batches, coverage, graph, isotonic, org, packs, projection, sampler, windows
+from propagon.operators import batches, coverage, graph, isotonic, org, packs, projection, sampler, thresholds, windows
 from propagon.sources import cascades as src
 from propagon.sources import raw
 from propagon.sources.shared import new_path, written
@@ -25,6 +25,32 @@ steps AS (SELECT y_prob AS x, min(v) AS v FROM s JOIN fit USING (i) GROUP BY ALL
 to_fit AS (SELECT DISTINCT y_prob FROM preds WHERE row_seq % 4 <> 0), hit AS (SELECT y_prob, min(x) AS x FROM to_fit JOIN steps ON x >= y_prob GROUP BY ALL),
 val AS (SELECT y_prob, coalesce(v, (SELECT max(v) FROM steps)) AS v FROM to_fit LEFT JOIN hit USING (y_prob) LEFT JOIN steps USING (x))
 SELECT row_seq, y_true, y_prob, round(v, 8) AS p_isotonic FROM preds JOIN val USING (y_prob) WHERE row_seq % 4 <> 0"""
+
+
+def _scores(tp: str, fp: str, fn: str, tn: str) -> dict[str, str]:
+    tp, fp, fn, tn = (f"CAST({x} AS DOUBLE)" for x in (tp, fp, fn, tn))
+    p, r = f"({tp} / greatest({tp} + {fp}, 1))", f"({tp} / greatest({tp} + {fn}, 1))"
+    made = {"accuracy": f"({tp} + {tn}) / greatest({tp} + {fp} + {fn} + {tn}, 1)", "precision": p, "recall": r, "specificity": f"{tn} / greatest({tn} + {fp}, 1)", "f1": f"2 * {p} * {r} / greatest({p} + {r}, 1e-12)"}
+    return made | {"mcc": f"({tp} * {tn} - {fp} * {fn}) / sqrt(greatest(({tp} + {fp}) * ({tp} + {fn}) * ({tn} + {fp}) * ({tn} + {fn}), 1))"}
+
+
+def _thresholds(edges: str, steps: int) -> str:
+    """Every candidate counted on its own, fitted on every fourth row."""
+    m, picked = _scores("tp", "fp", "fn", "tn"), "(SELECT t FROM tried ORDER BY round({0}, 9) DESC, round({1}, 9) DESC, t LIMIT 1)"
+    sums = ", ".join(f"count(CASE WHEN (y_prob >= t) = {hit} AND y_true = {y} THEN 1 END) AS {k}" for k, hit, y in (("tp", "true", 1), ("fp", "true", 0), ("fn", "false", 1), ("tn", "false", 0)))
+    loss = "avg((y_prob - y_true) ** 2) AS brier, avg(-CASE WHEN y_true = 1 THEN ln(least(greatest(y_prob, 1e-12), 1 - 1e-12)) ELSE ln(1 - least(greatest(y_prob, 1e-12), 1 - 1e-12)) END) AS nll"
+    return f""", pt AS (SELECT *, CASE WHEN row_seq % 4 = 0 THEN 'valid' ELSE 'test' END AS part FROM preds),
+own AS (SELECT DISTINCT y_prob AS t FROM pt WHERE part = 'valid'),
+cand AS (SELECT t FROM own WHERE (SELECT count(*) FROM own) <= {steps + 1} UNION ALL SELECT i / {steps} AS t FROM range({steps + 1}) r(i) WHERE (SELECT count(*) FROM own) > {steps + 1}),
+tried AS (SELECT t, {sums} FROM cand, pt WHERE part = 'valid' GROUP BY t),
+st AS (SELECT 'default_0.5' AS strategy, 0.5 AS t UNION ALL SELECT 'valid_best_f1', {picked.format(m["f1"], m["precision"])} UNION ALL SELECT 'valid_best_mcc', {picked.format(m["mcc"], m["precision"])}),
+cn AS (SELECT strategy, t, part, {sums} FROM st, pt GROUP BY ALL), ls AS (SELECT part, {loss} FROM pt GROUP BY part),
+ec AS (SELECT part, sum(n * gap) / sum(n) AS ece FROM (SELECT part, {edges} AS bin, count(*) AS n, abs(avg(y_prob) - avg(y_true)) AS gap FROM pt GROUP BY ALL) GROUP BY part),
+al AS (SELECT * FROM cn JOIN ls USING (part) JOIN ec USING (part)),
+va AS (SELECT strategy, round({m["f1"]}, 6) AS valid_f1, round({m["mcc"]}, 6) AS valid_mcc, round(brier, 6) AS valid_brier, round(nll, 6) AS valid_nll, round(ece, 6) AS valid_ece FROM al WHERE part = 'valid')
+SELECT 'none' AS method, strategy, valid_f1, valid_mcc, valid_brier, valid_nll, valid_ece, round(t, 6) AS threshold, tp, fp, fn, tn, {", ".join(f"round({v}, 6) AS {k}" for k, v in m.items())}, round(brier, 6) AS brier, round(nll, 6) AS nll, round(ece, 6) AS ece FROM al JOIN va USING (strategy) WHERE part = 'test'"""
+
+
 NEAR = """,
 sn AS (SELECT cascade_idx, user_idx, row_number() OVER (PARTITION BY cascade_idx ORDER BY user_idx) - 1 AS node FROM (SELECT DISTINCT cascade_idx, user_idx FROM posts)),
 nv AS (SELECT cascade_idx, node, user_idx, coalesce(CAST(embedding AS DOUBLE[]), [0.0 FOR z IN range((SELECT max(len(embedding)) FROM embeddings))]) AS e, count(*) OVER (PARTITION BY cascade_idx) AS n FROM sn LEFT JOIN embeddings ON vec_id = user_idx),
@@ -78,6 +104,18 @@ def register(c) -> None:
         return isotonic.isotonic(p.where("row_seq % 4 = 0"), p.where("row_seq % 4 <> 0")).withColumn("p_isotonic", F.round("p_isotonic", 8))
 
     add("isotonic", calibrated, ISOTONIC)
+
+    def parted(s, d):
+        return src.predictions(s, d).withColumn("part", F.when(F.col("row_seq") % 4 == 0, "valid").otherwise("test")).withColumn("p_none", F.col("y_prob"))
+
+    add("threshold_report", lambda s, d: thresholds.threshold_report(parted(s, d)), _thresholds(c.EDGES, 1000))
+    add("threshold_grid", lambda s, d: thresholds.threshold_report(parted(s, d), steps=20), _thresholds(c.EDGES, 20))
+
+    def fitted(s, d):
+        p = src.predictions(s, d)
+        return thresholds.threshold_report(thresholds.calibrated_on(p.where("row_seq % 4 = 0"), p.where("row_seq % 4 <> 0")), ("none", "temperature", "platt", "isotonic"))
+
+    c.QUERIES["calibrated_report"] = fitted
     add("projection", lambda s, d: projection.project(src.table(s, d, "embeddings"), "vec_id", "embedding", DIM).select("vec_id", F.posexplode("embedding").alias("dim", "x")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x")), VECTORS + MATRIX)
 
     def nodes(s, d):
