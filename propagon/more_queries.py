@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propagon.operators import batches, coverage, graph, isotonic, org, packs, projection, sampler, thresholds, windows
+from propagon.operators import batches, coverage, graph, isotonic, metrics, org, packs, projection, sampler, stability, thresholds, windows
 from propagon.sources import cascades as src
 from propagon.sources import raw
 from propagon.sources.shared import new_path, written
@@ -116,6 +116,13 @@ def register(c) -> None:
         return thresholds.threshold_report(thresholds.calibrated_on(p.where("row_seq % 4 = 0"), p.where("row_seq % 4 <> 0")), ("none", "temperature", "platt", "isotonic"))
 
     c.QUERIES["calibrated_report"] = fitted
+    add("precision_at_percent", lambda s, d: metrics.at_percent(src.predictions(s, d)), c.RANKED + ", cut AS (SELECT q AS percent, CAST(greatest(1, ceil(count(*) * CASE WHEN q > 1 THEN q / 100 ELSE q END)) AS BIGINT) AS kk FROM preds, (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.05 AS DOUBLE)), (CAST(10 AS DOUBLE))) v(q) GROUP BY q) SELECT percent, kk AS k, round(sum(y_true) / count(*), 6) AS precision, round(sum(y_true) / (SELECT greatest(sum(y_true), 1) FROM preds), 6) AS recall FROM rk JOIN cut ON k <= kk GROUP BY percent, kk")
+
+    def chances(s, d):
+        n = src.node_predictions(s, d)
+        return n.withColumns({f"role_{r}": (F.col("node_idx") * (i + 2) + F.col("window_idx")) % (i + 3) / 7 for i, r in enumerate(stability.ROLES)})
+
+    add("role_entropy", lambda s, d: stability.role_entropy(chances(s, d)), ", ch AS (SELECT unnest([" + ", ".join(f"greatest((node_idx * {i + 2} + window_idx) % {i + 3} / 7, 1e-12)" for i in range(5)) + "]) AS x, cascade_idx, node_idx, window_idx FROM npred), en AS (SELECT -sum(x * ln(x)) / ln(5) AS e FROM ch GROUP BY cascade_idx, node_idx, window_idx) SELECT round(avg(e), 6) AS role_entropy FROM en")
     add("projection", lambda s, d: projection.project(src.table(s, d, "embeddings"), "vec_id", "embedding", DIM).select("vec_id", F.posexplode("embedding").alias("dim", "x")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x")), VECTORS + MATRIX)
 
     def nodes(s, d):

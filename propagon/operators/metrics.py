@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from propagon.operators import ranking
+
 
 def per_score(preds: DataFrame) -> DataFrame:
     """(y_prob, pos, neg): positives and negatives of every different score; metrics that ignore order need no more."""
@@ -25,20 +27,16 @@ def confusion(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def roc_auc(preds: DataFrame) -> DataFrame:
     """Area under the curve, ties counting half; 0.5 with one class."""
-    by = Window.orderBy("y_prob").rowsBetween(Window.unboundedPreceding, -1)
-    s = per_score(preds).withColumn("below", F.coalesce(F.sum("neg").over(by), F.lit(0)))
+    s = ranking.running(per_score(preds), ["y_prob"], ["neg"]).withColumnRenamed("neg_before", "below")
     x = s.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return x.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / F.col("p") / F.col("n")).otherwise(0.5), 6).alias("auc"))
 
 
 def ranked(preds: DataFrame) -> DataFrame:
-    """Rank by falling score, then by row. Ranks come from counts above each score and a number within it, so that no task
-    orders all rows."""
-    above = Window.orderBy(F.col("y_prob").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    s = per_score(preds).withColumn("n0", F.coalesce(F.sum(F.col("pos") + F.col("neg")).over(above), F.lit(0))).withColumn("p0", F.coalesce(F.sum("pos").over(above), F.lit(0)))
-    inside = Window.partitionBy("y_prob").orderBy("row_seq")
-    r = preds.withColumn("i", F.row_number().over(inside)).withColumn("h", F.sum("y_true").over(inside))
-    return r.join(s, "y_prob").select("row_seq", "y_true", "y_prob", (F.col("n0") + F.col("i")).alias("rank"), (F.col("p0") + F.col("h")).alias("hits"))
+    """Rank by falling score, then by row, and positives up to it. Range partitions are numbered alone, so that no task orders
+    all rows, however many scores there are or rows a score has."""
+    r = ranking.running(preds.select("row_seq", "y_true", "y_prob", F.lit(1).cast("long").alias("one")), [F.col("y_prob").desc(), F.col("row_seq")], ["one", "y_true"])
+    return r.select("row_seq", "y_true", "y_prob", (F.col("one_before") + 1).alias("rank"), (F.col("y_true_before") + F.col("y_true")).alias("hits"))
 
 
 def average_precision(preds: DataFrame) -> DataFrame:
@@ -73,10 +71,20 @@ def at_k(preds: DataFrame, ks: tuple[int, ...] = (10, 100, 500)) -> DataFrame:
     return x.groupBy("k").agg(F.sum("y_true").alias("hits"), F.count("*").alias("n")).crossJoin(preds.agg(F.sum("y_true").alias("p"))).select("k", F.round(F.col("hits") / F.greatest("n", F.lit(1)), 6).alias("precision"), F.round(F.col("hits") / F.greatest("p", F.lit(1)), 6).alias("recall"))
 
 
+def at_percent(preds: DataFrame, percents: tuple[float, ...] = (0.01, 0.05, 10.0)) -> DataFrame:
+    """Precision and recall of the first max(1, ceil(n q)) rows for each share q; a q over 1 is in percent. No row for an empty
+    table."""
+    n = preds.agg(F.count("*").alias("n"), F.sum("y_true").alias("p"))
+    share = F.when(F.col("percent") > 1, F.col("percent") / 100).otherwise(F.col("percent"))
+    cut = n.where("n > 0").select("p", F.col("n").alias("all"), F.explode(F.array(*(F.lit(float(q)) for q in percents))).alias("percent")).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("all") * share)).cast("long"))
+    first = ranked(preds).join(F.broadcast(cut), F.col("rank") == F.least("k", "all"))  # a row a share
+    return first.select("percent", "k", F.round(F.col("hits") / F.col("rank"), 6).alias("precision"), F.round(F.col("hits") / F.greatest("p", F.lit(1)), 6).alias("recall"))
+
+
 def best_threshold(preds: DataFrame) -> DataFrame:
     """The score that as a threshold has the best F1; ties go to the higher precision, then to the lower score."""
-    up = Window.orderBy(F.col("y_prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    s = per_score(preds).withColumn("tp", F.sum("pos").over(up)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(up)).crossJoin(preds.agg(F.sum("y_true").alias("p")))
+    s = ranking.running(per_score(preds), [F.col("y_prob").desc()], ["pos", "neg"])
+    s = s.withColumn("tp", F.col("pos_before") + F.col("pos")).withColumn("n", F.col("tp") + F.col("neg_before") + F.col("neg")).crossJoin(preds.agg(F.sum("y_true").alias("p")))
     pr, rc = F.col("tp") / F.greatest("n", F.lit(1)), F.col("tp") / F.greatest("p", F.lit(1))
     f1 = F.round(2 * pr * rc / F.greatest(pr + rc, F.lit(1e-12)), 9)
     return s.agg(F.max(F.struct(f1.alias("f1"), F.round(pr, 9).alias("pr"), (-F.col("y_prob")).alias("t"))).alias("m")).select(F.round(-F.col("m.t"), 6).alias("threshold"), F.round("m.f1", 6).alias("f1"), F.round("m.pr", 6).alias("precision"))

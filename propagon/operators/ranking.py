@@ -28,6 +28,21 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str = "plac
     return numbered.alias("r").join(counts.alias("c"), same).select(*(F.col(f"r.{k}") for k in rows.columns), (F.col("before_") + F.col("inside_")).cast("long").alias(name))
 
 
+def running(rows: DataFrame, order: list, sums: list[str]) -> DataFrame:
+    """``rows`` with <name>_before for each of ``sums``: its sum over the rows before, by ``order``, which tells rows apart.
+
+    Range partitions are summed alone; a row adds what the partitions before its own hold.
+    """
+    cut = written(rows.repartitionByRange(*order).withColumn("piece_", F.spark_partition_id()), "running")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = earlier(Window.partitionBy(F.lit(0)).orderBy("piece_"))
+    own = cut.groupBy("piece_").agg(*(F.sum(k).alias(f"{k}_all") for k in sums))
+    own = own.select("piece_", *(F.coalesce(F.sum(f"{k}_all").over(pieces), F.lit(0)).alias(f"{k}_base") for k in sums))
+    inside = earlier(Window.partitionBy("piece_").orderBy(*order))
+    x = cut.join(F.broadcast(own), "piece_")  # a row a partition
+    return x.select(*rows.columns, *((F.coalesce(F.sum(k).over(inside), F.lit(0)) + F.col(f"{k}_base")).alias(f"{k}_before") for k in sums))
+
+
 def nearest_ranks(rows: DataFrame, value: str, shares: list[float]) -> list[float]:
     """The value at place round((n - 1) q), halves to even, for every q; 0 without values.
 

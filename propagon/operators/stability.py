@@ -31,6 +31,13 @@ def role_statistics(preds: DataFrame) -> DataFrame:
     return n.select(*(F.round(F.col(r) / F.greatest("n", F.lit(1)), 6).alias(f"role_{r}_ratio") for r in ROLES), F.round(seen / len(ROLES), 6).alias("dominant_role_diversity"))
 
 
+def role_entropy(preds: DataFrame) -> DataFrame:
+    """Mean entropy of the chances role_<name> of each row, as a share of the most possible; chances count as 1e-12 at least."""
+    p = [F.greatest(F.coalesce(F.col(f"role_{r}").cast("double"), F.lit(0.0)), F.lit(1e-12)) for r in ROLES]
+    bits = -sum(x * F.log(x) for x in p) / F.log(F.lit(float(len(ROLES))))
+    return preds.agg(F.round(F.avg(bits), 6).alias("role_entropy"))
+
+
 def gate_statistics(preds: DataFrame) -> DataFrame:
     """Means of both gates, how often each is the larger, and the mean entropy of their shares in bits."""
     o, p = F.col("gate_obs_weight"), F.col("gate_prior_weight")
