@@ -47,8 +47,9 @@ def node_features(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return nodes.join(t, ["cascade_idx", "window_idx", "user_idx"], "left").na.fill(0)
 
 
-def node_features_v2(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with growth, balances and shares of the window and of the cascade (all its windows, later ones included)."""
+def node_features_v2(nodes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Growth, balances and shares of the window and of the cascade (all its windows, later ones included), and the columns of
+    ``nodes`` named by ``keep``."""
     by_user, cw, c = Window.partitionBy("cascade_idx", "user_idx").orderBy("window_idx"), Window.partitionBy("cascade_idx", "window_idx"), Window.partitionBy("cascade_idx")
     deg = {s: (F.col(f"in_degree_{s}") + F.col(f"out_degree_{s}")).cast("double") for s in ("cur", "ctx", "cum")}
     posts = {s: F.col(f"num_posts_{s}").cast("double") for s in ("cur", "ctx", "cum")}
@@ -63,7 +64,36 @@ def node_features_v2(nodes: DataFrame) -> DataFrame:
         "node_degree_share_cur": _over_one(deg["cur"], F.col("degree_w")), "node_degree_share_cum": _over_one(deg["cum"], F.col("degree_c")),
     }
     again = (F.col("num_posts_cur") > 0) & (F.col("posts0") <= 0) & (F.col("num_posts_cum") > F.col("num_posts_cur"))
-    return x.select("cascade_idx", "window_idx", "user_idx", *_rounded(derived), again.cast("int").alias("reactivation_flag"))
+    return x.select("cascade_idx", "window_idx", "user_idx", *keep, *_rounded(derived), again.cast("int").alias("reactivation_flag"))
+
+
+#: Columns of a node in a pack that are no text and no tree column and not derived, text columns, tree columns.
+NODE_BASE = ("is_root", "first_seen_time", "time_since_first_seen", *(f"{k}_{s}" for k in ("num_posts", "in_degree", "out_degree") for s in ("cur", "ctx", "cum")), "active_window_count")
+NODE_TEXT = ("num_texts_cur", "num_texts_visible", "avg_text_len_cur", "avg_text_len_visible")
+TREE = ("depth", "parent_time_gap", "parent_score", "time_score", "text_score", "activity_score", "depth_penalty", "load_penalty", "root_fallback_flag")
+
+
+def with_tree_columns(nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """``nodes`` with TREE of (cascade_idx, user_idx, *TREE) and has_tree_feature; all 0 for a user without a row there."""
+    t = tree.select("cascade_idx", "user_idx", *TREE, F.lit(1).alias("has_tree_feature"))
+    return nodes.join(t, ["cascade_idx", "user_idx"], "left").na.fill(0, ["has_tree_feature", *TREE])
+
+
+def full_node_features(nodes: DataFrame, texts: DataFrame, tree: DataFrame) -> DataFrame:
+    """All columns of a node: counts, texts, derived columns, the share and the length of its texts, and TREE.
+
+    Without rows in ``texts`` the text columns are 0.
+    """
+    x = node_features_v2(node_features(nodes, texts), NODE_BASE + NODE_TEXT)
+    x = x.withColumns({"text_visibility_ratio": F.round(_over_one(F.col("num_texts_visible"), F.col("num_posts_cum")), DIGITS), "text_length_gap": F.round(F.col("avg_text_len_visible") - F.col("avg_text_len_cur"), DIGITS)})
+    return with_tree_columns(x, tree)
+
+
+def edge_counts(edge_windows: DataFrame, kind: str) -> DataFrame:
+    """Per cascade and window: edges, those whose ``kind`` names a follow, and those of each scope (a blank one is current)."""
+    scope = F.coalesce(F.nullif(F.col("window_scope"), F.lit("")), F.lit("current"))
+    follow = F.lower(F.coalesce(F.col(kind), F.lit(""))).contains("follow")
+    return edge_windows.groupBy("cascade_idx", "window_idx").agg(F.count("*").alias("edge_count"), F.count_if(follow).alias("follow_edge_count"), *(F.count_if(scope == s).alias(f"{s}_edge_count") for s in ("current", "context")))
 
 
 def edge_scopes(edge_windows: DataFrame) -> DataFrame:

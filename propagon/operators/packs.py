@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propagon.operators import ranking
+
 
 def local_nodes(nodes: DataFrame) -> DataFrame:
     """(cascade_idx, user_idx, local_idx): 0-based places of a cascade's users by id."""
@@ -42,6 +44,83 @@ def pack_diagnostics(nodes: DataFrame, labels: DataFrame, split: Column) -> Data
     return n.withColumn("split", split).groupBy("split", "label").agg(F.count("*").alias("samples"), F.min("n").alias("min_nodes"), F.max("n").alias("max_nodes"))
 
 
+def numbers(columns: list[str]) -> Column:
+    """The columns as one array of doubles; null counts 0."""
+    return F.array(*(F.coalesce(F.col(k).cast("double"), F.lit(0.0)) for k in columns))
+
+
+def pack_windows(features: DataFrame, columns: list[str]) -> DataFrame:
+    """(cascade_idx, window_idx, t, x): the windows of each cascade in order, t from 0, x its columns. A cascade has few."""
+    by = Window.partitionBy("cascade_idx").orderBy("window_idx")
+    return features.select("cascade_idx", "window_idx", (F.row_number().over(by) - 1).cast("long").alias("t"), numbers(columns).alias("x"))
+
+
+def pack_places(nodes: DataFrame, windows: DataFrame) -> DataFrame:
+    """(cascade_idx, window_idx, t, user_idx, local_idx): every window of ``pack_windows`` of every user. Users are numbered
+    by range partitions, so that no task orders a whole cascade; a cascade of one side alone has no places."""
+    users = ranking.ranked(nodes.select("cascade_idx", "user_idx").distinct(), ["cascade_idx"], ["user_idx"], "local_idx")
+    return users.join(windows.select("cascade_idx", "window_idx", "t"), "cascade_idx").select("cascade_idx", "window_idx", "t", "user_idx", F.col("local_idx").cast("long").alias("local_idx"))
+
+
+def aligned(places: DataFrame, rows: DataFrame, keys: list[str], vector: str, width: int, name: str) -> DataFrame:
+    """``places`` with the vector of the row of the same keys as ``name``, zeros where there is none, and <name>_mask.
+
+    ``rows`` has one row a key at most; a vector of another width is an error that the query reports.
+    """
+    held = F.col(name).isNotNull()
+    fits = F.when(F.size(name) == width, F.col(name)).otherwise(F.raise_error(F.lit(f"{name} is not {width} wide")).cast("array<double>"))
+    x = places.join(rows.select(*keys, F.col(vector).cast("array<double>").alias(name)), keys, "left")
+    return x.withColumn(f"{name}_mask", held.cast("int")).withColumn(name, F.when(held, fits).otherwise(F.array_repeat(F.lit(0.0), width)))
+
+
+def pack_nodes(features: DataFrame, windows: DataFrame, columns: list[str]) -> DataFrame:
+    """(cascade_idx, window_idx, t, user_idx, local_idx, x, x_mask): the node tensor in long form, zeros where a user is not
+    seen yet. One row holds one node, so a cascade of any size is many rows."""
+    rows = features.select("cascade_idx", "window_idx", "user_idx", numbers(columns).alias("x"))
+    return aligned(pack_places(features, windows), rows, ["cascade_idx", "window_idx", "user_idx"], "x", len(columns), "x")
+
+
+def sample_candidates(candidates: DataFrame, places: DataFrame, weight: str | None = None) -> DataFrame:
+    """(cascade_idx, src_local, dst_local, weight): candidates by the places of their users in the sample, each pair once with
+    the weight of its first row by the candidates' own places; loops go.
+
+    A user whom the sample lacks keeps its place among the candidates, which may lie outside the sample; ``pack_report``
+    counts those. ``places`` (cascade_idx, user_idx, local_idx) has one row a user.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    x = candidates.withColumn("w", F.coalesce(w, F.lit(0.0)))
+    for side in ("src", "dst"):
+        own = places.select("cascade_idx", F.col("user_idx").alias(side), F.col("local_idx").alias(f"{side}_own"))
+        x = x.join(own, ["cascade_idx", side], "left")
+    ends = [F.coalesce(f"{side}_own", f"{side}_local").alias(f"{side}_at") for side in ("src", "dst")]
+    x = x.select("cascade_idx", *ends, "w", F.struct("src_local", "dst_local").alias("first")).where("src_at <> dst_at")
+    return x.groupBy("cascade_idx", F.col("src_at").alias("src_local"), F.col("dst_at").alias("dst_local")).agg(F.min_by("w", "first").alias("weight"))
+
+
+def pack_report(windows: DataFrame, nodes: DataFrame, edges: DataFrame, candidates: DataFrame, texts: DataFrame, labels: DataFrame, split: Column) -> DataFrame:
+    """Per split and label: samples, least and largest numbers of windows and users, samples without a visible user, with
+    candidates and with text vectors, candidates, and edges of either kind whose ends are no users of the sample.
+
+    A sample is a cascade with label 0 or 1, windows and nodes. ``windows`` and ``nodes`` come from ``pack_windows`` and
+    ``pack_nodes``, ``texts`` has a row for each vector.
+    """
+    seen = windows.groupBy("cascade_idx").agg(F.count("*").alias("t"))
+    users = nodes.groupBy("cascade_idx").agg((F.max("local_idx") + 1).alias("n"), F.max("x_mask").alias("any"))
+    samples = labels.where("label >= 0").select("cascade_idx", "label").distinct().join(seen, "cascade_idx").join(users, "cascade_idx")
+
+    def outside(rows: DataFrame, name: str) -> DataFrame:
+        x = rows.select("cascade_idx", "src_local", "dst_local").join(users.select("cascade_idx", "n"), "cascade_idx")
+        return x.groupBy("cascade_idx").agg(F.count("*").alias(name), F.count_if((F.least("src_local", "dst_local") < 0) | (F.greatest("src_local", "dst_local") >= F.col("n"))).alias(f"{name}_outside"))
+
+    for more in (outside(edges, "edges"), outside(candidates, "candidates"), texts.groupBy("cascade_idx").agg(F.count("*").alias("texts"))):
+        samples = samples.join(more, "cascade_idx", "left")
+    samples = samples.na.fill(0).withColumn("split", split)
+    return samples.groupBy("split", "label").agg(
+        F.count("*").alias("samples"), F.min("t").alias("min_t"), F.max("t").alias("max_t"), F.min("n").alias("min_nodes"), F.max("n").alias("max_nodes"), F.count_if(F.col("any") == 0).alias("empty_node_mask"), F.sum("edges_outside").alias("edge_alignment_errors"),
+        F.count_if(F.col("candidates") > 0).alias("samples_with_candidates"), F.sum("candidates").alias("candidates"), F.sum("candidates_outside").alias("candidate_alignment_errors"), F.count_if(F.col("texts") > 0).alias("samples_with_texts"),
+    )
+
+
 def stabilised(value: Column) -> Column:
     """sign(x) log(1 + |x|), with 0 for NaN and a million for the infinite."""
     x = F.when(F.isnan(value), 0.0).when(F.abs(value) == float("inf"), F.signum(value) * 1e6).otherwise(value)

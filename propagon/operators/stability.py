@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,14 +96,37 @@ def unit(vector: Column) -> Column:
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Mean of the vectors of each group at length 1, as (keys, n, v). Sums travel by dimension, so a group is never gathered."""
-    flat = rows.select(*keys, F.posexplode(vector).alias("dim", "x"))
-    m = flat.groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    return m.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("v")).withColumn("v", unit(F.col("v")))
+    """Mean of the vectors of each group at length 1, as (keys, n, v). Each partition adds its vectors up before the shuffle,
+    so neither dimensions nor members become rows. Null vectors do not count; all vectors have one width."""
+    x = rows.where(F.col(vector).isNotNull()).select(*keys, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    m = x.groupBy(*keys).agg(F.count("*").alias("n"), Summarizer.mean(F.col("v")).alias("v"))
+    return m.select(*keys, "n", unit(vector_to_array("v")).alias("v"))
+
+
+def text_rows(texts: DataFrame, roots: DataFrame, reposts: DataFrame) -> DataFrame:
+    """``texts`` of ``text_windows`` with ``vector``: of (cascade_idx, vector) for a root, of (tweet_idx, vector) for the others,
+    null where there is none; and ``kind``, root or repost."""
+    is_root = F.col("text_visible_type") == "root_always_visible"
+    r = texts.where(is_root).withColumn("kind", F.lit("root")).join(roots.select("cascade_idx", "vector"), "cascade_idx", "left")
+    return r.unionByName(texts.where(~is_root).withColumn("kind", F.lit("repost")).join(reposts.select("tweet_idx", "vector"), "tweet_idx", "left"))
+
+
+def text_report(rows: DataFrame) -> DataFrame:
+    """One row on ``text_rows``: rows, those used, roots and reposts without a vector, and users and windows with one."""
+    used, kind = F.col("vector").isNotNull(), F.col("kind")
+    by_user = rows.groupBy("cascade_idx", "window_idx", "user_idx").agg(F.count("*").alias("n"), F.count_if(used).alias("used"), *(F.count_if(~used & (kind == k)).alias(f"missing_{k}") for k in ("root", "repost")))
+    by_window = by_user.groupBy("cascade_idx", "window_idx").agg(*(F.sum(k).alias(k) for k in ("n", "used", "missing_root", "missing_repost")), F.count_if(F.col("used") > 0).alias("users"))
+    total = {"input_rows": F.sum("n"), "used_rows": F.sum("used"), "missing_root_rows": F.sum("missing_root"), "missing_repost_rows": F.sum("missing_repost"), "node_rows": F.sum("users"), "window_rows": F.count_if(F.col("used") > 0)}
+    return by_window.agg(*(F.coalesce(v, F.lit(0).cast("long")).alias(k) for k, v in total.items()))
 
 
 def neighbour_mean(edges: DataFrame, vectors: DataFrame, weight: str | None = None) -> DataFrame:
-    """(node, dim, x): mean of the vectors of the sources of each node's edges, weighted if a weight column is named."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    flat = edges.withColumn("w", w).join(vectors.withColumnsRenamed({"node": "src"}), "src").select(F.col("dst").alias("node"), "w", F.posexplode("vector").alias("dim", "x"))
-    return flat.groupBy("node", "dim").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias("x"))
+    """(node, dim, x): mean of the vectors of the sources of each node's edges, weighted if a weight column is named; weights
+    below 1e-6 in all shrink the mean, and edges of weight 0 or none count for nothing."""
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    v = vectors.where("vector is not null").select(F.col("node").alias("src"), array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
+    # the aggregate takes no group of weight 0 alone; 1e-300 stands for it, and what that adds is below any digit
+    x = edges.select("src", F.col("dst").alias("node"), F.greatest(w, F.lit(1e-300)).alias("w")).join(v, "src")
+    m = x.groupBy("node").agg(Summarizer.mean(F.col("v"), F.col("w")).alias("v"), F.sum("w").alias("w"))
+    scale = F.col("w") / F.greatest("w", F.lit(1e-6))
+    return m.select("node", scale.alias("scale"), F.posexplode(vector_to_array("v")).alias("dim", "x")).select("node", "dim", (F.col("x") * F.col("scale")).alias("x"))
