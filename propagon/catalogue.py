@@ -423,7 +423,7 @@ _add("seed_scores", _seeds, POOL + " SELECT * FROM ks")
 _add("key_user_pool", lambda s, d: key_users.key_user_pool(_seeds(s, d), graph.candidate_edges(src.follows(s, d), _posts(s, d)).withColumn("weight", F.lit(1))), POOL + " SELECT * FROM kp")
 
 # evidence, ancestry, calibration steps, samplers, raw files and coverage
-from propagon import evidence_queries, more_queries, pack_queries  # noqa: E402
+from propagon import evidence_queries, more_queries, pack_queries, report_queries  # noqa: E402
 
-for _queries in (evidence_queries, more_queries, pack_queries):
+for _queries in (evidence_queries, more_queries, pack_queries, report_queries):
     _queries.register(sys.modules[__name__])

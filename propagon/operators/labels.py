@@ -267,3 +267,60 @@ def label_comparison(cascades: DataFrame, **versions: DataFrame) -> DataFrame:
     n = x.groupBy("label_version").agg(*(v.alias(k) for k, v in of.items()), *(F.round(v / total, 6).alias(f"{k}_ratio") for k, v in of.items()), F.round(pearson("observed", "y"), 6).alias("correlation"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
     b = x.where("label >= 0").groupBy("label_version", "bucket").agg((F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)) / F.count("*")).alias("balance"))
     return n.join(b.groupBy("label_version").agg(F.avg("balance").alias("balance")), "label_version", "left").withColumn("balance", F.round(F.coalesce("balance", F.lit(0.0)), 6))
+
+
+#: The five rules that vote 1 and the three that vote 0, in the order of ``votes``.
+RULES = ("lf_burst", "lf_temporal_sync", "lf_structure", "lf_text", "lf_follow_density", "lf_natural", "lf_low_coordination", "lf_low_structure")
+
+
+def rule_report(voted: DataFrame) -> DataFrame:
+    """(measure, value) of ``votes``: the share of cascades on which each rule does not abstain, and the share on which rules
+    contradict each other."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    shares = {**{f"coverage_{k}": F.count_if(F.col(k) != -1) / n for k in RULES}, "conflict_rate": F.count_if((F.col("pos") > 0) & (F.col("neg") > 0)) / n}
+    one = voted.agg(*(F.round(v, 6).alias(k) for k, v in shares.items()))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in shares))))
+
+
+def unified_labels(ranked: DataFrame, cascades: DataFrame, method: str = "score_rank") -> DataFrame:
+    """Labels of ``score_rank_labels`` in the common form: label, split, confidence and score beside the method, the size bucket
+    and the reposts of the cascade, which count 0 where ``cascades`` lacks it. A split that is empty follows the id."""
+    c = cascades.select("cascade_idx", "observed_retweet_count", "final_retweet_count")
+    x = ranked.join(c, "cascade_idx", "left").na.fill(0, ["observed_retweet_count", "final_retweet_count"])
+    split = F.coalesce(F.nullif(F.col("split"), F.lit("")), split_of(F.col("cascade_idx")))
+    return x.select("cascade_idx", F.col("weak_label").alias("label"), split.alias("split"), F.coalesce("label_confidence", F.lit(0.0)).alias("label_confidence"), F.coalesce("weak_score", F.lit(0.0)).alias("weak_score"), F.lit(method).alias("label_method"), event_size_bucket(F.col("observed_retweet_count")).alias("size_bucket"), "observed_retweet_count", "final_retweet_count")
+
+
+def label_diagnostics(rows: DataFrame, least: int = 10, strong: float = 0.5) -> DataFrame:
+    """(section, name, label, value) of rows in the common form: cascades and shares of each label, cascades by size bucket and
+    label and by split and label, correlations of the label with reposts and score, and a warning (value: the figure) for a
+    correlation of ``strong`` or more and for each bucket with fewer than ``least`` of a label.
+
+    One aggregate by (bucket, split, label) carries counts and sums; everything else is made from those few rows.
+    """
+    o, s, y = F.col("observed_retweet_count").cast("double"), F.col("weak_score").cast("double"), F.col("label").cast("double")
+    sums = {"n": F.count("*"), "o": F.sum(o), "s": F.sum(s), "oo": F.sum(o * o), "ss": F.sum(s * s), "oy": F.sum(o * y), "sy": F.sum(s * y), "y": F.sum(y), "yy": F.sum(y * y)}
+    cells = rows.groupBy("size_bucket", "split", "label").agg(*(v.alias(k) for k, v in sums.items()))
+    none, out = F.lit(None).cast("int"), []
+    row = lambda df, section, name, label, value: df.select(F.lit(section).alias("section"), name.alias("name"), label.alias("label"), F.round(value.cast("double"), 6).alias("value"))
+    total = cells.agg(*(F.sum(k).alias(k) for k in sums), *(F.coalesce(F.sum(F.when(F.col("label") == v, F.col("n"))), F.lit(0)).alias(f"l{i}") for i, v in enumerate((-1, 0, 1))))
+    each = total.select(F.inline(F.array(*(F.struct(F.lit(v).alias("label"), F.col(f"l{i}").alias("k"), F.coalesce("n", F.lit(0)).alias("n")) for i, v in enumerate((-1, 0, 1))))))
+    out += [row(each, "count", F.lit("all"), F.col("label"), F.col("k")), row(each, "ratio", F.lit("all"), F.col("label"), F.col("k") / F.greatest("n", F.lit(1)))]
+    for section, key in (("by_size_bucket", "size_bucket"), ("by_split", "split")):
+        out.append(row(cells.groupBy(key, "label").agg(F.sum("n").alias("k")), section, F.col(key), F.col("label"), F.col("k")))
+
+    def corr(k: str) -> Column:
+        n = F.col("n")
+        vx, vy, xy = F.col(k + k) - F.col(k) * F.col(k) / n, F.col("yy") - F.col("y") * F.col("y") / n, F.col(f"{k}y") - F.col(k) * F.col("y") / n
+        # a spread below the rounding of the sums is none
+        return F.when((n >= 2) & (vx > 1e-9 * F.col(k + k)) & (vy > 1e-9 * F.col("yy")), xy / F.sqrt(vx * vy)).otherwise(0.0)
+
+    both = total.select(F.inline(F.array(*(F.struct(F.lit(name).alias("name"), corr(k).alias("c")) for k, name in (("o", "observed_retweet_count"), ("s", "weak_score"))))))
+    out += [row(both, "correlation", F.col("name"), none, F.col("c")), row(both.where((F.col("name") == "observed_retweet_count") & (F.abs("c") >= strong)), "warning", F.lit("observed_retweet_count_label_correlation_high"), none, F.col("c"))]
+    few = cells.groupBy("size_bucket").agg(*(F.coalesce(F.sum(F.when(F.col("label") == v, F.col("n"))), F.lit(0)).alias(k) for k, v in (("positive", 1), ("negative", 0))))
+    few = few.select("size_bucket", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v).alias("label"), F.col(k).alias("k")) for k, v in (("positive", 1), ("negative", 0))))))
+    out.append(row(few.where(F.col("k") < least), "warning", F.concat(F.lit("few_"), F.col("kind"), F.lit("_in_bucket:"), F.col("size_bucket")), F.col("label"), F.col("k")))
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every

@@ -150,3 +150,72 @@ def setting_sweep(raw: DataFrame) -> DataFrame:
     c = raw.where("is_root = 1").select("cascade_idx").join(seen, "cascade_idx", "left").na.fill(0)
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("setting"), (F.col(f"n{k}") < m).alias("few"), (F.col(f"d{k}") < d).alias("short")) for k, (_, _, _, m, d) in SETTINGS.items()))).alias("x")
     return c.select(each).select("x.*").groupBy("setting").agg(F.count("*").alias("cascades"), F.count_if(~F.col("few") & ~F.col("short")).alias("valid"), F.count_if("few").alias("min_retweets"), F.count_if("short").alias("min_duration"))
+
+
+def whole(value: Column) -> Column:
+    """A text as a whole number, 0 where it is none."""
+    return F.coalesce(value.try_cast("bigint"), F.lit(0).cast("long"))
+
+
+def decimal(value: Column) -> Column:
+    """A text as a number, 0 where it is none, NaN or infinite."""
+    x = value.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+
+
+def root_dimension(lines: DataFrame) -> DataFrame:
+    """(cascade_idx, root_user_idx, root_tweet_idx, root_time_epoch) of root records; the time and the tweet come from
+    root_time and tweet_idx where their own field is absent, and what is no number counts 0. A cascade twice is an error."""
+    pick = lambda *names: whole(F.coalesce(*(F.col(k).cast("string") for k in names)))
+    r = lines.select(pick("cascade_idx").alias("cascade_idx"), pick("root_user_idx").alias("root_user_idx"), pick("root_tweet_idx", "tweet_idx").alias("root_tweet_idx"), pick("root_time_epoch", "root_time").alias("root_time_epoch"))
+    one = r.groupBy("cascade_idx").agg(F.count("*").alias("n"), *(F.first(k).alias(k) for k in ("root_user_idx", "root_tweet_idx", "root_time_epoch")))
+    once = F.when(F.col("n") == 1, F.col("root_user_idx")).otherwise(F.raise_error(F.concat(F.lit("cascade twice: "), F.col("cascade_idx"))).cast("long"))
+    return one.select("cascade_idx", once.alias("root_user_idx"), "root_tweet_idx", "root_time_epoch")
+
+
+def full_node_windows(clean: DataFrame, obs: int = OBSERVATION, size: int = WINDOW) -> DataFrame:
+    """Per cascade, window and user: bounds, posts, reposts, texts, first and last time, degrees of the window and up to it.
+
+    The root stands in window 1 with its own post, and in every window with reposts, where it has edges but no post and so
+    neither a first nor a last time. Reposts outside the observation have no window.
+    """
+    w = F.when(F.col("is_root") == 1, F.lit(1).cast("long")).otherwise(org_window(F.col("relative_time"), obs, size))
+    text, zero, none = (F.coalesce("text", F.lit("")) != "").cast("int"), F.lit(0), F.lit(None).cast("long")
+    time = F.when(F.col("is_root") == 1, 0).otherwise(F.col("relative_time")).cast("long")
+    own = clean.withColumn("window_id", w).where("window_id is not null").select("cascade_idx", "window_id", "user_idx", F.lit(1).alias("a"), (1 - F.col("is_root")).alias("r"), text.alias("x"), time.alias("t"), (1 - F.col("is_root")).alias("i"), zero.alias("o"), "is_root")
+    roots = clean.where("is_root = 1").select("cascade_idx", "user_idx")
+    # reposts are counted before they meet their root, so a cascade brings a row a window to the join
+    busy = own.where("is_root = 0").groupBy("cascade_idx", "window_id").agg(F.count("*").alias("o")).join(roots, "cascade_idx")
+    spread = busy.select("cascade_idx", "window_id", "user_idx", zero.alias("a"), zero.alias("r"), zero.alias("x"), none.alias("t"), zero.alias("i"), "o", F.lit(1).alias("is_root"))
+    n = own.unionByName(spread).groupBy("cascade_idx", "window_id", "user_idx").agg(F.sum("a").alias("active_count"), F.sum("r").alias("retweet_count"), F.sum("x").alias("text_count"), F.min("t").alias("first_active_time"), F.max("t").alias("last_active_time"), F.sum("i").alias("in_degree_cur"), F.sum("o").alias("out_degree_cur"), F.max("is_root").alias("is_root"), F.max("x").alias("has_text"))
+    run = Window.partitionBy("cascade_idx", "user_idx").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
+    start = (F.col("window_id") - 1) * size
+    return n.withColumns({"in_degree_cum": F.sum("in_degree_cur").over(run), "out_degree_cum": F.sum("out_degree_cur").over(run), "window_start": start, "window_end": F.least(start + size, F.lit(obs))})
+
+
+def follow_edges(lines: DataFrame, users: DataFrame) -> DataFrame:
+    """(src, dst, weight, src_active, dst_active, both_active) of lines (src, dst, weight) with an active end.
+
+    Ends below 1 or without a number go; a weight that is missing is 1, one that is no number too. Users are one row each, so
+    no edge repeats in the joins; equal lines stay.
+    """
+    u = users.where("user_idx > 0").select("user_idx").distinct()
+    ends = lines.select(*(whole(F.col(k)).alias(k) for k in ("src", "dst")), F.coalesce(F.col("weight").try_cast("bigint"), F.lit(1).cast("long")).alias("weight")).where("src > 0 and dst > 0")
+    x = ends.join(u.select(F.col("user_idx").alias("src"), F.lit(1).alias("src_active")), "src", "left").join(u.select(F.col("user_idx").alias("dst"), F.lit(1).alias("dst_active")), "dst", "left").na.fill(0, ["src_active", "dst_active"])
+    return x.where("src_active + dst_active > 0").select("src", "dst", "weight", "src_active", "dst_active", (F.col("src_active") * F.col("dst_active")).alias("both_active"))
+
+
+def profiles_of(users: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``users`` with profile_text, the last of the user by seq, empty without one, and has_profile; ``profiles`` (user_idx,
+    profile_text, seq)."""
+    p = profiles.where("user_idx > 0").groupBy("user_idx").agg(F.max_by(F.coalesce("profile_text", F.lit("")), "seq").alias("profile_text"), F.lit(1).alias("has_profile"))
+    return users.join(p, "user_idx", "left").na.fill("", ["profile_text"]).na.fill(0, ["has_profile"])
+
+
+def run_report(counters: DataFrame, users: DataFrame, roots: DataFrame, clean: DataFrame) -> DataFrame:
+    """``all_counters`` with missing_user_profile (``users`` from ``profiles_of``) and the shares of root texts, repost texts
+    and profiles that are present."""
+    u = users.agg(F.count("*").alias("users"), F.count_if(F.col("has_profile") == 0).alias("missing_user_profile"))
+    n = counters.crossJoin(u).crossJoin(roots.agg(F.count("*").alias("roots"))).crossJoin(clean.where("is_root = 0").agg(F.count("*").alias("reposts")))  # one row each
+    share = lambda miss, of: F.round(1 - F.col(miss) / F.greatest(F.col(of), F.lit(1)), 6)
+    return n.select(*counters.columns, "missing_user_profile", share("missing_root_text", "roots").alias("root_text_coverage"), share("missing_retweet_text", "reposts").alias("retweet_text_coverage"), share("missing_user_profile", "users").alias("user_profile_coverage"))

@@ -83,3 +83,49 @@ def dev_lists(raw: DataFrame) -> DataFrame:
 
 def dev_summary(raw: DataFrame) -> DataFrame:
     return dev_lists(raw).groupBy("list").agg(F.count("*").alias("cascades"), F.round(F.avg("total"), 6).alias("mean_total"), F.round(F.percentile("total", 0.5), 6).alias("median_total"))
+
+
+#: Names of the time bins and the columns that say which cascades pass, with threshold and minimum.
+BIN_NAMES = ("0_5m", "5_10m", "10_15m", "15_20m", "20_25m", "25_30m", "30_60m", "1_2h", "2_6h", "6_24h", "1_7d", "7_30d", "gt_30d")
+PASSES = {"pass_30m_min5": ("30m", 5), "pass_30m_min8": ("30m", 8), "pass_1h_min5": ("1h", 5), "pass_1h_min8": ("1h", 8), "pass_2h_min8": ("2h", 8), "pass_2h_min10": ("2h", 10)}
+DEV_LISTS = {"dev_A_30m_min8_cascades": ("30m", 8), "dev_B_1h_min8_cascades": ("1h", 8), "dev_C_2h_min10_cascades": ("2h", 10)}
+
+
+def _share(part: Column, of: Column) -> Column:
+    return F.round(F.when(of > 0, part / of).otherwise(0.0), 6)
+
+
+def cascade_bins(raw: DataFrame) -> DataFrame:
+    """Per cascade: reposts, the last one's time, reposts of every bin and up to each threshold with their share, and which
+    minima it passes. A cascade without reposts has a row of zeros; negative times do not count."""
+    rel = F.col("relative_time")
+    r = raw.where("is_root = 0 and relative_time >= 0").select("cascade_idx", "relative_time", time_bin(rel).alias("bin"))
+    n = r.groupBy("cascade_idx").agg(F.count("*").alias("total_retweets"), F.max(rel).alias("duration"), *(F.count_if(F.col("bin") == i).alias(f"bin_{k}") for i, k in enumerate(BIN_NAMES, 1)), *(F.count_if(rel <= s).alias(f"cum_{k}") for k, s in CUMULATIVE.items()))
+    c = raw.where("is_root = 1").select("cascade_idx").distinct().join(n, "cascade_idx", "left").na.fill(0)
+    c = c.withColumns({f"ratio_{k}": _share(F.col(f"cum_{k}"), F.col("total_retweets")) for k in CUMULATIVE})
+    return c.withColumns({k: (F.col(f"cum_{t}") >= m).cast("int") for k, (t, m) in PASSES.items()})
+
+
+def bin_report(bins: DataFrame, by_size: bool = False) -> DataFrame:
+    """Reposts of each bin and the cascades with any, both also as shares, of rows of ``cascade_bins``; with ``by_size`` within
+    each size bucket, whose empty ones stay, beside its cascades and reposts.
+
+    The bins of a cascade are columns, so one pass over the cascades serves all of them.
+    """
+    keys = ["size_bucket"] if by_size else []
+    x = bins.withColumn("size_bucket", size_bucket(F.col("total_retweets")))
+    n = x.groupBy(*keys).agg(F.count("*").alias("num_cascades"), F.coalesce(F.sum("total_retweets"), F.lit(0)).alias("total_retweets"), *(f for k in BIN_NAMES for f in (F.coalesce(F.sum(f"bin_{k}"), F.lit(0)).alias(f"n_{k}"), F.count_if(F.col(f"bin_{k}") > 0).alias(f"c_{k}"))))
+    if by_size:
+        names = [b for _, b in SIZES] + ["5001+"]
+        n = bins.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("size_bucket")).join(n, "size_bucket", "left").na.fill(0)
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("time_bin"), F.col(f"n_{k}").alias("retweet_count"), F.col(f"c_{k}").alias("cascade_count_with_retweet")) for k in BIN_NAMES)))
+    x = n.select(*keys, "num_cascades", "total_retweets", each)
+    return x.withColumns({"retweet_ratio": _share(F.col("retweet_count"), F.col("total_retweets")), "cascade_ratio_with_retweet": _share(F.col("cascade_count_with_retweet"), F.col("num_cascades"))})
+
+
+def dev_report(bins: DataFrame) -> DataFrame:
+    """Per development list: its cascades, mean and median of their reposts in all and observed, and of the share observed;
+    a list without cascades has zeros."""
+    picked = F.inline(F.array(*(F.struct(F.lit(name).alias("list_name"), F.lit(CUMULATIVE[k]).cast("long").alias("obs_seconds"), F.lit(m).cast("long").alias("min_retweets"), F.when(F.col(f"cum_{k}") >= m, F.col("total_retweets")).alias("total_retweets"), F.when(F.col(f"cum_{k}") >= m, F.col(f"cum_{k}")).alias("cum_obs"), F.when(F.col(f"cum_{k}") >= m, F.col(f"ratio_{k}")).alias("ratio_obs")) for name, (k, m) in DEV_LISTS.items())))
+    measures = {f"{f}_{k}": F.round(F.coalesce(g(k), F.lit(0.0)), 6) for k in ("total_retweets", "cum_obs", "ratio_obs") for f, g in (("avg", F.avg), ("median", lambda k: F.percentile(k, 0.5)))}
+    return bins.select(picked).groupBy("list_name", "obs_seconds", "min_retweets").agg(F.count("total_retweets").alias("num_cascades"), *(v.alias(k) for k, v in measures.items()))
