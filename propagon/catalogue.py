@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from propagon.operators import calibration, features, graph, key_users, labels, metrics, org, packs, sampling, stability, temporal, trees, windows
 from propagon.sources import cascades as src
+from propagon.sources.shared import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,7 +136,15 @@ _add("candidate_edges", lambda s, d: graph.candidate_edges(src.follows(s, d), _p
 _add("clustering", lambda s, d: graph.clustering(src.follows(s, d)), ", e AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM follows WHERE src <> dst), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), k AS (SELECT u, count(*) AS degree FROM b GROUP BY ALL), t AS (SELECT x.u, count(*) AS n FROM b x JOIN b y ON x.u = y.u AND x.v < y.v JOIN e ON e.u = x.v AND e.v = y.v GROUP BY ALL) SELECT k.u AS user_idx, degree, round(CASE WHEN degree > 1 THEN 2 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM k LEFT JOIN t ON t.u = k.u")
 # labels
 _add("hash_split", lambda s, d: _posts(s, d).where("is_root = 1").select("cascade_idx", labels.split_of(F.col("cascade_idx")).alias("split")), ", h AS (SELECT cascade_idx, CAST('0x' || substr(md5(CAST(cascade_idx AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS x FROM roots) SELECT cascade_idx, CASE WHEN x < 70 THEN 'train' WHEN x < 85 THEN 'valid' ELSE 'test' END AS split FROM h")
-_add("score_rank_labels", lambda s, d: labels.score_rank_labels(labels.components(windows.multiscale_windows(_posts(s, d), _edges(s, d)), windows.node_windows(_posts(s, d), _edges(s, d)), windows.text_stats(windows.text_windows(_posts(s, d))))), MULTI + NODES.replace(GRID, "") + TEXTS.replace(GRID, "") + """,
+
+
+def _score_ranked(s, d):
+    posts = written(_posts(s, d), "posts")
+    edges = org.star_edges(posts)
+    return labels.score_rank_labels(labels.components(windows.multiscale_windows(posts, edges), windows.node_windows(posts, edges), windows.text_stats(windows.text_windows(posts))))
+
+
+_add("score_rank_labels", _score_ranked, MULTI + NODES.replace(GRID, "") + TEXTS.replace(GRID, "") + """,
 w AS (SELECT cascade_idx, max(greatest(delta_heat, 0)) AS md, max(num_retweets_cur) AS mh, sum(num_retweets_cur) AS rt, count(CASE WHEN num_retweets_cur > 0 THEN 1 END) AS aw, count(*) AS ww FROM mw GROUP BY ALL),
 vt AS (SELECT cascade_idx, window_idx, user_idx, count(*) AS texts FROM tw GROUP BY ALL),
 n AS (SELECT cascade_idx, max(num_posts_cum) AS tp, sum(coalesce(texts, 0)) AS tx, count(*) AS nr, max(in_degree_cum + out_degree_cum) AS td, sum(in_degree_cum + out_degree_cum) AS sd FROM nw LEFT JOIN vt USING (cascade_idx, window_idx, user_idx) GROUP BY ALL),
@@ -148,7 +157,8 @@ _add("bucket_percentiles", lambda s, d: labels.bucket_percentiles(org.cascade_ta
 
 
 def _scored(s, d):
-    posts, edges = _posts(s, d), _edges(s, d)
+    posts = written(_posts(s, d), "posts")  # read by seven inputs, so duplicates go once
+    edges = org.star_edges(posts)
     tree = graph.time_only_tree(posts)
     alike = graph.parent_similarity(tree, posts).join(tree, ["cascade_idx", "child_tweet_idx", "parent_tweet_idx"]).groupBy("cascade_idx", F.col("child_user_idx").alias("user_idx")).agg(F.round(F.avg("text_similarity") + labels.HALF_UP, 8).alias("text_score"))
     raw = labels.event_features(org.cascade_table(src.raw_posts(s, d)), windows.multiscale_windows(posts, edges), windows.node_windows(posts, edges), windows.text_stats(windows.text_windows(posts)), alike, graph.candidate_edges(src.follows(s, d), posts))

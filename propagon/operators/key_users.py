@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propagon.operators.labels import settled
+from propagon.sources.shared import written
 
 #: Hops, pool and seeds of a window, damping by hop; parts of seed and of final score; edges that count as full degree.
 MAX_HOPS, POOL, SEEDS, RHO = 4, 32, 16, 0.6
@@ -42,15 +42,15 @@ def key_user_pool(seeds: DataFrame, edges: DataFrame, hops: int = MAX_HOPS, pool
     if undirected:
         e = e.unionByName(e.select("cascade_idx", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     links = e.groupBy("cascade_idx", "src", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
-    # each hop reads its users twice, so they are settled; the plan would double at every hop
-    seeds, links = settled(seeds), settled(links)
+    # each hop reads its users twice, so they are written; the plan would double at every hop
+    seeds, links = written(seeds, "pool"), written(links, "pool")
     first = Window.partitionBy("cascade_idx", "window_idx").orderBy(F.desc("seed"), "user_idx")
     chosen = seeds.withColumn("place", F.row_number().over(first)).where(F.col("place") <= budget).select(*key, F.lit(0).alias("hop"))
-    state = settled(seeds.join(chosen, key, "left").withColumn("path", F.when(F.col("hop") == 0, F.col("seed")).otherwise(0.0)))
+    state = written(seeds.join(chosen, key, "left").withColumn("path", F.when(F.col("hop") == 0, F.col("seed")).otherwise(0.0)), "pool")
     for h in range(1, hops + 1):
         front = state.where(F.col("hop") == h - 1).select("cascade_idx", "window_idx", F.col("user_idx").alias("src"))
         met = front.join(links, ["cascade_idx", "src"]).groupBy("cascade_idx", "window_idx", F.col("dst").alias("user_idx")).agg(F.sum("weight").alias("add"))
-        state = settled(state.join(met, key, "left").select(*key, "seed", (F.col("path") + F.coalesce(rho ** (h - 1) * F.col("add"), F.lit(0.0))).alias("path"), F.coalesce("hop", F.when(F.col("add").isNotNull(), h)).alias("hop")))
+        state = written(state.join(met, key, "left").select(*key, "seed", (F.col("path") + F.coalesce(rho ** (h - 1) * F.col("add"), F.lit(0.0))).alias("path"), F.coalesce("hop", F.when(F.col("add").isNotNull(), h)).alias("hop")), "pool")
     degrees = links.groupBy("cascade_idx", F.col("src").alias("user_idx")).agg(F.sum("n").alias("degree"))
     met = state.where("hop is not null").join(degrees, ["cascade_idx", "user_idx"], "left")
     score = PATH * F.col("path") + SEED * F.col("seed") + DEGREE * F.least(F.lit(1.0), F.coalesce("degree", F.lit(0)) / FULL_DEGREE) + HOP / (1 + F.col("hop"))

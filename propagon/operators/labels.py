@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propagon.operators import ranking
+from propagon.sources.shared import written
+
 
 def split_of(cascade: Column) -> Column:
     """70 / 15 / 15 by the first eight hex digits of the id's md5, modulo 100."""
@@ -58,9 +59,8 @@ def bucket_percentiles(rows: DataFrame, value: str, bucket: str, id_col: str = "
     return r.select(id_col, bucket, value, F.round(F.when(F.col("n") > 1, (F.col("rn") - 1) / (F.col("n") - 1)).otherwise(1.0), 6).alias("percentile"))
 
 
-#: The raw scores of a cascade that are ranked within size buckets, and the cut points of a ranking.
+#: The raw scores of a cascade that are ranked within size buckets.
 RAW = ("burst", "coordination", "structure", "text", "temporal_sync", "follow_density", "natural_spread")
-PIECES = 200
 #: Added before rounding, so that a decimal half goes up whatever the last bit of its double is.
 HALF_UP = 1e-11
 
@@ -99,39 +99,19 @@ def event_features(cascades: DataFrame, windows: DataFrame, nodes: DataFrame, st
     return r.select("cascade_idx", event_size_bucket(F.col("observed")).alias("bucket"), *(F.round(v.cast("double") + HALF_UP, 8).alias(k) for k, v in raw.items()), "users", "candidates", F.col("max_heat").alias("top_window"), "text_sum", "degrees_ctx")
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """The rows behind a checkpoint in the folder that the session names; in local mode a temporary one where it names none."""
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="propagon-"))
-    return rows.checkpoint()
-
-
 def bucket_ranks(rows: DataFrame, names: tuple[str, ...], id_col: str = "cascade_idx") -> DataFrame:
     """``rows``, of unique ids, with n, the rows of the bucket, and the 0-based rank of each named value in it, ties by id.
 
-    A bucket may hold most rows, so each is cut at approximate percentiles, ranks are counted inside the pieces and the
-    pieces before are added. The cuts, at most PIECES a bucket and value, pass through the driver; ranks are exact whatever
-    the cuts are. The rows are read several times and therefore checkpointed.
+    Range partitions by value and id are numbered alone, so neither a bucket with most rows nor a value that all rows share
+    makes a task large. The rows are read several times and therefore written first.
     """
-    kept = settled(rows)
+    kept = written(rows, "scored")
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).cast("double").alias("value")) for k in names))).alias("x")
     flat = kept.select(id_col, "bucket", each).select(id_col, "bucket", "x.*")
-    at = F.array(*(F.lit(i / PIECES) for i in range(1, PIECES)))
-    cuts = flat.groupBy("bucket", "name").agg(F.percentile_approx("value", at, 1000).alias("cuts"))
-    cuts = rows.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    placed = flat.join(F.broadcast(cuts), ["bucket", "name"]).withColumn("piece", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    counts = placed.groupBy("bucket", "name", "piece").agg(F.count("*").alias("m"))
-    one = Window.partitionBy("bucket", "name")
-    before = F.coalesce(F.sum("m").over(one.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("before", before).withColumn("n", F.sum("m").over(one)).drop("m")
-    inside = Window.partitionBy("bucket", "name", "piece").orderBy("value", id_col)
-    ranked = placed.withColumn("i", F.row_number().over(inside)).join(F.broadcast(counts), ["bucket", "name", "piece"]).withColumn("rank", F.col("before") + F.col("i") - 1)
-    wide = ranked.groupBy(id_col).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == k, F.col("rank"))).alias(f"{k}_rank") for k in names))
-    return kept.join(wide, id_col)
+    placed = ranking.ranked(flat, ["bucket", "name"], ["value", id_col], "rank")
+    wide = placed.groupBy(id_col).agg(*(F.max(F.when(F.col("name") == k, F.col("rank"))).alias(f"{k}_rank") for k in names))
+    sizes = kept.groupBy("bucket").agg(F.count("*").alias("n"))  # a row a bucket
+    return kept.join(wide, id_col).join(F.broadcast(sizes), "bucket")
 
 
 def percentile_scores(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
