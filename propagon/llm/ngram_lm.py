@@ -37,10 +37,10 @@ def _shard_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
 
 
-def _sequences(column):
+def _sequences(column, lower: bool):
     """Per block: (first row, rows, words with START before and END after each text, row of each entry)."""
     for begin, end, buf, off in blocks(column):
-        _, _, h, row = tokens(buf, off, True)
+        _, _, h, row = tokens(buf, off, lower)
         n = np.bincount(row, minlength=end - begin)
         at = np.cumsum(n + 2) - (n + 2)
         seq = np.empty(len(h) + 2 * (end - begin), np.uint64)
@@ -68,7 +68,7 @@ def _write(path: str, *arrays: np.ndarray) -> None:
     os.replace(tmp, path)
 
 
-def _pairs_packed(train: DataFrame, hot: list[int], shards: int) -> DataFrame:
+def _pairs_packed(train: DataFrame, hot: list[int], shards: int, lower: bool) -> DataFrame:
     """(shard, v, w, c): contexts, words and counts of distinct pairs of part of a task's texts, as packed arrays."""
     hot_set = np.sort(np.array(hot, np.int64).view(np.uint64))
 
@@ -90,7 +90,7 @@ def _pairs_packed(train: DataFrame, hot: list[int], shards: int) -> DataFrame:
 
         held, size = [], 0
         for b in batches:
-            for _, _, seq, row in _sequences(b.column("raw")):
+            for _, _, seq, row in _sequences(b.column("raw"), lower):
                 same = row[1:] == row[:-1]
                 held.append((seq[:-1][same], seq[1:][same]))
                 size += len(seq)
@@ -168,8 +168,8 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
     return [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
 
 
-def train_model(train: DataFrame, text: str = "text") -> str:
-    """Counts ``train`` and writes the model; returns its folder."""
+def train_model(train: DataFrame, text: str = "text", lower: bool = True) -> str:
+    """Counts ``train`` and writes the model, with A-Z in lower case if ``lower``; returns its folder."""
     spark = train.sparkSession
     small_batches(spark)
     uri = new_path(spark, "lm")
@@ -185,7 +185,7 @@ def train_model(train: DataFrame, text: str = "text") -> str:
                 yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 50_000].view(np.int64)), pa.array(c[at : at + 50_000].astype(np.int64))], names=["h", "c"])
 
         for b in batches:
-            for _, _, seq, _ in _sequences(b.column("raw")):
+            for _, _, seq, _ in _sequences(b.column("raw"), lower):
                 held.append(seq[seq != START])
                 size += len(seq)
                 if size > HELD_TOKENS:
@@ -199,7 +199,7 @@ def train_model(train: DataFrame, text: str = "text") -> str:
     hot = [r[0] for r in counts.where(F.col("c") > max(1, HOT_SHARE * total["n"])).select("h").collect()]  # fewer than 1 / HOT_SHARE
     hot.append(int(START.view(np.int64)))
     shards = max(1, -(-total["n"] // SHARD_TOKENS))
-    stats = saved(_merge(_pairs_packed(rows, hot, shards), folder, shards), "stats")
+    stats = saved(_merge(_pairs_packed(rows, hot, shards, lower), folder, shards), "stats")
     world = stats.where("h is null").agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("n1", "n2", "n3", "cont", "n"))).first()
     per = stats.where("h is not null").groupBy("h").agg(*(F.sum(k).alias(k) for k in ("n1", "n2", "n3", "cont")))
     full = counts.join(per, "h", "full").select("h", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("c", "n1", "n2", "n3", "cont")))
@@ -208,7 +208,7 @@ def train_model(train: DataFrame, text: str = "text") -> str:
     d2, d1 = discounts(*world[:4]), discounts(cc["k1"], cc["k2"], cc["k3"], cc["k4"])
     types = max(1, world["n"])
     spread = d1[0] * cc["k1"] + d1[1] * cc["k2"] + d1[2] * cc["more"]
-    meta = {"tokens": total["n"], "words": total["v"], "texts": total["texts"], "hot": sorted(hot), "shards": shards, "d2": d2, "d1": d1, "types": types, "unseen": spread / types / (total["v"] + 1) if total["n"] else 1.0}
+    meta = {"lower": lower, "tokens": total["n"], "words": total["v"], "texts": total["texts"], "hot": sorted(hot), "shards": shards, "d2": d2, "d1": d1, "types": types, "unseen": spread / types / (total["v"] + 1) if total["n"] else 1.0}
 
     def write(batches):
         held = {}
@@ -292,7 +292,7 @@ class Scorer:
         """Per block: (texts, tokens, known tokens, base log10, model log10)."""
         n, v = self.meta["tokens"], self.meta["words"]
         d = np.array([0.0, *self.meta["d2"]])
-        for _, rows, seq, row in _sequences(column):
+        for _, rows, seq, row in _sequences(column, self.meta["lower"]):
             u, inv = np.unique(seq, return_inverse=True)
             c, x, g, low = (a[inv] for a in self.words(u))
             at = np.flatnonzero(row[1:] == row[:-1])

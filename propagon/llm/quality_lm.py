@@ -1,30 +1,21 @@
 """Quality by perplexity under a bigram model of trusted text.
 
-The model is interpolated modified Kneser-Ney over case-sensitive words, counted with DataFrame aggregates on a bounded
-sample of trusted texts. Its logarithm splits into terms that are looked up on their own: a word's continuation chance and
-its backoff weight as a context, and for a pair that was seen the excess over both. So a text's log-probability is a sum
-over its keys, and the model is one table (key, value) of sorted keys in shards, bounded by the sample and broadcast whole;
-a block of texts looks its keys up shard by shard. A text is kept if its perplexity does not exceed the
-quantile that trusted texts of its language have; those of the training sample do not count there.
+The model is the interpolated modified Kneser-Ney model of ``ngram_lm`` over case-sensitive words, counted on every trusted
+text of fold 0 and held in memory-mapped sorted shards, so that it needs no bound. A text is kept if its perplexity does
+not exceed the quantile that trusted texts of its language have; all trusted texts of fold 1 count there, and none that
+the model was trained on.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propagon.llm.common import WORD, blocks, fresh, mix, pair_hash, saved, small_batches, text_bytes, tokens
-from propagon.llm.ngram_lm import discounts
+from propagon.llm.common import fresh, nearest_rank, saved, tidy
+from propagon.llm.ngram_lm import score_texts, train_model
 
-#: Texts of the training sample at most, by hash.
-MAX_TEXTS = 8_000
-SHARDS = 16
 QUANTILE = 0.995
 LEAST_TEXTS = 50
-START, END = "<s>", "</s>"
-_WORD_KEY = np.uint64(0x7F4A7C159E3779B9)
 
 
 def fold(text: str = "text"):
@@ -32,118 +23,13 @@ def fold(text: str = "text"):
     return F.pmod(F.xxhash64(F.lit("fold"), F.coalesce(F.col(text), F.lit(""))), F.lit(2))
 
 
-def sample(trusted: DataFrame, most: int, text: str = "text") -> DataFrame:
-    """The ``most`` different texts of the least hashes (all, if there are fewer); equal texts count and train once."""
-    h = F.xxhash64(F.lit("sample"), F.coalesce(F.col(text), F.lit("")))
-    cut = trusted.select(h.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return trusted.where(h <= F.lit(cut if cut is not None else 0)).select(text).dropDuplicates()
-
-
-def kneser_ney(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, dict]:
-    """(pairs: v, w, excess), (words: word, value) and the terms of unknown words, starts and ends, in logarithms."""
-    words = F.concat(F.array(F.lit(START)), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), 0), F.array(F.lit(END)))
-    seq = texts.select(words.alias("w"))
-    pair = F.explode(F.arrays_zip(F.slice(F.col("w"), F.lit(1), F.size("w") - 1).alias("v"), F.slice(F.col("w"), F.lit(2), F.size("w") - 1).alias("w"))).alias("p")
-    pairs = saved(seq.select(pair).groupBy(F.col("p.v").alias("v"), F.col("p.w").alias("w")).agg(F.count("*").alias("c")), "pairs")
-    few = pairs.agg(*(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)), F.count("*").alias("n")).first()
-    d2 = discounts(*few[:4])
-    types = max(1, few["n"])
-    cont = pairs.groupBy("w").agg(F.count("*").alias("k"))
-    kk = cont.agg(*(F.count_if(F.col("k") == k).alias(f"k{k}") for k in (1, 2, 3, 4)), F.count_if(F.col("k") > 2).alias("more"), F.count("*").alias("n")).first()
-    d1 = discounts(*kk[:4])
-    unseen = (d1[0] * kk["k1"] + d1[1] * kk["k2"] + d1[2] * kk["more"]) / types / (kk["n"] + 1) if kk["n"] else 1.0
-    by = lambda c, d: F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-    low = cont.select(F.col("w").alias("word"), (F.greatest(F.col("k") - by(F.col("k"), d1), F.lit(0.0)) / types + unseen).alias("low"))
-    ctx = pairs.groupBy("v").agg(F.sum("c").alias("n"), F.sum(by(F.col("c"), d2)).alias("d")).select(F.col("v").alias("word"), "n", (F.col("d") / F.col("n")).alias("back"))
-    both = saved(low.join(ctx, "word", "full"), "words")
-    p = pairs.join(both.select(F.col("word").alias("v"), "n", "back"), "v").join(both.select(F.col("word").alias("w"), "low"), "w")
-    backed = F.col("back") * F.col("low")
-    excess = p.select("v", "w", F.log((F.greatest(F.col("c") - by(F.col("c"), d2), F.lit(0.0)) / F.col("n") + backed) / backed).alias("value"))
-    value = both.where(~F.col("word").isin(START, END)).select("word", (F.log(F.coalesce("low", F.lit(unseen))) + F.log(F.coalesce("back", F.lit(1.0)))).alias("value"))
-    ends = {r["word"]: r for r in both.where(F.col("word").isin(START, END)).collect()}
-    edge = float(np.log(ends[END]["low"] if END in ends else unseen) + np.log(ends[START]["back"] if START in ends else 1.0))
-    return excess, value, {"unseen": float(np.log(unseen)), "edge": edge}
-
-
-def shards_of(pairs: DataFrame, words: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and values per shard; the sample bounds their number."""
-
-    def hashed(column) -> np.ndarray:
-        raw = pa.array(column.to_pylist(), pa.string()).cast(pa.binary())
-        out = np.zeros(len(raw), np.uint64)
-        for begin, _, buf, off in blocks(raw):
-            _, _, h, row = tokens(buf, off, False)
-            out[begin + row] = h
-        return out
-
-    def pair_keys(batches):
-        for b in batches:
-            key = pair_hash(hashed(b.column("v")), hashed(b.column("w")))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("value").cast(pa.float32())], names=["key", "value"])
-
-    def word_keys(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mix(hashed(b.column("word")) ^ _WORD_KEY).view(np.int64)), b.column("value").cast(pa.float32())], names=["key", "value"])
-
-    table = pairs.mapInArrow(pair_keys, "key long, value float").union(words.mapInArrow(word_keys, "key long, value float")).toArrow()
-    key, value = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
-    shard = (key >> np.uint64(60)).astype(np.int64) * SHARDS // 16
-    out = []
-    for i in range(SHARDS):
-        k, v = key[shard == i], value[shard == i]
-        o = np.argsort(k)
-        out.append((k[o], v[o]))
-    return out
-
-
-def perplexities(docs: DataFrame, parts: list, terms: dict, keep: list[str], text: str = "text") -> DataFrame:
+def perplexities(docs: DataFrame, folder: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, n_words and perplexity of each whole text with its end."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(parts)  # bounded by the training sample
-    source = docs.select(*keep, text_bytes(text).alias("__raw"))
-    schema = source.drop("__raw").schema.add("n_words", "long").add("perplexity", "double")
-    from propagon.llm.toxicity import feature_hash
-
-    first, last = feature_hash([START.encode(), END.encode()], [False, False])
-
-    def join(key: np.ndarray, default: float) -> np.ndarray:
-        out = np.full(len(key), default)
-        o = np.argsort(key)
-        q = key[o]
-        cut = np.searchsorted(q, [np.uint64(i) << np.uint64(60) for i in range(1, 16)])
-        cut = np.concatenate([[0], cut, [len(q)]])
-        for i in range(SHARDS):
-            k, v = shared.value[i]
-            part = q[cut[i] : cut[i + 1]]
-            if len(k) and len(part):
-                at = np.minimum(np.searchsorted(k, part), len(k) - 1)
-                hit = k[at] == part
-                out[o[cut[i] : cut[i + 1]][hit]] = v[at[hit]]
-        return out
-
-    def run(batches):
-        for b in batches:
-            total, count = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for begin, end, buf, off in blocks(b.column("__raw")):
-                _, _, h, row = tokens(buf, off, False)
-                n = np.bincount(row, minlength=end - begin)
-                at = np.cumsum(n + 2) - (n + 2)
-                seq = np.empty(len(h) + 2 * (end - begin), np.uint64)
-                seq[at], seq[at + n + 1] = first, last
-                seq[np.arange(len(h)) + 2 * row + 1] = h
-                r = np.repeat(np.arange(end - begin), n + 2)
-                same = np.flatnonzero(r[1:] == r[:-1])
-                one = join(mix(h ^ _WORD_KEY), terms["unseen"])
-                two = join(pair_hash(seq[same], seq[same + 1]), 0.0)
-                total[begin:end] = np.bincount(row, weights=one, minlength=end - begin) + np.bincount(r[same], weights=two, minlength=end - begin) + terms["edge"]
-                count[begin:end] = n
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(count), pa.array(np.exp(-total / (count + 1)))], names=[*keep, "n_words", "perplexity"])
-
-    return source.mapInArrow(run, schema)
+    scored = score_texts(docs, folder, keep, text)
+    return scored.select(*keep, (F.col("n_tokens") - 1).alias("n_words"), F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def quality_lm(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, max_texts: int = MAX_TEXTS, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def quality_lm(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """id, lang, n_words, perplexity, threshold and kept, for every row; ``trusted_ids`` has the ids of trusted texts.
 
     A null language is a language of its own. One with under LEAST_TEXTS trusted texts of fold 1 takes the
@@ -154,13 +40,15 @@ def quality_lm(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTI
     """
     key = fresh(docs, "key")
     ids = trusted_ids.select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).distinct()
-    trusted = docs.join(ids, docs[id_col] == ids[key], "left_semi")
-    pairs, words, terms = kneser_ney(sample(trusted.where(fold(text) == 0), max_texts, text), text)
+    # the ids grow with the documents, so they are joined alike at every size; the texts are read twice
+    train = saved(docs.where(fold(text) == 0).join(ids.hint("merge"), docs[id_col] == ids[key], "left_semi").select(text).dropDuplicates(), "train")
+    tidy(docs.sparkSession)
+    folder = train_model(train, text, lower=False)
     rows = docs.select(F.col(id_col), F.col(lang), text, (fold(text) == 1).alias("__fold"))
-    scored = saved(perplexities(rows, shards_of(pairs, words), terms, [id_col, lang, "__fold"], text), "perplexity")
-    judged = scored.where("__fold").join(ids, scored[id_col] == ids[key], "left_semi")
-    own = judged.groupBy(F.col(lang).alias("__lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    every = judged.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q")).first()["q"]
+    scored = saved(perplexities(rows, folder, [id_col, lang, "__fold"], text), "perplexity")
+    judged = saved(scored.where("__fold").join(ids, scored[id_col] == ids[key], "left_semi").select(F.col(lang).alias("__lang"), "perplexity"), "trusted")
+    own = nearest_rank(judged, "perplexity", quantile, "__lang").where(F.col("n") >= LEAST_TEXTS).select("__lang", F.col("q").alias("own"))
+    every = nearest_rank(judged.select(F.lit(True).alias("all"), "perplexity"), "perplexity", quantile, "all").first()
     out = scored.join(own, scored[lang].eqNullSafe(F.col("__lang")), "left")
-    out = out.withColumn("threshold", F.coalesce("own", F.lit(every).cast("double")))
+    out = out.withColumn("threshold", F.coalesce("own", F.lit(every["q"] if every else None).cast("double")))
     return out.select(id_col, lang, "n_words", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))

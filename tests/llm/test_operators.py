@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from propagon.llm import decontamination, licences, mixing, ngram_lm, quality_lm, quality_rules, simhash, suffix_dedup, token_output, toxicity
-from propagon.llm.common import components
+from propagon.llm.common import components, nearest_rank
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
@@ -408,3 +408,26 @@ def test_quality_of_clashing_columns_and_repeated_texts(spark):
     copies = spark.createDataFrame([(i + 1000, texts[2 * i % 8], "en", "x", "y") for i in range(300)], schema)
     more = {r.doc_id: r.perplexity for r in quality_lm.quality_lm(docs.union(copies), trusted.union(copies.select("doc_id"))).collect()}
     assert all(abs(more[i] - once[i]) < 1e-6 * once[i] for i in once) and more[1003] == more[6]
+
+
+def test_all_trusted_texts_train_the_quality_model(spark):
+    """More trusted texts than an earlier bound of 8,000: a text of rare words that each trusted text holds alone is known."""
+    texts = [f"a{i} b{i} C{i}" for i in range(18_000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    trains = {r.doc_id for r in docs.where(quality_lm.fold() == 0).collect()}
+    got = {r.doc_id: r for r in quality_lm.quality_lm(docs, docs.select("doc_id")).collect()}
+    known = [got[i].perplexity for i in trains]
+    others = sorted(r.perplexity for i, r in got.items() if i not in trains)
+    assert len(trains) > 8_500 and max(known) < others[0]
+    assert {r.threshold for r in got.values()} == {others[int(np.ceil(0.995 * len(others))) - 1]}
+
+
+def test_exact_quantiles_of_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a" if i % 3 else None, float(x)) for i, x in enumerate(np.concatenate([rng.normal(size=60_000), np.ones(3_000), [7.0]]))]
+    frame_ = spark.createDataFrame(rows, "g string, v double")
+    for share in (0.0001, 0.5, 0.995, 1.0):
+        got = {r.g: (r.n, r.q) for r in nearest_rank(frame_, "v", share, "g").collect()}
+        for g in ("a", None):
+            v = sorted(x for k, x in rows if k == g)
+            assert got[g] == (len(v), v[int(np.ceil(round(share * len(v), 6))) - 1])
