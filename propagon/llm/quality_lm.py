@@ -40,8 +40,12 @@ def quality_lm(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTI
     """
     key = fresh(docs, "key")
     ids = trusted_ids.select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).distinct()
-    # the ids grow with the documents, so they are joined alike at every size; the texts are read twice
-    train = saved(docs.where(fold(text) == 0).join(ids.hint("merge"), docs[id_col] == ids[key], "left_semi").select(text).dropDuplicates(), "train")
+    # 128 bits stand for a text, so that texts are shuffled once and copies meet before; the joins are alike at every size
+    h = [F.xxhash64(F.lit(i), F.coalesce(F.col(text), F.lit(""))).alias(f"__h{i}") for i in (1, 2)]
+    some = docs.where(fold(text) == 0)
+    wanted = some.select(F.col(id_col), *h).join(ids.hint("merge"), F.col(id_col) == F.col(key), "left_semi").select("__h1", "__h2").distinct()
+    each = some.select(F.coalesce(F.col(text), F.lit("")).alias(text), *h).dropDuplicates(["__h1", "__h2"])
+    train = saved(each.join(wanted.hint("merge"), ["__h1", "__h2"], "left_semi").select(text), "train")
     tidy(docs.sparkSession)
     folder = train_model(train, text, lower=False)
     rows = docs.select(F.col(id_col), F.col(lang), text, (fold(text) == 1).alias("__fold"))
