@@ -1,8 +1,8 @@
 """Licence scans by a trained paragraph classifier, with DataFrame and ML functions only.
 
 A paragraph is a line. A multinomial logistic regression over word 1- to 3-grams of the licence notices below scores it;
-its training set is the notices, their usual lead-ins with every name, and paragraphs of documents and near misses as
-class ``unknown``. The chance that a notice needs is set on a held-out part, so that at most 1 in 100 paragraphs without
+its training set is the notices, their usual lead-ins with every name, near misses and every paragraph of the documents
+that holds no licence cue as class ``unknown``. Paragraphs of one set of n-grams are one row with a weight. The chance that a notice needs is set on a held-out part, so that at most 1 in 100 paragraphs without
 a licence that share n-grams with notices reaches it. A prediction counts as confirmed if the paragraph's n-grams also
 agree with a notice of the family.
 
@@ -17,6 +17,7 @@ import math
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +55,10 @@ SENTENCES = {
 }
 LEADS = ["", "Licensed under the", "Licensed under", "Released under the", "This work is licensed under the", "This work is licensed under a", "This project is licensed under the terms of the", "Distributed under the", "Available under the", "SPDX-License-Identifier:", "Code is covered by the", "published under the"]
 NEAR_MISSES = ["driving licence rules", "the driver's license was renewed", "a fishing license is required", "he was released under bail", "licensed under state law to practise medicine", "published under a pen name", "the public domain", "permission to land was granted", "under the general terms of the agreement", "common rights of the public", "version 2.0 of the plan", "version 3 was released", "the gnu is an antelope", "software of the company", "a creative mind", "copyright law was reformed", "all rights of the child", "they may not use this road", "the source of the river", "the file was published", "free of charge for any person", "the author was a professor at MIT", "an apache helicopter", "a license plate", "licensed premises", "the licence fee"]
-#: Paragraphs of the training sample that hold any of these are no examples of class unknown; scans don't use it.
+#: Paragraphs that hold any of these are no examples of class unknown; scans don't use it.
 CUES = r"(?i)licen[cs]e|copyright|permission|public domain|creative commons|rights reserved|redistribut|source code form|spdx|gpl|\bmpl\b|\bbsd\b|\bcc[ -]?(by|0)|\bgnu\b|proprietary|unauthori[sz]ed|free software"
-#: Paragraphs of documents that train the class unknown, at most.
-MAX_NEGATIVES = 2_000
+#: All paragraphs of documents together weigh as much as so many rows against the notices, or as their number if that is less.
+PLAIN_WEIGHT = 2_000
 REGULARISATION = 0.002
 CONFIRMED = 0.5
 
@@ -89,12 +90,12 @@ def lines(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
 class Classifier:
     """Families, and per n-gram one weight for each; the chance needed for a prediction; the words of the gate."""
 
-    def __init__(self, families: list[str], bias: list[float], weights: dict[str, list[float]], needed: float, often: dict[str, int]):
+    def __init__(self, families: list[str], bias: list[float], weights: dict[str, list[float]], needed: float, often: dict[str, float]):
         self.families, self.bias, self.weights, self.needed = families, bias, weights, needed
         self.gate = gate(bias, weights, needed, often)
 
 
-def gate(bias: list[float], weights: dict[str, list[float]], needed: float, often: dict[str, int]) -> list[str] | None:
+def gate(bias: list[float], weights: dict[str, list[float]], needed: float, often: dict[str, float]) -> list[str] | None:
     """Words such that no paragraph without any of them can reach the chance needed; None if only a score can tell.
 
     A family reaches it only if its log-odds to class unknown reach those of ``needed``. The n-grams that hold no word of
@@ -126,27 +127,55 @@ def gate(bias: list[float], weights: dict[str, list[float]], needed: float, ofte
     return sorted(chosen)
 
 
+def weighted_rank(rows: DataFrame, share: float) -> float | None:
+    """The value v at place ceil(share * sum of c) of (v, c): bins are refined until one value is left, so it is exact."""
+    bounds = rows.agg(F.min("v"), F.max("v"), F.sum("c")).first()
+    low, high, left = bounds[0], bounds[1], math.ceil(round(share * (bounds[2] or 0), 6))
+    while low is not None and low < high:
+        place = F.floor((F.col("v") - low) / (high - low) * 1_000)
+        bins = rows.where(F.col("v").between(low, high)).groupBy(place.alias("bin")).agg(F.sum("c").alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("bin").collect()  # 1,001 at most
+        for r in bins:
+            low, high = r["low"], r["high"]
+            if left <= r["c"]:
+                break
+            left -= r["c"]
+    return low
+
+
+def feature_sets(plain: DataFrame, vocabulary: list[str], terms: CountVectorizerModel) -> DataFrame:
+    """(features, fold, near, n): how many different paragraphs (p) of ``plain`` hold just these n-grams of the notices."""
+    single = F.array(*(F.lit(g) for g in vocabulary if " " not in g))
+    each = plain.where("p is not null").select(F.xxhash64("p").alias("h"), words(F.col("p")).alias("w")).withColumn("near", F.arrays_overlap("w", single))
+    each = each.withColumn("g", F.when(F.col("near"), grams(F.col("w"))).otherwise(F.array().cast("array<string>")))
+    different = terms.transform(each.select("h", "near", "g")).select("h", "near", "features").distinct()
+    return different.groupBy("features", F.pmod("h", F.lit(5)).alias("fold"), "near").agg(F.count("*").alias("n"))
+
+
 def train(spark: SparkSession, plain: DataFrame) -> Classifier:
-    """``plain``: a bounded table of paragraphs (p) without licences."""
+    """``plain``: paragraphs (p) without licences; all train, equal ones once."""
     known = notices(spark)
     vocabulary = sorted(r[0] for r in known.select(F.explode(grams(words(F.col("notice"))))).distinct().collect())  # of the fixed notices
-    misses = spark.createDataFrame([(m,) for m in NEAR_MISSES], "p string")
-    negative = misses.union(plain.select("p").limit(MAX_NEGATIVES)).select(F.lit("unknown").alias("family"), F.col("p").alias("notice"))
-    rows = known.union(negative).withColumn("g", grams(words(F.col("notice"))))
+    terms = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="g", outputCol="features", binary=True)
+    negative = saved(feature_sets(plain, vocabulary, terms), "plain")
+    n = negative.agg(F.sum("n")).first()[0] or 0
+    weight = min(1.0, PLAIN_WEIGHT / max(1, n))
+    misses = spark.createDataFrame([(m,) for m in NEAR_MISSES], "notice string").select(F.lit("unknown").alias("family"), "notice")
+    rows = known.union(misses).withColumn("g", grams(words(F.col("notice"))))
     families = ["unknown", *NAMES]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    terms = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="g", outputCol="features", binary=True)
-    x = terms.transform(rows.select("g", label.cast("double").alias("label"), F.pmod(F.xxhash64("notice"), F.lit(5)).alias("fold")))
-    x = saved(x.withColumn("near", F.exists(vector_to_array("features"), lambda v: v > 0)).coalesce(4), "notices")  # a bounded table
-    model = LogisticRegression(family="multinomial", regParam=REGULARISATION, maxIter=60)
+    fixed = terms.transform(rows.select("g", label.cast("double").alias("label"), F.pmod(F.xxhash64("notice"), F.lit(5)).alias("fold"))).coalesce(1)
+    fixed = fixed.select("features", "label", "fold", (F.size(F.array_intersect("g", F.array(*map(F.lit, vocabulary)))) > 0).alias("near"), F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("weight"))
+    x = fixed.union(negative.select("features", F.lit(0.0).alias("label"), "fold", "near", "n", (F.col("n") * weight).alias("weight")))
+    x = saved(x, "notices")
+    model = LogisticRegression(family="multinomial", regParam=REGULARISATION, maxIter=60, weightCol="weight")
     part = model.fit(x.where("fold <> 0"))
-    held = part.transform(x.where("fold = 0 and label = 0 and near")).select((F.lit(1) - vector_to_array("probability")[0]).alias("p"))
-    needed = max(0.5, min(0.9, held.agg(F.percentile_approx("p", 0.99)).first()[0] or 0.5))
+    held = part.transform(x.where("fold = 0 and label = 0 and near")).select((F.lit(1) - vector_to_array("probability")[0]).alias("v"), F.col("n").alias("c"))
+    needed = max(0.5, min(0.9, weighted_rank(saved(held, "held"), 0.99) or 0.5))
     full = model.fit(x)
     w, b = full.coefficientMatrix.toArray(), full.interceptVector.toArray()
-    single = spark.createDataFrame([(g,) for g in vocabulary if " " not in g], "gram string")
-    often = x.where("label = 0").select(F.explode("g").alias("gram")).join(F.broadcast(single), "gram").groupBy("gram").count()
-    return Classifier(families, b.tolist(), {g: w[:, i].tolist() for i, g in enumerate(vocabulary)}, needed, {r[0]: r[1] for r in often.collect()})
+    share = x.where("label = 0").select(Summarizer.mean(F.col("features"), F.col("weight")), F.sum("weight")).first()
+    often = {g: float(share[0][i]) * share[1] for i, g in enumerate(vocabulary) if " " not in g}
+    return Classifier(families, b.tolist(), {g: w[:, i].tolist() for i, g in enumerate(vocabulary)}, needed, often)
 
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,9 +210,5 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str =
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``scan`` with a classifier whose class unknown has also seen paragraphs of these documents that hold no cue."""
-    # of many documents about as many as needed are looked at, equal paragraphs once
-    share = min(1.0, MAX_NEGATIVES / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20)))))
-    each = lines(some, text).where(~F.col("p").rlike(CUES)).groupBy(F.xxhash64("p").alias("h")).agg(F.min("p").alias("p"))
-    plain = each.orderBy("h").limit(MAX_NEGATIVES).select("p")
+    plain = lines(docs, text).where(~F.col("p").rlike(CUES))
     return scan(docs, train(docs.sparkSession, plain), id_col, text)

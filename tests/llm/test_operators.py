@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow.compute as pc
 import pytest
 import xxhash
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from propagon.llm import decontamination, licences, mixing, ngram_lm, quality_lm, quality_rules, simhash, suffix_dedup, token_output, toxicity
@@ -431,3 +432,24 @@ def test_exact_quantiles_of_groups(spark):
         for g in ("a", None):
             v = sorted(x for k, x in rows if k == g)
             assert got[g] == (len(v), v[int(np.ceil(round(share * len(v), 6))) - 1])
+
+
+def test_all_plain_paragraphs_train_licences(spark):
+    """Beyond 2,000 paragraphs each still counts: the model is that of the same paragraphs in other order and copies."""
+    texts = [f"w{i} " + " ".join(w for k, w in enumerate(["the", "of", "software", "permission", "use", "version"]) if i >> k & 1) for i in range(3_000)]
+    vocabulary = sorted({g for r in licences.notices(spark).select(licences.grams(licences.words(F.col("notice"))).alias("g")).collect() for g in r.g})
+    terms = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="g", outputCol="features", binary=True)
+    plain = spark.createDataFrame([(t,) for t in texts + texts[:500] + [None]], "p string")
+    rows = licences.feature_sets(plain, vocabulary, terms).collect()
+    held = Counter()
+    for r in rows:
+        held[frozenset(vocabulary[i] for i in r.features.indices if " " not in vocabulary[i])] += r.n
+    assert held == Counter(frozenset(t.split()[1:]) for t in texts) and sum(r.n for r in rows if r.near) == sum(len(t.split()) > 1 for t in texts)
+
+
+def test_weighted_rank(spark):
+    values = [(0.1 * i, 1 + i % 7) for i in range(300)]
+    flat = sorted(v for v, c in values for _ in range(c))
+    rows = spark.createDataFrame(values, "v double, c long")
+    assert [licences.weighted_rank(rows, s) for s in (0.01, 0.5, 0.99, 1.0)] == [flat[int(np.ceil(round(s * len(flat), 6))) - 1] for s in (0.01, 0.5, 0.99, 1.0)]
+    assert licences.weighted_rank(rows.where("false"), 0.99) is None
