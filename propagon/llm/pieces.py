@@ -25,6 +25,7 @@ UNKNOWN = " ⁇ ".encode()
 #: Words of more characters have a heap each; bytes of known words; words that are looked up together.
 LANE, KEPT_BYTES, BLOCK_WORDS = 32, 60_000_000, 200_000
 NO_RANK = (1 << 31) - 1
+SLOT_BITS = 21
 
 # as the library: every byte that starts no character is one replacement character
 codecs.register_error("one_by_one", lambda e: ("�", e.start + 1))
@@ -70,6 +71,8 @@ class Vocabulary:
                 self.shown.append(b"" if p.type == kinds.CONTROL else UNKNOWN if p.type == kinds.UNKNOWN else p.piece.replace(SPACE, " ").encode())
         self.spaced = {i for p, i in self.ids.items() if p.startswith(SPACE)}
         self.controls = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
+        self.control_ids = np.array(sorted(self.controls), np.int32)
+        self.shown_pieces = pa.array(self.shown, pa.large_binary())
         self.pairs = {x for p in self.ids for x in zip(p, p[1:], strict=False)}
         inner = any(b == SPACE != a for a, b in self.pairs)
         self.words = re.compile(".+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
@@ -77,6 +80,11 @@ class Vocabulary:
         self.keys = np.array(sorted(self.rank), np.int64)
         self.ranks = np.array([self.rank[k] for k in self.keys.tolist()] + [NO_RANK], np.int32)
         self.results = np.array([self.made[k] for k in self.keys.tolist()] + [0], np.int32)
+        # slots by hash hold the place of one key; places of the few others in a slot are searched
+        slot = self._slot(self.keys)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)
+        self.slots[slot[::-1]] = np.arange(len(self.keys), dtype=np.int32)[::-1]
+        self.shared = np.bincount(slot, minlength=1 << SLOT_BITS) > 1
         self.symbol_of = np.arange(0x110000, dtype=np.int32) + len(self.strings)
         # ids of symbols that are pieces, -1 for others
         self.id_of = np.array([self.ids.get(x, -1) for x in self.strings] + [-1], "<i4")
@@ -94,12 +102,24 @@ class Vocabulary:
             out += [k] if k is not None else [self.byte_ids[b] for b in x.encode()]
         return np.array(out, "<i4").tobytes()
 
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
     def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places of pairs in the table, the last one for pairs that make no piece."""
         key = left.astype(np.int64) << 32 | right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, at, len(self.keys))
+        slot = self._slot(key)
+        at = self.slots[slot]
+        hit = self.keys[at] == key
+        other = np.nonzero(self.shared[slot] & ~hit)
+        at[~hit] = len(self.keys)
+        if len(other[0]):
+            k = key[other]
+            i = np.searchsorted(self.keys, k)
+            i[i == len(self.keys)] = 0
+            at[other] = np.where(self.keys[i] == k, i, len(self.keys))
+        return at
 
     def _lanes(self, words: list[str]) -> list[bytes]:
         """Short words side by side, each with its agenda as a row by place: in every round the best pair of each row goes,
@@ -164,16 +184,16 @@ class Vocabulary:
 
     def _learn(self, words: set[str]) -> None:
         """Ids of words that are not known yet; long ones are cut where no piece has both characters side by side."""
-        short: dict[int, list[str]] = {}
+        short: list[list[str]] = [[] for _ in range((LANE + 3) // 4 + 1)]
+        self.kept += sum(map(len, words)) + 100 * len(words)
         for w in words:
-            self.kept += len(w) + 100
             if len(w) <= LANE:
-                short.setdefault((len(w) + 3) // 4, []).append(w)
+                short[(len(w) + 3) // 4].append(w)
                 continue
             cuts = [0, *(i for i in range(1, len(w)) if (w[i - 1], w[i]) not in self.pairs), len(w)]
             symbols = self.symbol_of[np.frombuffer(w.encode("utf-32-le"), "<u4")].tolist()
             self.known[w] = b"".join(self._coded(self._heap(symbols[i:j])) for i, j in zip(cuts, cuts[1:], strict=False))
-        for group in short.values():
+        for group in filter(None, short):
             self.known.update(zip(group, self._lanes(group), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -188,7 +208,7 @@ class Vocabulary:
                 self.known.clear()
                 self.kept = 0
             known = self.known
-            self._learn({w for _, words in held for w in words if w not in known})
+            self._learn(set().union(*(words for _, words in held)) - known.keys())
             for i, words in held:
                 out[i].append(b"".join(map(known.__getitem__, words)))
             held, size = [], 0
@@ -205,6 +225,29 @@ class Vocabulary:
         flush()
         return [np.frombuffer(b"".join(x), "<i4") for x in out]
 
+    def decode_all(self, texts: list[np.ndarray]) -> list[bytes]:
+        """``decode`` of each; what the pieces show is put together for all texts at once."""
+        flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        if not len(flat) or np.isin(flat, self.control_ids).any():
+            return [self.decode(i.tolist()) for i in texts]
+        shown = self.shown_pieces.take(pa.array(flat))
+        data, starts = shown.buffers()[2].to_pybytes(), np.frombuffer(shown.buffers()[1], np.int64)
+        ends = np.cumsum([0, *map(len, texts)])
+        out = []
+        for ids, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
+            if a == b:
+                out.append(b"")
+                continue
+            begin, end = int(starts[a]), int(starts[b])
+            if self.prefix:
+                # the first piece with an outcome loses its space
+                first = int(np.searchsorted(starts[a + 1 : b + 1], begin, "right"))
+                if first < len(ids) and int(ids[first]) in self.spaced:
+                    begin += 1
+            raw = data[begin:end]
+            out.append(raw if _whole(raw) else raw.decode("utf-8", "one_by_one").encode())
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids, in UTF-8; bytes that make no character are replacement characters, the prefix goes."""
         shown = [self.shown[i] for i in ids]
@@ -220,6 +263,15 @@ class Vocabulary:
         return b"".join(b"".join(shown[i + 1 : j]).decode("utf-8", "one_by_one").encode() for i, j in zip(cuts, cuts[1:], strict=False))
 
 
+def _whole(raw: bytes) -> bool:
+    """Whether these bytes are characters."""
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 @cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -255,14 +307,13 @@ def encode(docs: DataFrame, model: str, keys: list[str], text: str = "text", che
     def value(texts):
         v = vocabulary(model)
         flat = v.encode(texts)
-        ids = [i.tolist() for i in flat]
-        shown = [v.decode(i) for i in ids]
+        shown = v.decode_all(flat)
         ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
-        made = [pa.ListArray.from_arrays(ends, np.concatenate(flat)), pa.array([s.decode() for s in shown], pa.string())]
+        made = [pa.ListArray.from_arrays(ends, np.concatenate(flat)), pa.array(shown, pa.binary()).cast(pa.string())]
         if check:
             theirs = v.library.encode(texts, num_threads=1)
             back = v.library.decode(theirs, num_threads=1)
-            made.append(pa.array([a == b and s.decode() == t for a, b, s, t in zip(ids, theirs, shown, back, strict=True)], pa.bool_()))
+            made.append(pa.array([a.tolist() == b and s.decode() == t for a, b, s, t in zip(flat, theirs, shown, back, strict=True)], pa.bool_()))
         return made
 
     names = ["ids", "decoded"] + ["agrees"] * check

@@ -227,3 +227,19 @@ def test_audit_of_no_documents_and_of_states(spark):
     filter_audit.walk(rows, "ABC", lambda state, left, survivors: seen.append((state, left, survivors.count())))
     assert sorted(x[0] for x in seen) == ["", "A", "AB", "AC", "B", "BC", "C"] and all(n == (x in ("", "B")) for x, _, n in seen)
     assert filter_audit.audit(rows, "ABC").where(F.col("removed") > 0).count() == 6
+
+
+def test_texts_decoded_at_once_and_pairs_by_slot():
+    """All texts of a block together as each alone and as the library, broken and missing characters included."""
+    v, rng = pieces.Vocabulary(MODEL), random.Random(9)
+    texts = ["", " ", "  a", "a  b \n", "▁x", "日本 \U0001f600 é\x00", *("".join(rng.choice("abc é日\U0001f600 \n▁") for _ in range(rng.randrange(60))) for _ in range(300))]
+    made = v.encode([t.encode() for t in texts])
+    cut = [i[: rng.randrange(len(i) + 1)] for i in made]  # may end inside a character
+    broken = [i[rng.randrange(len(i) + 1) :] for i in made]
+    for ids in (made, cut, broken, [*made, np.array([1, 5, 400, 2, 401], np.int32)], []):
+        assert v.decode_all(ids) == [v.decode(i.tolist()) for i in ids] == [v.library.decode(i.tolist()).encode() for i in ids]
+    left, right = (np.array([rng.randrange(len(v.strings)) for _ in range(20_000)], np.int32) for _ in range(2))
+    left, right = np.append(left, (v.keys >> 32).astype(np.int32)), np.append(right, (v.keys & 0xFFFFFFFF).astype(np.int32))
+    key = left.astype(np.int64) << 32 | right
+    at = v._found(left, right)
+    assert [v.rank.get(k, pieces.NO_RANK) for k in key.tolist()] == v.ranks[at].tolist() and v.shared.any()
