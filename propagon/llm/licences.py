@@ -145,7 +145,9 @@ def weighted_rank(rows: DataFrame, share: float) -> float | None:
 def feature_sets(plain: DataFrame, vocabulary: list[str], terms: CountVectorizerModel) -> DataFrame:
     """(features, fold, near, n): how many different paragraphs (p) of ``plain`` hold just these n-grams of the notices."""
     single = F.array(*(F.lit(g) for g in vocabulary if " " not in g))
-    each = plain.where("p is not null").select(F.xxhash64("p").alias("h"), words(F.col("p")).alias("w")).withColumn("near", F.arrays_overlap("w", single))
+    # words are written, since n-grams of an expression would make them anew for every element
+    each = saved(plain.where("p is not null").select(F.xxhash64("p").alias("h"), words(F.col("p")).alias("w")), "words")
+    each = each.withColumn("near", F.arrays_overlap("w", single))
     each = each.withColumn("g", F.when(F.col("near"), grams(F.col("w"))).otherwise(F.array().cast("array<string>")))
     different = terms.transform(each.select("h", "near", "g")).select("h", "near", "features").distinct()
     return different.groupBy("features", F.pmod("h", F.lit(5)).alias("fold"), "near").agg(F.count("*").alias("n"))
