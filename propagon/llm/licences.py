@@ -2,7 +2,8 @@
 
 A paragraph is a line. A multinomial logistic regression over word 1- to 3-grams of the licence notices below scores it;
 its training set is the notices, their usual lead-ins with every name, near misses and every paragraph of the documents
-that holds no licence cue as class ``unknown``. Paragraphs of one set of n-grams are one row with a weight. The chance that a notice needs is set on a held-out part, so that at most 1 in 100 paragraphs without
+that holds no licence cue as class ``unknown``. Paragraphs of one set of n-grams are one row with a weight; n-grams
+are made of marks (the notices' words in place, a bar for each run of others) of distinct paragraphs. The chance that a notice needs is set on a held-out part, so that at most 1 in 100 paragraphs without
 a licence that share n-grams with notices reaches it. A prediction counts as confirmed if the paragraph's n-grams also
 agree with a notice of the family.
 
@@ -12,7 +13,9 @@ together can't lift a family to the chance needed. A paragraph without a word of
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -57,6 +60,8 @@ LEADS = ["", "Licensed under the", "Licensed under", "Released under the", "This
 NEAR_MISSES = ["driving licence rules", "the driver's license was renewed", "a fishing license is required", "he was released under bail", "licensed under state law to practise medicine", "published under a pen name", "the public domain", "permission to land was granted", "under the general terms of the agreement", "common rights of the public", "version 2.0 of the plan", "version 3 was released", "the gnu is an antelope", "software of the company", "a creative mind", "copyright law was reformed", "all rights of the child", "they may not use this road", "the source of the river", "the file was published", "free of charge for any person", "the author was a professor at MIT", "an apache helicopter", "a license plate", "licensed premises", "the licence fee"]
 #: Paragraphs that hold any of these are no examples of class unknown; scans don't use it.
 CUES = r"(?i)licen[cs]e|copyright|permission|public domain|creative commons|rights reserved|redistribut|source code form|spdx|gpl|\bmpl\b|\bbsd\b|\bcc[ -]?(by|0)|\bgnu\b|proprietary|unauthori[sz]ed|free software"
+#: What every match of CUES holds, in lower case.
+CUE_PARTS = ["licen", "copyright", "permission", "public domain", "creative commons", "rights reserved", "redistribut", "source code form", "spdx", "gpl", "mpl", "bsd", "ccby", "cc by", "cc-by", "cc0", "cc 0", "cc-0", "gnu", "proprietary", "unauthori", "free software"]
 #: All paragraphs of documents together weigh as much as so many rows against the notices, or as their number if that is less.
 PLAIN_WEIGHT = 2_000
 REGULARISATION = 0.002
@@ -65,7 +70,19 @@ CONFIRMED = 0.5
 
 def words(p: Column) -> Column:
     """Words, lower case, without punctuation at their end."""
-    return F.transform(F.regexp_extract_all(F.lower(p), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}.+/'-]*"), 0), lambda x: F.rtrim(x, F.lit(".'-/")))
+    return F.regexp_extract_all(F.lower(p), F.lit(r"[\p{L}\p{N}](?:[\p{L}\p{N}.+/'-]*[\p{L}\p{N}+])?"), 0)
+
+
+def has_cue(p: Column) -> Column:
+    """Whether CUES matches; few paragraphs hold a part of a match, so the expression sees only those."""
+    low = F.lower(p)
+    return functools.reduce(operator.or_, (F.contains(low, F.lit(x)) for x in CUE_PARTS)) & p.rlike(CUES)
+
+
+def marks(w: Column, known: list[str]) -> Column:
+    """The words that are ``known``, in order, with one bar for every run of others: n-grams of known words stay as they are."""
+    kept = F.transform(w, lambda x: F.when(x.isin(known), x))
+    return F.regexp_replace(F.array_join(kept, " ", "|"), r"\|(?: \|)+", "|")
 
 
 def grams(w: Column) -> Column:
@@ -144,13 +161,13 @@ def weighted_rank(rows: DataFrame, share: float) -> float | None:
 
 def feature_sets(plain: DataFrame, vocabulary: list[str], terms: CountVectorizerModel) -> DataFrame:
     """(features, fold, near, n): how many different paragraphs (p) of ``plain`` hold just these n-grams of the notices."""
-    single = F.array(*(F.lit(g) for g in vocabulary if " " not in g))
-    # words are written, since n-grams of an expression would make them anew for every element
-    each = saved(plain.where("p is not null").select(F.xxhash64("p").alias("h"), words(F.col("p")).alias("w")), "words")
-    each = each.withColumn("near", F.arrays_overlap("w", single))
+    single = [g for g in vocabulary if " " not in g]
+    each = plain.where("p is not null").select(F.xxhash64("p").alias("h"), marks(words(F.col("p")), single).alias("s")).distinct()
+    # written, since n-grams of an expression would make its words anew for every element
+    each = saved(each.groupBy(F.split("s", " ").alias("w"), F.pmod("h", F.lit(5)).alias("fold")).agg(F.count("*").alias("n")), "marks")
+    each = each.withColumn("near", F.exists("w", lambda x: ~x.isin("", "|")))
     each = each.withColumn("g", F.when(F.col("near"), grams(F.col("w"))).otherwise(F.array().cast("array<string>")))
-    different = terms.transform(each.select("h", "near", "g")).select("h", "near", "features").distinct()
-    return different.groupBy("features", F.pmod("h", F.lit(5)).alias("fold"), "near").agg(F.count("*").alias("n"))
+    return terms.transform(each).groupBy("features", "fold", "near").agg(F.sum("n").alias("n"))
 
 
 def train(spark: SparkSession, plain: DataFrame) -> Classifier:
@@ -190,9 +207,8 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str =
     spark = docs.sparkSession
     n = len(model.families)
     weights = F.broadcast(spark.createDataFrame(list(model.weights.items()), "gram string, w array<double>"))  # of the fixed notices
-    found = lines(docs, text, F.col(id_col)).withColumn("w", words(F.col("p"))).where(F.size("w") > 0)
-    if model.gate is not None:
-        found = found.where(F.arrays_overlap("w", F.array(*map(F.lit, model.gate))))
+    found = lines(docs, text, F.col(id_col)).withColumn("w", words(F.col("p")))
+    found = found.where(F.size("w") > 0 if model.gate is None else F.exists("w", lambda x: x.isin(model.gate)))
     found = saved(found.select(id_col, "paragraph", grams(F.col("w")).alias("g"), F.xxhash64("p").alias("k")), "paragraphs")
     # equal paragraphs are scored once
     each = found.groupBy("k").agg(F.first("g").alias("g"))
@@ -212,5 +228,5 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str =
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``scan`` with a classifier whose class unknown has also seen paragraphs of these documents that hold no cue."""
-    plain = lines(docs, text).where(~F.col("p").rlike(CUES))
+    plain = lines(docs, text).where(~has_cue(F.col("p")))
     return scan(docs, train(docs.sparkSession, plain), id_col, text)

@@ -447,6 +447,28 @@ def test_all_plain_paragraphs_train_licences(spark):
     assert held == Counter(frozenset(t.split()[1:]) for t in texts) and sum(r.n for r in rows if r.near) == sum(len(t.split()) > 1 for t in texts)
 
 
+def test_marks_replace_the_words_of_paragraphs(spark, monkeypatch):
+    """N-grams come from short marks of distinct paragraphs; cues, words and n-grams are those of the plain expressions."""
+    odd = ["The the of -- the", "GPLv2 a.- +of+. 'use'", "a|b of | the", "İgnu ſpdx COPYRİGHT", "LICENSE", "cc  by", "cc-0 x", "xbsd bsd", "éclair ÉTÉ of ÉTÉ the", "", " ", "...", "c++. c-- 3.0/ 3.0.", "of the of the", "unauthorized", "unauthored", "the general public license version 3", "𝟛 the 𝐚 of"]
+    rows = spark.createDataFrame([(p,) for p in [*odd, *odd[:5], *(f"the {i}x of {i}y" for i in range(50)), None]], "p string")
+    plain_words = F.transform(F.regexp_extract_all(F.lower("p"), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}.+/'-]*"), 0), lambda x: F.rtrim(x, F.lit(".'-/")))
+    for r in rows.where("p is not null").select("p", licences.words(F.col("p")).alias("w"), plain_words.alias("plain"), licences.has_cue(F.col("p")).alias("cue"), F.col("p").rlike(licences.CUES).alias("like")).collect():
+        assert (r.w, r.cue) == (r.plain, r.like), r.p
+    vocabulary = sorted({g for r in licences.notices(spark).select(licences.grams(licences.words(F.col("notice"))).alias("g")).collect() for g in r.g})
+    terms = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="g", outputCol="features", binary=True)
+    each = rows.where("p is not null").distinct().select(F.pmod(F.xxhash64("p"), F.lit(5)).alias("fold"), licences.grams(plain_words).alias("g")).collect()
+    wanted = Counter((r.fold, frozenset(r.g) & frozenset(vocabulary)) for r in each)
+    written, saved = [], licences.saved
+    monkeypatch.setattr(licences, "saved", lambda df, name: written.append(saved(df, name)) or written[-1])
+    got = Counter()
+    for r in licences.feature_sets(rows, vocabulary, terms).collect():
+        got[r.fold, frozenset(vocabulary[i] for i in r.features.indices)] += r.n
+        assert r.near == any(" " not in vocabulary[i] for i in r.features.indices)
+    assert got == wanted
+    # the 50 paragraphs that differ in other words alone are 5 rows at most, one a fold
+    assert sum(w.count() for w in written) <= len(odd) + 5
+
+
 def test_weighted_rank(spark):
     values = [(0.1 * i, 1 + i % 7) for i in range(300)]
     flat = sorted(v for v, c in values for _ in range(c))
