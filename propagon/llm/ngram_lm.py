@@ -3,7 +3,8 @@
 Counting: tasks turn texts into word hashes and send distinct (context, word) pairs with their counts, packed per shard;
 a shard merges its pairs by sorting. Shards go by context; contexts with over HOT_SHARE of all words, of which there are
 fewer than 1 / HOT_SHARE, go by pair, so no word fills a shard. Each shard is written to the shared folder as a sorted
-array of 64-bit pair hashes with their counts; words follow in the same way, with count, continuation weight and backoff.
+array of 64-bit pair hashes with their counts, as wide as the shard's largest; words follow in the same way, with count,
+continuation weight and backoff. Shuffle files of a step go before the next one starts.
 Scoring: workers map the files and look up the sorted hashes of a block of texts; nothing is shuffled or broadcast, and
 pages in use are shared by the workers of a machine. Two words of one 64-bit hash count as one: with v words that happens
 with a chance of v * v / 2 ** 65.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propagon.llm.common import blocks, new_path, pair_hash, saved, small_batches, text_bytes, tokens
+from propagon.llm.common import blocks, new_path, pair_hash, saved, small_batches, text_bytes, tidy, tokens
 
 HOT_SHARE = 0.001
 SHARD_TOKENS = 2_000_000
@@ -130,7 +131,8 @@ def _merge(packed: DataFrame, folder: str, shards: int) -> DataFrame:
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             c = np.add.reduceat(c, at)
             key, v, w = key[at], v[at], w[at]
-            _write(f"{folder}/pairs-{shard:06d}", key, c.astype(np.int64))
+            wide = np.min_scalar_type(int(c.max()))
+            _write(f"{folder}/pairs-{shard:06d}", key, c.astype(wide), np.array([wide.itemsize], np.uint8))
             ctx, inv = np.unique(v, return_inverse=True)
             n = [np.bincount(inv, weights=hit, minlength=len(ctx)).astype(np.int64) for hit in (c == 1, c == 2, c > 2)]
             word, cont = np.unique(w, return_counts=True)
@@ -195,11 +197,13 @@ def train_model(train: DataFrame, text: str = "text", lower: bool = True) -> str
             yield from flush()
 
     counts = saved(rows.mapInArrow(words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    tidy(spark)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("h") == int(END.view(np.int64)), F.col("c"))), F.lit(0)).alias("texts")).first()
     hot = [r[0] for r in counts.where(F.col("c") > max(1, HOT_SHARE * total["n"])).select("h").collect()]  # fewer than 1 / HOT_SHARE
     hot.append(int(START.view(np.int64)))
     shards = max(1, -(-total["n"] // SHARD_TOKENS))
     stats = saved(_merge(_pairs_packed(rows, hot, shards, lower), folder, shards), "stats")
+    tidy(spark)
     world = stats.where("h is null").agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("n1", "n2", "n3", "cont", "n"))).first()
     per = stats.where("h is not null").groupBy("h").agg(*(F.sum(k).alias(k) for k in ("n1", "n2", "n3", "cont")))
     full = counts.join(per, "h", "full").select("h", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("c", "n1", "n2", "n3", "cont")))
@@ -247,14 +251,15 @@ class Scorer:
         self.folder, self.files = folder, {}
         self.hot = np.sort(np.array(self.meta["hot"], np.int64).view(np.uint64))
 
-    def _file(self, name: str, width: int):
+    def _file(self, name: str, width: int | None):
+        """A file and its entries; without ``width``, the last byte says how wide the counts beside the hashes are."""
         if name not in self.files:
             path = f"{self.folder}/{name}"
             self.files[name] = np.memmap(path, np.uint8, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, np.uint8)
         raw = self.files[name]
-        return raw, len(raw) // width
+        return raw, len(raw) // (width or 8 + int(raw[-1])) if len(raw) else 0
 
-    def _find(self, kind: str, width: int, shard: np.ndarray, h: np.ndarray):
+    def _find(self, kind: str, width: int | None, shard: np.ndarray, h: np.ndarray):
         """Yields (positions of the queries found, raw file, entries, positions in it); sorted queries read a shard in order."""
         o = np.lexsort((h, shard))
         cut = np.searchsorted(shard[o], np.arange(self.meta["shards"] + 1))
@@ -284,8 +289,8 @@ class Scorer:
         key = pair_hash(v, w)
         shard = _shard_of(np.where(np.isin(v, self.hot), key, v), self.meta["shards"])
         c = np.zeros(len(key), np.int64)
-        for q, raw, n, at in self._find("pairs", 16, shard, key):
-            c[q] = raw[8 * n : 16 * n].view(np.int64)[at]
+        for q, raw, n, at in self._find("pairs", None, shard, key):
+            c[q] = raw[8 * n : -1].view(f"u{raw[-1]}")[at]
         return c
 
     def score(self, column):

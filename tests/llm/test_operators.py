@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small fixtures, with nulls, empty and repeated texts and empty tables."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -423,6 +424,24 @@ def test_all_trusted_texts_train_the_quality_model(spark):
     assert {r.threshold for r in got.values()} == {others[int(np.ceil(0.995 * len(others))) - 1]}
 
 
+def test_pair_counts_are_as_wide_as_needed(spark, monkeypatch):
+    """Counts beside the pair hashes take the bytes of a shard's largest count, and are read back exactly at every width."""
+    cleaned, tidy = [], ngram_lm.tidy
+    monkeypatch.setattr(ngram_lm, "tidy", lambda s: cleaned.append(tidy(s)))
+    for often, wide in ((200, 1), (300, 2), (70_000, 4)):
+        texts = ["a b " * often, "c d", "c d", "e"]
+        folder = ngram_lm.train_model(frame(spark, texts))
+        scorer = ngram_lm.Scorer(folder)
+        words = [x for t in texts for x in [ngram_lm.START, *toxicity.feature_hash([w.encode() for w in t.split()], [False] * len(t.split())), ngram_lm.END]]
+        pairs = Counter((v, w) for v, w in zip(words, words[1:]) if v != ngram_lm.END)
+        v, w = (np.array(x, np.uint64) for x in zip(*pairs, (words[1], words[1])))
+        assert scorer.pairs(v, w).tolist() == [*pairs.values(), 0] and max(pairs.values()) == often
+        size = sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.startswith("pairs-"))
+        assert scorer.meta["shards"] == 1 and size == (8 + wide) * len(pairs) + 1
+    # shuffle files of the words and of the pairs go before the next step
+    assert len(cleaned) == 6
+
+
 def test_exact_quantiles_of_groups(spark):
     rng = np.random.default_rng(3)
     rows = [("a" if i % 3 else None, float(x)) for i, x in enumerate(np.concatenate([rng.normal(size=60_000), np.ones(3_000), [7.0]]))]
