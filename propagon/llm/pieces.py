@@ -11,6 +11,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
+from bisect import bisect_right
 from functools import cache
 from itertools import islice
 
@@ -26,6 +27,8 @@ UNKNOWN = " ⁇ ".encode()
 LANE, KEPT_BYTES, BLOCK_WORDS = 32, 60_000_000, 200_000
 NO_RANK = (1 << 31) - 1
 SLOT_BITS = 21
+#: A place in a lane; entries of its agenda are ranks above these bits.
+PLACES = 63
 
 # as the library: every byte that starts no character is one replacement character
 codecs.register_error("one_by_one", lambda e: ("�", e.start + 1))
@@ -75,11 +78,14 @@ class Vocabulary:
         self.shown_pieces = pa.array(self.shown, pa.large_binary())
         self.pairs = {x for p in self.ids for x in zip(p, p[1:], strict=False)}
         inner = any(b == SPACE != a for a, b in self.pairs)
+        # here every word starts with a space, so that a key without one stands for its word after one space
+        self.bare = self.prefix == SPACE and not inner
         self.words = re.compile(".+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
         # the same ranks as sorted arrays; symbols above the table stand for characters of no piece
         self.keys = np.array(sorted(self.rank), np.int64)
         self.ranks = np.array([self.rank[k] for k in self.keys.tolist()] + [NO_RANK], np.int32)
         self.results = np.array([self.made[k] for k in self.keys.tolist()] + [0], np.int32)
+        self.agenda_of = np.append(self.ranks[:-1] * (PLACES + 1), NO_RANK - PLACES).astype(np.int32)
         # slots by hash hold the place of one key; places of the few others in a slot are searched
         slot = self._slot(self.keys)
         self.slots = np.zeros(1 << SLOT_BITS, np.int32)
@@ -91,16 +97,17 @@ class Vocabulary:
         for c, i in self.symbols.items():
             if len(c) == 1:
                 self.symbol_of[ord(c)] = i
+        self.coded: dict[int, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.kept = 0
 
     def _coded(self, symbols: list[int]) -> bytes:
-        out: list[int] = []
-        for s in symbols:
+        """Ids of symbols, bytes for those that are no pieces; the ids of a symbol are made once."""
+        for s in set(symbols).difference(self.coded):
             x = self.strings[s] if s < len(self.strings) else chr(s - len(self.strings))
             k = self.ids.get(x)
-            out += [k] if k is not None else [self.byte_ids[b] for b in x.encode()]
-        return np.array(out, "<i4").tobytes()
+            self.coded[s] = np.array([k] if k is not None else [self.byte_ids[b] for b in x.encode()], "<i4").tobytes()
+        return b"".join(map(self.coded.__getitem__, symbols))
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
@@ -122,35 +129,46 @@ class Vocabulary:
         return at
 
     def _lanes(self, words: list[str]) -> list[bytes]:
-        """Short words side by side, each with its agenda as a row by place: in every round the best pair of each row goes,
-        of equal ones the leftmost."""
-        size = np.array([len(w) for w in words])
+        """Short words side by side as columns, each with its agenda of rank and place: in every round the best pair of each
+        column goes, of equal ones the leftmost. A symbol knows the places of its neighbours, the last row is none."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
         chars = self.symbol_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
-        symbols = np.full((len(words), int(size.max()) + 1), -1, np.int32)
-        symbols[np.arange(symbols.shape[1]) < size[:, None]] = chars
-        agenda = self.ranks[self._found(symbols[:, :-1], symbols[:, 1:])]
-        out, places = symbols.copy(), np.arange(len(words))
-        column = np.arange(agenda.shape[1])
-        while len(places):
-            row = np.arange(len(places))
-            best = agenda.argmin(axis=1)
-            more = agenda[row, best] < NO_RANK
-            if not more.all():
-                out[places[~more]] = symbols[~more]
-                symbols, agenda, places, best = symbols[more], agenda[more], places[more], best[more]
-                row = row[: len(places)]
-            if not len(places):
-                break
-            new = self.results[self._found(symbols[row, best], symbols[row, best + 1])]
-            moved = column >= best[:, None]
-            np.copyto(symbols[:, :-1], symbols[:, 1:].copy(), where=moved)
-            symbols[:, -1] = -1
-            symbols[row, best] = new
-            np.copyto(agenda[:, :-1], agenda[:, 1:].copy(), where=moved[:, :-1])
-            agenda[:, -1] = NO_RANK
-            agenda[row, best] = self.ranks[self._found(new, symbols[row, best + 1])]
-            inner = np.flatnonzero(best)
-            agenda[inner, best[inner] - 1] = self.ranks[self._found(symbols[inner, best[inner] - 1], new[inner])]
+        n, last, none = len(words), int(size.max()), self.agenda_of[-1]
+        symbols = np.full((last + 1, n), -1, np.int32)
+        starts = np.cumsum(size) - size
+        symbols[np.arange(len(chars)) - np.repeat(starts, size), np.repeat(np.arange(n), size)] = chars
+        place = np.arange(last + 1)
+        agenda = np.full(symbols.shape, none, np.int32)
+        agenda[:-1] = self.agenda_of[self._found(symbols[:-1], symbols[1:])] | place[:-1, None].astype(np.int32)
+        after, before = (np.repeat(x[:, None], n, axis=1) for x in (place + 1, np.append(last, place[:-1])))
+        out, places = symbols.copy(), np.arange(n)
+        while True:
+            best = agenda.min(axis=0)
+            k = np.flatnonzero(best < none)
+            if len(k) < 0.7 * n:
+                out[:, places] = symbols
+                if not len(k):
+                    break
+                symbols, agenda, after, before = (np.take(x, k, axis=1) for x in (symbols, agenda, after, before))
+                places, best, n = places[k], best[k], len(k)
+                k = np.arange(n)
+            # places in the flat arrays: the pair, what follows it and what stands before it
+            at = (best[k] & PLACES).astype(np.int64)
+            left = at * n + k
+            right = after.ravel()[left] * n + k
+            new = self.results[self._found(symbols.ravel()[left], symbols.ravel()[right])]
+            following = after.ravel()[right]
+            symbols.ravel()[left] = new
+            symbols.ravel()[right] = -1
+            agenda.ravel()[right] = none
+            after.ravel()[left] = following
+            end = following * n + k
+            before.ravel()[end] = at
+            earlier = before.ravel()[left]
+            start = earlier * n + k
+            agenda.ravel()[left] = self.agenda_of[self._found(new, symbols.ravel()[end])] | at.astype(np.int32)
+            agenda.ravel()[start] = self.agenda_of[self._found(symbols.ravel()[start], new)] | earlier.astype(np.int32)
+        out = np.ascontiguousarray(out.T)
         real = out >= 0
         flat = out[real]
         ids = self.id_of[np.minimum(flat, len(self.strings))]
@@ -182,19 +200,18 @@ class Vocabulary:
                     heapq.heappush(agenda, r << 32 | a)
         return [s for s in symbols if s >= 0]
 
-    def _learn(self, words: set[str]) -> None:
-        """Ids of words that are not known yet; long ones are cut where no piece has both characters side by side."""
-        short: list[list[str]] = [[] for _ in range((LANE + 3) // 4 + 1)]
-        self.kept += sum(map(len, words)) + 100 * len(words)
-        for w in words:
-            if len(w) <= LANE:
-                short[(len(w) + 3) // 4].append(w)
-                continue
+    def _learn(self, words: set[str], before: str = "") -> None:
+        """Ids of words that are not known yet, each with ``before``; long ones are cut where no piece has both characters side by side."""
+        ordered = sorted(words, key=len)
+        self.kept += sum(map(len, ordered)) + 100 * len(ordered)
+        ends = [bisect_right(ordered, x, key=len) for x in range(-len(before), LANE + 4 - len(before), 4)]
+        for key in ordered[ends[-1] :]:
+            w = before + key
             cuts = [0, *(i for i in range(1, len(w)) if (w[i - 1], w[i]) not in self.pairs), len(w)]
             symbols = self.symbol_of[np.frombuffer(w.encode("utf-32-le"), "<u4")].tolist()
-            self.known[w] = b"".join(self._coded(self._heap(symbols[i:j])) for i, j in zip(cuts, cuts[1:], strict=False))
-        for group in filter(None, short):
-            self.known.update(zip(group, self._lanes(group), strict=True))
+            self.known[key] = b"".join(self._coded(self._heap(symbols[i:j])) for i, j in zip(cuts, cuts[1:], strict=False))
+        for group in filter(None, (ordered[i:j] for i, j in zip(ends, ends[1:], strict=False))):
+            self.known.update(zip(group, self._lanes([before + w for w in group] if before else group), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text without begin and end ids; an empty text has none."""
@@ -204,19 +221,29 @@ class Vocabulary:
 
         def flush():
             nonlocal held, size
+            known, wanted = self.known, set().union(*(words for _, words in held))
+            new = wanted.difference(known)
             if self.kept > KEPT_BYTES:
-                self.known.clear()
-                self.kept = 0
-            known = self.known
-            self._learn(set().union(*(words for _, words in held)) - known.keys())
+                # words of this block stay
+                kept = {w: known[w] for w in wanted - new}
+                self.kept = sum(map(len, kept)) + 100 * len(kept)
+                known.clear()
+                known.update(kept)
+            bare = {w for w in new if w[0] != SPACE} if self.bare else set()
+            self._learn(bare, SPACE)
+            self._learn(new - bare)
             for i, words in held:
                 out[i].append(b"".join(map(known.__getitem__, words)))
             held, size = [], 0
 
         for i, text in enumerate(texts):
             if text:
-                marked = self.prefix + text.decode("utf-8", "one_by_one").replace(" ", SPACE)
-                found = iter(self.words.findall(marked)) if len(text) < BLOCK_BYTES else (m.group() for m in self.words.finditer(marked))
+                plain = text.decode("utf-8", "one_by_one")
+                if self.bare and len(text) < BLOCK_BYTES and "  " not in plain and SPACE not in plain and " " not in (plain[0], plain[-1]):
+                    found = iter(plain.split(" "))
+                else:
+                    marked = self.prefix + plain.replace(" ", SPACE)
+                    found = iter(self.words.findall(marked)) if len(text) < BLOCK_BYTES else (m.group() for m in self.words.finditer(marked))
                 while words := list(islice(found, BLOCK_WORDS)):
                     held.append((i, words))
                     size += len(words)

@@ -243,3 +243,22 @@ def test_texts_decoded_at_once_and_pairs_by_slot():
     key = left.astype(np.int64) << 32 | right
     at = v._found(left, right)
     assert [v.rank.get(k, pieces.NO_RANK) for k in key.tolist()] == v.ranks[at].tolist() and v.shared.any()
+
+
+def test_texts_split_at_spaces_and_words_that_stay(monkeypatch):
+    """Plain texts are split at spaces, others by the expression; both give the library's ids. A full memory keeps the words of the block."""
+    v, rng = pieces.Vocabulary(MODEL), random.Random(11)
+    letters = "etaoinshr" * 4 + "éß漢😀▁-.\n\t"
+    words = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 7, 12, 30, 31, 32, 33, 40]))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(150)]
+    texts += ["  ".join(texts[:3]), " a", "a ", "a", " ", "  ", "▁a a", "a ▁a", "", "\na b\n", "x" * 31, "x" * 32, "x" * 33, "😀" * 31 + " " + "😀" * 32]
+    rng.shuffle(texts)
+    raw = [t.encode() for t in texts] + [b"\xff a\xfe b"]
+    assert [x.tolist() for x in v.encode(raw)] == v.library.encode(raw, num_threads=1)
+    assert v.bare and {w[0] == pieces.SPACE for w in v.known} == {True, False}
+    learned, learn = [], v._learn
+    monkeypatch.setattr(v, "_learn", lambda words, *before: learned.extend(words) or learn(words, *before))
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 0)
+    v.encode([b"some words stay", b"Texts"])
+    v.encode([b"some words stay", b"Others"])
+    assert learned.count("stay") <= 1 and learned.count("Others") == 1 and "Texts" not in v.known
