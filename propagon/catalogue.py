@@ -364,7 +364,7 @@ def _text_vectors(s, d):
 
 
 _add("text_vectors", _text_vectors, TEXTS + VEC + ", tv AS (SELECT cascade_idx, window_idx, dim, avg(x) AS x FROM tw JOIN vc ON vec_id = tweet_idx GROUP BY ALL) SELECT cascade_idx, window_idx, dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY cascade_idx, window_idx)), 1e-12), 6) AS x FROM tv")
-_add("neighbour_mean", lambda s, d: stability.neighbour_mean(src.follows(s, d), _vectors(s, d).select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))).select("node", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x")), VEC + " SELECT dst AS node, dim, round(avg(x), 6) AS x FROM follows JOIN vc ON vec_id = src GROUP BY ALL")
+_add("neighbour_mean", lambda s, d: stability.neighbour_mean(src.follows(s, d, "dst"), _vectors(s, d).select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))).select("node", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x")), VEC + " SELECT dst AS node, dim, round(avg(x), 6) AS x FROM follows JOIN vc ON vec_id = src GROUP BY ALL")
 
 # histograms and samples
 SAMPLE = 200

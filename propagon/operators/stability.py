@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propagon.sources import vector_files
+
 #: The roles of a node.
 ROLES = ("producer", "amplifier", "suppressor", "reframer", "ordinary")
 
@@ -122,11 +126,46 @@ def text_report(rows: DataFrame) -> DataFrame:
 
 def neighbour_mean(edges: DataFrame, vectors: DataFrame, weight: str | None = None) -> DataFrame:
     """(node, dim, x): mean of the vectors of the sources of each node's edges, weighted if a weight column is named; weights
-    below 1e-6 in all shrink the mean, and edges of weight 0 or none count for nothing."""
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    v = vectors.where("vector is not null").select(F.col("node").alias("src"), array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
-    # the aggregate takes no group of weight 0 alone; 1e-300 stands for it, and what that adds is below any digit
-    x = edges.select("src", F.col("dst").alias("node"), F.greatest(w, F.lit(1e-300)).alias("w")).join(v, "src")
-    m = x.groupBy("node").agg(Summarizer.mean(F.col("v"), F.col("w")).alias("v"), F.sum("w").alias("w"))
-    scale = F.col("w") / F.greatest("w", F.lit(1e-6))
-    return m.select("node", scale.alias("scale"), F.posexplode(vector_to_array("v")).alias("dim", "x")).select("node", "dim", (F.col("x") * F.col("scale")).alias("x"))
+    below 1e-6 in all shrink the mean, and edges of weight 0 or none count for nothing.
+
+    Edges are shuffled by node, unless they lie so already, as pairs of ids; their vectors are read from mapped files, so no
+    vector goes along with an edge. A node's edges pass through one task, a batch at a time.
+    """
+    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+    files = vector_files.save(vectors, "node", "vector")
+    # the window asks for edges by node, in order, and tells where a node begins
+    place = F.row_number().over(Window.partitionBy("node").orderBy("src"))
+    x = edges.where("src is not null").select(F.col("dst").alias("node"), F.col("src").cast("long").alias("src"), w.alias("w")).withColumn("place", place)
+
+    def run(batches):
+        held, nodes, open_node = vector_files.Vectors(files), 0, None
+
+        def rows(parts):
+            sums, weights = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+            mean = (sums / np.maximum(weights, 1e-6)[:, None]).ravel()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([p[0] for p in parts]), pa.ListArray.from_arrays(np.arange(len(weights) + 1, dtype=np.int32) * held.width, mean)], ["node", "v"])
+
+        for b in batches:
+            node, src, w, place = b.columns
+            number = nodes + np.cumsum(place.to_numpy() == 1)
+            nodes = int(number[-1]) if len(number) else nodes
+            at, v = held.take(src.to_numpy())
+            if not len(at):
+                continue
+            number, w = number[at], w.to_numpy()[at]
+            start = np.flatnonzero(np.diff(number, prepend=-1))
+            names, sums, weights = node.take(pa.array(at[start])), np.add.reduceat(v * w[:, None], start, axis=0), np.add.reduceat(w, start)
+            done = []
+            if open_node and open_node[3] == number[0]:
+                sums[0] += open_node[1][0]
+                weights[0] += open_node[2][0]
+            elif open_node:
+                done.append(open_node[:3])
+            open_node = names[-1:], sums[-1:], weights[-1:], number[-1]
+            done.append((names[:-1], sums[:-1], weights[:-1]))
+            yield rows(done)
+        if open_node:
+            yield rows([open_node[:3]])
+
+    m = x.mapInArrow(run, f"node {dict(x.dtypes)['node']}, v array<double>")
+    return m.select("node", F.posexplode("v").alias("dim", "x"))

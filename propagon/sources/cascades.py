@@ -31,9 +31,11 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (src, dst) user pairs; self loops stay."""
-    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + 1).alias("src"), (F.col("l_partkey") + 1).alias("dst")).distinct()
+def follows(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """Distinct (src, dst) user pairs; self loops stay. With ``by`` they are shuffled once, by that column, for what groups by
+    it next."""
+    pairs = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + 1).alias("src"), (F.col("l_partkey") + 1).alias("dst"))
+    return (pairs.repartition(by) if by else pairs).distinct()
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from propagon.operators import features, packs, stability
+from propagon.sources import vector_files
 
 ROWS = [(1, 1, 7, 1.0, None), (1, 2, 7, 2.0, 5.0), (1, 2, 3, -4.0, 0.5), (2, 1, 9, 0.0, 1.0)]
 
@@ -76,6 +77,40 @@ def test_neighbour_weights_of_zero(spark):
     assert got == {(5, 0): round(2 / 3, 9), (5, 1): round(1 / 3, 9), (6, 0): 0.0, (6, 1): 0.0}
 
 
+def test_vectors_do_not_go_along_with_edges(spark, monkeypatch):
+    monkeypatch.setattr(vector_files, "ROWS", 7)
+    rng = np.random.default_rng(8)
+    vecs = [(int(i), rng.normal(size=3).tolist()) for i in [*range(0, 40, 2), 4, 4, 18]] + [(6, None), (None, [9.0] * 3)]
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 41, (400, 2))} | {(a, 99) for a in range(41)} | {(3, 77), (5, 77)}
+    edges = [(a, b, float((a + b) % 4)) for a, b in pairs] + [(4, None, 2.0), (None, 5, 1.0)]
+    e, v = spark.createDataFrame(edges, "src long, dst long, w double").repartition(3), spark.createDataFrame(vecs, "node long, vector array<double>")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        for weight in (None, "w"):
+            want = {}
+            for a, b, w in edges:
+                for k, x in vecs:
+                    if a is not None and k == a and x:
+                        total, mass = want.get(b, (0, 0))
+                        want[b] = total + np.array(x) * (w if weight else 1), mass + (w if weight else 1)
+            got = stability.neighbour_mean(e, v, weight)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            # one shuffle of ids and weights beside that of the test, and no join that vectors go through
+            assert plan.count("Exchange") == 2 and "Join" not in plan
+            mine = {}
+            for r in got.collect():
+                mine.setdefault(r["node"], {})[r["dim"]] = r["x"]
+            assert set(mine) == set(want) and None in mine and 77 not in mine
+            for b, (total, mass) in want.items():
+                assert np.allclose([mine[b][i] for i in range(3)], total / max(mass, 1e-6), atol=1e-12)
+        assert stability.neighbour_mean(e, v.limit(0)).count() == 0
+        with pytest.raises(PySparkException):
+            stability.neighbour_mean(e, spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], v.schema)).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_text_rows_by_cascade_and_tweet(spark):
     t = spark.createDataFrame([(1, 1, 10, 100, "root_always_visible"), (1, 1, 11, 101, "current_window"), (2, 1, 20, 100, "root_always_visible"), (2, 1, 1, 100, "history_visible")], "cascade_idx long, window_idx long, tweet_idx long, user_idx long, text_visible_type string")
     r = spark.createDataFrame([(1, [1.0, 0.0])], "cascade_idx long, vector array<double>")
