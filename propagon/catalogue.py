@@ -156,12 +156,12 @@ SELECT cascade_idx, weak_score, rank, CASE WHEN rank < low THEN 0 WHEN rank >= h
 _add("bucket_percentiles", lambda s, d: labels.bucket_percentiles(org.cascade_table(src.raw_posts(s, d)).select("cascade_idx", F.col("observed_duration"), labels.event_size_bucket(F.col("observed_retweet_count")).alias("bucket")), "observed_duration", "bucket"), CASCADES + ", b AS (SELECT cascade_idx, observed_duration, CASE WHEN observed_retweet_count < 8 THEN '<8' WHEN observed_retweet_count < 20 THEN '8-20' WHEN observed_retweet_count < 50 THEN '20-50' WHEN observed_retweet_count < 100 THEN '50-100' WHEN observed_retweet_count < 300 THEN '100-300' ELSE '300+' END AS bucket FROM casc) SELECT cascade_idx, bucket, observed_duration, round(CASE WHEN count(*) OVER (PARTITION BY bucket) > 1 THEN (row_number() OVER (PARTITION BY bucket ORDER BY observed_duration, cascade_idx) - 1) / (count(*) OVER (PARTITION BY bucket) - 1) ELSE 1 END, 6) AS percentile FROM b")
 
 
-def _scored(s, d):
-    posts = written(_posts(s, d), "posts")  # read by seven inputs, so duplicates go once
+def _scored(s, d, posts=None):
+    posts = written(_posts(s, d), "posts") if posts is None else posts  # read by seven inputs, so duplicates go once
     edges = org.star_edges(posts)
     tree = graph.time_only_tree(posts)
     alike = graph.parent_similarity(tree, posts).join(tree, ["cascade_idx", "child_tweet_idx", "parent_tweet_idx"]).groupBy("cascade_idx", F.col("child_user_idx").alias("user_idx")).agg(F.round(F.avg("text_similarity") + labels.HALF_UP, 8).alias("text_score"))
-    raw = labels.event_features(org.cascade_table(src.raw_posts(s, d)), windows.multiscale_windows(posts, edges), windows.node_windows(posts, edges), windows.text_stats(windows.text_windows(posts)), alike, graph.candidate_edges(src.follows(s, d), posts))
+    raw = labels.event_features(org.cascade_table(src.raw_posts(s, d)), windows.multiscale_windows(posts, edges), windows.node_windows(posts, edges, texts=True, users=alike), graph.candidate_edges(src.follows(s, d), posts))
     return labels.percentile_scores(raw, labels.RAW)
 
 

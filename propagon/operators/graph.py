@@ -46,9 +46,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def parent_similarity(tree: DataFrame, posts: DataFrame) -> DataFrame:
-    """Similarity of every post's text to its parent's."""
-    t = posts.select("tweet_idx", bigrams(F.col("text")).alias("g"))
+    """Similarity of every post's text to its parent's. Texts are cut into pairs of characters after the joins."""
+    t = posts.select("tweet_idx", F.col("text").alias("g"))
     x = tree.join(t.withColumnsRenamed({"tweet_idx": "child_tweet_idx", "g": "gc"}), "child_tweet_idx").join(t.withColumnsRenamed({"tweet_idx": "parent_tweet_idx", "g": "gp"}), "parent_tweet_idx")
+    x = x.withColumns({k: bigrams(F.col(k)) for k in ("gc", "gp")})
     return x.select("cascade_idx", "child_tweet_idx", "parent_tweet_idx", F.round(jaccard(F.col("gc"), F.col("gp")), 6).alias("text_similarity"))
 
 

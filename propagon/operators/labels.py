@@ -65,15 +65,15 @@ RAW = ("burst", "coordination", "structure", "text", "temporal_sync", "follow_de
 HALF_UP = 1e-11
 
 
-def event_features(cascades: DataFrame, windows: DataFrame, nodes: DataFrame, stats: DataFrame, similarity: DataFrame, candidates: DataFrame) -> DataFrame:
+def event_features(cascades: DataFrame, windows: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     """Seven raw scores per cascade with its size bucket and the counts that the network label takes.
 
-    ``stats`` are visible texts by cascade, window and user; ``similarity`` has text_score by cascade and user. A cascade
-    without windows, users or follow candidates counts 0 for them.
+    ``nodes`` are ``node_windows`` with num_texts_visible, and with text_score by cascade and user, null where there is none. A
+    cascade without windows, users or follow candidates counts 0 for them.
     """
     heat = F.col("num_retweets_cur")
     w = windows.groupBy("cascade_idx").agg(F.sum("num_active_users_cur").alias("active_users"), F.max(heat).alias("max_heat"), F.max(F.greatest("delta_heat", F.lit(0))).alias("max_delta"), F.count_if(heat > 0).alias("active_windows"))
-    x = nodes.join(stats.select("cascade_idx", "window_idx", "user_idx", "num_texts_visible"), ["cascade_idx", "window_idx", "user_idx"], "left").join(similarity, ["cascade_idx", "user_idx"], "left").na.fill(0)
+    x = nodes.na.fill(0)
     seen = F.when((F.col("num_posts_cum") > 0) | (F.col("num_texts_visible") > 0), F.col("first_seen_time"))
     cum, ctx = (F.col(f"in_degree_{s}") + F.col(f"out_degree_{s}") for s in ("cum", "ctx"))
     n = x.groupBy("cascade_idx").agg(

@@ -80,6 +80,15 @@ def pack_nodes(features: DataFrame, windows: DataFrame, columns: list[str]) -> D
     return aligned(pack_places(features, windows), rows, ["cascade_idx", "window_idx", "user_idx"], "x", len(columns), "x")
 
 
+def pack_users(nodes: DataFrame, windows: DataFrame) -> DataFrame:
+    """(cascade_idx, user_idx, local_idx, x_mask): one row for all rows of a user in ``pack_nodes``, x_mask 1 where any of them
+    holds a row of ``nodes``. Neither vectors nor windows are rows here; it serves ``pack_report`` in place of the tensor."""
+    own = nodes.groupBy("cascade_idx", "user_idx").agg(F.collect_set("window_idx").alias("own"))
+    panes = windows.groupBy("cascade_idx").agg(F.collect_set("window_idx").alias("panes"))
+    x = own.join(panes, "cascade_idx").select("cascade_idx", "user_idx", F.arrays_overlap("own", "panes").cast("int").alias("x_mask"))
+    return ranking.ranked(x, ["cascade_idx"], ["user_idx"], "local_idx").select("cascade_idx", "user_idx", "local_idx", "x_mask")
+
+
 def sample_candidates(candidates: DataFrame, places: DataFrame, weight: str | None = None) -> DataFrame:
     """(cascade_idx, src_local, dst_local, weight): candidates by the places of their users in the sample, each pair once with
     the weight of its first row by the candidates' own places; loops go.
@@ -102,7 +111,7 @@ def pack_report(windows: DataFrame, nodes: DataFrame, edges: DataFrame, candidat
     candidates and with text vectors, candidates, and edges of either kind whose ends are no users of the sample.
 
     A sample is a cascade with label 0 or 1, windows and nodes. ``windows`` and ``nodes`` come from ``pack_windows`` and
-    ``pack_nodes``, ``texts`` has a row for each vector.
+    ``pack_nodes`` or ``pack_users``, ``texts`` has a row for each vector.
     """
     seen = windows.groupBy("cascade_idx").agg(F.count("*").alias("t"))
     users = nodes.groupBy("cascade_idx").agg((F.max("local_idx") + 1).alias("n"), F.max("x_mask").alias("any"))

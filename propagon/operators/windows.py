@@ -69,19 +69,27 @@ def fixed_windows(posts: DataFrame, edges: DataFrame) -> DataFrame:
     return w.select("cascade_idx", "window_idx", (F.col("end_time") - STEP).alias("start_time"), "end_time", F.col("num_retweets_cur").alias("num_retweets"), F.col("num_retweets_cum").alias("cum_retweets"), F.col("num_active_users_cur").alias("num_active_users"), F.col("num_edges_cur").alias("num_edges"), "delta_heat")
 
 
-def node_windows(posts: DataFrame, edges: DataFrame, obs: int = OBSERVATION, step: int = STEP, context: int = CONTEXT) -> DataFrame:
+def node_windows(posts: DataFrame, edges: DataFrame, obs: int = OBSERVATION, step: int = STEP, context: int = CONTEXT, texts: bool = False, users: DataFrame | None = None) -> DataFrame:
     """Every user from the window first seen on: posts and degrees per scope, time since then, windows with posts or edges so
-    far, and whether the user has a root."""
+    far, and whether the user has a root.
+
+    With ``texts`` also num_texts_visible of ``text_stats``, and with ``users`` its columns by (cascade_idx, user_idx): both join
+    while a user is one row, so that no window goes through a join.
+    """
     ends = edges.select("cascade_idx", F.col("src").alias("user_idx"), "relative_time", F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select("cascade_idx", F.col("dst").alias("user_idx"), "relative_time", F.lit(1).alias("i"), F.lit(0).alias("o")))
     act = posts.select("cascade_idx", "user_idx", "relative_time", F.lit(1).alias("p"), F.lit(0).alias("i"), F.lit(0).alias("o"), "is_root").unionByName(ends.withColumn("p", F.lit(0)).withColumn("is_root", F.lit(0)))
     last, back = obs // step, context // step
     act = act.withColumn("b", bucket(F.col("relative_time"), step))
     # one row a user; what comes after the last window counts in no bucket
-    n = act.groupBy("cascade_idx", "user_idx").agg(F.min("relative_time").alias("first_seen_time"), F.max("is_root").alias("is_root"), *_up_to({k: F.col(k) for k in "pio"}, last))
+    shown = [F.sum(F.when((F.col("is_root") == 1) | (F.col("b") <= k), F.col("p")).otherwise(0)).alias(f"t_{k}") for k in range(1, last + 1)] if texts else []
+    n = act.groupBy("cascade_idx", "user_idx").agg(F.min("relative_time").alias("first_seen_time"), F.max("is_root").alias("is_root"), *_up_to({k: F.col(k) for k in "pio"}, last), *shown)
+    more = [k for k in users.columns if k not in ("cascade_idx", "user_idx")] if users is not None else []
+    n = n.join(users, ["cascade_idx", "user_idx"], "left") if more else n
     n = n.join(posts.select("cascade_idx").distinct(), "cascade_idx", "left_semi")
     active = [(sum((F.col(f"{k}_{w}") - F.col(f"{k}_{w - 1}") for k in "pio"), F.lit(0)) > 0).cast("long") for w in range(1, last + 1)]
-    each = [F.struct(F.lit(w).cast("long").alias("window_idx"), *_scopes("p", "num_posts", w, back), *_scopes("i", "in_degree", w, back), *_scopes("o", "out_degree", w, back), (F.lit(w * step) - F.col("first_seen_time")).alias("time_since_first_seen"), sum(active[:w], F.lit(0).cast("long")).alias("active_window_count")) for w in range(1, last + 1)]
-    return n.select("cascade_idx", "user_idx", "first_seen_time", "is_root", F.inline(F.array(*each))).where("time_since_first_seen > 0").select("cascade_idx", "window_idx", "user_idx", "first_seen_time", "is_root", *(f"{k}_{s}" for k in ("num_posts", "in_degree", "out_degree") for s in ("cur", "ctx", "cum")), "time_since_first_seen", "active_window_count")
+    each = [F.struct(F.lit(w).cast("long").alias("window_idx"), *_scopes("p", "num_posts", w, back), *_scopes("i", "in_degree", w, back), *_scopes("o", "out_degree", w, back), (F.lit(w * step) - F.col("first_seen_time")).alias("time_since_first_seen"), sum(active[:w], F.lit(0).cast("long")).alias("active_window_count"), *([F.col(f"t_{w}").alias("num_texts_visible")] if texts else [])) for w in range(1, last + 1)]
+    more += ["num_texts_visible"] if texts else []
+    return n.select("cascade_idx", "user_idx", "first_seen_time", "is_root", *more[: len(more) - texts], F.inline(F.array(*each))).where("time_since_first_seen > 0").select("cascade_idx", "window_idx", "user_idx", "first_seen_time", "is_root", *(f"{k}_{s}" for k in ("num_posts", "in_degree", "out_degree") for s in ("cur", "ctx", "cum")), "time_since_first_seen", "active_window_count", *more)
 
 
 def fixed_node_windows(posts: DataFrame, edges: DataFrame) -> DataFrame:

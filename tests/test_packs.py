@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
-from propagon.operators import features, packs, stability
+from propagon.operators import features, org, packs, stability, windows
 from propagon.sources import vector_files
 
 ROWS = [(1, 1, 7, 1.0, None), (1, 2, 7, 2.0, 5.0), (1, 2, 3, -4.0, 0.5), (2, 1, 9, 0.0, 1.0)]
@@ -60,6 +60,36 @@ def test_candidates_by_sample_and_report(spark, nodes, panes):
     assert (r[0]["samples"], r[0]["edge_alignment_errors"], r[0]["samples_with_texts"], r[0]["samples_with_candidates"]) == (1, 1, 1, 0)
 
 
+def test_users_stand_for_the_tensor_in_a_report(spark, nodes, panes):
+    # user 12 of cascade 2 has a window that the pack lacks, cascade 4 has none
+    more = spark.createDataFrame([(2, 5, 12, 0.0, 0.0), (4, 1, 3, 0.0, 0.0)], nodes.schema)
+    n = nodes.unionByName(more)
+    whole = packs.pack_nodes(n, panes, ["a"]).groupBy("cascade_idx", "user_idx", "local_idx").agg({"x_mask": "max"})
+    assert sorted(map(tuple, packs.pack_users(n, panes).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_counts_of_texts_and_users_come_without_windows(spark):
+    posts = spark.createDataFrame([(1, 10, 7, 400, 1, "r"), (1, 11, 7, 1900, 0, "a"), (1, 12, 8, -30, 0, "b"), (1, 13, 8, 650, 0, "c"), (1, 14, 9, 1799, 0, None), (2, 20, 7, 0, 1, "d")], "cascade_idx long, tweet_idx long, user_idx long, relative_time long, is_root int, text string")
+    extra = spark.createDataFrame([(1, 8, 0.5)], "cascade_idx long, user_idx long, text_score double")
+    edges = org.star_edges(posts)
+    keys = ["cascade_idx", "window_idx", "user_idx"]
+    plain = windows.node_windows(posts, edges)
+    stats = windows.text_stats(windows.text_windows(posts)).select(*keys, "num_texts_visible")
+    want = plain.join(extra, ["cascade_idx", "user_idx"], "left").join(stats, keys, "left").na.fill(0, ["num_texts_visible"])
+    got = windows.node_windows(posts, edges, texts=True, users=extra)
+    assert got.columns == [*plain.columns, "text_score", "num_texts_visible"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
+
+
+def test_report_takes_no_vectors_and_no_tensor(spark, sf_dir, monkeypatch):
+    from propagon import catalogue, pack_queries
+
+    wide, kept = [], pack_queries.written
+    monkeypatch.setattr(pack_queries, "written", lambda rows, name: kept(rows, wide.append((name, [t for _, t in rows.dtypes if t.startswith("array")])) or name))
+    plan = catalogue.QUERIES["pack_report"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not any(arrays for _, arrays in wide) and "embedding#" not in plan.split("Exchange", 1)[0] and "summarizer" not in plan.lower()
+
+
 def test_mean_vectors_are_unit_and_skip_null(spark):
     rng = np.random.default_rng(3)
     vecs = [(int(i % 3), [float(x) for x in rng.normal(size=4)]) for i in range(30)] + [(0, None), (9, None)]
