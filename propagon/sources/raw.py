@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def numbered_lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
-    """(file, line, value): 0-based line numbers of every file, or with ``across`` over all files by path.
+def numbered_lines(spark: SparkSession, path: str, across: bool = False, bundled: bool = False) -> DataFrame:
+    """(file, line, value): 0-based line numbers of every file, or with ``across`` over all files by path, or with ``bundled`` of
+    every file of the bundles that ``write_bundles`` wrote.
 
     A file may be read in many splits: lines are numbered inside each and start after the lines of the splits before, so no
     task reads a whole file. A carriage return at the end and a byte order mark at the start of a file go.
     """
     t = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
-    # one row a split
+    if bundled:
+        # a file stands in one bundle, its lines side by side
+        t = t.withColumns({"file": F.substring_index("value", "\t", 1), "value": F.expr("substr(value, instr(value, '\t') + 1)")})
+    # one row a split, or a file and split of a bundle
     counts = t.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     by = Window.partitionBy(F.lit(0)).orderBy("file", "start") if across else Window.partitionBy("file").orderBy("start")
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     x = t.join(counts, ["file", "start"]).withColumn("line", F.col("before") + F.col("id") - F.col("first"))
     value = F.regexp_replace("value", "\r+$", "")
-    return x.select("file", "line", F.when((F.col("start") == 0) & (F.col("id") == F.col("first")), F.regexp_replace(value, "^﻿", "")).otherwise(value).alias("value"))
+    begins = F.col("before") == 0 if bundled else F.col("start") == 0
+    return x.select("file", "line", F.when(begins & (F.col("id") == F.col("first")), F.regexp_replace(value, "^﻿", "")).otherwise(value).alias("value"))
 
 
 def line_pairs(lines: DataFrame) -> DataFrame:
@@ -46,13 +51,25 @@ def pair_counts(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     return x.select("file", "kept", (F.col("total") - F.col("kept")).alias("dropped"), "total")
 
 
-def write_cascades(pairs: DataFrame, path: str) -> None:
-    """Raw cascades, one folder ``file=...`` each: two header lines (the file and its pairs), then the pairs in order."""
+def _lines(pairs: DataFrame) -> DataFrame:
+    """(file, value) of raw cascades, those of a file in one partition and in order: two header lines (the file and its pairs),
+    then the pairs."""
     n = pairs.groupBy("file").agg(F.count("*").alias("n"))
     lines = lambda at, value: F.struct(F.lit(at).alias("part"), value.cast("string").alias("value"))
     head = n.select("file", F.lit(-1).cast("long").alias("pair"), F.inline(F.array(lines(0, F.col("file")), lines(1, F.col("n")))))
     body = pairs.select("file", F.col("pair").cast("long").alias("pair"), F.inline(F.array(lines(0, F.col("event")), lines(1, F.col("text")))))
-    head.unionByName(body).repartition("file").sortWithinPartitions("file", "pair", "part").select("file", "value").write.partitionBy("file").text(path)
+    return head.unionByName(body).repartition("file").sortWithinPartitions("file", "pair", "part").select("file", "value")
+
+
+def write_cascades(pairs: DataFrame, path: str) -> None:
+    """Raw cascades, one folder ``file=...`` each."""
+    _lines(pairs).write.partitionBy("file").text(path)
+
+
+def write_bundles(pairs: DataFrame, path: str) -> None:
+    """Raw cascades, many to a text file: each line stands behind the name of its file, which holds no tab, and a tab. For
+    cascades so many that a file each would take longer to open than to read."""
+    _lines(pairs).select(F.concat(F.col("file").cast("string"), F.lit("\t"), F.col("value"))).write.text(path)
 
 
 def first_mismatch(ids: DataFrame, mapped: DataFrame, start: int = 1) -> DataFrame:

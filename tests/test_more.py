@@ -92,6 +92,37 @@ def test_similar_nodes_of_large_cascades(spark, monkeypatch):
     assert got == want
 
 
+def test_bundled_files_in_splits(spark, tmp_path):
+    pairs = [(f, i, "" if i % 7 == 3 else f"e{i % 3}\tx", f"text {i % 2}" if i else "\ufefft\r") for f in (3, -1, 40, 41) for i in range(f % 50)]
+    raw.write_bundles(spark.createDataFrame(pairs, "file long, pair long, event string, text string").repartition(3), str(tmp_path / "x"))
+    files = [f for f in (tmp_path / "x").iterdir() if f.name.startswith("part-")]
+    (tmp_path / "x" / "part-99999.txt").write_text("7\t\ufeffhead\n7\t1\n7\tev\r\n7\t\n")
+    assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        lines = raw.numbered_lines(spark, str(tmp_path / "x"), bundled=True)
+        got = {(r.file, r.line): r.value for r in lines.collect()}
+        want = {("7", 0): "head", ("7", 1): "1", ("7", 2): "ev", ("7", 3): ""}
+        for f, i, e, t in pairs:
+            want |= {(str(f), 0): str(f), (str(f), 1): str(f % 50), (str(f), 2 + 2 * i): e, (str(f), 3 + 2 * i): t.rstrip("\r")}
+        assert got == want
+        assert sorted((int(r.file), r.pair, r.event, r.text) for r in raw.line_pairs(lines).collect()) == sorted([(7, 0, "ev", ""), *((f, i, e, t.rstrip("\r")) for f, i, e, t in pairs)])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_pairs_of_many_cascades_lie_in_few_files(spark, sf_dir, monkeypatch):
+    import os
+
+    from propagon import catalogue, more_queries
+
+    paths, made = [], more_queries.new_path
+    monkeypatch.setattr(more_queries, "new_path", lambda s, name: paths.append(made(s, name)) or paths[-1])
+    assert catalogue.QUERIES["raw_pair_counts"](spark, sf_dir).count() > 8
+    assert sum(n.startswith("part-") for _, _, names in os.walk(paths[0].removeprefix("file:")) for n in names) <= 4
+
+
 def test_raw_files_in_splits(spark, tmp_path):
     text = "﻿head\r\n5\n" + "".join(f"e{i % 3}\tx\ntext {i % 2}\r\n" if i % 4 else f" \nblank {i}\n" for i in range(200)) + "alone\n"
     (tmp_path / "a.txt").write_text(text, newline="")
