@@ -95,3 +95,15 @@ class Vectors:
         places = np.concatenate(places)
         order = np.argsort(places, kind="stable")
         return places[order], np.concatenate(found)[order]
+
+
+_opened: dict[tuple, Vectors] = {}
+
+
+def opened(files: list[tuple]) -> Vectors:
+    """``Vectors`` of the files, the last ones of a worker kept, for functions that are called for each group."""
+    key = tuple(files)
+    if key not in _opened:
+        _opened.clear()
+        _opened[key] = Vectors(files)
+    return _opened[key]

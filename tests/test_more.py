@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from propagon.operators import ancestry, batches, isotonic, projection, sampler
-from propagon.sources import raw
+from propagon.sources import raw, vector_files
 
 
 def pav(rows):
@@ -92,6 +92,31 @@ def test_similar_nodes_of_large_cascades(spark, monkeypatch):
     assert got == want
 
 
+def test_sampled_by_keys_equals_by_vectors(spark, monkeypatch):
+    monkeypatch.setattr(sampler, "BLOCK", 8)
+    monkeypatch.setattr(vector_files, "ROWS", 9)
+    rng = np.random.default_rng(6)
+    vecs = {u: rng.integers(-2, 3, 3).astype(float).tolist() for u in range(30) if u % 5}
+    users = [(c, i, int(u)) for c, n in ((1, 25), (2, 6), (3, 1)) for i, u in enumerate(rng.permutation(40)[:n])]
+    edges = [(c, int(a), int(b), str(k), 1.0) for c, n in ((1, 25), (2, 6)) for k in ("current", "context", "follow") for a, b in rng.integers(0, n, (20, 2))]
+    e = spark.createDataFrame(sorted(set(edges)), "cascade_idx long, src long, dst long, source string, weight double")
+    whole = spark.createDataFrame([(c, i, vecs.get(u, [0.0] * 3)) for c, i, u in users], "cascade_idx long, node long, vector array<double>")
+    keyed = spark.createDataFrame([(c, i, u if u % 7 or u in vecs else None) for c, i, u in users], "cascade_idx long, node long, key long")
+    files = vector_files.save(spark.createDataFrame(sorted(vecs.items()), "id long, v array<double>"), "id", "v")
+    assert len(files) > 1
+    got = sampler.sampled(keyed, e, 4, 3, 6, files)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sampler.sampled(whole, e, 4, 3, 6).collect()))
+    assert "vector" not in keyed.columns and "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sampled_query_shuffles_no_vectors(spark, sf_dir):
+    from propagon import catalogue
+
+    plan = catalogue.QUERIES["sampled_neighbours"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # each relation that is read holds ids alone
+    assert "array<double>" not in plan and "MapInArrow" in plan
+
+
 def test_bundled_files_in_splits(spark, tmp_path):
     pairs = [(f, i, "" if i % 7 == 3 else f"e{i % 3}\tx", f"text {i % 2}" if i else "\ufefft\r") for f in (3, -1, 40, 41) for i in range(f % 50)]
     raw.write_bundles(spark.createDataFrame(pairs, "file long, pair long, event string, text string").repartition(3), str(tmp_path / "x"))
